@@ -108,9 +108,14 @@ def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
     end[:-1] &= ~mark[1:]
     end[cuts - 1] = mark[cuts - 1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return Words(start, end, span_hashes(buf, start, end), np.searchsorted(start, off))
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are in order and do not overlap."""
     hashes = np.empty(len(start), np.uint64)
     lo = 0
-    while lo < len(start):  # pieces end between words
+    while lo < len(start):  # pieces end between spans
         base = start[lo]
         hi = max(lo + 1, int(np.searchsorted(end, base + _PIECE, side="right")))
         n = int(end[hi - 1] - base)
@@ -120,7 +125,7 @@ def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
         s, e = start[lo:hi] - base, end[lo:hi] - base
         hashes[lo:hi] = (run[e] - run[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         lo = hi
-    return Words(start, end, mix(hashes), np.searchsorted(start, off))
+    return mix(hashes)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

@@ -20,7 +20,6 @@ Texts of any length are stored whole: a document may span blocks.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,12 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .flat import flat, ranges, slices, span_hashes, table
 from .shared import SharedFile, new_dir, open_shared, written
 
 MAGIC = b"DACT1\n\0\0"
 BLOCK = 1 << 18
 _RANK = 512
-_CACHE_ENTRIES = 500_000
+_CACHE_ENTRIES = 800_000
 
 # --- codes -----------------------------------------------------------------
 
@@ -193,19 +193,39 @@ class _Writer:
 
 # --- encoding with the tokenizers library ------------------------------------
 
-# The letters and numbers of U+0000 to U+024F, as the pattern of the byte-level pre-tokenizer sorts them.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_NUMBERS = "0-9²³¹¼-¾"
-_PIECES = re.compile(f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
-_OTHER = re.compile("[^\n\r\t -~¡-ɏ‐-‧‰-‾]")
-
-
-class Encoder(dict):
-    """Ids of whole texts, as little-endian uint32 bytes.
-
-    The library encodes each distinct piece once and this dict keeps it (up to
-    ``_CACHE_ENTRIES`` pieces); texts outside the plain Latin range or with a
-    special token go to the library whole.
+# Bytes of plain Latin text: ASCII that prints, tab and line ends, and the two-byte letters
+# U+00C0 to U+024F; of those only U+00D7 and U+00F7 (second bytes 97, B7) are no letters.
+_PLAIN = table([*range(0x20, 0x7F), 9, 10, 13, *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+_SPACE = table([9, 10, 13, 0x20])
+_WORDY = table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
+_CUT = table([0x0A, 0x20, 0x2C, 0x2E])
+_STOP = table([0x2C, 0x2E])
+
+
+def _plain_documents(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether white space and ``.,`` stand alone in a document, and all else is plain."""
+    odd = ~_PLAIN[buf]
+    before, now = buf[:-1], buf[1:]
+    odd[1:] |= _SPACE[now] & _SPACE[before]
+    odd[1:] |= (before == 0x3C) & (now == 0x7C)  # how a special token begins
+    odd[1:] |= (before == 0xC3) & ((now == 0x97) | (now == 0xB7))
+    stop = _STOP[buf]
+    odd[1:] |= stop[1:] & ~_WORDY[before]
+    first = off[:-1][off[:-1] < off[1:]]
+    odd[first] = ~_PLAIN[buf[first]] | stop[first]
+    bad = np.concatenate(([0], np.cumsum(odd)))
+    return bad[off[1:]] == bad[off[:-1]]
+
+
+class Encoder:
+    """Ids of whole texts with the tokenizers library.
+
+    A plain Latin text in which white space and ``.,`` stand alone falls into
+    chunks that the pre-tokenizer never joins: each begins at a space, a line
+    end, a stop or a comma.  The distinct chunks of a slice are looked up in a
+    bounded cache of two generations; the library encodes those that are new,
+    many in one text.  Other texts, and those that may hold a special token, go
+    to the library whole.
     """
 
     def __init__(self, path: str):
@@ -214,20 +234,66 @@ class Encoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHE_ENTRIES:
-            self.clear()
-        out = np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        if _OTHER.search(text) or any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.leads = np.zeros(self.tok.get_vocab_size(), np.uint8)  # whether a token begins with a space or a line end
+        for token, i in self.tok.get_vocab().items():
+            self.leads[i] = {"\u0120": 0x20, "\u010a": 0x0A}.get(token[:1], 0)
+        self.whole = any(not t.content.startswith("<|") for t in self.tok.get_added_tokens_decoder().values())
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        alone = []
+        together: dict[int, list[bytes]] = {0x20: [], 0x0A: []}
+        for c in chunks:
+            together.get(c[0] if len(c) > 1 and c[-1] > 0x20 else None, alone).append(c)
+        for lead, found in together.items():
+            if found:
+                ids = self._ids(b"".join(found).decode())
+                at = (4 * np.flatnonzero(self.leads[ids] == lead)).tolist()
+                raw = ids.tobytes()
+                for c, a, b in zip(found, at, [*at[1:], len(raw)], strict=True):
+                    self.new[c] = raw[a:b]
+        for c in alone:
+            self.new[c] = self._ids(c.decode()).tobytes()
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        buf, off = flat(texts)
+        n = len(off) - 1
+        plain = np.zeros(n, bool) if self.whole else _plain_documents(buf, off) if len(buf) else np.ones(n, bool)
+        cut = _CUT[buf]
+        cut[off[:-1][off[:-1] < off[1:]]] = True
+        cut &= np.repeat(plain, np.diff(off))
+        start = np.flatnonzero(cut)
+        doc = np.searchsorted(off, start, side="right") - 1
+        end = np.minimum(np.append(start[1:], len(buf)), off[doc + 1]) if len(start) else start
+        _, first, back = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        if not np.array_equal((end - start)[first][back], end - start):  # equal hashes of different chunks
+            plain[:] = False
+        data = buf.tobytes()
+        chunks = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if len(self.new) >= _CACHE_ENTRIES:
+            self.old, self.new = self.new, {}
+        coded = list(map(self.new.get, chunks))
+        gaps = [i for i, x in enumerate(coded) if x is None]
+        lacking = []
+        for i in gaps:
+            if (x := self.old.get(chunks[i])) is None:
+                lacking.append(chunks[i])
+            else:
+                self.new[chunks[i]] = x
+        self._learn(lacking)
+        for i in gaps:
+            coded[i] = self.new[chunks[i]]
+        size = np.array(list(map(len, coded)), np.int64) // 4
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        at = np.cumsum(size) - size
+        ids = ids[ranges(at[back], size[back])] if len(back) else ids
+        per_doc = np.bincount(doc, weights=size[back], minlength=n).astype(np.int64) if len(back) else np.zeros(n, np.int64)
+        ends = np.cumsum(per_doc).tolist()
+        return [ids[e - k : e] if p else self._ids(data[a:b].decode()) for e, k, p, a, b in zip(ends, per_doc.tolist(), plain.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -240,21 +306,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _squeeze(raw: bytes) -> bytes:
-    """Ids for the exchange: byte planes, lightly deflated."""
-    planes = np.frombuffer(raw, np.uint8).reshape(-1, 4).T
-    keep = 4
-    while keep > 1 and not planes[keep - 1].any():
-        keep -= 1
-    return bytes([keep]) + zlib.compress(planes[:keep].tobytes(), 1)
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids for the exchange: in two bytes each where they fit."""
+    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or int(ids.max()) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
 
 
-def _expand(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = planes[0].astype(np.uint32)
-    for i in range(1, data[0]):
-        out |= planes[i].astype(np.uint32) << (8 * i)
-    return out
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.uint32)
 
 
 # --- the operator ----------------------------------------------------------
@@ -275,13 +333,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
     def encode(batches):
         enc = encoder(tokenizer)
-        end = struct.pack("<I", end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text"):
                 ids = part.column("doc_id").cast(pa.int64())
                 known = ids.fill_null(-(1 << 63)).to_numpy()
-                out = [_squeeze(enc.encode(t or "") + end) for t in part.column("text").to_pylist()]
+                out = [_narrow(np.append(x, np.uint32(end_id))) for x in enc.encode_column(part.column("text"))]
                 shard = np.searchsorted(bounds, known, side="left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(out, pa.binary())], ["shard", "doc_id", "ids"])
 
@@ -292,7 +348,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
                 if writer is None or writer.shard != shard:
                     made += [writer.close()] if writer else []
                     writer = _Writer(folder, shard)
-                writer.add(doc, _expand(ids))
+                writer.add(doc, _wide(ids))
         made += [writer.close()] if writer else []
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["shard", "path", "n_docs", "n_tokens", "n_bytes"])
 
