@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, media, secrets, token_store
+from . import bpe, decontaminate, media, secrets, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination_report(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan)}
+    return {f.__name__: f for f in (op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
