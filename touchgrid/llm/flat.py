@@ -150,6 +150,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x if not rest else np.minimum(x[:-rest], x[rest:]) if len(x) > rest else x[:0]
 
 
+def spaced(buf: np.ndarray, w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one space between, and where each begins and ends there."""
+    size = w.end - w.start
+    start = np.cumsum(size + 1) - size - 1
+    text = np.full(int(start[-1] + size[-1]) if len(start) else 0, 0x20, np.uint8)
+    text[ranges(start, size)] = buf[ranges(w.start, size)]
+    return text.tobytes(), start, start + size
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``concatenate([arange(s, s + n) for s, n in zip(starts, lengths)])``."""
     total = int(lengths.sum())

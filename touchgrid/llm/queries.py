@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, media, resample, secrets, simhash, token_store
+from . import bpe, decontaminate, html_text, media, phrases, resample, secrets, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "kept", F.round("ratio", 6).alias("mean_log_ratio"), F.round("worst", 6).alias("worst_log_ratio"), F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"))
 
 
+def op8_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan, op6_html_text, op7_quality_resampling, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan, op6_html_text, op7_quality_resampling, op8_repeated_phrases, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs a re-read and no re-computation.
+    The exchanges of the write are of no use afterwards and are removed with it.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 

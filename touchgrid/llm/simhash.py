@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .flat import LOWER, NOT_SPACE, flat, ranges, slices, words
+from .flat import LOWER, NOT_SPACE, flat, ranges, slices, spaced, words
 from .shared import written
 
 SHINGLE = 3
@@ -45,19 +45,15 @@ _AT_ONCE = 1 << 16  # shingles whose bits are counted at once
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text of a column."""
     buf, off = flat(column)
-    w = words(LOWER[buf], off, NOT_SPACE)
+    buf = LOWER[buf]
+    w = words(buf, off, NOT_SPACE)
     n_docs, n_words = len(off) - 1, np.diff(w.first)
-    # the words again, one space between: a shingle is a slice of these bytes
-    size = w.end - w.start
-    at = np.cumsum(size + 1) - size - 1
-    text = np.full(int(at[-1] + size[-1]) if len(at) else 0, 0x20, np.uint8)
-    text[ranges(at, size)] = LOWER[buf[ranges(w.start, size)]]
-    data = text.tobytes()
+    data, at, to = spaced(buf, w)  # a shingle is a slice of these bytes
     count = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
     first = ranges(w.first[:-1], count)
     last = np.minimum(first + shingle, np.repeat(w.first[1:], count)) - 1
     doc = np.repeat(np.arange(n_docs), count)
-    starts, ends = at[first].tolist(), (at[last] + size[last]).tolist()
+    starts, ends = at[first].tolist(), to[last].tolist()
     bits = np.zeros((n_docs, 64), np.int64)
     digest = xxhash.xxh64_digest
     for lo in range(0, len(starts), _AT_ONCE):
