@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, media, phrases, resample, secrets, simhash, token_store
+from . import bpe, decontaminate, html_text, lines, media, phrases, resample, secrets, simhash, token_store
+from .shared import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan, op6_html_text, op7_quality_resampling, op8_repeated_phrases, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan, op6_html_text, op7_quality_resampling, op8_repeated_phrases, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has the session hand rows to Python by bytes and not by 10,000 rows: texts may be long."""
+    conf = df.sparkSession.conf
+    found = conf.get(_BATCH)
+    if not found.isdigit() or int(found) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared one; writers create it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
