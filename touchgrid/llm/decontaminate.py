@@ -20,14 +20,12 @@ give no rows, or no hits.  Texts of any length are read whole.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .flat import ALNUM, LOWER, Words, flat, grams, mix, ranges, slices, sliding_min, words
-from .shared import written
+from .shared import carried, restored, written
 
 WINDOW = 10
 GRAM = 5
@@ -142,10 +140,11 @@ def _in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 _INDEXES: dict[str, _Index] = {}
 
 
-def _scan(docs: DataFrame, rows: list, merge: bool) -> DataFrame:
-    """One pass over the documents against one block of windows."""
+def _scan(docs: DataFrame, rows: list, merge: bool, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One pass over the documents against one block of windows; ``extra`` columns pass through."""
     held = docs.sparkSession.sparkContext.broadcast(_Index([r.asDict() for r in rows]))
-    schema = "doc_id long, n_words long, n_hit long, items array<string>" + ", text_hash long, at array<int>" * merge
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_hit long, items array<string>" + ", text_hash long, at array<int>" * merge)
+    schema = T.StructType([*schema.fields, *(docs.schema[c] for c in extra)])
 
     def run(batches):
         index = held.value
@@ -171,17 +170,20 @@ def _scan(docs: DataFrame, rows: list, merge: bool) -> DataFrame:
                     inside = np.split((at - np.repeat(w.first[:-1], n_hit)).astype(np.int32), np.cumsum(n_hit)[:-1]) if n_docs else []
                     out += [part.column("text_hash"), pa.array(list(inside), pa.list_(pa.int32()))]
                     cols += ["text_hash", "at"]
-                yield pa.RecordBatch.from_arrays(out, cols)
+                yield pa.RecordBatch.from_arrays(out + [part.column(c) for c in extra], cols + list(extra))
 
     return docs.mapInArrow(run, schema)
 
 
+def _blocks(items: DataFrame, block_windows: int) -> tuple[DataFrame, int]:
+    windows = written(item_windows(items.select("item_id", "text")), "item-windows")
+    return windows, max(1, -(-windows.count() // block_windows))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted names of the items with a window here) of each of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    windows = written(item_windows(items.select("item_id", "text")), "item-windows")
-    n = windows.count()
-    blocks = max(1, -(-n // block_windows))
+    windows, blocks = _blocks(items, block_windows)
     if blocks == 1:
         return _scan(docs, windows.collect(), False)
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -201,5 +203,15 @@ def contamination_report(docs: DataFrame, items: DataFrame, block_windows: int =
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+def keep_clean(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents without a window of an item, with all their columns."""
+    whole = carried(docs)
+    windows, blocks = _blocks(items, block_windows)
+    if blocks == 1:
+        found = _scan(whole, windows.collect(), False, ("text", "rest")).filter("n_hit = 0")
+        return restored(found, docs)
+    part = F.pmod(F.xxhash64("window", F.lit(1)), F.lit(blocks))
+    out = whole
+    for i in range(blocks):  # what one block hits need not meet the next
+        out = _scan(out, windows.filter(part == i).collect(), False, ("text", "rest")).filter("n_hit = 0").select("doc_id", "text", "rest")
+    return restored(out, docs)

@@ -32,10 +32,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .flat import NOT_SPACE, flat, mix, ranges, slices, words
-from .shared import written
+from .shared import carried, restored, written
 
 SIMILARITY = 0.8
 COUNTERS = 1 << 22
@@ -427,27 +427,42 @@ def later_lines(docs: DataFrame, s: float = SIMILARITY, counters: int = COUNTERS
     return gone, linked
 
 
-def remove_lines(docs: DataFrame, s: float = SIMILARITY, with_text: bool = False) -> DataFrame:
-    """(doc_id, text_hash, n_lines, n_removed, n_links, kept_sha256) of each of ``docs(doc_id, text)``; with the kept text if asked."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+def _reduced(keyed: DataFrame, s: float, extra: list[str]) -> DataFrame:
+    """``keyed`` with the counts, the digest and the kept text; ``extra`` columns pass through."""
     gone, linked = later_lines(keyed, s)
     links = linked.select("doc", "text_hash", F.lit(None).cast("int").alias("line"), "n_links")
     notes = gone.withColumn("n_links", F.lit(0).cast("long")).unionByName(links)
     notes = notes.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("lines"), F.sum("n_links").alias("n_links")).withColumnRenamed("text_hash", "of_hash")
-    joined = keyed.join(notes, (keyed["doc_id"] == notes["doc"]) & (keyed["text_hash"] == notes["of_hash"]), "left").select("doc_id", "text_hash", "text", "lines", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    kinds = [("doc_id", "long", pa.int64()), ("text_hash", "long", pa.int64()), ("n_lines", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_links", "long", pa.int64()), ("kept_sha256", "string", pa.string())] + [("kept", "string", pa.string())] * with_text
+    joined = keyed.join(notes, (keyed["doc_id"] == notes["doc"]) & (keyed["text_hash"] == notes["of_hash"]), "left").select("doc_id", "text", "lines", F.coalesce("n_links", F.lit(0)).alias("n_links"), *extra)
+    kinds = [("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_links", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
+    schema = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.StringType() if t == pa.string() else T.LongType()) for c, t in kinds] + [joined.schema[c] for c in extra])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for doc, h, text, lines, links in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    all_lines = [] if text is None else text.split("\n")
+                for text, lines, links in zip(*(part.column(c).to_pylist() for c in ("text", "lines", "n_links")), strict=True):
+                    parts = [] if text is None else text.split("\n")
                     drop = set(lines or ())
-                    kept = text or ""
-                    if drop:
-                        kept = "\n".join(x for i, x in enumerate(all_lines) if i not in drop)
-                    rows.append((None if doc == _NO_DOC else doc, h, len(all_lines), len(drop), links, hashlib.sha256(kept.encode()).hexdigest()) + (kept,) * with_text)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(kinds)], [k[0] for k in kinds])
+                    kept = "\n".join(x for i, x in enumerate(parts) if i not in drop) if drop else text or ""
+                    rows.append((len(parts), len(drop), links, hashlib.sha256(kept.encode()).hexdigest(), kept))
+                ids = [None if d == _NO_DOC else d for d in part.column("doc_id").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)), *(part.column(c) for c in extra)], schema.names)
 
-    return joined.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in kinds))
+    return joined.mapInArrow(run, schema)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return carried(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_DOC)))
+
+
+def remove_lines(docs: DataFrame, s: float = SIMILARITY) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_links, kept_sha256) of each of ``docs(doc_id, text)``."""
+    return _reduced(_keyed(docs).drop("rest"), s, []).drop("kept")
+
+
+def without_later_lines(docs: DataFrame, s: float = SIMILARITY) -> DataFrame:
+    """The documents without their later lines, with all their columns; n_chars follows, and what loses all its lines goes."""
+    out = _reduced(_keyed(docs), s, ["rest"]).filter("n_removed < n_lines or n_lines = 0")
+    out = out.withColumnRenamed("kept", "text")
+    return restored(out, docs, **({"n_chars": F.length("text")} if "n_chars" in docs.columns else {}))

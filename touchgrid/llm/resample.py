@@ -213,5 +213,5 @@ def resample(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, t
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are drawn, with all their columns."""
     drawn = resample(docs, labels).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(drawn["_id"]) & (F.xxhash64(docs["text"]) == drawn["_hash"])
     return docs.join(drawn, same, "left_semi")

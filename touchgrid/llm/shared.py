@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _KEY = "spark.checkpoint.dir"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -44,6 +44,23 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def others(docs: DataFrame) -> list[str]:
+    """The columns beside doc_id and text, which operators carry in a struct of their own."""
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id (long), text, text_hash and ``rest``: the other columns, whatever they are called."""
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others(docs)))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"), rest.alias("rest"))
+
+
+def restored(df: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of ``docs`` from a frame with doc_id, text and ``rest``, in their order and types; ``new`` replaces some."""
+    out = [new[c] if c in new else F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns]
+    return df.select(*(x.cast(docs.schema[c].dataType).alias(c) for x, c in zip(out, docs.columns, strict=True)))
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared one; writers create it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -66,14 +66,14 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of ``docs(doc_id, text)``; fp as a signed long."""
+    """(doc_id, text_hash, fp) of ``docs(doc_id, text)``; fp as a signed long."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("text"), shingle).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fingerprints(part.column("text"), shingle).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 # --- the grid range join -------------------------------------------------------
@@ -244,7 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, reach: int = REACH, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) of each of ``docs(doc_id, text)``."""
+    """(doc_id, text_hash, fp, component_id) of each of ``docs(doc_id, text)``."""
     table = written(fingerprint_table(docs, shingle), "fingerprints")
     prints = written(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(link_fingerprints(prints.select("fp"), groups, reach, block)).withColumnRenamed("node", "fp")
@@ -252,4 +252,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUP
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     lowest = linked.join(lowest, "root").select("fp", "lowest")
     ids = prints.join(lowest, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return table.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return table.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: the smallest doc_id (of rows equal in it, the least text hash)."""
+    found = written(near_duplicates(docs.select("doc_id", "text")), "components")
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"), alone.alias("_fp")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n"))
+    kept = written(kept, "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
+    out = docs.join(kept, same, "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if kept.filter("_n > 1").take(1) else out
