@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from itertools import groupby
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -41,7 +43,7 @@ from .shared import written
 WINDOW = 13
 GRAM = 6
 HOT = 50_000
-_UNIT = 1 << 20  # anchors that a task combines at once
+_UNIT = 1 << 19  # anchors that a task combines at once
 _SHARD_WORDS = 200_000  # of segments that one automaton is compiled from and run over
 _KNOWN = np.uint32(0xFFFFFFFF)
 _FEW_ROWS = 1 << 15
@@ -217,33 +219,45 @@ def segments(docs: DataFrame, found: DataFrame, window: int = WINDOW, gram: int
 
 
 def _run_automaton(rows: list[tuple], window: int):
-    """(k1, k2, offsets, first documents) of the recurring windows of each segment of a shard."""
+    """(k1, k2, offsets, first documents) of the recurring windows of each segment of a shard.
+
+    Equal windows have equal anchors, so what only one distinct segment of an
+    anchor holds is settled by that segment's own documents; windows of several
+    segments are the patterns.
+    """
     number: dict[bytes, int] = {}
     held, span = [], {}
-    for k1, k2, base, first, last, text in rows:
-        seq = tuple(number.setdefault(x, len(number)) for x in text.split(b" "))
-        held.append((k1, k2, base, last, seq))
-        for i in range(len(seq) - window + 1):
-            key = seq[i : i + window]
-            if (have := span.get(key)) is None:
-                span[key] = (first, last)
-            elif first < have[0] or last > have[1]:
-                span[key] = (min(first, have[0]), max(last, have[1]))
+    for _, group in groupby(rows, key=itemgetter(0)):
+        group = list(group)
+        for row in group:
+            text = row[6]
+            if len(group) == 1:
+                if row[4] < row[5]:
+                    n = text.count(b" ") + 2 - window
+                    yield row[1], row[2], list(range(row[3], row[3] + n)), [row[4]] * n
+                continue
+            seq = tuple([number.setdefault(x, len(number)) for x in text.split(b" ")])
+            held.append((row, seq))
+            first, last = row[4], row[5]
+            for i in range(len(seq) - window + 1):
+                key = seq[i : i + window]
+                if (have := span.get(key)) is None:
+                    span[key] = (first, last, 1, row)
+                elif have[3] is not row:
+                    span[key] = (min(first, have[0]), max(last, have[1]), 2, row)
+    patterns = [(key, x[0]) for key, x in span.items() if x[2] > 1 and x[0] < x[1]]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, (first, last) in span.items():
+    for key, first in patterns:
+        automaton.add_word(key, first)
+    if patterns:
+        automaton.make_automaton()
+    for (_, k1, k2, base, first, last, _), seq in held:
+        found = {end - window + 1: x for end, x in automaton.iter(seq) if x < last} if patterns else {}
         if first < last:
-            automaton.add_word(key, first)
-    if not len(automaton):
-        return
-    automaton.make_automaton()
-    for k1, k2, base, last, seq in held:
-        offsets, firsts = [], []
-        for end, first in automaton.iter(seq):
-            if first < last:
-                offsets.append(base + end - window + 1)
-                firsts.append(first)
-        if offsets:
-            yield k1, k2, offsets, firsts
+            for i in range(len(seq) - window + 1):
+                found.setdefault(i, first)
+        if found:
+            yield k1, k2, [base + i for i in found], list(found.values())
 
 
 def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -270,11 +284,11 @@ def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
     def shards(batches):
         held, n, anchor = [], 0, None
         for batch in batches:
-            for a, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if n >= _SHARD_WORDS and a != anchor:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if n >= _SHARD_WORDS and row[0] != anchor:
                     yield _verdicts(held)
                     held, n = [], 0
-                anchor = a
+                anchor = row[0]
                 held.append(row)
                 n += row[-1].count(b" ") + 1
         yield _verdicts(held)
