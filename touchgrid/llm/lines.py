@@ -10,15 +10,15 @@ earlier line matches it.
    few candidates, and a word counted once in all cannot be shared.
 2. Prefixes.  Of n words in order of rarity a match must share one of the first
    n - ceil(s n) + 1.  A task sends each distinct set once per prefix word, with
-   its size and a 128-bit map of its words, and each class of equal sets once
+   its size and 128 parity bits of its words, and each class of equal sets once
    with its first line; equal lines after that are known to go at once.
 3. Filters.  Sets that meet at a word pass by size, by position (how much can
-   follow) and by map: two maps differ in at most as many bits as the sets in
-   words.  This yields the sets that may have a match, never pairs.
-4. Verification.  The words of those sets are fetched, meet again at prefix
-   words, and their exact Jaccard is computed.  A set gets back the first line
-   among its matches and the number of matches (each counted at the pair's
-   first common word), so a group of n like lines yields n rows.
+   follow) and by parity: that differs in at most as many bits as the sets in
+   words.  Stars connect what passes, never all pairs, and give groups.
+4. Verification.  The words of those sets are fetched, the sets of a group meet
+   (in pairs of blocks if they are many), and their exact Jaccard is computed.
+   A set gets back the first line among its matches and their number, so a
+   group of n like lines yields n rows.
 
 Nulls: a null text has no lines; a null doc_id sorts before all others.  Lines
 without words match nothing and stay.  Lines at the same place of rows equal in
@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .flat import NOT_SPACE, flat, mix, ranges, slices, words
-from .shared import carried, restored, written
+from .shared import carried, map_written, restored, written
+from .simhash import components
 
 SIMILARITY = 0.8
 COUNTERS = 1 << 22
@@ -43,7 +44,8 @@ _CHUNK = 1 << 16
 _UNIT = 1 << 20  # entries that a task combines at once
 _LINES = 1 << 14  # lines that are sorted at once
 _HASH_BITS = 42
-_SMALL = 48  # sets at one word that are compared across groups
+_BLOCK = 2048
+_SMALL = 1024  # sets at one word up to which groups are compared side by side
 _NO_DOC = -(1 << 63)
 
 
@@ -96,6 +98,16 @@ def rarity(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 # --- 2. prefixes -----------------------------------------------------------------------
 
 
+def _maps(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """128 parity bits of each set, a word flips one: two sets differ in at most as many bits as in words."""
+    if not len(start):
+        return np.zeros((0, 2), np.uint64)
+    one = np.uint64(1)
+    bit = one << (h & np.uint64(63))
+    side = (h >> np.uint64(12) & one).astype(bool)
+    return np.stack([np.bitwise_xor.reduceat(np.where(side, bit, 0), start), np.bitwise_xor.reduceat(np.where(side, 0, bit), start)], 1)
+
+
 class Sets:
     """Lines as sorted sets of ordered words: line i has ``key[first[i]:first[i+1]]``."""
 
@@ -108,10 +120,7 @@ class Sets:
         start = first[:-1]
         fold = lambda f, x: f.reduceat(x, start) if len(start) else x[:0]
         self.s1, self.s2 = fold(np.add, h), fold(np.add, mix(h ^ np.uint64(0xA5A5A5A5)))
-        one = np.uint64(1)
-        low, high = one << (h & np.uint64(63)), one << (h >> np.uint64(6) & np.uint64(63))
-        side = (h >> np.uint64(12) & one).astype(bool)
-        self.maps = np.stack([fold(np.bitwise_or, np.where(side, low, 0)), fold(np.bitwise_or, np.where(side, 0, high))], 1) if len(start) else np.zeros((0, 2), np.uint64)
+        self.maps = _maps(h, start)
 
 
 def line_sets(column: pa.Array, codes: np.ndarray, wanted: list[list[int]] | None = None):
@@ -152,10 +161,10 @@ def _prefix(sets: Sets, s: float) -> tuple[np.ndarray, np.ndarray]:
     return of[shared], (at - sets.first[of])[shared]
 
 
-_ENTRY = np.dtype([("word", "<u8"), ("s1", "<u8"), ("m0", "<u8"), ("m1", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+_ENTRY = np.dtype([("word", "<u8"), ("s1", "<u8"), ("m0", "<u8"), ("m1", "<u8"), ("n", "<u4"), ("pos", "<u2")])
 _FIRST = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("line", "<i4")])
 _ROW = "kind int, s1 long, s2 long, doc long, text_hash long, line int"
-_FLAG, _GONE, _CLASS = 0, 1, 2
+_EDGE, _GONE, _CLASS = 0, 1, 2
 
 
 def _rows(kind: int, s1=None, s2=None, doc=None, text_hash=None, line=None) -> pa.RecordBatch:
@@ -178,43 +187,76 @@ def _earliest(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[head], x[~tied]
 
 
+def _filters(n, pos, m0, m1, s: float):
+    """A function that gives those of the pairs (i, j) that pass by size, parity and position; cheap tests first."""
+    slack = (1 - s) / (1 + s)
+
+    def passes(i, j):
+        total = n[i] + n[j]
+        ok = np.minimum(n[i], n[j]) * (1 + s) >= total * s - 1e-6
+        i, j, total = i[ok], j[ok], total[ok]
+        far = np.bitwise_count(m0[i] ^ m0[j]).astype(np.int64) + np.bitwise_count(m1[i] ^ m1[j])
+        ok = far <= total * slack + 1e-6
+        i, j = i[ok], j[ok]
+        return i[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i], n[j], s)]
+
+    return passes
+
+
+def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index that each of n members is connected to."""
+    low = np.arange(n)
+    while len(i):
+        least = np.minimum(low[i], low[j])
+        before = low.copy()
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if np.array_equal(low, before):
+            break
+    return low
+
+
 def _candidates(x: np.ndarray, s: float) -> np.ndarray:
-    """s1 of the sets of one bucket that pass the filters with another."""
+    """(n, 2) s1 of sets of one bucket: stars that connect all pairs that pass the filters."""
     x = _sorted(x, "word", "n", "s1")
-    x = x[np.concatenate(([True], (x["word"][1:] != x["word"][:-1]) | (x["s1"][1:] != x["s1"][:-1]) | (x["n"][1:] != x["n"][:-1])))]
+    x = x[np.concatenate(([True], (x["word"][1:] != x["word"][:-1]) | (x["s1"][1:] != x["s1"][:-1]) | (x["n"][1:] != x["n"][:-1])))] if len(x) else x
     word, n, pos = x["word"], x["n"].astype(np.int64), x["pos"].astype(np.int64)
     start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(x) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(x)))
-    flag = np.zeros(len(x), bool)
-
-    def passes(i, j):
-        least = least_overlap(n[i], n[j], s)
-        ok = (n[i] >= s * n[j] - 1e-9) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
-        far = np.bitwise_count(x["m0"][i] ^ x["m0"][j]).astype(np.int64) + np.bitwise_count(x["m1"][i] ^ x["m1"][j])
-        return ok & (far <= n[i] + n[j] - 2 * least)
-
-    small = np.repeat(size <= _SMALL, size)
+    m0, m1 = np.ascontiguousarray(x["m0"]), np.ascontiguousarray(x["m1"])
+    passes = _filters(n, pos, m0, m1, s)
     left = np.repeat(size, size) - (np.arange(len(x)) - np.repeat(start, size))  # members from this one on
+    i, pairs = np.flatnonzero(np.repeat(size <= _SMALL, size)), []
     for d in range(1, _SMALL):
-        i = np.flatnonzero(small & (left > d))
+        i = i[left[i] > d]
+        i = i[n[i + d] * s <= n[i] + 1e-6]  # n ascends within a group: once too large, always
         if not len(i):
             break
-        i = i[passes(i, i + d)]
-        flag[i] = flag[i + d] = True
+        hit = passes(i, i + d)
+        pairs.append(np.stack([hit, hit + d]))
+    both = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
+    low = _connected(len(x), both[0], both[1])
     for a, k in zip(start[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-        for i in range(a, a + k - 1):  # n ascends: partners lie behind, up to n / s
-            to = a + int(np.searchsorted(n[a : a + k], n[i] / s + 1e-9, side="right"))
-            j = np.arange(i + 1, to)
-            j = j if not flag[i] else j[~flag[j]]
-            if len(j):
-                j = j[passes(np.full(len(j), i), j)]
-                if len(j):
-                    flag[i] = flag[j] = True
-    return np.unique(x["s1"][flag])
+        todo = np.ones(k, bool)
+        for root in range(k):  # a search from each member that is not reached yet
+            if not todo[root]:
+                continue
+            todo[root], front = False, [root]
+            while front:
+                c = a + front.pop()
+                lo, hi = np.searchsorted(n[a : a + k], (n[c] * s - 1e-6, n[c] / s + 1e-6))
+                near = a + lo + np.flatnonzero(todo[lo:hi])
+                near = passes(near, np.full(len(near), c))
+                todo[near - a] = False
+                low[near] = a + root
+                front += (near - a).tolist()
+    at = np.flatnonzero(low != np.arange(len(x)))
+    return np.unique(np.stack([x["s1"][low[at]], x["s1"][at]], 1), axis=0)
 
 
 def screen(docs: DataFrame, codes, s: float = SIMILARITY) -> DataFrame:
-    """Rows of three kinds: sets that may match others, lines that go as repeats of a set, and the first line of each set."""
+    """Rows of three kinds: edges between sets that may match, lines that go as repeats of a set, and the first line of each set."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * n_parts
 
@@ -249,7 +291,7 @@ def screen(docs: DataFrame, codes, s: float = SIMILARITY) -> DataFrame:
                     entry = np.empty(len(of), _ENTRY)
                     entry["word"], entry["s1"] = sets.key[sets.first[of] + pos], sets.s1[of]
                     entry["m0"], entry["m1"] = sets.maps[of, 0], sets.maps[of, 1]
-                    entry["n"], entry["pos"] = sets.n[of], pos
+                    entry["n"], entry["pos"] = sets.n[of], np.minimum(pos, 0xFFFF)
                     entries.append(entry), firsts.append(first)
                     n += len(of) + len(first)
                 if n >= _UNIT:
@@ -267,7 +309,7 @@ def screen(docs: DataFrame, codes, s: float = SIMILARITY) -> DataFrame:
             if part % 2 == 0:
                 found = _candidates(np.frombuffer(b"".join(held), _ENTRY), s)
                 if len(found):
-                    yield _rows(_FLAG, s1=found)
+                    yield _rows(_EDGE, s1=found[:, 0], s2=found[:, 1])
             else:
                 first, gone = _earliest(np.frombuffer(b"".join(held), _FIRST))
                 yield _lines(_CLASS, first)
@@ -290,74 +332,75 @@ def screen(docs: DataFrame, codes, s: float = SIMILARITY) -> DataFrame:
 
     sent = docs.select("doc_id", "text", "text_hash").mapInArrow(collect, "part int, data binary")
     dealt = sent.repartitionById(n_parts, F.pmod(F.expr("cast(if(part < 0, part, part div 2) as int)"), F.lit(n_parts))).sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, _ROW)
+    return map_written(dealt, meet, _ROW, "lines")
 
 
 # --- 4. verification ----------------------------------------------------------------------
 
 
-def _verify_pairs(key, first, n, place, i, j, word, s, best, degree):
+def _verify_pairs(key, first, n, place, i, j, s, best, degree):
     """Exact overlap of the pairs (i, j); keeps the first place and the count of matches per member."""
-    for lo in range(0, len(i), 20_000):
-        a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
+    for lo in range(0, len(i), 10_000):
+        a, b = i[lo : lo + 10_000], j[lo : lo + 10_000]
         pair = np.arange(len(a), dtype=np.uint64) << np.uint64(50)
         both = np.concatenate([key[ranges(first[x], n[x])] | np.repeat(pair, n[x]) for x in (a, b)])
         both.sort()
-        same = both[1:][both[1:] == both[:-1]]
-        of = (same >> np.uint64(50)).astype(np.int64)
-        overlap = np.bincount(of, minlength=len(a))
-        lead = np.zeros(len(a), np.uint64)  # the first common word
-        lead[of[::-1]] = (same & np.uint64((1 << 50) - 1))[::-1]
-        ok = overlap >= least_overlap(n[a], n[b], s)
-        once = ok & (lead == word[a])
-        np.minimum.at(best, a[ok], place[b[ok]])
-        np.minimum.at(best, b[ok], place[a[ok]])
-        np.add.at(degree, a[once], 1)
-        np.add.at(degree, b[once], 1)
-
-
-def _verify(rows: dict, s: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per member of a run of whole groups (sorted by word and n): the least place of its matches (or none), and their count."""
-    key, n, pos, word, place = rows["key"], rows["n"], rows["pos"], rows["word"], rows["place"]
-    first = np.cumsum(n) - n
-    h = mix(key)
-    one = np.uint64(1)
-    side = (h >> np.uint64(12) & one).astype(bool)
-    maps = np.stack([np.bitwise_or.reduceat(np.where(side, one << (h & np.uint64(63)), 0), first), np.bitwise_or.reduceat(np.where(side, 0, one << (h >> np.uint64(6) & np.uint64(63))), first)], 1)
-    start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    size = np.diff(np.append(start, len(word)))
-    best, degree = np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), np.int64)
+        of = (both[1:][both[1:] == both[:-1]] >> np.uint64(50)).astype(np.int64)
+        ok = np.bincount(of, minlength=len(a)) >= least_overlap(n[a], n[b], s)
+        a, b = a[ok], b[ok]
+        np.minimum.at(best, a, place[b])
+        np.minimum.at(best, b, place[a])
+        np.add.at(degree, a, 1)
+        np.add.at(degree, b, 1)
 
-    def passes(i, j):
-        least = least_overlap(n[i], n[j], s)
-        far = np.bitwise_count(maps[i, 0] ^ maps[j, 0]).astype(np.int64) + np.bitwise_count(maps[i, 1] ^ maps[j, 1])
-        return (n[i] >= s * n[j] - 1e-9) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (far <= n[i] + n[j] - 2 * least)
 
+def _verify(key, n, group, side, across, place, s: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per member of whole groups: the least place of its matches (or none), and their count.
+
+    A group that is ``across`` two blocks compares members of different sides only.
+    """
+    first = np.cumsum(n) - n
+    maps = _maps(mix(key), first)
+    passes = _filters(n, np.zeros(len(n), np.int64), np.ascontiguousarray(maps[:, 0]), np.ascontiguousarray(maps[:, 1]), s)
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(start, len(group)))
+    best, degree = np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), np.int64)
     left = np.repeat(size, size) - (np.arange(len(n)) - np.repeat(start, size))
+    i = np.arange(len(n))
     for d in range(1, int(size.max(initial=1))):
-        i = np.flatnonzero(left > d)
+        i = i[left[i] > d]
         if not len(i):
             break
-        i = i[passes(i, i + d)]
-        _verify_pairs(key, first, n, place, i, i + d, word, s, best, degree)
+        may = i[~across[i] | (side[i] != side[i + d])]
+        hit = passes(may, may + d)
+        _verify_pairs(key, first, n, place, hit, hit + d, s, best, degree)
     return best, degree
 
 
-def matches(sets: DataFrame, s: float = SIMILARITY) -> DataFrame:
-    """(s1, s2, first_doc, first_line, n_links): of each set with matches, their first line and their number.
+_SET = "root long, s1 long, s2 long, doc long, line int, data binary"
 
-    ``sets`` has a row per prefix word of a set: word, s1, s2, doc, line, n, pos, data.
+
+def matches(sets: DataFrame, s: float = SIMILARITY, block: int = _BLOCK) -> DataFrame:
+    """(s1, s2, first_doc, first_line, n_links): of each of ``sets`` with matches, their first line and their number.
+
+    The sets of a connected group meet; a group of more than ``block`` is dealt to pairs of blocks.
     """
+    many = sets.groupBy("root").count().filter(F.col("count") > block).select("root", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    rows = sets.join(many, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "s1", "s2", "doc", "line", "data")
 
     def run(batches):
-        held, n, word = [], 0, None
+        held, n, last = [], 0, None
 
         def done():
-            cols = [np.concatenate(x) for x in zip(*[h[:7] for h in held], strict=True)]
-            data = np.frombuffer(b"".join(d for h in held for d in h[7]), np.uint64)
-            w, s1, s2, doc, line, size, pos = cols
+            cols = [np.concatenate(x) for x in zip(*[h[:8] for h in held], strict=True)]
+            blobs = [d for h in held for d in h[8]]
+            root, i, j, side, s1, s2, doc, line = cols
+            group = np.cumsum(np.concatenate(([True], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             distinct, place = np.unique(np.stack([doc, line], 1), axis=0, return_inverse=True)  # places as numbers, in order
-            best, degree = _verify({"key": data, "n": size, "pos": pos, "word": w, "place": place.ravel()}, s)
+            size = np.array([len(d) for d in blobs], np.int64) // 8
+            best, degree = _verify(np.frombuffer(b"".join(blobs), np.uint64), size, group, side, i != j, place.ravel(), s)
             hit = best < np.iinfo(np.int64).max
             near = distinct[best[hit]]
             return pa.RecordBatch.from_arrays([pa.array(s1[hit]), pa.array(s2[hit]), pa.array(near[:, 0]), pa.array(near[:, 1]), pa.array(degree[hit])], ["s1", "s2", "first_doc", "first_line", "n_links"])
@@ -365,49 +408,48 @@ def matches(sets: DataFrame, s: float = SIMILARITY) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w = batch.column("word").to_numpy()
-            ints = [batch.column(c).to_numpy().astype(np.int64) for c in ("s1", "s2", "doc", "line", "n", "pos")]
+            cols = [batch.column(c).to_numpy().astype(np.int64) for c in ("root", "i", "j", "side", "s1", "s2", "doc", "line")]
             blobs = batch.column("data").to_pylist()
-            cut = np.append(np.flatnonzero(np.concatenate(([word is None or w[0] != word], w[1:] != w[:-1]))), len(w))
-            # a run ends at the last border of the batch once it is long enough
-            if n + len(w) >= 20_000 and len(cut) > 1 and (cut[-2] > 0 or held):
-                at = int(cut[-2])
+            root, i, j = cols[:3]
+            new = np.concatenate(([last is None or (root[0], i[0], j[0]) != last], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            at = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if n + at >= 5_000 and new.any() and (held or at):  # whole groups up to here
                 if at:
-                    held.append([x[:at] for x in [w.view(np.uint64), *ints]] + [blobs[:at]])
+                    held.append([x[:at] for x in cols] + [blobs[:at]])
                 yield done()
-                held = [[x[at:] for x in [w.view(np.uint64), *ints]] + [blobs[at:]]]
-                n = len(w) - at
+                held, n = [[x[at:] for x in cols] + [blobs[at:]]], len(root) - at
             else:
-                held.append([w.view(np.uint64), *ints, blobs])
-                n += len(w)
-            word = w[-1]
+                held.append([*cols, blobs])
+                n += len(root)
+            last = (root[-1], i[-1], j[-1])
         if held:
             yield done()
 
-    found = sets.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "s1 long, s2 long, first_doc long, first_line long, n_links long")
+    found = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "s1 long, s2 long, first_doc long, first_line long, n_links long")
     found = found.groupBy("s1", "s2").agg(F.min(F.struct("first_doc", "first_line")).alias("p"), F.sum("n_links").alias("n_links"))
     return found.select("s1", "s2", F.col("p.first_doc").alias("first_doc"), F.col("p.first_line").alias("first_line"), "n_links")
 
 
-def fetch_sets(docs: DataFrame, lines: DataFrame, codes, s: float = SIMILARITY) -> DataFrame:
-    """The sets of ``lines(s1, s2, doc, text_hash, line)``, a row per prefix word."""
-    wanted = lines.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("lines")).withColumnRenamed("text_hash", "of_hash")
-    joined = docs.join(wanted, (docs["doc_id"] == wanted["doc"]) & (docs["text_hash"] == wanted["of_hash"])).select("doc", "lines", "text")
+def fetch_sets(docs: DataFrame, lines: DataFrame, codes) -> DataFrame:
+    """The sets of ``lines(root, doc, text_hash, line)``."""
+    wanted = lines.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("line", "root"))).alias("lines"))
+    wanted = wanted.select("doc", F.col("text_hash").alias("of_hash"), F.col("lines.line").alias("lines"), F.col("lines.root").alias("roots"))
+    # rows equal in doc_id and text hold the same lines: one of them answers
+    once = docs.join(wanted, (docs["doc_id"] == wanted["doc"]) & (docs["text_hash"] == wanted["of_hash"])).select("doc", "lines", "roots", "text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column("doc").to_numpy()
-                for sets in line_sets(part.column("text"), codes.value, part.column("lines").to_pylist()):
-                    of, pos = _prefix(sets, s)
+                lists, roots = part.column("lines").to_pylist(), part.column("roots").to_pylist()
+                known = {(d, x): r for d, (xs, rs) in enumerate(zip(lists, roots, strict=True)) for x, r in zip(xs, rs, strict=True)}
+                for sets in line_sets(part.column("text"), codes.value, lists):
                     raw = sets.key.tobytes()
                     blobs = [raw[8 * a : 8 * b] for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sets.key[sets.first[of] + pos].view(np.int64)), pa.array(sets.s1[of].view(np.int64)), pa.array(sets.s2[of].view(np.int64)), pa.array(ids[sets.doc[of]]), pa.array(sets.line[of].astype(np.int32)), pa.array(sets.n[of].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array([blobs[i] for i in of.tolist()], pa.binary())],
-                        ["word", "s1", "s2", "doc", "line", "n", "pos", "data"],
-                    )
+                    root = [known[x] for x in zip(sets.doc.tolist(), sets.line.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(sets.s1.view(np.int64)), pa.array(sets.s2.view(np.int64)), pa.array(ids[sets.doc]), pa.array(sets.line.astype(np.int32)), pa.array(blobs, pa.binary())], ["root", "s1", "s2", "doc", "line", "data"])
 
-    return joined.mapInArrow(run, "word long, s1 long, s2 long, doc long, line int, n int, pos int, data binary")
+    return once.mapInArrow(run, _SET)
 
 
 # --- removal --------------------------------------------------------------------------------
@@ -416,11 +458,13 @@ def fetch_sets(docs: DataFrame, lines: DataFrame, codes, s: float = SIMILARITY)
 def later_lines(docs: DataFrame, s: float = SIMILARITY, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
     """(lines to remove: doc, text_hash, line) and (links: s1, s2, doc, line, n_links of the first line of each set with matches)."""
     codes = docs.sparkSession.sparkContext.broadcast(rarity(docs, counters))
-    rows = written(screen(docs, codes, s), "lines")
+    rows = screen(docs, codes, s)
     classes = rows.filter(F.col("kind") == _CLASS).select("s1", "s2", "doc", "text_hash", "line")
-    flagged = rows.filter(F.col("kind") == _FLAG).select("s1").distinct()
-    possible = written(classes.join(flagged, "s1", "left_semi"), "possible")
-    found = written(matches(fetch_sets(docs, possible, codes, s), s), "matches")
+    edges = rows.filter(F.col("kind") == _EDGE).select(F.col("s1").alias("a"), F.col("s2").alias("b"))
+    roots = components(edges).withColumnRenamed("node", "s1")
+    possible = written(classes.join(roots, "s1"), "possible")
+    sets = written(fetch_sets(docs, possible, codes).dropDuplicates(["s1", "s2", "doc", "line"]), "sets")
+    found = written(matches(sets, s), "matches")
     linked = possible.join(found, ["s1", "s2"])
     earlier = (F.col("first_doc") < F.col("doc")) | (F.col("first_doc") == F.col("doc")) & (F.col("first_line") < F.col("line"))
     gone = rows.filter(F.col("kind") == _GONE).select("doc", "text_hash", "line").unionByName(linked.filter(earlier).select("doc", "text_hash", "line"))

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _KEY = "spark.checkpoint.dir"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -33,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+_GROUP_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -66,6 +72,17 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """Exchanges of what runs inside are removed when it ends."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -74,15 +91,50 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_written(df: DataFrame, make: Callable, schema: str, name: str) -> DataFrame:
+    """``df.mapInArrow(make, schema)`` as a table in the shared folder, written where it is made.
+
+    The rows do not go back to the JVM; each task writes one Parquet file and
+    hands on its name, and only named files are read, so what a failed attempt
+    leaves is never seen.  The driver gets a name a task.
+    """
+    spark = df.sparkSession
+    folder, types = new_dir(spark, name), T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(types)
+
+    def run(batches):
+        file = writer = None
+        held, size = [], 0
+        for made in make(batches):
+            if made.num_rows:
+                held.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made.columns, arrow, strict=True)], schema=arrow))
+                size += made.nbytes
+            if size >= _GROUP_BYTES:
+                file, writer = _append(file, writer, held)
+                held, size = [], 0
+        if held:
+            file, writer = _append(file, writer, held)
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([file.close()])], ["path"])
+
+    def _append(file, writer, held):
+        if writer is None:
+            file = SharedFile(folder, "part", ".parquet")
+            writer = pq.ParquetWriter(file.stream, arrow, compression="zstd")
+        writer.write_table(pa.Table.from_batches(held, arrow))
+        return file, writer
+
+    with _cleaned(spark):
+        paths = [r[0] for r in df.mapInArrow(run, "path string").collect()]
+    return spark.read.schema(types).parquet(*paths) if paths else spark.createDataFrame([], types)
+
+
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
@@ -105,17 +157,17 @@ class SharedFile:
         leaf = f"{stem}-{uuid.uuid4().hex}{suffix}"
         self.path = f"{folder}/{leaf}"
         self._final, self._draft = f"{root}/{leaf}", f"{root}/.{leaf}.draft"
-        self._out = self.fs.open_output_stream(self._draft)
+        self.stream = self.fs.open_output_stream(self._draft)
         self.size = 0
 
     def write(self, data: bytes) -> int:
         at = self.size
-        self._out.write(data)
+        self.stream.write(data)
         self.size += len(data)
         return at
 
     def close(self) -> str:
-        self._out.close()
+        self.stream.close()
         self.fs.move(self._draft, self._final)
         return self.path
 
