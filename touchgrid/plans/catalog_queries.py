@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, labels as L, models as M
 from ..operators import camera, detections as D, evaluation, events, identity, kinematics, possession, roles, space, summary, threat
+from ..streaming import live
 from .views import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,3 +514,26 @@ def processed_table(pos, smooth):
 @query("pos")
 def position_rollup(pos):
     return summary.rollup(pos).select("match_id", "side", "track_id", "n", r("x_m", 4, "x_m"))
+
+
+# --- streams ---
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows over the event table, read as a stream."""
+    out = live.event_windows(spark, f"{sf_dir}/events.parquet")
+    return out.select(F.unix_timestamp("window_start").alias("start_s"), "event_type", "n", "total")
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match events of a possession stream, by the same steps as the batch fold."""
+    poss = view(spark, sf_dir, "poss")
+    at = live.folder(spark, "possession")
+    poss.repartitionByRange(8, "frame_idx").write.parquet(at)
+    stream = spark.readStream.schema(poss.schema).option("maxFilesPerTrigger", 4).parquet(at)
+    last = poss.agg(F.max("frame_idx")).first()[0]
+    out = live.drained(live.live_events(stream, lag=10**9, last_frame=last if last is None else last - 2), "events")
+    return out.select(*_EVENT, r("timestamp_s", 2, "timestamp_s"), r("speed_kmh", 3, "speed_kmh"), r("distance_m", 3, "distance_m"))
+
+
+QUERIES |= {f.__name__: f for f in (stream_windows, stream_events)}

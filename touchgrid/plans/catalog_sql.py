@@ -194,4 +194,6 @@ SQL = {
     "quality_report": "select match_id, count(*) as n, round(avg(brightness), 4) as brightness, round(stddev_pop(brightness), 4) as brightness_std, round(avg(blur), 4) as blur, round(count(*) filter (blur < 100) / count(*) * 100.0, 4) as blurry_pct, round(avg(grass_pct), 4) as grass_pct, round(avg(turf_h), 4) as turf_h, round(avg(turf_s), 4) as turf_s, round(avg(turf_v), 4) as turf_v, 1 + case when avg(brightness) < 80 or avg(brightness) > 180 then 1 else 0 end + case when count(*) filter (blur < 100) / count(*) * 100.0 > 15 then 1 else 0 end as n_advice from v_frames group by all",
     "run_stats": "with f as (select match_id, frame_idx, count(*) filter (class_id <> 32) as p, max(case when class_id = 32 then 1 else 0 end) as b from v_box group by all), a as (select match_id, count(*) as frames, avg(p) as ap, avg(b) as br from f group by all), t as (select match_id, count(distinct track_id) as n_tracks from v_box where track_id >= 0 group by all) select match_id, frames, round(ap, 5) as avg_players, round(br, 5) as ball_rate, coalesce(n_tracks, 0) as n_tracks from a left join t using (match_id)",
     "position_rollup": f"with s as (select *, {_SIDE} as side from v_pos) select match_id, side, track_id, count(*) as n, round(avg(x_m), 4) as x_m from s group by rollup (match_id, side, track_id)",
+    "stream_windows": "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as start_s, event_type, count(*) as n, round(sum(value), 3) as total from events group by all",
+    "stream_events": _MATCH_EVENTS,
 }

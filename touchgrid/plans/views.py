@@ -46,7 +46,7 @@ VIEWS = {
         select l_orderkey % 3 as match_id, l_orderkey as frame_idx, ((l_partkey * 29) % 10500) / 1e2 as x_m, ((l_suppkey * 31 + l_linenumber * 400) % 6800) / 1e2 as y_m
         from {lineitem}""",
     "box": """
-        select l_orderkey % 3 as match_id, l_orderkey as frame_idx, l_linenumber + 10 * l_partkey as det_idx, (l_partkey % 2000) - 50e0 as x1, (l_suppkey % 1100) - 20e0 as y1,
+        select l_orderkey % 3 as match_id, l_orderkey as frame_idx, l_linenumber + 10 * (l_partkey * 1000 + l_suppkey % 1000) as det_idx, (l_partkey % 2000) - 50e0 as x1, (l_suppkey % 1100) - 20e0 as y1,
                (l_partkey % 2000) - 30e0 + l_quantity as x2, (l_suppkey % 1100) + 20e0 + 2 * l_quantity as y2, l_discount * 10 as conf,
                case when l_linenumber = 1 then 32 else 0 end as class_id, case when l_linenumber = 1 then -1 else l_suppkey % 30 end as track_id
         from {lineitem}""",
