@@ -15,7 +15,7 @@ it also starts in a document with a smaller doc_id.
    hold, word for word, are compiled to an Aho-Corasick automaton over word
    numbers, a shard at a time, and all segments stream through it, which gives
    every occurrence with the first document of its words.  An anchor with more
-   than ``HOT`` segments is dealt anew by whole windows.
+   than ``HOT`` occurrences is dealt anew by whole windows.
 4. Occurrences in later documents are joined to these and removed.
 
 Nulls: a null text has no words.  A null doc_id is neither smaller nor larger
@@ -37,16 +37,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .flat import NOT_SPACE, flat, grams, slices, sliding_min, spaced, words
-from .shared import written
+from .flat import NOT_SPACE, SLICE_BYTES, flat, grams, slices, sliding_min, spaced, words
+from .shared import map_written
 
 WINDOW = 13
-GRAM = 6
-HOT = 50_000
+GRAM = 5
+HOT = 20_000
 _UNIT = 1 << 19  # anchors that a task combines at once
 _SHARD_WORDS = 200_000  # of segments that one automaton is compiled from and run over
 _KNOWN = np.uint32(0xFFFFFFFF)
 _FEW_ROWS = 1 << 15
+_NO_STARTS = np.zeros(0, np.int32)
 
 
 def _anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -177,22 +178,43 @@ def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
 
 def segments(docs: DataFrame, found: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, text_hash, at, k1, k2, anchor, text): runs of windows with one recurring anchor; ``at``: the run's first word."""
-    found = found.groupBy("doc").agg(F.collect_list("data").alias("data"))
-    joined = docs.join(found, docs["doc_id"] == found["doc"]).select("doc", F.xxhash64("text").alias("text_hash"), "data", "text")
+    """(doc, text_hash, at, k1, k2, anchor, text): runs of windows with one recurring anchor; ``at``: the run's first word.
+
+    Documents and their anchors take one exchange and are sorted together, so a
+    document's anchors come just before it and nothing is gathered in the JVM.
+    """
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("doc"), F.lit(1).alias("kind"), F.xxhash64("text").alias("text_hash"), "text", F.lit(None).cast("binary").alias("data"))
+    lists = found.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("text_hash"), F.lit(None).cast("string").alias("text"), "data")
+    joined = texts.unionByName(lists).repartition("doc").sortWithinPartitions("doc", "kind")
 
     def cut(batches):
+        doc, data = None, []
+        held, size = [], 0
+
+        def done():
+            ids, hashes, texts, lists = zip(*held, strict=True)
+            return _segments_of(pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string()), lists)
+
         for batch in batches:
-            for whole_part in slices(batch, "text"):
-                for lo in range(0, whole_part.num_rows, _FEW_ROWS):
-                    yield _segments_of(whole_part.slice(lo, _FEW_ROWS))
+            for d, kind, h, text, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if d != doc:
+                    doc, data = d, []
+                if kind == 0:
+                    data.append(blob)
+                elif data and text:
+                    held.append((d, h, text, data))
+                    size += len(text)
+                    if size >= SLICE_BYTES or len(held) >= _FEW_ROWS:
+                        yield done()
+                        held, size = [], 0
+        if held:
+            yield done()
 
-    def _segments_of(part):
-        buf, off = flat(part.column("text"))
+    def _segments_of(ids, hashes, column, lists):
+        buf, off = flat(column)
         w = words(buf, off, NOT_SPACE)
         low, whole, doc = _anchors(w.hash, window, gram), _whole(w.first, window), w.doc.astype(np.uint64)
         n = len(low)
-        lists = part.column("data").to_pylist()
         sizes = np.array([sum(len(x) for x in data) // 8 for data in lists], np.int64)
         known = np.frombuffer(b"".join(b"".join(data) for data in lists), np.uint64) | np.repeat(np.arange(len(lists), dtype=np.uint64), sizes) << np.uint64(48)
         known = np.sort(known)
@@ -209,10 +231,9 @@ def segments(docs: DataFrame, found: DataFrame, window: int = WINDOW, gram: int
         keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), np.int64).reshape(-1, 2)
         of = doc[start].astype(np.int64)
         inside = (start - w.first[of]).astype(np.int32)
-        pick = lambda c: part.column(c).to_numpy()[of]
-        return pa.RecordBatch.from_arrays([pa.array(pick("doc")), pa.array(pick("text_hash")), pa.array(inside), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(low[start].astype(np.int64)), pa.array(texts, pa.binary())], ["doc", "text_hash", "at", "k1", "k2", "anchor", "text"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), hashes.take(pa.array(of)), pa.array(inside), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(low[start].astype(np.int64)), pa.array(texts, pa.binary())], ["doc", "text_hash", "at", "k1", "k2", "anchor", "text"])
 
-    return joined.mapInArrow(cut, "doc long, text_hash long, at int, k1 long, k2 long, anchor long, text binary")
+    return map_written(joined, cut, "doc long, text_hash long, at int, k1 long, k2 long, anchor long, text binary", "segments")
 
 
 # --- 3. confirmation -----------------------------------------------------------------
@@ -262,8 +283,8 @@ def _run_automaton(rows: list[tuple], window: int):
 
 def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(k1, k2, offsets, firsts): the windows of each distinct segment that recur, and the first document of each."""
-    distinct = written(cut.groupBy("k1", "k2", "anchor", "text").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "segments-distinct")
-    crowded = distinct.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("crowded"))
+    distinct = cut.groupBy("k1", "k2", "anchor", "text").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    crowded = cut.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("crowded"))
     marked = distinct.join(crowded, "anchor", "left").select("anchor", "k1", "k2", "first", "last", "text", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = ["anchor", "k1", "k2", "base", "first", "last", "text"]
@@ -294,11 +315,11 @@ def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
         yield _verdicts(held)
 
     def _verdicts(held):
-        rows = list(_run_automaton(held, window))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], ["k1", "k2", "offsets", "firsts"])
+        rows = [(k1, k2, np.array(o, "<i4").tobytes(), np.array(f, "<i8").tobytes()) for k1, k2, o, f in _run_automaton(held, window)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["k1", "k2", "offsets", "firsts"])
 
     dealt = marked.mapInArrow(deal, "anchor long, k1 long, k2 long, base int, first long, last long, text binary")
-    return dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards, "k1 long, k2 long, offsets array<int>, firsts array<long>")
+    return map_written(dealt.repartition("anchor").sortWithinPartitions("anchor"), shards, "k1 long, k2 long, offsets binary, firsts binary", "repeats")
 
 
 # --- 4. removal ------------------------------------------------------------------------
@@ -307,39 +328,53 @@ def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each of ``docs(doc_id, text)``; with the kept text if asked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = written(segments(docs, recurring_anchors(docs, window, gram), window, gram), "segments")
-    verdicts = written(confirmed(cut, window, hot), "repeats")
-    both = cut.select("doc", "text_hash", "at", "k1", "k2").join(verdicts, ["k1", "k2"])
-    later = F.filter(F.arrays_zip("offsets", "firsts"), lambda x: x["firsts"] < F.col("doc"))
-    starts = both.select("doc", "text_hash", F.transform(later, lambda x: x["offsets"] + F.col("at")).alias("starts")).filter(F.size("starts") > 0)
-    starts = starts.groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts")).withColumnRenamed("text_hash", "of_hash")
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = keyed.join(starts, (keyed["doc_id"] == starts["doc"]) & (F.col("text_hash") == F.col("of_hash")), "left").select("doc_id", "text", "starts")
+    cut = segments(docs, recurring_anchors(docs, window, gram), window, gram)
+    verdicts = confirmed(cut, window, hot)
+    marks = cut.select("doc", "text_hash", "at", "k1", "k2").join(verdicts, ["k1", "k2"])
+    none = lambda t: F.lit(None).cast(t)
+    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.lit(1).alias("kind"), "text", none("int").alias("at"), none("binary").alias("offsets"), none("binary").alias("firsts"))
+    marks = marks.select("doc", "text_hash", F.lit(0).alias("kind"), none("string").alias("text"), "at", "offsets", "firsts")
+    joined = texts.unionByName(marks).repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "kind")
     kinds = [("doc_id", "long", pa.int64()), ("n_words", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("kept_sha256", "string", pa.string())] + [("kept", "string", pa.string())] * with_text
 
     def run(batches):
+        of, starts = None, []
+        held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                buf, off = flat(part.column("text"))
-                w = words(buf, off, NOT_SPACE)
-                lists = part.column("starts")
-                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-                at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.first[:-1], sizes)
-                edge = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, np.minimum(at + window, len(w.hash)), -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                total = np.concatenate(([0], np.cumsum(gone)))
-                data, begin, end = spaced(buf, w)
-                rows = []
-                for doc, a, b in zip(part.column("doc_id").to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                    removed = int(total[b] - total[a])
-                    if removed:
-                        keep = a + np.flatnonzero(~gone[a:b])
-                        kept = b" ".join([data[x:y] for x, y in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)])
-                    else:
-                        kept = data[int(begin[a]) : int(end[b - 1])] if b > a else b""
-                    rows.append((doc, b - a, removed, hashlib.sha256(kept).hexdigest()) + (kept.decode(),) * with_text)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(kinds)], [k[0] for k in kinds])
+            for doc, h, kind, text, at, offsets, firsts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (doc, h) != of:
+                    of, starts = (doc, h), []
+                if kind == 0:
+                    starts.append(at + np.frombuffer(offsets, "<i4")[np.frombuffer(firsts, "<i8") < doc])
+                    continue
+                held.append((doc, text or "", np.concatenate(starts) if starts else _NO_STARTS))
+                size += len(text or "")
+                if size >= SLICE_BYTES or len(held) >= _FEW_ROWS:
+                    yield _kept(held)
+                    held, size = [], 0
+        if held:
+            yield _kept(held)
+
+    def _kept(held):
+        ids, texts, starts = zip(*held, strict=True)
+        buf, off = flat(pa.array(texts, pa.string()))
+        w = words(buf, off, NOT_SPACE)
+        at = np.concatenate([s + f for s, f in zip(starts, w.first[:-1].tolist(), strict=True)]).astype(np.int64)
+        edge = np.zeros(len(w.hash) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        total = np.concatenate(([0], np.cumsum(gone)))
+        data, begin, end = spaced(buf, w)
+        rows = []
+        for doc, a, b in zip(ids, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            removed = int(total[b] - total[a])
+            if removed:
+                keep = a + np.flatnonzero(~gone[a:b])
+                kept = b" ".join([data[x:y] for x, y in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)])
+            else:
+                kept = data[int(begin[a]) : int(end[b - 1])] if b > a else b""
+            rows.append((doc, b - a, removed, hashlib.sha256(kept).hexdigest()) + (kept.decode(),) * with_text)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(kinds)], [k[0] for k in kinds])
 
     return joined.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in kinds))
