@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, lines, media, phrases, resample, secrets, simhash, token_store
+from . import bpe, decontaminate, html_text, lines, media, oracles, phrases, resample, secrets, simhash, token_store
 from .shared import small_batches
 
 
@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
