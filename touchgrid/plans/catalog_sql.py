@@ -109,6 +109,20 @@ _CONTROL = """
     cc as (select match_id, frame_idx, count(*) filter (da <= db) as n, count(da) as na, count(db) as nb from cell group by all),
     sh as (select match_id, frame_idx, case when na > 0 and nb > 0 then n / 7140.0 * 100 when na > 0 then 100 else 0 end as a from cc),
     control as (select match_id, frame_idx, round(a, 1) as a_pct, round(100 - a, 1) as b_pct from sh)"""
+_CANDIDATES = f"""{_NEAR},
+    t2 as (select match_id, frame_idx, max(case when rank = 1 then track_id end) as t1, max(case when rank = 1 then team_id end) as g1, max(case when rank = 1 then dist_m end) as d1,
+                  max(case when rank = 2 then team_id end) as g2, max(case when rank = 2 then dist_m end) as d2 from ranked where rank <= 2 group by all),
+    c as (select match_id, frame_idx, row_number() over (partition by match_id order by frame_idx) as k, case when d1 <= 1.8 then t1 end as who, case when d1 <= 1.8 then g1 end as whose, coalesce(d1, 999) as d,
+                 coalesce(d1 <= 1.8 and g1 <> g2 and d2 <= 1.8 + 0.4, false) as contested from v_ball left join t2 using (match_id, frame_idx))"""
+_ASSIGNED = f"""{_CANDIDATES},
+    st as (select distinct match_id, cast(0 as bigint) as k, cast(null as bigint) as frame_idx, cast(null as bigint) as holder, cast(null as bigint) as team, cast(null as bigint) as cand, cast(0 as bigint) as n, cast(0 as bigint) as turnovers, false as contested from c
+           union all
+           select match_id, k, frame_idx, case when take then who when who is null and d > 2.7 then null else holder end, case when take then whose when who is null and d > 2.7 then null else team end,
+                  case when who is null then null when who = holder then cand else who end, case when take then 0 else m end, turnovers + case when take and team is not null and whose is not null and whose <> team then 1 else 0 end, contested
+           from (select *, who is not null and who is distinct from holder and (d < 1.05 or m >= 2) as take
+                 from (select c.match_id, c.k, c.frame_idx, c.who, c.whose, c.d, c.contested, st.holder, st.team, st.cand, st.turnovers, case when c.who is null or c.who = st.holder then 0 when c.who = st.cand then st.n + 1 else 1 end as m
+                       from st join c on c.match_id = st.match_id and c.k = st.k + 1) x) y),
+    assigned as (select match_id, frame_idx, holder as holder_id, team as holder_team, contested, turnovers from st where k > 0)"""
 
 SQL = {
     "player_kinematics": f"with {_STEPS}, t as (select match_id, track_id, count(*) as n_points, count(*) filter (counted_m > 0) as n_steps, sum(counted_m) as distance_m, coalesce(max(counted_m / dt * 3.6) filter (counted_m > 0), 0) as top from s group by all) select match_id, track_id, n_points, n_steps, round(distance_m, 3) as distance_m, round(top, 3) as top_kmh, {_ACTIVITY.format(s='top')} as activity from t",
@@ -196,4 +210,15 @@ SQL = {
     "position_rollup": f"with s as (select *, {_SIDE} as side from v_pos) select match_id, side, track_id, count(*) as n, round(avg(x_m), 4) as x_m from s group by rollup (match_id, side, track_id)",
     "stream_windows": "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as start_s, event_type, count(*) as n, round(sum(value), 3) as total from events group by all",
     "stream_events": _MATCH_EVENTS,
+    "possession_assigned": f"with recursive {_ASSIGNED} select * from assigned",
+    "possession_summary": f"""with recursive {_ASSIGNED},
+        s as (select match_id, count(*) filter (not contested and holder_team = 0) as a, count(*) filter (not contested and holder_team = 1) as b, count(*) filter (contested) as c, count(*) as n, max(turnovers) as turnovers from assigned group by all),
+        h as (select match_id, holder_id, count(*) as frames, min(frame_idx) as since from assigned where holder_id is not null group by all),
+        t as (select match_id, arg_max(holder_id, frames * 1000000 - since) as top_carrier, max(frames) as top_frames from h group by all)
+        select match_id, case when a + b > 0 then round(a / (a + b) * 100.0, 1) else 50 end as a_pct, case when a + b > 0 then round(b / (a + b) * 100.0, 1) else 50 end as b_pct, round(c / n * 100.0, 1) as contested_pct, turnovers, top_carrier, top_frames from s left join t using (match_id)""",
+    "pitch_boundaries": """with recursive c as (select match_id, frame_idx, row_number() over (partition by match_id order by frame_idx) as k, case when frame_idx % 4 <> 0 then 100 + dx end as t, case when frame_idx % 4 <> 0 then 800 + dy end as b from v_motion),
+        r as (select match_id, k, frame_idx, t as top, b as bottom from c where k = 1
+              union all select c.match_id, c.k, c.frame_idx, case when c.t is null then r.top when r.top is null then c.t else 0.8e0 * r.top + 0.2e0 * c.t end, case when c.b is null then r.bottom when r.bottom is null then c.b else 0.8e0 * r.bottom + 0.2e0 * c.b end from r join c on c.match_id = r.match_id and c.k = r.k + 1)
+        select match_id, frame_idx, round(top, 4) as top, round(bottom, 4) as bottom from r""",
+    "telemetry_packets": "with f as (select match_id, frame_idx, count(*) as n from v_pos group by all) select match_id, max(frame_idx) as frame_idx, arg_max(n, frame_idx) as n_players from f group by all",
 }
