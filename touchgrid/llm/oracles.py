@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secrets
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
@@ -47,4 +49,34 @@ kept as (select rid, string_agg(line, chr(10) order by i) as text from l anti jo
 select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines, coalesce(g.n, 0) as n_removed, coalesce(cast(own.links as bigint), 0) as n_links, sha256(coalesce(kept.text, '')) as kept_sha256
 from d left join g using (rid) left join own using (rid) left join kept using (rid)"""
 
-SQL = {"op1_line_dedup": LINES, "op8_repeated_phrases": PHRASES, "op10_decontaminate": DECONTAMINATE}
+_PATTERNS = (secrets.ASSIGN.replace("'", "''"), secrets.ACCESS, secrets.HEX, "[A-Za-z0-9+/=_.-]+", secrets.ENDPOINT.replace("'", "''"))
+
+
+def _spans(name: str, kind: int, source: str) -> str:
+    """(rid, s, kind, e, m): the matches of a pattern with their offsets; text between matches gives them."""
+    pattern = _PATTERNS[kind]
+    cut = f"select rid, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as ps from {source}"
+    one = "select rid, ms, ps, unnest(range(1, len(ms) + 1)) as i from " + f"({cut})"
+    at = "coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)"
+    return f"{name} as (select rid, cast(s as bigint) as s, {kind} as kind, cast(s + length(m) as bigint) as e, m from (select rid, {at} as s, ms[i] as m from ({one})))"
+
+
+_JOINED = "string_agg(['assign', 'access', 'hex', 'key', 'endpoint'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind)"
+_CLOSE = f"w.s between p.s - {secrets.SCOPE} and p.e + {secrets.SCOPE}"
+
+SECRETS = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+{_spans("m0", 0, "d")}, {_spans("m1", 1, "d")}, {_spans("m2", 2, "d")},
+base as (select * from m0 where length(regexp_extract(m, '{_PATTERNS[0]}', 2)) >= 6 union all select * from m1 union all select * from m2),
+near as (select * from d where rid in (select rid from m1)),
+{_spans("m3", 3, "near")}, {_spans("m4", 4, "near")},
+keys as (select * from m3 w where regexp_full_match(m, '[A-Za-z0-9+/]{{40}}') and exists (select 1 from m1 p where p.rid = w.rid and {_CLOSE})),
+parts as (select rid, s, e from keys union all select rid, s, e from base where kind = 0),
+ends as (select * from m4 w where exists (select 1 from m1 p where p.rid = w.rid and {_CLOSE}) and exists (select 1 from parts p where p.rid = w.rid and {_CLOSE})),
+linked as (select * from keys union all select * from ends),
+b as (select rid, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2, {_JOINED} as x from base group by rid),
+w as (select rid, count(*) filter (kind > 2) as n, {_JOINED} as x from (select * from base union all select * from linked) group by rid)
+select doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex, sha256(coalesce(b.x, '')) as base_sha256, coalesce(w.x, '') as spans, coalesce(w.n, 0) as n_linked
+from d left join b using (rid) left join w using (rid)"""
+
+SQL = {"op5_secret_scan": SECRETS, "op1_line_dedup": LINES, "op8_repeated_phrases": PHRASES, "op10_decontaminate": DECONTAMINATE}
