@@ -54,6 +54,9 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     turn = cost.shape[0] > cost.shape[1]
     c = cost.T if turn else cost
     n, m = c.shape
+    least = c.argmin(1)
+    if len(set(least.tolist())) == n:  # every row can have its cheapest column
+        return sorted((j, i) if turn else (i, j) for i, j in enumerate(least.tolist()))
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         owner[0], j0 = i, 0
@@ -138,22 +141,25 @@ class Tracker:
     def _meet(self, ids: list[int], boxes: np.ndarray, which: list[int], least: float) -> list[tuple[int, int]]:
         if not ids or not which:
             return []
-        ahead = np.array([self.tracks[t]["box"] + np.tile(self.tracks[t]["v"], 2) for t in ids])
+        v = np.array([self.tracks[t]["v"] for t in ids])
+        ahead = np.array([self.tracks[t]["box"] for t in ids]) + np.concatenate([v, v], 1)
         got = self._iou(ahead, boxes[which])
-        return [(ids[i], which[j]) for i, j in assignment(1.0 - got) if got[i, j] >= least]
+        rows, cols = np.flatnonzero(got.max(1) >= least), np.flatnonzero(got.max(0) >= least)  # the rest has no partner
+        return [(ids[rows[i]], which[cols[j]]) for i, j in assignment(1.0 - got[np.ix_(rows, cols)]) if got[rows[i], cols[j]] >= least]
 
     def frame(self, boxes: np.ndarray, conf: np.ndarray) -> list[int]:
         """Track ids of the boxes of the next frame (-1: too unsure to start a track)."""
         out = [-1] * len(boxes)
         sure, unsure = [i for i, c in enumerate(conf) if c >= self.high], [i for i, c in enumerate(conf) if self.low <= c < self.high]
-        pairs = self._meet(sorted(self.tracks), boxes, sure, self.iou)
-        left = [t for t in sorted(self.tracks) if t not in {p[0] for p in pairs}]
-        pairs += self._meet(left, boxes, unsure, self.second)
+        pairs = self._meet(list(self.tracks), boxes, sure, self.iou)
+        met = {p[0] for p in pairs}
+        pairs += self._meet([t for t in self.tracks if t not in met], boxes, unsure, self.second)
+        met = {p[0] for p in pairs}
         for t, i in pairs:
             out[i], old = t, self.tracks[t]["box"]
             centre = lambda b: (b[:2] + b[2:]) / 2
             self.tracks[t] = {"box": boxes[i], "v": centre(boxes[i]) - centre(old), "lost": 0}
-        for t in [t for t in self.tracks if t not in {p[0] for p in pairs}]:
+        for t in [t for t in self.tracks if t not in met]:
             self.tracks[t]["lost"] += 1
             if self.tracks[t]["lost"] > self.forget:
                 del self.tracks[t]
@@ -173,14 +179,15 @@ def associated(dets: DataFrame, cut_frames: DataFrame | None = None) -> DataFram
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_idx", "det_idx"], kind="stable")
-        tracker, ids = Tracker(), []
-        for _, g in pdf.groupby("frame_idx", sort=True):
-            if (g["cut"] == True).any():  # noqa: E712
+        tracker, ids = Tracker(), np.full(len(pdf), -1)
+        frame, people = pdf["frame_idx"].to_numpy(), (pdf["class_id"] != 32).to_numpy()
+        boxes, conf, cut = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["cut"].fillna(False).to_numpy(bool)
+        at = np.flatnonzero(np.concatenate(([True], frame[1:] != frame[:-1]))) if len(pdf) else []
+        for lo, hi in zip(at, [*at[1:], len(pdf)], strict=True):
+            if cut[lo:hi].any():
                 tracker.tracks.clear()
-            people = (g["class_id"] != 32).to_numpy()
-            got = np.full(len(g), -1)
-            got[people] = tracker.frame(g.loc[people, ["x1", "y1", "x2", "y2"]].to_numpy(float), g.loc[people, "conf"].to_numpy(float))
-            ids += got.tolist()
+            mine = lo + np.flatnonzero(people[lo:hi])
+            ids[mine] = tracker.frame(boxes[mine], conf[mine])
         return pdf[["match_id", "frame_idx", "det_idx"]].assign(track_id=ids)
 
     cols = ["match_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2", "conf", "cut"]
