@@ -69,6 +69,12 @@ def frames_per_player(poss: DataFrame) -> DataFrame:
     return per.groupBy("match_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("holder_id", "n")))).alias("frames"))
 
 
+def carrier_boxes(poss: DataFrame, dets: DataFrame) -> DataFrame:
+    """The box of the holder on each frame where it is tracked."""
+    held = poss.filter("holder_id is not null").select(*FRAME, F.col("holder_id").alias("track_id"))
+    return dets.join(held, [*FRAME, "track_id"])
+
+
 def ball_states(detections: DataFrame) -> DataFrame:
     """Kalman-filtered ball of each frame of ``detections`` (frame_idx, cx, cy, mx, my, w, h, conf; null: not seen)."""
     schema = "match_id long, frame_idx long, cx double, cy double, x_m double, y_m double, speed_kmh double, w double, h double, interpolated boolean, conf double"

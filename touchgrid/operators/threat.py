@@ -80,6 +80,12 @@ def nodes(valued: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     return out.withColumns({"involvements": F.col("made") + F.col("received"), "role": M.node_role("x_m", "y_m")})
 
 
+def placed_links(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Links with the places of both ends; links to unknown nodes leave."""
+    place = lambda end: vertices.select(*TEAM, F.col("player_id").alias(f"{end}_id"), F.col("x_m").alias(f"{end}_x"), F.col("y_m").alias(f"{end}_y"))
+    return edges.join(place("passer"), [*TEAM, "passer_id"]).join(place("receiver"), [*TEAM, "receiver_id"])
+
+
 def node_radius(n="involvements"):
     return F.least(F.greatest(10 + (0.8 * F.col(n)).cast("int"), F.lit(10)), F.lit(22))
 

@@ -268,6 +268,17 @@ def possession_frames(poss):
     return per.select("match_id", F.explode("frames").alias("holder_id", "n"))
 
 
+@query("ball", "pos")
+def carrier_places(ball, pos):
+    out = possession.carrier_boxes(possession.assign(possession.candidates(ball, pos)), pos)
+    return out.select("match_id", "frame_idx", "track_id", "det_idx", "x_m", "y_m")
+
+
+@query("pos")
+def kit_clusters(pos):
+    return roles.kit_clusters(pos.select("match_id", "track_id", F.col("hue").cast("double").alias("r"), F.col("sat").cast("double").alias("g"), F.col("val").cast("double").alias("b"))).select("match_id", "track_id", "n")
+
+
 @query("ball")
 def ball_states(ball):
     seen = F.col("frame_idx") % 6 < 4
@@ -353,6 +364,13 @@ def network_summaries(p, pos):
     return out.select("match_id", "team_id", "n_nodes", "n_links", r("density", 5, "density"), r("avg_length_m", 3, "avg_length_m"), "leader", "top_passer", "top_receiver", "top_count")
 
 
+@query("pass", "pos")
+def placed_links(p, pos):
+    valued, v = _placed(p, pos)
+    out = threat.placed_links(threat.links(valued), v)
+    return out.select("match_id", "team_id", "passer_id", "receiver_id", "n", *(r(c, 3, c) for c in ("passer_x", "passer_y", "receiver_x", "receiver_y")))
+
+
 @query("pass", "pos")
 def team_formations(p, pos):
     return threat.formations(_placed(p, pos)[1])

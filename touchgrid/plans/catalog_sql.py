@@ -221,4 +221,7 @@ SQL = {
               union all select c.match_id, c.k, c.frame_idx, case when c.t is null then r.top when r.top is null then c.t else 0.8e0 * r.top + 0.2e0 * c.t end, case when c.b is null then r.bottom when r.bottom is null then c.b else 0.8e0 * r.bottom + 0.2e0 * c.b end from r join c on c.match_id = r.match_id and c.k = r.k + 1)
         select match_id, frame_idx, round(top, 4) as top, round(bottom, 4) as bottom from r""",
     "telemetry_packets": "with f as (select match_id, frame_idx, count(*) as n from v_pos group by all) select match_id, max(frame_idx) as frame_idx, arg_max(n, frame_idx) as n_players from f group by all",
+    "placed_links": f"with {_VALUED}, {_LINKS}, {_NODES_PLACED} select l.match_id, l.team_id, l.passer_id, l.receiver_id, l.n, round(a.x_m, 3) as passer_x, round(a.y_m, 3) as passer_y, round(b.x_m, 3) as receiver_x, round(b.y_m, 3) as receiver_y from links l join nodes a on a.match_id = l.match_id and a.team_id = l.team_id and a.player_id = l.passer_id join nodes b on b.match_id = l.match_id and b.team_id = l.team_id and b.player_id = l.receiver_id",
+    "carrier_places": f"with recursive {_ASSIGNED} select p.match_id, p.frame_idx, p.track_id, p.det_idx, p.x_m, p.y_m from assigned a join v_pos p on p.match_id = a.match_id and p.frame_idx = a.frame_idx and p.track_id = a.holder_id",
+    "kit_clusters": "select match_id, track_id, count(*) as n from v_pos group by all",
 }
