@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .flat import NOT_SPACE, SLICE_BYTES, flat, grams, slices, sliding_min, spaced, words
-from .shared import map_written
+from .shared import map_written, release
 
 WINDOW = 13
 GRAM = 5
 HOT = 20_000
 _UNIT = 1 << 19  # anchors that a task combines at once
-_SHARD_WORDS = 200_000  # of segments that one automaton is compiled from and run over
+_SHARD_WORDS = 50_000  # of segments that one automaton is compiled from and run over
 _KNOWN = np.uint32(0xFFFFFFFF)
 _FEW_ROWS = 1 << 15
 _NO_STARTS = np.zeros(0, np.int32)
@@ -138,6 +138,8 @@ def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
                     held, n = [], 0
         if held:
             yield from combine(held)
+        held.clear()
+        release()
 
     def meet(batches):
         part, held = None, []
@@ -165,6 +167,8 @@ def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
                 held.append(_unpack(data))
             yield _found(out)
         yield _found(recurring())
+        held.clear()
+        release()
 
     def _found(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc", "data"])

@@ -6,10 +6,11 @@ laptop) is a local folder made and set for the session.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -96,6 +97,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Hands a worker's free memory back: workers live on, and the next stage may need little."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_written(df: DataFrame, make: Callable, schema: str, name: str) -> DataFrame:
     """``df.mapInArrow(make, schema)`` as a table in the shared folder, written where it is made.
 
@@ -119,9 +127,11 @@ def map_written(df: DataFrame, make: Callable, schema: str, name: str) -> DataFr
                 held, size = [], 0
         if held:
             file, writer = _append(file, writer, held)
+        held.clear()
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([file.close()])], ["path"])
+        release()
 
     def _append(file, writer, held):
         if writer is None:
