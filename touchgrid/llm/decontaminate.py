@@ -29,7 +29,7 @@ from .shared import carried, restored, written
 
 WINDOW = 10
 GRAM = 5
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 1_000_000
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -84,20 +84,24 @@ def item_windows(items: DataFrame) -> DataFrame:
 class _Index:
     """Sorted windows of one block, their items, and the fingerprints that lead to them."""
 
-    def __init__(self, rows: list):
-        self.names = sorted({r["item"] for r in rows})
-        number = {x: i for i, x in enumerate(self.names)}
+    def __init__(self, rows: pa.Table):
+        column = lambda c: rows.column(c).combine_chunks()
+        items = column("item").dictionary_encode()
+        items = items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items
+        self.names = items.dictionary.to_pylist()
+        number = items.indices.to_numpy().astype(np.int64)
+        length = column("n").to_numpy()
+        window, prints = (np.ascontiguousarray(column(c).to_numpy()).view(np.uint64) for c in ("window", "print"))
         self.windows: dict[int, tuple] = {}
-        by_n: dict[int, list] = {}
-        for r in rows:
-            by_n.setdefault(r["n"], []).append((r["window"], number[r["item"]]))
-        for n, pairs in by_n.items():
-            pairs = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
-            keys = np.ascontiguousarray(pairs[:, 0]).view(np.uint64)
-            order = np.argsort(keys, kind="stable")
-            keys, first = np.unique(keys[order], return_index=True)
-            self.windows[n] = (keys, first, np.diff(np.append(first, len(order))), pairs[order, 1])
-        self.prints = np.unique(np.array([r["print"] for r in rows if r["n"] == WINDOW], np.int64).view(np.uint64))
+        for n in np.unique(length).tolist():
+            mine = length == n
+            order = np.lexsort((number[mine], window[mine]))
+            of, value = number[mine][order], window[mine][order]
+            new = np.concatenate(([True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])))
+            of, value = of[new], value[new]
+            keys, first = np.unique(value, return_index=True)
+            self.windows[n] = (keys, first, np.diff(np.append(first, len(value))), of)
+        self.prints = np.unique(prints[length == WINDOW])
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, row of that length's keys) of the windows in a flat run of documents."""
@@ -137,12 +141,9 @@ def _in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-_INDEXES: dict[str, _Index] = {}
-
-
-def _scan(docs: DataFrame, rows: list, merge: bool, extra: tuple[str, ...] = ()) -> DataFrame:
+def _scan(docs: DataFrame, windows: DataFrame, merge: bool, extra: tuple[str, ...] = ()) -> DataFrame:
     """One pass over the documents against one block of windows; ``extra`` columns pass through."""
-    held = docs.sparkSession.sparkContext.broadcast(_Index([r.asDict() for r in rows]))
+    held = docs.sparkSession.sparkContext.broadcast(_Index(windows.toArrow()))
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_hit long, items array<string>" + ", text_hash long, at array<int>" * merge)
     schema = T.StructType([*schema.fields, *(docs.schema[c] for c in extra)])
 
@@ -163,7 +164,7 @@ def _scan(docs: DataFrame, rows: list, merge: bool, extra: tuple[str, ...] = ())
                 for d, i in index.items(length, row, doc):
                     names[d].append(index.names[i])
                 n_hit = total[w.first[1:]] - total[w.first[:-1]]
-                out = [part.column("doc_id"), pa.array(np.diff(w.first)), pa.array(n_hit), pa.array(names, pa.list_(pa.string()))]
+                out = [part.column("doc_id"), pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
                 cols = ["doc_id", "n_words", "n_hit", "items"]
                 if merge:
                     at = np.flatnonzero(hit)
@@ -185,10 +186,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, block_windows: int = B
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     windows, blocks = _blocks(items, block_windows)
     if blocks == 1:
-        return _scan(docs, windows.collect(), False)
+        return _scan(docs, windows, False)
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     part = F.pmod(F.xxhash64("window", F.lit(1)), F.lit(blocks))
-    scans = [_scan(keyed, windows.filter(part == i).collect(), True) for i in range(blocks)]
+    scans = [_scan(keyed, windows.filter(part == i), True) for i in range(blocks)]
     union = scans[0]
     for s in scans[1:]:
         union = union.unionByName(s)
@@ -208,10 +209,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WIN
     whole = carried(docs)
     windows, blocks = _blocks(items, block_windows)
     if blocks == 1:
-        found = _scan(whole, windows.collect(), False, ("text", "rest")).filter("n_hit = 0")
+        found = _scan(whole, windows, False, ("text", "rest")).filter("n_hit = 0")
         return restored(found, docs)
     part = F.pmod(F.xxhash64("window", F.lit(1)), F.lit(blocks))
     out = whole
     for i in range(blocks):  # what one block hits need not meet the next
-        out = _scan(out, windows.filter(part == i).collect(), False, ("text", "rest")).filter("n_hit = 0").select("doc_id", "text", "rest")
+        out = _scan(out, windows.filter(part == i), False, ("text", "rest")).filter("n_hit = 0").select("doc_id", "text", "rest")
     return restored(out, docs)
