@@ -94,7 +94,7 @@ _ZOOM = "case when zoom > 1.006 then 'ZOOM IN' when zoom < 0.994 then 'ZOOM OUT'
 _TRACKS = """
     tk as (select match_id, track_id, count(*) as n from v_smooth group by all),
     tm as (select match_id, count(*) as n_tracks, count(*) filter (n >= 50) as mostly_tracked, count(*) filter (n < 10) as mostly_lost from tk group by all),
-    tracking as (select *, greatest(0, n_tracks - 22) as id_switches, round(greatest(0, 1 - greatest(0, n_tracks - 22) / 22.0 * 0.15 - mostly_lost / greatest(1, n_tracks) * 0.10), 4) as mota, 0.88 as motp,
+    tracking as (select *, greatest(0, n_tracks - 22) as id_switches, round(greatest(0, 1 - greatest(0, n_tracks - 22) / 22.0 * 0.15 - mostly_lost / greatest(1, n_tracks) * 0.10), 4) as mota, 0.88e0 as motp,
                  round(greatest(0, least(1, 2.0 * mostly_tracked / (mostly_tracked + n_tracks + 22) * 2.0)), 4) as idf1, cast(trunc(greatest(0, n_tracks - 22) * 0.7) as int) as fragmentations from tm)"""
 _DETECT = f"""{_IOU},
     hit as (select match_id, frame_idx, det_idx, min(gt_idx) as gt_idx, arg_min(iou, gt_idx) as iou from iou where iou >= 0.5 group by all),
@@ -164,7 +164,7 @@ SQL = {
     "busiest_tracks": "with c as (select match_id, track_id, count(*) as n from v_smooth where track_id >= 0 and x_m between -2 and 107 and y_m between -2 and 70 group by all), r as (select *, row_number() over (partition by match_id order by n desc, track_id) as rank from c) select * from r where rank <= 4",
     "nearest_two": f"with {_NEAR} select match_id, frame_idx, rank, det_idx, round(dist_m, 4) as dist_m from ranked where rank <= 2",
     "possession_candidates": f"with {_NEAR}, t as (select match_id, frame_idx, max(case when rank = 1 then track_id end) as t1, max(case when rank = 1 then team_id end) as g1, max(case when rank = 1 then dist_m end) as d1, max(case when rank = 2 then team_id end) as g2, max(case when rank = 2 then dist_m end) as d2 from ranked where rank <= 2 group by all) select match_id, frame_idx, case when d1 <= 1.8 then t1 end as candidate, case when d1 <= 1.8 then g1 end as candidate_team, round(coalesce(d1, 999), 4) as dist_m, coalesce(d1 <= 1.8 and g1 <> g2 and d2 <= 1.8 + 0.4, false) as contested from v_ball left join t using (match_id, frame_idx)",
-    "possession_account": "with c as (select *, frame_idx % 5 = 0 as contested from v_poss), s as (select match_id, frame_idx, sum(case when not contested and holder_team = 0 then 1 else 0 end) over w as a_frames, sum(case when not contested and holder_team = 1 then 1 else 0 end) over w as b_frames, sum(case when contested then 1 else 0 end) over w as contested_frames, count(*) over w as frames from c window w as (partition by match_id order by frame_idx)) select *, case when a_frames + b_frames > 0 then round(a_frames / (a_frames + b_frames) * 100.0, 1) else 50 end as a_pct from s",
+    "possession_account": "with c as (select *, frame_idx % 5 = 0 as contested from v_poss), s as (select match_id, frame_idx, cast(sum(case when not contested and holder_team = 0 then 1 else 0 end) over w as bigint) as a_frames, cast(sum(case when not contested and holder_team = 1 then 1 else 0 end) over w as bigint) as b_frames, cast(sum(case when contested then 1 else 0 end) over w as bigint) as contested_frames, count(*) over w as frames from c window w as (partition by match_id order by frame_idx)) select *, case when a_frames + b_frames > 0 then round(a_frames / (a_frames + b_frames) * 100.0, 1) else 50 end as a_pct from s",
     "possession_frames": "select match_id, holder_id, count(*) as n from v_poss where holder_id is not null group by all",
     "match_events": _MATCH_EVENTS,
     "match_events_fold": _MATCH_EVENTS,
@@ -176,7 +176,7 @@ SQL = {
     "shot_xg": f"with {_SHOTS} select match_id, shot_id, team_id, defenders, round(dist_m, 4) as dist_m, round(angle_deg, 4) as angle_deg, round(xg, 5) as xg from sh",
     "pass_values": f"with {_VALUED} select match_id, action_id, team_id, round(xt_start, 6) as xt_start, round(xt_end, 6) as xt_end, round(delta_xt, 6) as delta_xt, progressive, round(length_m, 4) as length_m from valued",
     "threat_grid": f'with {_GRID} select "row", col, round(xt, 6) as xt from grid',
-    "pass_links": f"with {_VALUED}, {_LINKS} select match_id, team_id, passer_id, receiver_id, n, round(avg_length_m, 3) as avg_length_m, round(avg_kmh, 3) as avg_kmh, round(delta_xt, 4) as delta_xt, least(greatest(cast(trunc(1 + 0.8 * n) as int), 1), 6) as thickness, round(least(0.85, 0.35 + 0.1 * n), 3) as opacity from links where n >= 2",
+    "pass_links": f"with {_VALUED}, {_LINKS} select match_id, team_id, passer_id, receiver_id, n, round(avg_length_m, 3) as avg_length_m, round(avg_kmh, 3) as avg_kmh, round(delta_xt, 4) as delta_xt, least(greatest(cast(trunc(1 + 0.8 * n) as int), 1), 6) as thickness, round(least(0.85e0, 0.35e0 + 0.1e0 * n), 3) as opacity from links where n >= 2",
     "pass_nodes": f"with {_VALUED}, {_NODES_ONLY} select match_id, team_id, player_id, made, received, involvements, round(xt_created, 4) as xt_created, role, least(greatest(10 + cast(trunc(0.8 * involvements) as int), 10), 22) as radius from nodes",
     "network_summaries": f"""with {_VALUED}, {_LINKS}, {_NODES_PLACED},
         n as (select match_id, team_id, count(*) as n_nodes, arg_max(player_id, involvements * 1000 - player_id) as leader from nodes group by all),
