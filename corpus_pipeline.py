@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
+"""Corpus pipeline: quality classifier, line dedup, near-dedup by word shingles, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  ``run`` writes the result of each
@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchgrid.llm import bpe, decontaminate, lines, resample, simhash
+from touchgrid.llm import bpe, decontaminate, lines, near_copies, resample
 from touchgrid.llm.shared import small_batches, written
 
 
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.keep_one(small_batches(docs))
+    """One document of each component of near copies: five-word shingles, Jaccard 0.8."""
+    return near_copies.keep_one(small_batches(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,15 +61,18 @@ def prefix_length(n: np.ndarray, s: float) -> np.ndarray:
 # --- 1. rarity -----------------------------------------------------------------------
 
 
-def rarity(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """A code per hashed word: its count up to 127, then the logarithm; fixed size."""
+def _word_hashes(column: pa.Array) -> np.ndarray:
+    return words(*flat(column), NOT_SPACE).hash
+
+
+def rarity(docs: DataFrame, counters: int = COUNTERS, hashes=_word_hashes) -> np.ndarray:
+    """A code per hashed word (or what else ``hashes`` gives of a column): its count up to 127, then the logarithm; fixed size."""
 
     def count(batches):
         table = np.zeros(counters, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                w = words(*flat(part.column("text")), NOT_SPACE)
-                table += np.bincount((w.hash % np.uint64(counters)).astype(np.int64), minlength=counters)
+                table += np.bincount((hashes(part.column("text")) % np.uint64(counters)).astype(np.int64), minlength=counters)
         parts = np.minimum(table, 0xFFFF).astype("<u2").reshape(-1, _CHUNK)
         yield _blobs([(i, p.tobytes()) for i, p in enumerate(parts) if p.any()])
 
@@ -137,6 +140,11 @@ def line_sets(column: pa.Array, codes: np.ndarray, wanted: list[list[int]] | Non
         mine = doc << 32 | line
         keep = pair[np.minimum(np.searchsorted(pair, mine), max(0, len(pair) - 1))] == mine if len(pair) else np.zeros(len(mine), bool)
         h, doc_of, line_of = h[keep], doc[keep], line[keep]
+    yield from ordered_sets(h, doc_of, line_of, codes)
+
+
+def ordered_sets(h: np.ndarray, doc_of: np.ndarray, line_of: np.ndarray, codes: np.ndarray):
+    """Sets of hashed words that are sorted by document and line, in pieces."""
     if not len(h):
         return
     new = np.concatenate(([True], (doc_of[1:] != doc_of[:-1]) | (line_of[1:] != line_of[:-1])))
@@ -255,8 +263,11 @@ def _candidates(x: np.ndarray, s: float) -> np.ndarray:
     return np.unique(np.stack([x["s1"][low[at]], x["s1"][at]], 1), axis=0)
 
 
-def screen(docs: DataFrame, codes, s: float = SIMILARITY) -> DataFrame:
-    """Rows of three kinds: edges between sets that may match, lines that go as repeats of a set, and the first line of each set."""
+def screen(docs: DataFrame, codes, s: float = SIMILARITY, make=line_sets) -> DataFrame:
+    """Rows of three kinds: edges between sets that may match, lines that go as repeats of a set, and the first line of each set.
+
+    ``make`` gives the sets of a column of texts.
+    """
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * n_parts
 
@@ -283,7 +294,7 @@ def screen(docs: DataFrame, codes, s: float = SIMILARITY) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, hashes = part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy()
-                for sets in line_sets(part.column("text"), codes.value):
+                for sets in make(part.column("text"), codes.value):
                     first = np.empty(len(sets.n), _FIRST)
                     first["s1"], first["s2"], first["line"] = sets.s1, sets.s2, sets.line
                     first["doc"], first["hash"] = ids[sets.doc], hashes[sets.doc]
@@ -430,7 +441,7 @@ def matches(sets: DataFrame, s: float = SIMILARITY, block: int = _BLOCK) -> Data
     return found.select("s1", "s2", F.col("p.first_doc").alias("first_doc"), F.col("p.first_line").alias("first_line"), "n_links")
 
 
-def fetch_sets(docs: DataFrame, lines: DataFrame, codes) -> DataFrame:
+def fetch_sets(docs: DataFrame, lines: DataFrame, codes, make=line_sets) -> DataFrame:
     """The sets of ``lines(root, doc, text_hash, line)``."""
     wanted = lines.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("line", "root"))).alias("lines"))
     wanted = wanted.select("doc", F.col("text_hash").alias("of_hash"), F.col("lines.line").alias("lines"), F.col("lines.root").alias("roots"))
@@ -443,7 +454,7 @@ def fetch_sets(docs: DataFrame, lines: DataFrame, codes) -> DataFrame:
                 ids = part.column("doc").to_numpy()
                 lists, roots = part.column("lines").to_pylist(), part.column("roots").to_pylist()
                 known = {(d, x): r for d, (xs, rs) in enumerate(zip(lists, roots, strict=True)) for x, r in zip(xs, rs, strict=True)}
-                for sets in line_sets(part.column("text"), codes.value, lists):
+                for sets in make(part.column("text"), codes.value, lists):
                     raw = sets.key.tobytes()
                     blobs = [raw[8 * a : 8 * b] for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True)]
                     root = [known[x] for x in zip(sets.doc.tolist(), sets.line.tolist(), strict=True)]
