@@ -27,7 +27,7 @@ SCOPE = 400
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-KEY = "(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
+KEY = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
 ENDPOINT = r"""(?:https?://[^\s"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"""
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 
