@@ -96,3 +96,10 @@ def test_density_levels(spark):
     df = spark.createDataFrame([(0, 1, 0, f, 52.0, 34.0) for f in range(5)], "match_id long, track_id long, role_id long, frame_idx long, x_m double, y_m double")
     got = S.density(S.heat_counts(df), step=20).agg(F.min("level"), F.max("level")).first()
     assert got[0] == 0 and got[1] == 255
+
+
+def test_heat_density_gives_the_whole_raster(spark, sf):
+    from touchgrid import catalog
+
+    got = catalog.queries()["heat_density"](spark, sf).groupBy("match_id", "team_id").agg(F.count("*").alias("n"), F.countDistinct("px", "py").alias("cells")).collect()
+    assert got and all(r["n"] == r["cells"] == 1050 * 680 for r in got)

@@ -156,8 +156,8 @@ def blur(grid: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return grid
 
 
-def density(counts: DataFrame, key: str = "track_id", step: int = 10, width: int = 1050, height: int = 680) -> DataFrame:
-    """Blurred heat of each key at every ``step``-th cell, 0 to 255 of the 98.5th percentile."""
+def density(counts: DataFrame, key: str = "track_id", step: int = 1, width: int = 1050, height: int = 680) -> DataFrame:
+    """Blurred heat of each key in every cell, 0 to 255 of the 98.5th percentile; a ``step`` over 1 thins the cells."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((height, width))

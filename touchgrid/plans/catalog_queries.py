@@ -225,7 +225,7 @@ def heat_counts(smooth):
 
 @query("pos")
 def heat_density(pos):
-    return space.density(space.heat_counts(pos, "team_id"), "team_id", step=50)
+    return space.density(space.heat_counts(pos, "team_id"), "team_id")
 
 
 @query("smooth")
