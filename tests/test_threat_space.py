@@ -103,3 +103,17 @@ def test_heat_density_gives_the_whole_raster(spark, sf):
 
     got = catalog.queries()["heat_density"](spark, sf).groupBy("match_id", "team_id").agg(F.count("*").alias("n"), F.countDistinct("px", "py").alias("cells")).collect()
     assert got and all(r["n"] == r["cells"] == 1050 * 680 for r in got)
+
+
+def test_every_track_is_a_node(spark, sf):
+    from touchgrid import catalog
+    from touchgrid.plans.views import view
+
+    seen = view(spark, sf, "pos").filter("track_id >= 0 and team_id in (0, 1)").select("match_id", "team_id", F.col("track_id").alias("p"))
+    passes = view(spark, sf, "pass").filter("passer_id >= 0 and receiver_id >= 0 and passer_id <> receiver_id")
+    for end in ("passer_id", "receiver_id"):
+        seen = seen.unionByName(passes.select("match_id", F.col("team_id").cast("long").alias("team_id"), F.col(end).alias("p")))
+    want = {(r["match_id"], r["team_id"]): r["n"] for r in seen.groupBy("match_id", "team_id").agg(F.countDistinct("p").alias("n")).collect()}
+    for name in ("network_summaries", "team_formations"):
+        got = {(r["match_id"], r["team_id"]): r["n_nodes"] for r in catalog.queries()[name](spark, sf).collect()}
+        assert got == want and max(got.values()) > 11, name

@@ -354,7 +354,7 @@ def pass_nodes(p):
 
 def _placed(p, pos):
     valued = threat.valued_passes(p)
-    return valued, threat.nodes(valued, pos.filter("track_id < 11"))
+    return valued, threat.nodes(valued, pos)
 
 
 @query("pass", "pos")
