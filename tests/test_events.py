@@ -83,6 +83,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, E.detect_fold(df).select(*cols).collect()))
 
 
+def test_stream_gives_the_events_of_a_match_that_ends_early(spark, tmp_path):
+    import datetime
+
+    from touchgrid import catalog
+
+    kinds, rng = ["click", "purchase", "signup"], random.Random(3)
+    rows = [(i, datetime.datetime(2024, 1, 1), rng.randrange(40), rng.choice(kinds), rng.random() * 100) for i in range(1500) if i % 3 != 2 or i < 900]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    cols = ["match_id", "event_id", "event_type", "frame_idx", "primary_id", "secondary_id"]
+    got, want = (sorted(map(tuple, catalog.queries()[q](spark, str(tmp_path)).select(*cols).collect())) for q in ("stream_events", "match_events"))
+    assert got == want and any(r[0] == 2 for r in got)
+
+
+def test_stream_flushes_only_when_all_rows_are_in(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from touchgrid.streaming import live
+
+    rng, at = random.Random(4), str(tmp_path / "in")
+    rows = [(0, f, rng.choice([None, 1, 2, 12, 13]), rng.randrange(2), rng.random() * 105, rng.random() * 68, rng.random() * 90) for f in range(120)]
+    names = "match_id long, frame_idx long, holder_id long, holder_team long, ball_x double, ball_y double, ball_kmh double"
+    df = spark.createDataFrame(rows, names)
+    counted = df.withColumn("n_rows", F.lit(len(rows)))
+    for lo in (80, 40, 0):  # the last frames come first
+        counted.filter(f"frame_idx >= {lo} and frame_idx < {lo + 40}").coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    got = live.drained(live.live_events(stream, lag=10**9, total="n_rows"), "test-late")
+    cols = ["event_id", "event_type", "frame_idx", "primary_id", "secondary_id"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, E.detect_fold(df).select(*cols).collect()))
+
+
 # --- possession ---
 
 POS = "match_id long, frame_idx long, det_idx long, track_id long, team_id long, x_m double, y_m double"

@@ -547,10 +547,11 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match events of a possession stream, by the same steps as the batch fold."""
     poss = view(spark, sf_dir, "poss")
     at = live.folder(spark, "possession")
-    poss.repartitionByRange(8, "frame_idx").write.parquet(at)
-    stream = spark.readStream.schema(poss.schema).option("maxFilesPerTrigger", 4).parquet(at)
-    last = poss.agg(F.max("frame_idx")).first()[0]
-    out = live.drained(live.live_events(stream, lag=10**9, last_frame=last if last is None else last - 2), "events")
+    sizes = poss.groupBy(F.col("match_id").alias("of_match")).agg(F.count("*").alias("n_rows"))
+    counted = poss.join(sizes, F.col("match_id").eqNullSafe(F.col("of_match"))).drop("of_match")
+    counted.repartitionByRange(8, "frame_idx").write.parquet(at)
+    stream = spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 4).parquet(at)
+    out = live.drained(live.live_events(stream, lag=10**9, total="n_rows"), "events")
     return out.select(*_EVENT, r("timestamp_s", 2, "timestamp_s"), r("speed_kmh", 3, "speed_kmh"), r("distance_m", 3, "distance_m"))
 
 

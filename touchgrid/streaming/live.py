@@ -25,22 +25,27 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str, lag: int = 25, last_frame: int | None = None) -> DataFrame:
+def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str, lag: int = 25, last_frame: int | None = None, total: str | None = None) -> DataFrame:
     """Runs ``step`` over the frames of each match in order.
 
     A row that comes after its frame was passed is dropped, as a watermark
-    would.  ``last_frame`` flushes the buffer once it is seen.
+    would.  ``last_frame`` flushes the buffer once it is seen; ``total`` names a
+    column with the number of rows of the match, and flushes once all are in,
+    in whatever order they come.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"state": start(), "rows": [], "done": -1}
+        held = json.loads(state.get[0]) if state.exists else {"state": start(), "rows": [], "done": -1, "seen": 0}
+        whole = False
         for pdf in frames:
             rows = json.loads(pdf.to_json(orient="records"))
+            held["seen"] += len(rows)
+            whole = whole or total is not None and bool(rows) and held["seen"] >= rows[0][total]
             held["rows"] += [r for r in rows if r["frame_idx"] > held["done"]]
         held["rows"].sort(key=lambda r: r["frame_idx"])
         newest = held["rows"][-1]["frame_idx"] if held["rows"] else held["done"]
-        limit = newest if last_frame is not None and newest >= last_frame else newest - lag
+        limit = newest if whole or last_frame is not None and newest >= last_frame else newest - lag
         out = []
         while held["rows"] and held["rows"][0]["frame_idx"] <= limit:
             row = held["rows"].pop(0)
