@@ -79,6 +79,22 @@ def test_media(docs, rows):
         assert r["n_bytes"] <= r["payload_bytes"] and len(r["feature"]) == 16
 
 
+def test_each_stored_copy_is_read_back(spark):
+    docs = spark.createDataFrame([(i, "the same payload") for i in range(40)], "doc_id long, text string").repartition(2)
+    manifest = media.store_media(docs).coalesce(1).sortWithinPartitions("shard")
+    rows = manifest.collect()
+    assert len({r["shard"] for r in rows}) == 2 and len({r["digest"] for r in rows}) == 1
+    last = rows[-1]
+    path = "/" + last["shard"].removeprefix("file:").lstrip("/")
+    with open(path, "r+b") as f:
+        f.seek(last["offset"] + last["length"] - 20)
+        byte = f.read(1)
+        f.seek(-1, 1)
+        f.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Exception, match="stored bytes differ"):
+        media.read_media(manifest).collect()
+
+
 def test_shards_are_tar_files(docs):
     r = media.store_media(docs).first()
     data = open_shared(r["shard"]).readall()

@@ -182,7 +182,7 @@ def header_metadata(manifest: DataFrame) -> DataFrame:
 
 
 def read_media(manifest: DataFrame) -> DataFrame:
-    """Read the stored members back; checks each against its address."""
+    """Read the stored members back, each once a task; checks each against its address."""
     kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string()}
     schema = _MANIFEST + ", width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
 
@@ -191,7 +191,7 @@ def read_media(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for digest, path, at, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
-                if (found := seen.get(digest)) is None:
+                if (found := seen.get((path, at, n, digest))) is None:
                     data = files.get(path).read_at(n, at)
                     if hashlib.sha256(data).hexdigest() != digest:
                         raise ValueError(f"stored bytes differ from their address: {path} at {at}")
@@ -199,7 +199,7 @@ def read_media(manifest: DataFrame) -> DataFrame:
                     found = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), media_features(np.frombuffer(payload, np.uint8)))
                     if len(seen) >= 20_000:
                         seen.clear()
-                    seen[digest] = found
+                    seen[path, at, n, digest] = found
                 rows.append(found)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values()))], [*batch.schema.names, *kinds])
 
