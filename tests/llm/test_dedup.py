@@ -39,12 +39,12 @@ def brute_lines(rows, s=0.8):
                     links[x] += 1
                     near[x] = min(first[y], near.get(x, first[y]))
     gone, linked = defaultdict(set), defaultdict(int)
-    counted = set()
+    counted = set()  # lines that tie for the first place all count
     for at, text, w in places:
         if at != first[w] or near.get(w, at) < at:
             gone[at[0], text].add(at[1])
-        if at == first[w] and w not in counted:
-            counted.add(w)
+        if at == first[w] and (w, text) not in counted:
+            counted.add((w, text))
             linked[at[0], text] += links[w]
     out = []
     for doc, text in rows:
@@ -65,12 +65,13 @@ def test_line_groups_over_a_block(spark):
     rows = [(i, " ".join(base[:28] + [f"u{i}", f"v{i}"])) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     keyed = lines._keyed(df).drop("rest")
-    codes = spark.sparkContext.broadcast(lines.rarity(keyed))
-    out = lines.screen(keyed, codes)
+    seeds = lines.new_seeds()
+    codes = spark.sparkContext.broadcast(lines.rarity(keyed, seeds))
+    out = lines.screen(keyed, codes, seeds)
     edges = out.filter("kind = 0").selectExpr("s1 as a", "s2 as b")
     roots = simhash.components(edges).withColumnRenamed("node", "s1")
     possible = out.filter("kind = 2").select("s1", "s2", "doc", "text_hash", "line").join(roots, "s1")
-    sets = lines.fetch_sets(keyed, possible, codes)
+    sets = lines.fetch_sets(keyed, possible)
     small, large = (sorted(map(tuple, lines.matches(sets, block=b).collect())) for b in (16, 2048))
     assert small == large and len(small) == 90 and {r[4] for r in small} == {89}
 

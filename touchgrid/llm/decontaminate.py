@@ -4,7 +4,8 @@ Words are runs of ASCII letters and digits (lower-cased) and non-ASCII
 characters.  On both sides every window of ``WINDOW - GRAM + 1`` word k-grams
 keeps its minimum hash, so two texts that share ``WINDOW`` words share a kept
 fingerprint.  Training and test fingerprints are joined, and each hit is
-extended to the whole windows around it, which must be windows of an item.
+extended to the whole windows around it, which must be windows of an item,
+word for word.
 An item of fewer words than a window is one window of its own length, looked up
 at every position.
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .flat import ALNUM, LOWER, Words, flat, grams, mix, ranges, slices, sliding_min, words
+from .flat import ALNUM, LOWER, Words, equal_spans, flat, grams, mix, ranges, slices, sliding_min, spaced, words
 from .shared import carried, restored, written
 
 WINDOW = 10
@@ -33,9 +34,18 @@ BLOCK_WINDOWS = 1_000_000
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def alnum_words(column: pa.Array) -> Words:
+def alnum_words(column: pa.Array) -> tuple[np.ndarray, Words]:
+    """(lower-cased bytes, words) of a column."""
     buf, off = flat(column)
-    return words(LOWER[buf], off, ALNUM)
+    buf = LOWER[buf]
+    return buf, words(buf, off, ALNUM)
+
+
+def window_texts(buf: np.ndarray, w: Words, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offset of each, size of each) of the windows of n words that begin at ``start``, a space between words."""
+    at = (start[:, None] + np.arange(n)).ravel()
+    data, begin, end = spaced(buf, Words(w.start[at], w.end[at], None, None))
+    return np.frombuffer(data, np.uint8), begin[::n], end[n - 1 :: n] - begin[::n]
 
 
 def winnowed(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -57,62 +67,65 @@ def gram_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(n, window, fingerprint, item): a row per window of an item and fingerprint in it; short items have none (null)."""
+    """(n, window, print, item, text): a row per distinct window of an item, with its fingerprint (0 for short items) and words."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                w = alnum_words(part.column("text"))
+                buf, w = alnum_words(part.column("text"))
                 ids = part.column("item").to_pylist()
-                n, window, prints, item = [], [], [], []
+                n, window, prints, item, texts = [], [], [], [], []
                 for d in range(part.num_rows):
-                    h = w.hash[w.first[d] : w.first[d + 1]]
-                    if 0 < len(h) < WINDOW:
-                        n.append(len(h)), window.append(grams(h, len(h))), prints.append(np.zeros(1, np.uint64)), item.append(ids[d])
-                    elif len(h):
-                        whole, gram = grams(h, WINDOW), grams(h, GRAM)
-                        low = sliding_min(gram, WINDOW - GRAM + 1)
-                        n += [WINDOW] * len(whole)
-                        window.append(whole), prints.append(low), item.extend([ids[d]] * len(whole))
+                    a, b = int(w.first[d]), int(w.first[d + 1])
+                    if a == b:
+                        continue
+                    h, k = w.hash[a:b], min(WINDOW, b - a)
+                    whole = grams(h, k)
+                    low = sliding_min(grams(h, GRAM), WINDOW - GRAM + 1) if k == WINDOW else np.zeros(1, np.uint64)
+                    data, at, size = window_texts(buf, w, a + np.arange(len(whole)), k)
+                    raw = data.tobytes()
+                    n += [k] * len(whole)
+                    window.append(whole), prints.append(low), item.extend([ids[d]] * len(whole))
+                    texts += [raw[x : x + y] for x, y in zip(at.tolist(), size.tolist(), strict=True)]
                 join = lambda x: pa.array((np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), join(window), join(prints), pa.array(item, pa.string())], ["n", "window", "print", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), join(window), join(prints), pa.array(item, pa.string()), pa.array(texts, pa.binary())], ["n", "window", "print", "item", "text"])
 
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    return named.mapInArrow(run, "n int, window long, print long, item string").distinct()
+    return named.mapInArrow(run, "n int, window long, print long, item string, text binary").distinct()
 
 
 class _Index:
-    """Sorted windows of one block, their items, and the fingerprints that lead to them."""
+    """Windows of one block, sorted by hash, with their words and items, and the fingerprints that lead to them."""
 
     def __init__(self, rows: pa.Table):
         column = lambda c: rows.column(c).combine_chunks()
-        items = column("item").dictionary_encode()
-        items = items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items
+        items, texts = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (column(c).dictionary_encode() for c in ("item", "text")))
         self.names = items.dictionary.to_pylist()
-        number = items.indices.to_numpy().astype(np.int64)
+        item, text = (x.indices.to_numpy().astype(np.int64) for x in (items, texts))
+        self.buf, off = flat(texts.dictionary)
         length = column("n").to_numpy()
         window, prints = (np.ascontiguousarray(column(c).to_numpy()).view(np.uint64) for c in ("window", "print"))
         self.windows: dict[int, tuple] = {}
         for n in np.unique(length).tolist():
             mine = length == n
-            order = np.lexsort((number[mine], window[mine]))
-            of, value = number[mine][order], window[mine][order]
-            new = np.concatenate(([True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])))
-            of, value = of[new], value[new]
-            keys, first = np.unique(value, return_index=True)
-            self.windows[n] = (keys, first, np.diff(np.append(first, len(value))), of)
+            order = np.lexsort((item[mine], text[mine], window[mine]))
+            of, words_, value = item[mine][order], text[mine][order], window[mine][order]
+            new = np.concatenate(([True], words_[1:] != words_[:-1]))  # equal words have equal hashes, so they are neighbours
+            first = np.flatnonzero(new)
+            at = words_[first]
+            self.windows[n] = (value[first], first, np.diff(np.append(first, len(value))), of, off[at], off[at + 1] - off[at])
         self.prints = np.unique(prints[length == WINDOW])
 
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, row of that length's keys) of the windows in a flat run of documents."""
+    def hits(self, buf: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, number of the window) of the windows in a flat run of documents, their words compared."""
         last = np.repeat(w.first[1:], np.diff(w.first))  # the end of the document of each word
         found = []
-        for n, (keys, _, _, _) in self.windows.items():
+        for n, (keys, _, _, _, at, size) in self.windows.items():
             if n == WINDOW:
                 gram = grams(w.hash, GRAM)
-                at = winnowed(gram, WINDOW - GRAM + 1)
-                at = at[_in(self.prints, gram[at])]
-                start = np.unique((at[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
+                place = winnowed(gram, WINDOW - GRAM + 1)
+                place = place[_in(self.prints, gram[place])]
+                start = np.unique((place[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
                 start = start[(start >= 0)]
                 start = start[start + n <= last[start]]
                 value = gram_at(w.hash, start, n)
@@ -121,14 +134,21 @@ class _Index:
                 start = np.arange(len(value))
                 keep = start + n <= last[: len(start)]
                 start, value = start[keep], value[keep]
-            ok = _in(keys, value)
-            found.append((start[ok], np.full(int(ok.sum()), n), np.searchsorted(keys, value[ok])))
+            low = np.searchsorted(keys, value)
+            many = np.searchsorted(keys, value, side="right") - low  # windows of one hash are compared one by one
+            start, row = np.repeat(start, many), ranges(low, many)
+            if len(start):
+                data, begin, length = window_texts(buf, w, start, n)
+                ok = length == size[row]
+                ok[ok] = equal_spans(data, begin[ok], length[ok], self.buf, at[row[ok]])
+                start, row = start[ok], row[ok]
+            found.append((start, np.full(len(start), n), row))
         return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
     def items(self, length: np.ndarray, row: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
         """Distinct (document, item number) of hits."""
         out = []
-        for n, (_, first, count, of) in self.windows.items():
+        for n, (_, first, count, of, _, _) in self.windows.items():
             mine = length == n
             r = row[mine]
             out.append(np.stack([np.repeat(doc[mine], count[r]), of[ranges(first[r], count[r])]], 1))
@@ -151,9 +171,9 @@ def _scan(docs: DataFrame, windows: DataFrame, merge: bool, extra: tuple[str, ..
         index = held.value
         for batch in batches:
             for part in slices(batch, "text"):
-                w = alnum_words(part.column("text"))
+                buf, w = alnum_words(part.column("text"))
                 n_docs = part.num_rows
-                start, length, row = index.hits(w)
+                start, length, row = index.hits(buf, w)
                 doc = np.searchsorted(w.first, start, side="right") - 1
                 edge = np.zeros(len(w.hash) + 1, np.int64)
                 np.add.at(edge, start, 1)

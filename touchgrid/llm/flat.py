@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20  # of text that is worked on at once; a longer text is a slice of its own
 _PIECE = 1 << 20  # of a slice whose words are hashed at once
-_BASE = 0x9E3779B97F4A7C15 | 5
+_NEAR = 64  # bytes of a span whose random numbers lie in a table
 
 
 def table(pattern_bytes) -> np.ndarray:
@@ -65,22 +65,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+_TABLES: dict[int, np.ndarray] = {}
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, _PIECE + 1)
-            step = np.full(n, _BASE, np.uint64)
-            step[0] = 1
-            self.up = np.cumprod(step, dtype=np.uint64)
-            step[1:] = pow(_BASE, -1, 1 << 64)
-            self.down = np.cumprod(step, dtype=np.uint64)
-        return self.up, self.down
 
-
-_POWERS = _Powers()
+def _numbers(seed: int) -> np.ndarray:
+    """A random number for each byte at each of the first places of a span."""
+    if seed not in _TABLES:
+        if len(_TABLES) >= 8:
+            _TABLES.clear()
+        _TABLES[seed] = mix(np.arange(_NEAR * 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return _TABLES[seed]
 
 
 class Words:
@@ -96,7 +90,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
+def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray, seed: int = 0) -> Words:
     """The words of each document.  Documents never share a word."""
     mark = inside[buf]
     cuts = off[1:-1]
@@ -108,26 +102,49 @@ def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
     end[:-1] &= ~mark[1:]
     end[cuts - 1] = mark[cuts - 1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return Words(start, end, span_hashes(buf, start, end), np.searchsorted(start, off))
+    return Words(start, end, span_hashes(buf, start, end, seed), np.searchsorted(start, off))
+
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (not empty, in order, apart): the sum of a random number for each byte and place.
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order and do not overlap."""
+    Two given spans get one hash with probability 2^-64 over the seeds; who
+    needs certainty compares the bytes (``equal_spans``).
+    """
     hashes = np.empty(len(start), np.uint64)
+    near = _numbers(seed)
     lo = 0
     while lo < len(start):  # pieces end between spans
-        base = start[lo]
-        hi = max(lo + 1, int(np.searchsorted(end, base + _PIECE, side="right")))
-        n = int(end[hi - 1] - base)
-        up, down = _POWERS.to(n + 1)
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf[base : base + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=run[1:])
-        s, e = start[lo:hi] - base, end[lo:hi] - base
-        hashes[lo:hi] = (run[e] - run[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + _PIECE, side="right")))
+        s, size = start[lo:hi], end[lo:hi] - start[lo:hi]
+        first = np.cumsum(size) - size
+        place = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
+        code = place << 8 | buf[place + np.repeat(s, size)]
+        if int(size.max()) <= _NEAR:
+            value = near[code]
+        else:
+            far = place >= _NEAR
+            value = near[np.where(far, 0, code)]
+            value[far] = mix(code[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        hashes[lo:hi] = np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         lo = hi
     return mix(hashes)
 
 
+def equal_spans(buf: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, other_start: np.ndarray) -> np.ndarray:
+    """Whether each span (not empty) of ``buf`` equals the bytes of ``other`` from the given start on."""
+    out = np.empty(len(start), bool)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PIECE, side="right")))
+        n = size[lo:hi]
+        same = buf[ranges(start[lo:hi], n)] == other[ranges(other_start[lo:hi], n)]
+        out[lo:hi] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        lo = hi
+    return out
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive words (of the flat array: mask those that cross documents)."""
     n = len(h) - k + 1

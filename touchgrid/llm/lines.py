@@ -11,30 +11,36 @@ earlier line matches it.
 2. Prefixes.  Of n words in order of rarity a match must share one of the first
    n - ceil(s n) + 1.  A task sends each distinct set once per prefix word, with
    its size and 128 parity bits of its words, and each class of equal sets once
-   with its first line; equal lines after that are known to go at once.
+   with its first line; equal lines after that are known to go at once.  Sets
+   are equal if 128 bits of two hashes, seeded anew in each run, are.
 3. Filters.  Sets that meet at a word pass by size, by position (how much can
    follow) and by parity: that differs in at most as many bits as the sets in
    words.  Stars connect what passes, never all pairs, and give groups.
 4. Verification.  The words of those sets are fetched, the sets of a group meet
-   (in pairs of blocks if they are many), and their exact Jaccard is computed.
+   (in pairs of blocks if they are many), and their exact Jaccard is computed on
+   the words themselves.
    A set gets back the first line among its matches and their number, so a
    group of n like lines yields n rows.
 
 Nulls: a null text has no lines; a null doc_id sorts before all others.  Lines
 without words match nothing and stay.  Lines at the same place of rows equal in
 doc_id tie and do not remove each other; rows equal in doc_id and text get
-equal results.  An empty table gives no row.
+equal results.  An empty text is one empty line.  A line or a text of any length
+is one set or a slice of its own and read whole.  An empty table gives no row.
+Other columns, whatever their names, travel in a struct and come back as they were.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .flat import NOT_SPACE, flat, mix, ranges, slices, words
+from .flat import NOT_SPACE, Words, flat, mix, ranges, slices, spaced, span_hashes, words
 from .shared import carried, map_written, restored, written
 from .simhash import components
 
@@ -43,7 +49,6 @@ COUNTERS = 1 << 22
 _CHUNK = 1 << 16
 _UNIT = 1 << 20  # entries that a task combines at once
 _LINES = 1 << 14  # lines that are sorted at once
-_HASH_BITS = 42
 _BLOCK = 2048
 _SMALL = 1024  # sets at one word up to which groups are compared side by side
 _NO_DOC = -(1 << 63)
@@ -61,18 +66,26 @@ def prefix_length(n: np.ndarray, s: float) -> np.ndarray:
 # --- 1. rarity -----------------------------------------------------------------------
 
 
-def _word_hashes(column: pa.Array) -> np.ndarray:
-    return words(*flat(column), NOT_SPACE).hash
+Seeds = tuple[int, int]
 
 
-def rarity(docs: DataFrame, counters: int = COUNTERS, hashes=_word_hashes) -> np.ndarray:
+def new_seeds() -> Seeds:
+    """Seeds of the two word hashes of a run; the results do not depend on them."""
+    return secrets.randbits(62), secrets.randbits(62)
+
+
+def _word_hashes(column: pa.Array, seeds: Seeds) -> np.ndarray:
+    return words(*flat(column), NOT_SPACE, seeds[0]).hash
+
+
+def rarity(docs: DataFrame, seeds: Seeds, counters: int = COUNTERS, hashes=_word_hashes) -> np.ndarray:
     """A code per hashed word (or what else ``hashes`` gives of a column): its count up to 127, then the logarithm; fixed size."""
 
     def count(batches):
         table = np.zeros(counters, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                table += np.bincount((hashes(part.column("text")) % np.uint64(counters)).astype(np.int64), minlength=counters)
+                table += np.bincount((hashes(part.column("text"), seeds) % np.uint64(counters)).astype(np.int64), minlength=counters)
         parts = np.minimum(table, 0xFFFF).astype("<u2").reshape(-1, _CHUNK)
         yield _blobs([(i, p.tobytes()) for i, p in enumerate(parts) if p.any()])
 
@@ -112,52 +125,58 @@ def _maps(h: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Lines as sorted sets of ordered words: line i has ``key[first[i]:first[i+1]]``."""
+    """Lines as sets of word hashes in order of rarity: line i has ``key[first[i]:first[i+1]]``; ``second``: the other hash of each word."""
 
-    __slots__ = ("doc", "first", "key", "line", "maps", "n", "s1", "s2")
+    __slots__ = ("code", "doc", "first", "key", "line", "maps", "n", "s1", "s2")
 
-    def __init__(self, key, first, doc, line):
-        self.key, self.first, self.doc, self.line = key, first, doc, line
+    def __init__(self, key, second, code, first, doc, line):
+        self.key, self.code, self.first, self.doc, self.line = key, code, first, doc, line
         self.n = np.diff(first)
-        h = mix(key)
         start = first[:-1]
-        fold = lambda f, x: f.reduceat(x, start) if len(start) else x[:0]
-        self.s1, self.s2 = fold(np.add, h), fold(np.add, mix(h ^ np.uint64(0xA5A5A5A5)))
+        fold = lambda x: np.add.reduceat(x, start) if len(start) else x[:0]
+        h = mix(key)
+        self.s1, self.s2 = fold(h), fold(mix(second))
         self.maps = _maps(h, start)
 
 
-def line_sets(column: pa.Array, codes: np.ndarray, wanted: list[list[int]] | None = None):
-    """The sets of the lines of each text that have words (only the ``wanted`` line numbers if given), in pieces."""
+def line_sets(column: pa.Array, codes: np.ndarray, seeds: Seeds):
+    """The sets of the lines of each text that have words, in pieces."""
     buf, off = flat(column)
-    w = words(buf, off, NOT_SPACE)
-    doc = w.doc
+    w = words(buf, off, NOT_SPACE, seeds[0])
+    yield from ordered_sets(w.hash, span_hashes(buf, w.start, w.end, seeds[1]), w.doc, line_numbers(buf, off, w), codes)
+
+
+def line_numbers(buf: np.ndarray, off: np.ndarray, w: Words) -> np.ndarray:
+    """The line of its document that each word is in."""
     breaks = np.flatnonzero(buf == 0x0A)
     seen = np.searchsorted(breaks, off[:-1])  # line ends before each document
-    line = np.searchsorted(breaks, w.start) - seen[doc]
-    h, doc_of, line_of = w.hash, doc, line
-    if wanted is not None:
-        pair = np.sort(np.array([d << 32 | x for d, xs in enumerate(wanted) for x in xs], np.int64))
-        mine = doc << 32 | line
-        keep = pair[np.minimum(np.searchsorted(pair, mine), max(0, len(pair) - 1))] == mine if len(pair) else np.zeros(len(mine), bool)
-        h, doc_of, line_of = h[keep], doc[keep], line[keep]
-    yield from ordered_sets(h, doc_of, line_of, codes)
+    return np.searchsorted(breaks, w.start) - seen[w.doc]
 
 
-def ordered_sets(h: np.ndarray, doc_of: np.ndarray, line_of: np.ndarray, codes: np.ndarray):
+def ordered_sets(h: np.ndarray, second: np.ndarray, doc_of: np.ndarray, line_of: np.ndarray, codes: np.ndarray):
     """Sets of hashed words that are sorted by document and line, in pieces."""
     if not len(h):
         return
     new = np.concatenate(([True], (doc_of[1:] != doc_of[:-1]) | (line_of[1:] != line_of[:-1])))
     number = np.cumsum(new) - 1
     at = np.flatnonzero(new)
-    order = codes[(h % np.uint64(len(codes))).astype(np.int64)].astype(np.uint64) << np.uint64(_HASH_BITS) | h >> np.uint64(64 - _HASH_BITS)
+    code = codes[(h % np.uint64(len(codes))).astype(np.int64)]
+    rank = code.astype(np.uint64) << np.uint64(42) | h >> np.uint64(22)
     for lo in range(0, len(at), _LINES):
         hi = min(lo + _LINES, len(at))
         a, b = at[lo], at[hi] if hi < len(at) else len(h)
-        key = np.sort((number[a:b] - lo).astype(np.uint64) << np.uint64(50) | order[a:b])
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        size = np.bincount((key >> np.uint64(50)).astype(np.int64), minlength=hi - lo)
-        yield Sets(key & np.uint64((1 << 50) - 1), np.concatenate(([0], np.cumsum(size))), doc_of[at[lo:hi]], line_of[at[lo:hi]])
+        key = (number[a:b] - lo).astype(np.uint64) << np.uint64(50) | rank[a:b]
+        order = np.argsort(key)
+        key, word = key[order], h[a:b][order]
+        same = key[1:] == key[:-1]
+        if (word[1:] != word[:-1])[same].any():  # the rest of the hash decides
+            order = np.lexsort((h[a:b], (number[a:b] - lo).astype(np.uint64) << np.uint64(50) | rank[a:b]))
+            key, word = ((number[a:b] - lo).astype(np.uint64) << np.uint64(50) | rank[a:b])[order], h[a:b][order]
+            same = key[1:] == key[:-1]
+        once = np.concatenate(([True], ~same | (word[1:] != word[:-1])))
+        order = order[once]
+        size = np.bincount((key[once] >> np.uint64(50)).astype(np.int64), minlength=hi - lo)
+        yield Sets(word[once], second[a:b][order], code[a:b][order], np.concatenate(([0], np.cumsum(size))), doc_of[at[lo:hi]], line_of[at[lo:hi]])
 
 
 def _prefix(sets: Sets, s: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +184,7 @@ def _prefix(sets: Sets, s: float) -> tuple[np.ndarray, np.ndarray]:
     length = prefix_length(sets.n, s)
     at = ranges(sets.first[:-1], length)
     of = np.repeat(np.arange(len(length)), length)
-    shared = sets.key[at] >> np.uint64(_HASH_BITS) > 1
+    shared = sets.code[at] > 1
     return of[shared], (at - sets.first[of])[shared]
 
 
@@ -187,12 +206,15 @@ def _sorted(x: np.ndarray, *by: str) -> np.ndarray:
 
 
 def _earliest(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the first line of each class, the other lines that are not at its place)."""
+    """(the lines at the first place of each class, once each; the other lines)."""
     x = _sorted(first, "s1", "s2", "doc", "line", "hash")
+    if not len(x):
+        return x, x
     head = np.concatenate(([True], (x["s1"][1:] != x["s1"][:-1]) | (x["s2"][1:] != x["s2"][:-1])))
     lead = np.maximum.accumulate(np.where(head, np.arange(len(x)), 0))
     tied = (x["doc"] == x["doc"][lead]) & (x["line"] == x["line"][lead])
-    return x[head], x[~tied]
+    again = np.concatenate(([False], ~head[1:] & (x["hash"][1:] == x["hash"][:-1])))
+    return x[tied & ~again], x[~tied]
 
 
 def _filters(n, pos, m0, m1, s: float):
@@ -263,8 +285,8 @@ def _candidates(x: np.ndarray, s: float) -> np.ndarray:
     return np.unique(np.stack([x["s1"][low[at]], x["s1"][at]], 1), axis=0)
 
 
-def screen(docs: DataFrame, codes, s: float = SIMILARITY, make=line_sets) -> DataFrame:
-    """Rows of three kinds: edges between sets that may match, lines that go as repeats of a set, and the first line of each set.
+def screen(docs: DataFrame, codes, seeds: Seeds, s: float = SIMILARITY, make=line_sets) -> DataFrame:
+    """Rows of three kinds: edges between sets that may match, lines that go as repeats of a set, and the lines at the first place of each set.
 
     ``make`` gives the sets of a column of texts.
     """
@@ -294,7 +316,7 @@ def screen(docs: DataFrame, codes, s: float = SIMILARITY, make=line_sets) -> Dat
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, hashes = part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy()
-                for sets in make(part.column("text"), codes.value):
+                for sets in make(part.column("text"), codes.value, seeds):
                     first = np.empty(len(sets.n), _FIRST)
                     first["s1"], first["s2"], first["line"] = sets.s1, sets.s2, sets.line
                     first["doc"], first["hash"] = ids[sets.doc], hashes[sets.doc]
@@ -410,8 +432,10 @@ def matches(sets: DataFrame, s: float = SIMILARITY, block: int = _BLOCK) -> Data
             root, i, j, side, s1, s2, doc, line = cols
             group = np.cumsum(np.concatenate(([True], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             distinct, place = np.unique(np.stack([doc, line], 1), axis=0, return_inverse=True)  # places as numbers, in order
-            size = np.array([len(d) for d in blobs], np.int64) // 8
-            best, degree = _verify(np.frombuffer(b"".join(blobs), np.uint64), size, group, side, i != j, place.ravel(), s)
+            number: dict[bytes, int] = {}
+            sets = [[number.setdefault(x, len(number)) for x in d.split(b" ")] for d in blobs]
+            size = np.array(list(map(len, sets)), np.int64)
+            best, degree = _verify(np.fromiter(chain.from_iterable(sets), np.uint64, int(size.sum())), size, group, side, i != j, place.ravel(), s)
             hit = best < np.iinfo(np.int64).max
             near = distinct[best[hit]]
             return pa.RecordBatch.from_arrays([pa.array(s1[hit]), pa.array(s2[hit]), pa.array(near[:, 0]), pa.array(near[:, 1]), pa.array(degree[hit])], ["s1", "s2", "first_doc", "first_line", "n_links"])
@@ -441,24 +465,37 @@ def matches(sets: DataFrame, s: float = SIMILARITY, block: int = _BLOCK) -> Data
     return found.select("s1", "s2", F.col("p.first_doc").alias("first_doc"), F.col("p.first_line").alias("first_line"), "n_links")
 
 
-def fetch_sets(docs: DataFrame, lines: DataFrame, codes, make=line_sets) -> DataFrame:
-    """The sets of ``lines(root, doc, text_hash, line)``."""
-    wanted = lines.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("line", "root"))).alias("lines"))
-    wanted = wanted.select("doc", F.col("text_hash").alias("of_hash"), F.col("lines.line").alias("lines"), F.col("lines.root").alias("roots"))
+def line_words(column: pa.Array, wanted: list[list[int]]):
+    """(document, line, words) of the ``wanted`` line numbers of each text: each word once, a space between."""
+    buf, off = flat(column)
+    w = words(buf, off, NOT_SPACE)
+    pair = np.sort(np.array([d << 32 | x for d, xs in enumerate(wanted) for x in xs], np.int64))
+    mine = w.doc << 32 | line_numbers(buf, off, w)
+    keep = np.flatnonzero(pair[np.minimum(np.searchsorted(pair, mine), len(pair) - 1)] == mine) if len(pair) else np.zeros(0, np.int64)
+    if not len(keep):
+        return
+    data, at, to = spaced(buf, Words(w.start[keep], w.end[keep], None, None))
+    mine = mine[keep]
+    cut = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+    for k, a, b in zip(mine[cut].tolist(), at[cut].tolist(), to[np.append(cut[1:], len(mine)) - 1].tolist(), strict=True):
+        yield k >> 32, k & 0xFFFFFFFF, b" ".join(dict.fromkeys(data[a:b].split(b" ")))
+
+
+def fetch_sets(docs: DataFrame, lines: DataFrame, read=line_words) -> DataFrame:
+    """The sets of ``lines(root, s1, s2, doc, text_hash, line)``, as ``read`` gives them."""
+    wanted = lines.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(F.struct("line", "root", "s1", "s2"))).alias("lines"))
+    wanted = wanted.select("doc", F.col("text_hash").alias("of_hash"), *(F.col(f"lines.{c}").alias(f"{c}_of") for c in ("line", "root", "s1", "s2")))
     # rows equal in doc_id and text hold the same lines: one of them answers
-    once = docs.join(wanted, (docs["doc_id"] == wanted["doc"]) & (docs["text_hash"] == wanted["of_hash"])).select("doc", "lines", "roots", "text")
+    once = docs.join(wanted, (docs["doc_id"] == wanted["doc"]) & (docs["text_hash"] == wanted["of_hash"])).select("doc", "line_of", "root_of", "s1_of", "s2_of", "text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = part.column("doc").to_numpy()
-                lists, roots = part.column("lines").to_pylist(), part.column("roots").to_pylist()
-                known = {(d, x): r for d, (xs, rs) in enumerate(zip(lists, roots, strict=True)) for x, r in zip(xs, rs, strict=True)}
-                for sets in make(part.column("text"), codes.value, lists):
-                    raw = sets.key.tobytes()
-                    blobs = [raw[8 * a : 8 * b] for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True)]
-                    root = [known[x] for x in zip(sets.doc.tolist(), sets.line.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(sets.s1.view(np.int64)), pa.array(sets.s2.view(np.int64)), pa.array(ids[sets.doc]), pa.array(sets.line.astype(np.int32)), pa.array(blobs, pa.binary())], ["root", "s1", "s2", "doc", "line", "data"])
+                ids = part.column("doc").to_pylist()
+                lists = [part.column(c).to_pylist() for c in ("line_of", "root_of", "s1_of", "s2_of")]
+                known = {(d, x): (r, a, b) for d, four in enumerate(zip(*lists, strict=True)) for x, r, a, b in zip(*four, strict=True)}
+                rows = [(*known[d, x], ids[d], x, data) for d, x, data in read(part.column("text"), lists[0])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.int64()] * 4, pa.int32(), pa.binary()))], ["root", "s1", "s2", "doc", "line", "data"])
 
     return once.mapInArrow(run, _SET)
 
@@ -468,13 +505,14 @@ def fetch_sets(docs: DataFrame, lines: DataFrame, codes, make=line_sets) -> Data
 
 def later_lines(docs: DataFrame, s: float = SIMILARITY, counters: int = COUNTERS) -> tuple[DataFrame, DataFrame]:
     """(lines to remove: doc, text_hash, line) and (links: s1, s2, doc, line, n_links of the first line of each set with matches)."""
-    codes = docs.sparkSession.sparkContext.broadcast(rarity(docs, counters))
-    rows = screen(docs, codes, s)
+    seeds = new_seeds()
+    codes = docs.sparkSession.sparkContext.broadcast(rarity(docs, seeds, counters))
+    rows = screen(docs, codes, seeds, s)
     classes = rows.filter(F.col("kind") == _CLASS).select("s1", "s2", "doc", "text_hash", "line")
     edges = rows.filter(F.col("kind") == _EDGE).select(F.col("s1").alias("a"), F.col("s2").alias("b"))
     roots = components(edges).withColumnRenamed("node", "s1")
     possible = written(classes.join(roots, "s1"), "possible")
-    sets = written(fetch_sets(docs, possible, codes).dropDuplicates(["s1", "s2", "doc", "line"]), "sets")
+    sets = written(fetch_sets(docs, possible).dropDuplicates(["s1", "s2", "doc", "line"]), "sets")
     found = written(matches(sets, s), "matches")
     linked = possible.join(found, ["s1", "s2"])
     earlier = (F.col("first_doc") < F.col("doc")) | (F.col("first_doc") == F.col("doc")) & (F.col("first_line") < F.col("line"))

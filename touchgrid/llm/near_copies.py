@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .flat import LOWER, NOT_SPACE, flat, grams, mix, ranges, words
-from .lines import _CLASS, _EDGE, COUNTERS, _filters, _maps, fetch_sets, least_overlap, ordered_sets, rarity, screen
+from .flat import LOWER, NOT_SPACE, flat, grams, mix, ranges, span_hashes, words
+from .lines import _CLASS, _EDGE, COUNTERS, Seeds, _filters, _maps, fetch_sets, least_overlap, new_seeds, ordered_sets, rarity, screen
 from .shared import written
 from .simhash import components
 
@@ -31,30 +31,45 @@ _KEYS = 1 << 21  # shingles that are compared, or held, at once
 _LAST = (1 << 63) - 1  # for a null doc_id
 
 
-def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of the shingles of each text, by document; every document has one at least."""
+def shingles(column: pa.Array, seeds: Seeds, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, document) of the shingles of each text, by document; every document has one at least."""
     buf, off = flat(column)
-    w = words(LOWER[buf], off, NOT_SPACE)
+    buf = LOWER[buf]
+    w = words(buf, off, NOT_SPACE, seeds[0])
     n = np.diff(w.first)
     count = np.maximum(n - k + 1, 0)
-    long = grams(w.hash, k)[ranges(w.first[:-1], count)]
-    short = np.flatnonzero(count == 0)
-    rest = np.zeros(len(short), np.uint64)
-    for i in range(k):
-        rest *= np.uint64(0xC2B2AE3D27D4EB4F)
-        has = n[short] > i
-        rest[has] += w.hash[w.first[short[has]] + i]
-    h = np.empty(int(count.sum()) + len(short), np.uint64)
     doc = np.repeat(np.arange(len(n)), np.maximum(count, 1))
     one = count[doc] == 0
-    h[~one], h[one] = long, mix(rest)
-    return h, doc
+    at, short = ranges(w.first[:-1], count), np.flatnonzero(count == 0)
+    out = []
+    for hashes in (w.hash, span_hashes(buf, w.start, w.end, seeds[1])):
+        rest = np.zeros(len(short), np.uint64)
+        for i in range(k):
+            rest *= np.uint64(0xC2B2AE3D27D4EB4F)
+            has = n[short] > i
+            rest[has] += hashes[w.first[short[has]] + i]
+        h = np.empty(len(doc), np.uint64)
+        h[~one], h[one] = grams(hashes, k)[at], mix(rest)
+        out.append(h)
+    return *out, doc
+
+
+def document_sets(column: pa.Array, codes: np.ndarray, seeds: Seeds):
+    """The shingle set of each text, as line 0 of its document."""
+    h, second, doc = shingles(column, seeds)
+    yield from ordered_sets(h, second, doc, np.zeros(len(doc), np.int64), codes)
 
 
-def document_sets(column: pa.Array, codes: np.ndarray, wanted=None):
-    """The shingle set of each text, as line 0 of its document."""
-    h, doc = shingles(column)
-    yield from ordered_sets(h, doc, np.zeros(len(doc), np.int64), codes)
+def document_keys(seeds: Seeds):
+    """A reader of the sets of whole texts: (document, 0, sorted shingle hashes)."""
+
+    def read(column, wanted):
+        h, _, doc = shingles(column, seeds)
+        cut = np.searchsorted(doc, np.arange(len(column) + 1))
+        for d in range(len(column)):
+            yield d, 0, np.unique(h[cut[d] : cut[d + 1]]).tobytes()
+
+    return read
 
 
 def _matching(key, first, n, i, j, s: float) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +81,10 @@ def _matching(key, first, n, i, j, s: float) -> tuple[np.ndarray, np.ndarray]:
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _KEYS)))
         hi = min(hi, lo + 10_000)
         a, b = i[lo:hi], j[lo:hi]
-        pair = np.arange(len(a), dtype=np.uint64) << np.uint64(50)
+        pair = np.arange(len(a), dtype=np.uint64) << np.uint64(32)
         both = np.concatenate([key[ranges(first[x], n[x])] | np.repeat(pair, n[x]) for x in (a, b)])
         both.sort()
-        of = (both[1:][both[1:] == both[:-1]] >> np.uint64(50)).astype(np.int64)
+        of = (both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64)
         ok[lo:hi] = np.bincount(of, minlength=len(a)) >= least_overlap(n[a], n[b], s)
         lo = hi
     return i[ok], j[ok]
@@ -121,7 +136,8 @@ def links(sets: DataFrame, groups: DataFrame, s: float = SIMILARITY, block: int
             blobs = [d for h in held for d in h[5]]
             group = np.cumsum(np.concatenate(([True], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             n = np.array([len(d) for d in blobs], np.int64) // 8
-            low = _linked(np.frombuffer(b"".join(blobs), np.uint64), n, group, side, i != j, s)
+            key = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)[1].astype(np.uint64)  # shingles as numbers
+            low = _linked(key, n, group, side, i != j, s)
             at = np.flatnonzero(low != np.arange(len(low)))
             return pa.RecordBatch.from_arrays([pa.array(s1[low[at]]), pa.array(s1[at])], ["a", "b"])
 
@@ -151,12 +167,13 @@ def links(sets: DataFrame, groups: DataFrame, s: float = SIMILARITY, block: int
 
 def kept(docs: DataFrame, s: float = SIMILARITY, counters: int = COUNTERS) -> DataFrame:
     """(doc, text_hash) of the one document that each component of ``docs(doc_id, text, text_hash)`` keeps."""
-    codes = docs.sparkSession.sparkContext.broadcast(rarity(docs, counters, lambda column: shingles(column)[0]))
-    rows = screen(docs, codes, s, document_sets)
+    seeds = new_seeds()
+    codes = docs.sparkSession.sparkContext.broadcast(rarity(docs, seeds, counters, lambda column, seeds: shingles(column, seeds)[0]))
+    rows = screen(docs, codes, seeds, s, document_sets)
     classes = rows.filter(F.col("kind") == _CLASS).select("s1", "s2", "doc", "text_hash", "line")
     groups = components(rows.filter(F.col("kind") == _EDGE).select(F.col("s1").alias("a"), F.col("s2").alias("b")))
     possible = written(classes.join(groups.withColumnRenamed("node", "s1"), "s1"), "possible")
-    sets = fetch_sets(docs, possible, codes, document_sets).select("root", "s1", "data")
+    sets = fetch_sets(docs, possible.dropDuplicates(["s1"]), document_keys(seeds)).dropDuplicates(["s1"]).select("root", "s1", "data")
     roots = components(links(sets, possible, s)).withColumnRenamed("node", "s1")
     best = classes.join(roots, "s1", "left").groupBy(F.coalesce("root", "s1").alias("root")).agg(F.min(F.struct("doc", "text_hash")).alias("p"))
     return written(best.select("p.doc", "p.text_hash"), "kept")

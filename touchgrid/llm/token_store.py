@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .flat import flat, ranges, slices, span_hashes, table
+from .flat import equal_spans, flat, ranges, slices, span_hashes, table
 from .shared import SharedFile, new_dir, open_shared, written
 
 MAGIC = b"DACT1\n\0\0"
@@ -270,8 +270,8 @@ class Encoder:
         doc = np.searchsorted(off, start, side="right") - 1
         end = np.minimum(np.append(start[1:], len(buf)), off[doc + 1]) if len(start) else start
         _, first, back = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        if not np.array_equal((end - start)[first][back], end - start):  # equal hashes of different chunks
-            plain[:] = False
+        if not (np.array_equal((end - start)[first][back], end - start) and equal_spans(buf, start, end - start, buf, start[first][back]).all()):
+            return [self._ids(t or "") for t in texts.to_pylist()]  # two chunks have one hash
         data = buf.tobytes()
         chunks = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.new) >= _CACHE_ENTRIES:
