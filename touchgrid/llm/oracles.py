@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import secrets
-
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
@@ -49,7 +47,12 @@ kept as (select rid, string_agg(line, chr(10) order by i) as text from l anti jo
 select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines, coalesce(g.n, 0) as n_removed, coalesce(cast(own.links as bigint), 0) as n_links, sha256(coalesce(kept.text, '')) as kept_sha256
 from d left join g using (rid) left join own using (rid) left join kept using (rid)"""
 
-_PATTERNS = (secrets.ASSIGN.replace("'", "''"), secrets.ACCESS, secrets.HEX, "[A-Za-z0-9+/=_.-]+", secrets.ENDPOINT.replace("'", "''"))
+# The patterns stand here once more, so that a slip in the operator's shows.  This engine has no look-around: a key is a
+# whole run of 40 key characters, and a host or an address is cut out of its run.
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+_ADDRESS = r"""https?://[^\x09-\x0D\x20"'<>]+""".replace("'", "''")
+_PATTERNS = (_ASSIGN, "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/]+", f"[a-z0-9.-]*?{_ADDRESS}|[a-z0-9.-]+")
+_SCOPE = 400
 
 
 def _spans(name: str, kind: int, source: str) -> str:
@@ -62,17 +65,21 @@ def _spans(name: str, kind: int, source: str) -> str:
 
 
 _JOINED = "string_agg(['assign', 'access', 'hex', 'key', 'endpoint'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind)"
-_CLOSE = f"w.s between p.s - {secrets.SCOPE} and p.e + {secrets.SCOPE}"
+_CLOSE = f"w.s between p.s - {_SCOPE} and p.e + {_SCOPE}"
 
 SECRETS = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 {_spans("m0", 0, "d")}, {_spans("m1", 1, "d")}, {_spans("m2", 2, "d")},
-base as (select * from m0 where length(regexp_extract(m, '{_PATTERNS[0]}', 2)) >= 6 union all select * from m1 union all select * from m2),
-near as (select * from d where rid in (select rid from m1)),
+base as (select * from m0 where length(regexp_extract(m, '{_PATTERNS[0]}', 2)) >= 6 union all select * from m1 where length(m) >= 20 union all select * from m2 where length(m) >= 24),
+ids as (select * from m1 where length(m) >= 20),
+near as (select * from d where rid in (select rid from ids)),
 {_spans("m3", 3, "near")}, {_spans("m4", 4, "near")},
-keys as (select * from m3 w where regexp_full_match(m, '[A-Za-z0-9+/]{{40}}') and exists (select 1 from m1 p where p.rid = w.rid and {_CLOSE})),
+keys as (select * from m3 w where length(m) = 40 and exists (select 1 from ids p where p.rid = w.rid and {_CLOSE})),
+runs as (select *, regexp_extract(m, '{_ADDRESS}') as url from m4),
+hosts as (select rid, s, kind, e, regexp_extract(left(m, length(m) - length(url)), '^[a-z0-9.-]*[a-z0-9-]\\.amazonaws\\.com') as m from runs),
+addresses as (select rid, e - length(url) as s, kind, e, url as m from runs where url <> '' union all select rid, s, kind, s + length(m) as e, m from hosts where m <> ''),
 parts as (select rid, s, e from keys union all select rid, s, e from base where kind = 0),
-ends as (select * from m4 w where exists (select 1 from m1 p where p.rid = w.rid and {_CLOSE}) and exists (select 1 from parts p where p.rid = w.rid and {_CLOSE})),
+ends as (select * from addresses w where exists (select 1 from ids p where p.rid = w.rid and {_CLOSE}) and exists (select 1 from parts p where p.rid = w.rid and {_CLOSE})),
 linked as (select * from keys union all select * from ends),
 b as (select rid, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2, {_JOINED} as x from base group by rid),
 w as (select rid, count(*) filter (kind > 2) as n, {_JOINED} as x from (select * from base union all select * from linked) group by rid)

@@ -2,7 +2,9 @@
 
 Base findings per kind are the leftmost non-overlapping matches of a pattern.
 ``split`` gives the text between them and ``regexp_extract_all`` the matches;
-their lengths add up to code-point offsets.
+their lengths add up to code-point offsets, in chunks of matches, so that cost
+is linear in them.  No pattern repeats a group, which the regex engine would do
+by recursion, and each begins only where a run of its characters does.
 
 Multipart linking: a bare 40-character key and an endpoint address are weak
 candidates.  They count only where complementary parts co-occur: within
@@ -13,7 +15,10 @@ condition; a bin holds few identifiers, as each is at least 20 characters long,
 so no pair is emitted and no group grows.
 
 Nulls: a null text is an empty one (no spans); null doc_ids stay null.  Rows
-equal in doc_id and text get equal results.  An empty table gives no row.
+equal in doc_id and text get equal results.  Texts of any length are scanned
+whole.  Spans that begin at one place are listed by kind; equal spans of a text
+are one.  An empty table gives no row.  Only doc_id and text are read: other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,9 +33,12 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KEY = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
-ENDPOINT = r"""(?:https?://[^\s"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"""
+URL = r"""https?://[^\x09-\x0D\x20"'<>]+"""
+HOST = r"(?<![a-z0-9.-])[a-z0-9.-]*(?<=[a-z0-9-]\.amazonaws\.com)"
+ENDPOINT = f"(?:{URL}|{HOST})"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 
+_CHUNK = 128
 _SPANS = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
@@ -45,9 +53,23 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         end = start + F.length(x["text"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["text"].alias("text")))).cast(_SPANS).alias("out"))
 
+    def shifted(chunk, base):
+        return F.transform(chunk["out"], lambda x: F.struct((x["start"] + base).alias("start"), x["kind"].alias("kind"), (x["end"] + base).alias("end"), x["text"].alias("text")))
+
     zipped = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+
+    def placed(pairs):
+        # an array grows by a copy, so it grows to a chunk only, and chunks move to their place
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _CHUNK).cast("int"))
+        chunks = F.transform(numbers, lambda c: F.aggregate(F.slice(pairs, c * _CHUNK + 1, _CHUNK), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        return _let(chunks, lambda cs: F.flatten(F.zip_with(cs, F.aggregate(F.transform(cs, lambda c: c["at"]), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)), lambda acc: F.slice(acc, 1, F.size(acc) - 1)), shifted)))
+
+    return F.when(text.rlike(pattern), _let(zipped, placed)).otherwise(none)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: lambdas compute what they name for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _joined(spans: Column) -> Column:
