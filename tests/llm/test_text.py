@@ -68,7 +68,7 @@ def test_no_secrets(no_docs):
 PAGES = {
     "<p>One &amp; two<br>three&nbsp;four</p><p>": "One & two three four",
     "<html><head><title>T</title></head><body><nav><a href=a>x</a></nav><article><h1>Head</h1><p><b>A  b<br><p>C</article><footer>f</footer>": "Head\n\nA b\n\nC",
-    "<body><header><h1>Site</h1></header><main><header><h2>Title</h2><p>by me</p></header><p>Text one two three.</p><aside>x</aside><form><p>f</p></form></main></body>": "Title\n\nText one two three.",
+    "<body><header><h1>Site</h1></header><main><header><h2>Title</h2><p>by me</p></header><p>Text one two three.</p><aside>x</aside><form><p>f</p></form></main></body>": "Title\n\nby me\n\nText one two three.",
     "<div id=content><p>Some long words, and more of them, to read here.</p><ul><li>point one<li>point two</ul></div><div class='sidebar'><p>Other long words that are not the article at all.</p></div>": "Some long words, and more of them, to read here.\n\npoint one\n\npoint two",
     "<article><p>Body text of it.</p><div class=comments><p>I like it, I like it, I like it, I like it.</p></div></article>": "Body text of it.",
     "<script>var a='<p>no</p>';</script><style>p{}</style><article><p>yes<!-- <p>no</p> --></p></article>": "yes",
@@ -91,6 +91,68 @@ def test_deep_and_long_pages():
     assert H.main_text("<p " * 3000) is not None
 
 
+KEPT = {
+    "<article><p>Energy is <math><mi>E</mi><mo>=</mo><msup><mi>c</mi><mn>2</mn></msup></math> here.</p></article>": "Energy is E=c2 here.",
+    "<article><p>See <svg><title>t</title><text>drawn</text></svg>, <object>embedded</object> and <noscript>plain</noscript>.</p></article>": "See drawn, embedded and plain.",
+    "<article><p class='note alert'>A note.</p><p class='related-work'>Related.</p><p class='social-history'>Social.</p><p>Last.</p></article>": "A note.\n\nRelated.\n\nSocial.\n\nLast.",
+    "<article><p>One.</p><div class='related-work'><p>Older work did this with one <a href=x>tool</a> only.</p></div></article>": "One.\n\nOlder work did this with one tool only.",
+    "<article><p>One.</p><div class='related-reading'><a href=x>This</a> <a href=y>That</a></div><div class='share-buttons'>Share</div><div class='cookie-notice'>We use cookies</div></article>": "One.",
+}
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_article_text_stays(page):
+    assert H.main_text(page) == KEPT[page]
+
+
+NOISE = {
+    "menu": "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>", "header": "<header><h1>The site</h1><a href=x>start</a></header>",
+    "footer": "<footer><p>All rights reserved, and so on.</p></footer>", "sidebar": "<div class=sidebar><p>Read this other piece that we wrote, too.</p></div>",
+    "aside": "<aside><p>Words beside the article.</p></aside>", "notice": "<div id='cookie-notice'><p>We use cookies to make it work.</p></div>",
+    "advert": "<div class=ad>Buy the new thing now!</div>", "form": "<form><label>Name <input name=n></label><button>Send</button></form>",
+    "script": "<script>if (a < b) { document.write('<p>no</p>') }</script>", "style": "<style>p > a { color: red }</style>", "comment markup": "<!-- <p>not this</p> -->",
+    "comments": "<section class='comments'><h3>Comments</h3><p>I have read this with joy, and again.</p></section>", "related": "<div class='related-posts'><a href=x>One more</a><a href=y>Another</a></div>",
+}
+
+
+@pytest.mark.parametrize("kind", NOISE)
+@pytest.mark.parametrize("inside", [False, True])
+@pytest.mark.parametrize("frame", ["article", "main", "div"])
+def test_generated_pages(kind, inside, frame):
+    """Articles of known text with one kind of noise around or in them: every one must come back whole, and nothing else."""
+    import random
+
+    rng = random.Random(kind + frame)
+    for _ in range(40):
+        blocks, parts = [], []
+        for i in range(rng.randrange(2, 9)):
+            words = [rng.choice("river town light winter quiet answer number garden".split()) for _ in range(rng.randrange(8, 60))]
+            text = " ".join(words) + "."
+            blocks.append(text)
+            body = text.replace(" ", "  <b>", 1).replace(" winter", "</b>\n winter", 1) if rng.random() < 0.3 and " winter" in text else text
+            parts.append(f"<p>{body}</p>" if i else f"<h1>{text}</h1>")
+        if inside and frame != "div":
+            parts.insert(rng.randrange(1, len(parts) + 1), NOISE[kind])
+            before = after = ""
+        else:
+            before, after = (NOISE[kind], "") if rng.random() < 0.5 else ("", NOISE[kind])
+        page = f"<html><head><title>t</title></head><body>{before}<{frame}>{''.join(parts)}</{frame}>{after}</body></html>"
+        if inside and kind == "header":
+            blocks_found = [b for b in H.main_text(page).split("\n\n") if b not in ("The site", "start")]  # the header of an article is its own
+            assert blocks_found == blocks
+        else:
+            assert H.main_text(page) == "\n\n".join(blocks), page
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a \"'>" * 100_000, "<ul>" * 60_000, "<div>" * 40_000 + "</section>" * 40_000, "<b>" * 40_000 + "<hr>" * 40_000, "<div>" * 40_000 + "<li>x" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<article>" * 40_000 + "x", "<!--" * 200_000, "<p>x<body>" * 40_000, "& &amp" * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    H.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>x</p></article>"), (2, None, None), (None, "v", ""), (1, "u", "<article><p>x</p></article>")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in H.extract_text(df).collect())

@@ -1,10 +1,14 @@
 """Main text of web pages by composite text density.
 
 The page becomes a DOM (void tags, implied ends of paragraphs, list items and
-cells, raw text of scripts).  Elements that say what they are - menus, page
-headers, footers, sidebars, adverts, notices, forms, comments, by tag, role or
-name - leave first.  For every other node, with C characters, T tags, LC link
-characters and LT link tags below it,
+cells, raw text of scripts).  Elements that are no text of an article by their
+tag or role - scripts, styles, forms, menus, asides, page headers and footers -
+leave first, and so do boxes (never paragraphs, headings, list items, quotes)
+whose names consist of such words, like "site-menu", "comments" or
+"cookie-notice".  A box with such a word among others, like "related-work",
+leaves outside of articles; within one its density decides: it leaves only if
+most of its characters are links.  For every other node, with C characters,
+T tags, LC link characters and LT link tags below it,
 
     density = C/T * ln(C/LC * T/LT) / ln(1 + ln(C/(C-LC) * LC + LCb/Cb * C + e))
 
@@ -13,11 +17,15 @@ links stay defined).  The node with the largest sum of its children's densities
 is the content; the smallest density on its path to the body is the threshold
 at which other subtrees add their own best node.  A chosen node inside an
 article or main element stands for that element, so titles and short
-paragraphs stay.  Nothing inside a chosen node is dropped or cut.
+paragraphs stay, as does the header of an article with all it holds.  Nothing
+else inside a chosen node is dropped or cut; formulas, drawings and embedded
+objects give the text that they hold, within the sentence.
 
 Nulls: a null page has empty text; null ids and urls stay null.  A page without
-text has empty text.  Repeated rows each give a row.  Pages of any length are
-parsed whole; an empty table gives no row.
+text has empty text.  Of nodes that tie the first in page order is the best.
+Repeated rows each give a row.  Pages of any length and depth are parsed whole,
+in linear time; an empty table gives no row.  Only page_id, url and html are
+read: other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,12 +42,14 @@ from .flat import slices
 
 # Tags by their part in the page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math canvas object select noframes".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROP_TAGS = frozenset("head nav footer aside form script style noscript template iframe textarea title svg math canvas object select button input menu dialog noframes".split())
+_RAW = frozenset("script style template iframe textarea title select noframes".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math noscript object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
+_FOREIGN = frozenset(("math", "svg"))
+_DROP_TAGS = frozenset("head nav footer aside form script style template iframe textarea title select button input menu dialog noframes".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_DROP_NAMES = re.compile(r"(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|banners?|promos?|promotions?|sponsor(?:s|ed)?|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|header|masthead|comments?|commentlist|disqus|respond|cookies?|consent|gdpr|notice|notices|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widgets?|toolbar|pagination|pager|skip|hidden)")
-_NEVER_BY_NAME = frozenset(("html", "body", "article", "main"))
+_PROSE = frozenset("html body article main p h1 h2 h3 h4 h5 h6 hgroup li dt dd td th tr tbody thead tfoot blockquote pre figure figcaption".split()) | _INLINE
+_DROP_WORDS = re.compile(r"ads?|adverts?|advertisements?|advertising|adbox|adsense|banners?|promos?|promotions?|sponsor(?:s|ed)?|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|masthead|comments?|commentlist|disqus|respond|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widgets?|toolbar|pagination|pager|skip|hidden|header")
+_FILLERS = re.compile(r"site|page|post|main|top|bottom|left|right|global|primary|secondary|box|block|list|area|section|wrap|wrapper|container|inner|outer|items?|bar|links?|icons?|buttons?|form|panel|group|posts|articles|stories|js|wp|[0-9]+")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
 
@@ -48,19 +59,26 @@ _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+_NEVER, _WEAK, _STRONG = 0, 1, 2
+
+
 class _Node:
-    __slots__ = ("by_name", "chars", "density", "drop", "kids", "link_chars", "link_tags", "parent", "parts", "sum", "tag", "tags")
+    __slots__ = ("article", "best", "chars", "density", "drop", "end", "foreign", "i", "kids", "link_chars", "link_tags", "named", "parent", "parts", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.drop, self.by_name = tag, parent, tag in _DROP_TAGS, False
+    def __init__(self, tag: str, parent: _Node | None, i: int):
+        self.tag, self.parent, self.i, self.drop, self.named = tag, parent, i, tag in _DROP_TAGS, _NEVER
+        self.foreign = tag in _FOREIGN or parent is not None and parent.foreign
         self.parts: list = []  # text and nodes in order
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
+        self.kids: list[_Node] = []
 
+    @property
+    def inline(self) -> bool:
+        return self.foreign or self.tag in _INLINE
 
-def _named_off(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(drops, drops by name) of an element with these attributes."""
-    off = named = False
+
+def _named_off(tag: str, attrs: str) -> tuple[bool, int]:
+    """(drops, how strongly its names say so) of an element with these attributes."""
+    off, named = False, _NEVER
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "role":
@@ -69,17 +87,55 @@ def _named_off(tag: str, attrs: str) -> tuple[bool, bool]:
             off = True
         elif key == "style":
             off |= bool(_UNSEEN.search(value))
-        elif any(_DROP_NAMES.fullmatch(x.lower()) for x in _NAME.findall(value)):
-            named = True
-    return off and tag not in ("html", "body"), named and tag not in _NEVER_BY_NAME
-
-
-def parse(page: str) -> _Node:
-    """The DOM of a page."""
-    root = _Node("html", None)
-    node, pos, end = root, 0, len(page)
+        elif tag not in _PROSE:
+            for name in value.split():
+                parts = [x.lower() for x in _NAME.findall(name)]
+                said = [x for x in parts if _DROP_WORDS.fullmatch(x)]
+                if said:
+                    named = max(named, _STRONG if all(x in said or _FILLERS.fullmatch(x) for x in parts) else _WEAK)
+    return off and tag not in ("html", "body"), named
+
+
+class _Open:
+    """The open elements, with the depths at which each tag, each block and each block but paragraphs is open."""
+
+    def __init__(self, root: _Node):
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {root.tag: [0]}
+        self.blocks, self.walls = [0], [0]
+
+    def push(self, n: _Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(n)
+        self.depths.setdefault(n.tag, []).append(depth)
+        if not n.inline:
+            self.blocks.append(depth)
+            if n.tag != "p":
+                self.walls.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close what is open from ``depth`` on; the root stays."""
+        while len(self.stack) > max(1, depth):
+            n = self.stack.pop()
+            self.depths[n.tag].pop()
+            if not n.inline:
+                self.blocks.pop()
+                if n.tag != "p":
+                    self.walls.pop()
+
+    def last(self, tag: str) -> int:
+        found = self.depths.get(tag)
+        return found[-1] if found else -1
+
+
+def parse(page: str) -> list[_Node]:
+    """All nodes of the DOM of a page in page order."""
+    root = _Node("html", None, 0)
+    nodes, opened, pos, end = [root], _Open(root), 0, len(page)
+    last_end, has_body = page.rfind(">"), False
     while pos < end:
-        m = _TAG.search(page, pos)
+        node = opened.stack[-1]
+        m = _TAG.search(page, pos) if pos <= last_end or "<!--" in page[pos:] else None
         if m is None:
             node.parts.append(page[pos:])
             break
@@ -91,128 +147,137 @@ def parse(page: str) -> _Node:
             continue
         tag = tag.lower()
         if m[1]:
-            at = node
-            while at is not None and at.tag != tag:
-                # a stray inline or paragraph end does not close blocks
-                at = at.parent if tag not in _INLINE and tag != "p" or at.tag in _INLINE or at.tag == "p" else None
-            if at is not None and at.parent is not None:
-                node = at.parent
+            at = opened.last(tag)
+            # a stray inline or paragraph end does not close blocks
+            if at > 0 and (at >= opened.walls[-1] or tag not in _INLINE and tag != "p"):
+                opened.cut(at)
             continue
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(x, _Node) and x.tag == "body" for x in root.parts)):
+        if tag in ("html", "body") and (tag == "html" or has_body):
             continue
-        if tag not in _INLINE:
-            at = node
-            while at.tag in _INLINE and at.parent is not None:
-                at = at.parent
-            if at.tag == "p":
-                node = at.parent
-            if tag == "body" or node.tag == "head" and tag not in ("meta", "link", "base") and tag not in _RAW:
-                while node.parent is not None:
-                    node = node.parent
+        if tag not in _INLINE and not node.foreign:
+            if opened.stack[opened.blocks[-1]].tag == "p":
+                opened.cut(opened.blocks[-1])
+            if tag == "body" or opened.stack[-1].tag == "head" and tag not in ("meta", "link", "base") and tag not in _RAW:
+                has_body |= tag == "body"
+                opened.cut(1)
         if tag in _CLOSES:
-            at, stop = node, _SCOPE[tag]
-            while at is not None and at.tag not in stop:
-                if at.tag in _CLOSES[tag]:
-                    node = at.parent
-                at = at.parent
-        new = _Node(tag, node)
+            wall = max(opened.last(t) for t in _SCOPE[tag])
+            found = []
+            for t in _CLOSES[tag]:
+                depths = opened.depths.get(t, ())
+                k = bisect_right(depths, wall)
+                found += depths[k : k + 1]
+            if found:
+                opened.cut(min(found))
+        node = opened.stack[-1]
+        new = _Node(tag, node, len(nodes))
         if m[3]:
-            off, new.by_name = _named_off(tag, m[3])
+            off, new.named = _named_off(tag, m[3])
             new.drop |= off
         node.parts.append(new)
+        nodes.append(new)
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
+            close = _close(tag).search(page, pos)
             pos = close.end() if close else end
         elif tag not in _VOID and not m[3].endswith("/"):
-            node = new
-    return root
+            opened.push(new)
+    return nodes
+
+
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
+
+
+def _measure(nodes: list[_Node]) -> None:
+    """Characters, tags and links below each node; where its subtree ends."""
+    for n in reversed(nodes):
+        own = sum(len(x) - x.count(" ") - x.count("\n") for x in n.parts if isinstance(x, str))
+        n.chars = own + sum(k.chars for k in n.kids)
+        n.tags = sum(k.tags + 1 for k in n.kids)
+        n.link_chars = n.chars if n.tag == "a" else sum(k.link_chars for k in n.kids)
+        n.link_tags = sum(k.link_tags + (k.tag == "a") for k in n.kids)
 
 
-def _ordered(root: _Node) -> list[_Node]:
-    """All nodes, parents first (no recursion: pages may nest deeply)."""
-    out = [root]
+def _grown(nodes: list[_Node]) -> list[_Node]:
+    """``nodes`` without what hangs below a dropped one, numbered anew, with their children and the ends of their subtrees."""
+    out = []
+    for n in nodes:
+        if n.parent is None or not n.drop and not n.parent.drop:
+            n.i = len(out)
+            out.append(n)
+        else:
+            n.drop = True
     for n in out:
-        out.extend(x for x in n.parts if isinstance(x, _Node))
+        n.parts = [x for x in n.parts if isinstance(x, str) or not x.drop]
+        n.kids = [x for x in n.parts if isinstance(x, _Node)]
+    for n in reversed(out):
+        n.end = n.kids[-1].end if n.kids else n.i + 1
     return out
 
 
-def _prune(root: _Node) -> None:
-    """Decide by name and place, then cut what drops."""
-    nodes = _ordered(root)
-    holds = set()
+def _prune(nodes: list[_Node]) -> list[_Node]:
+    """The nodes that may be content: by tag, role and name, and by density where names are not sure."""
+    holds = set()  # what has an article below is no box beside it
     for n in nodes:
-        if n.tag in ("article", "main"):
+        n.article = n if n.tag in ("article", "main") else n.parent.article if n.parent else None
+        if n.article is n:
             at = n.parent
-            while at is not None and id(at) not in holds:
-                holds.add(id(at))
+            while at is not None and at.i not in holds:
+                holds.add(at.i)
                 at = at.parent
     for n in nodes:
-        if n.by_name and id(n) not in holds:
-            n.drop = True
-        elif n.tag == "header" and id(n) not in holds:
-            at = n.parent
-            while at is not None and at.tag not in ("article", "main"):
-                at = at.parent
-            if at is None:
-                n.drop = True
-            else:  # the title of an article stays, what else its header has goes
-                n.parts = [x for x in n.parts if isinstance(x, _Node) and re.fullmatch("h[1-6]|hgroup", x.tag)]
+        if n.i not in holds:
+            n.drop |= n.tag == "header" and n.article is None
+            n.drop |= n.named == _STRONG and not (n.tag == "header" and n.article) or n.named == _WEAK and n.article is None
+    nodes = _grown(nodes)
+    _measure(nodes)
     for n in nodes:
-        n.parts = [x for x in n.parts if not (isinstance(x, _Node) and x.drop)]
+        n.drop = n.named == _WEAK and n.link_chars > n.chars / 2 and n.parent is not None and n.i > 0 and not any(k.article is k for k in n.kids)
+    return _grown(nodes)
 
 
-def _weigh(nodes: list[_Node]) -> None:
-    for n in reversed(nodes):
-        own = sum(len(x) - x.count(" ") - x.count("\n") for x in n.parts if isinstance(x, str))
-        kids = [x for x in n.parts if isinstance(x, _Node)]
-        n.chars = own + sum(k.chars for k in kids)
-        n.tags = sum(k.tags + 1 for k in kids)
-        n.link_chars = n.chars if n.tag == "a" else sum(k.link_chars for k in kids)
-        n.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
-    body = nodes[0]
+def _weigh(nodes: list[_Node], body: _Node) -> None:
+    _measure(nodes)
     share = body.link_chars / max(1, body.chars)
     for n in nodes:
+        n.density = 0.0
         if n.chars:
             c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
             base = math.log(1 + math.log(c / max(1, c - n.link_chars) * n.link_chars + share * c + math.e))
             n.density = max(0.0, c / t * math.log(max(1.0, c / lc * t / lt)) / base)
-        elif not n.chars:
-            n.density = 0.0
-    for n in nodes:
-        n.sum = sum(x.density for x in n.parts if isinstance(x, _Node))
-
-
-def _best(root: _Node) -> _Node:
-    return max(_ordered(root), key=lambda n: n.sum)
+    for n in reversed(nodes):
+        n.sum = sum(x.density for x in n.kids)
+        n.best = n
+        for k in n.kids:
+            if k.best.sum > n.best.sum or n.best is not n and k.best.sum == n.best.sum and k.best.i < n.best.i:
+                n.best = k.best
 
 
-def choose(root: _Node) -> list[_Node]:
+def choose(nodes: list[_Node], body: _Node) -> list[_Node]:
     """The content nodes of a pruned, weighed tree, none within another."""
-    top = _best(root)
-    if not top.sum:
-        return [root]
-    threshold, at = top.density, top
-    while at is not None:
+    if not body.best.sum:
+        return [body]
+    threshold, at = body.best.density, body.best
+    while at is not body:
         threshold, at = min(threshold, at.density), at.parent
-    chosen, marked, queue = [], set(), [root]
-    while queue:
-        n = queue.pop(0)
-        if id(n) in marked or n.density < threshold or not n.chars:
+    threshold = min(threshold, body.density)
+    chosen: dict[int, _Node] = {}
+    i, end = body.i, body.end
+    while i < end:
+        n = nodes[i]
+        if i in chosen or n.density < threshold or not n.chars:
+            i = n.end
             continue
-        best = _best(n) if n.sum else n
-        whole = best
-        at = best
-        while at is not None:
-            if at.tag in ("article", "main"):
-                whole = at
-                break
-            at = at.parent
-        if id(whole) not in marked:
-            chosen.append(whole)
-            marked.update(id(x) for x in _ordered(whole))
-        queue += [x for x in n.parts if isinstance(x, _Node)]
-    inner = {id(x) for n in chosen for x in _ordered(n)[1:]}
-    return [n for n in chosen if id(n) not in inner]
+        best = n.best if n.best.sum else n
+        whole = best.article or best
+        chosen[whole.i] = whole
+        i = whole.end if whole.i <= i else i + 1
+    out, reach = [], -1
+    for i in sorted(chosen):
+        if i >= reach:
+            out.append(chosen[i])
+            reach = chosen[i].end
+    return out
 
 
 def blocks(root: _Node, chosen: list[_Node]) -> list[str]:
@@ -232,7 +297,7 @@ def blocks(root: _Node, chosen: list[_Node]) -> list[str]:
     while stack:
         n, i, inside = stack.pop()
         if i == len(n.parts):
-            if n.tag not in _INLINE:
+            if not n.inline:
                 end()
             continue
         stack.append((n, i + 1, inside))
@@ -243,7 +308,7 @@ def blocks(root: _Node, chosen: list[_Node]) -> list[str]:
         elif part.tag == "br":
             run.append(" ")
         else:
-            if part.tag not in _INLINE:
+            if not part.inline:
                 end()
             stack.append((part, 0, inside or id(part) in wanted))
     end()
@@ -252,12 +317,10 @@ def blocks(root: _Node, chosen: list[_Node]) -> list[str]:
 
 def main_text(page: str) -> str:
     """The article of a page: blocks joined by two line ends, empty if none."""
-    root = parse(page)
-    _prune(root)
-    nodes = _ordered(root)
-    body = next((n for n in nodes if n.tag == "body"), root)
-    _weigh(_ordered(body))
-    return "\n\n".join(blocks(body, choose(body)))
+    nodes = _prune(parse(page))
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    _weigh(nodes, body)
+    return "\n\n".join(blocks(body, choose(nodes, body)))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
