@@ -131,3 +131,51 @@ def test_bpe_cases():
     assert [x.tolist() for x in b.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     for t, ids in zip(texts, b.encode(texts), strict=True):
         assert b.decode(ids) == tok.decode(ids.tolist(), skip_special_tokens=False), t
+
+
+def test_bpe_of_every_kind_of_character():
+    """Every character that unicodedata does not know up to U+31FFF, and every fifth of all others."""
+    import unicodedata
+
+    tok, b = Tokenizer.from_file(WORD), bpe.WordBPE(WORD)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c % 5 == 0 or c < 0x32000 and unicodedata.category(chr(c)) == "Cn")]
+    texts = [f"Ab{chr(c)}cd 9{chr(c)}" for c in points]
+    for lo in range(0, len(texts), 20_000):
+        want = [e.ids for e in tok.encode_batch(texts[lo : lo + 20_000], add_special_tokens=False)]
+        assert [x.tolist() for x in b.encode(texts[lo : lo + 20_000])] == want
+
+
+@pytest.mark.parametrize("n", [510, 512, 513, 10_000, 80_000])
+def test_bpe_of_long_words(n):
+    import random
+    import time
+
+    rng = random.Random(n)
+    tok, b = Tokenizer.from_file(WORD), bpe.WordBPE(WORD)
+    for word in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), "x" * n, "the" * (n // 3), "é" * (n // 2)):
+        began = time.perf_counter()
+        ids = b.encode([f"a {word} b"])[0].tolist()
+        assert time.perf_counter() - began < 5
+        assert ids == tok.encode(f"a {word} b", add_special_tokens=False).ids
+
+
+def test_media_columns_equal_brute_force(spark, docs, rows):
+    """Every column, from the rows that the query returns; equal texts give equal values."""
+    rows = [*rows, (4000, "twin"), (4001, "twin")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = media.read_media(media.store_media(df)).collect()
+    want = []
+    for doc, text in rows:
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+        lines = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+        png = media._SIGNATURE
+        for kind, data in ((b"IHDR", (576).to_bytes(4, "big") + (len(payload) // 576).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])), (b"IDAT", zlib.compress(lines, 6)), (b"IEND", b"")):
+            png += len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+        n = len(payload)
+        cuts = [64 * 0 + i * n // 64 for i in range(65)]
+        bits = "".join(str(int(sum(payload[a:b]) * n > sum(payload) * (b - a))) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        want.append((doc, len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), f"{int(bits, 2):016x}"))
+    have = [(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["length"], r["digest"], r["feature"]) for r in got]
+    assert sorted(have, key=key) == sorted(want, key=key)
+    assert len({(r["digest"], r["feature"]) for r in got if r["doc_id"] in (4000, 4001)}) == 1

@@ -10,9 +10,12 @@ white space, lower case; split; byte-level symbols; ``</w>``) and decodes as a
 file without a decoder does: tokens joined by one space.
 
 Nulls: a null text is an empty one (no ids, empty decoded text); a null doc_id
-stays null.  Special tokens in a text become their ids.  Repeated rows each
-give a row, an empty table none.  Texts of any length go whole; words of any
-length take part in the rounds.
+stays null.  Special tokens in a text become their ids.  Of pairs of one rank in
+a word the first from the left merges first.  Repeated rows each give a row, an
+empty table none.  Texts of any length go whole.  A word over ``_LONG`` bytes
+would keep the rounds of all others waiting and is merged on its own with a heap
+of its pairs, to the same ids.  Only doc_id and text are read: other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ import hashlib
 import json
 import re
 import unicodedata
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from .flat import slices
 
@@ -39,9 +44,26 @@ _NUMBERS = "0-9²³¹¼-¾"
 _OTHER = re.compile("[^\n\r\t -~¡-ɏ‐-‧‰-‾]")
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECES = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+
 _ANY_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
 
+def _unassigned() -> re.Pattern:
+    """Characters that ``unicodedata`` does not know: tables of different age take them for different things."""
+    ranges: list[list[int]] = []
+    for i in range(0x110000):
+        if unicodedata.category(chr(i)) == "Cn":
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+    return re.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges) + "]")
+
+
+_YOUNG = _unassigned()
+_LONG = 512  # bytes of a word that is merged on its own
+
+
 def byte_symbols() -> list[str]:
     """The printable character of each byte: itself if it prints, else the next free one from U+0100."""
     prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -71,22 +93,69 @@ class WordBPE:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.cache: dict[str, bytes] = {}
+        self.path, self.library = path, None
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of pairs of symbols; the rank of an unknown pair is ``_NO_RANK``."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        rank = np.where(self.keys[at] == key, self.ranks[at], _NO_RANK)
+        return rank, self.merged[np.where(rank == _NO_RANK, 0, rank)]
+
+    def merge_long(self, word: bytes) -> bytes:
+        """Ids of one long word: pairs in a heap by rank and place, so a merge costs the logarithm of its length."""
+        data = np.frombuffer(word, np.uint8)
+        symbols = self.inner[data]
+        symbols[-1] = self.last[data[-1]]
+        rank, merged = self._pairs(symbols[:-1], symbols[1:])
+        sym, n = symbols.tolist(), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+        heap = [(r, i, a, b, m) for i, (r, a, b, m) in enumerate(zip(rank.tolist(), sym[:-1], sym[1:], merged.tolist(), strict=True)) if r != _NO_RANK]
+        heapify(heap)
+
+        def add(i: int, j: int) -> None:
+            pair = sym[i], sym[j]
+            if pair not in known:
+                r, m = self._pairs(*(np.array([x], np.int64) for x in pair))
+                known[pair] = int(r[0]), int(m[0])
+            r, m = known[pair]
+            if r != _NO_RANK:
+                heappush(heap, (r, i, *pair, m))
+
+        while heap:
+            _, i, a, b, m = heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            sym[i], sym[j] = m, -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                add(i, after[j])
+            if before[i] >= 0:
+                add(before[i], i)
+        return np.array([x for x in sym if x >= 0], "<u4").tobytes()
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (little-endian uint32), by merge rounds over all of them."""
+        """Ids of each word (little-endian uint32), by merge rounds over all of them; words over ``_LONG`` bytes go alone."""
         out: list[bytes] = [b""] * len(words)
+        for i, w in enumerate(words):
+            if len(w) > _LONG:
+                out[i] = self.merge_long(w)
+        which = np.array([i for i, w in enumerate(words) if len(w) <= _LONG], np.int64)
+        words = [words[i] for i in which.tolist()]
+        if not words:
+            return out
         size = np.array([len(w) for w in words], np.int64)
         sym_bytes = np.frombuffer(b"".join(words), np.uint8)
         sym = self.inner[sym_bytes]
         ends = np.cumsum(size)
         sym[ends - 1] = self.last[sym_bytes[ends - 1]]
-        which = np.arange(len(words))
         while len(which):
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
             rank = np.full(len(sym), _NO_RANK)
-            key = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank[:-1] = np.where(self.keys[at] == key, self.ranks[at], _NO_RANK)
+            rank[:-1] = self._pairs(sym[:-1], sym[1:])[0]
             rank[first + size - 1] = _NO_RANK  # the last symbol of a word has no right partner
             best = np.minimum.reduceat(rank, first)
             done = best == _NO_RANK
@@ -113,7 +182,12 @@ class WordBPE:
         return out
 
     def pieces(self, text: str) -> list[str]:
-        """Normalized, split text without special tokens."""
+        """Normalized, split text without special tokens; characters too young for ``unicodedata`` are left to the library."""
+        if _OTHER.search(text) and _YOUNG.search(text):
+            if self.library is None:
+                self.library = Tokenizer.from_file(self.path)
+            text = self.library.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()
