@@ -177,9 +177,8 @@ def test_kth_rank_is_exact(spark):
 
 def test_threshold():
     good, bad = np.linspace(0, 1, 50), np.linspace(-2, -1, 50)
-    at, scale = R.fit_threshold(good, bad)
-    assert at == pytest.approx(-0.5) and scale > 0
-    assert R.fit_threshold(good, np.zeros(0))[0] == -np.inf
+    assert R.fit_threshold(good, bad) == pytest.approx(-0.5)
+    assert R.fit_threshold(good, np.zeros(0)) == -np.inf
 
 
 def quality_table(spark, n=400):
@@ -263,3 +262,47 @@ def test_hostile_and_long_texts(spark, text):
     spans = base_spans(text)
     assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[1] == k for x in spans) for k in range(3))
     assert r["base_sha256"] == hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def test_resampling_equals_brute_force(spark):
+    """Weights, noise and draw of a small table, from the counts up."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    docs, labels = quality_table(spark, 120)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    ids, kinds = R.label_sample(labels)
+    kind_of = dict(zip(ids.tolist(), kinds.tolist(), strict=True))
+    both = {t: R._features(pa.array([t or ""]))[0].tolist() for _, t in rows}
+    raw, good = Counter(), Counter()
+    for d, t in rows:
+        raw.update(both[t])
+        if kind_of.get(d) == R._GOOD:
+            good.update(both[t])
+    a, b = sum(good.values()), sum(raw.values())
+    least = min(a, b)
+    ratio = {d: sum(math.log((good[x] * least / a + R.SHRINK) / (raw[x] * least / b + R.SHRINK)) for x in both[t]) for d, t in rows}
+    got = R.resample(docs, labels, k=40).collect()
+    offsets = set()
+    for r in got:
+        assert r["log_ratio"] == pytest.approx(ratio[r["doc_id"]], abs=1e-3) and r["n_grams"] == len(both[dict(rows)[r["doc_id"]]])
+        if r["n_grams"]:
+            offsets.add(round((r["log_ratio"] - r["log_weight"]) / r["n_grams"], 6))
+    assert len(offsets) == 1
+    noise = [r["key"] - r["log_weight"] for r in {(r["doc_id"], r["text_hash"]): r for r in got}.values()]
+    assert abs(np.mean(noise) - 0.5772) < 0.5 and abs(np.std(noise) - math.pi / math.sqrt(6)) < 0.5  # a standard Gumbel distribution
+    allowed = sorted((r["key"] for r in got if not r["toxic"]), reverse=True)
+    assert sorted((r["key"] for r in got if r["kept"]), reverse=True) == [x for x in allowed if x >= allowed[39]]
+    assert any(r["toxic"] for r in got) and not any(r["toxic"] and r["kept"] for r in got)
+
+
+def test_resampling_keeps_other_columns_and_long_texts(spark):
+    docs, labels = quality_table(spark, 80)
+    wide = docs.selectExpr("doc_id", "text", "text as key", "doc_id as kept", "1 as toxic", "'x' as text_hash").unionByName(spark.createDataFrame([(9500, "the river ran down " * 50_000, "a", 1, 1, "x")], "doc_id long, text string, key string, kept long, toxic int, text_hash string"))
+    out = R.keep_good(wide, labels)
+    assert out.columns == wide.columns
+    kept = {r["doc_id"]: r for r in out.collect()}
+    assert 0 < len(kept) < 81 and all(r["key"] == r["text"] and r["kept"] == r["doc_id"] for d, r in kept.items() if d != 9500)
+    assert {r["n_grams"] for r in R.resample(wide, labels).filter("doc_id = 9500").collect()} == {2 * 4 * 50_000 - 1}

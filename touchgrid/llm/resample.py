@@ -2,28 +2,34 @@
 
 Generative models over hashed n-grams (bags of words and word pairs in
 ``BUCKETS`` buckets): target text is what the labels call good, raw text is the
-whole corpus.  With expected count e of a bucket under raw text,
-
-    evidence = ln((target + a) / (e + a)),
-
-so buckets with little data say little.  A document's log weight has two parts,
-each a margin over a threshold fitted on held-out labels: the mean evidence of
-its words and pairs, and the strongest evidence against it of one bare word
-under a second ratio, target text against text labelled toxic.  The lower
-margin is the log weight.  Gumbel noise (a hash of doc_id) is added at
-``TEMPERATURE``; the k largest keys are drawn, k being the number of documents
-with a weight over one.  The k-th key is found by histograms, not by a sort.
-Rows equal in doc_id and text have one key and are drawn together.
-
-Labels: at most about ``LABEL_ROWS`` rows are used, chosen by a hash of doc_id;
-that is the documented bound of the fit.  Raw counts, scores and the draw cover
-all documents.
-
-Nulls: a null text has no words and no evidence (kept unless no threshold
-allows it); null labels are not used; a null doc_id draws its own noise.
-Repeated label rows count as the worst of them; repeated documents each give a
-row.  Without good, bad or toxic labels the part that needs them rejects
-nothing.  Empty tables give no rows.
+whole corpus.  A document's log weight is
+
+    sum over its n-grams of (ln p_target - ln p_raw - offset),
+
+p with ``SHRINK`` counts added to each bucket, at the scale of the smaller
+text, so buckets with little data say little; the offset a gram stands for the
+unknown scale of the two models and is fitted on held-out labels.  Gumbel noise
+of scale one (a hash of doc_id and text) is added, and the ``k`` largest keys
+are drawn; k is a parameter, by default the number of documents with a weight
+over one.  The k-th key is found by histograms, not by a sort.  Rows equal in
+doc_id and text have one key and are drawn together.
+
+Toxic text is no matter of likeness to the target and has a step of its own
+before the draw, ``screen_toxic``: the strongest evidence of one bare word for
+text labelled toxic against target text, over a threshold fitted in the same
+way.  What it rejects takes no part in the draw.
+
+Labels: at most about ``LABEL_ROWS`` labelled doc_ids are used, chosen by a hash
+of doc_id; that is the documented bound of the fit.  Raw counts, scores and the
+draw cover all documents.
+
+Nulls: a null text has no words, a log weight of zero and so a key of noise
+alone; null labels are not used; a null doc_id draws its own noise.  Texts of
+any length are read whole.  Rows of one key tie and go by doc_id, then text
+hash.  Repeated label rows count as the worst of them; repeated documents each
+give a row.  Without good, bad or toxic labels the part that needs them rejects
+nothing.  Empty tables give no rows.  Other columns, whatever their names, stay
+with their rows.
 """
 
 from __future__ import annotations
@@ -38,7 +44,6 @@ from .shared import written
 BUCKETS = 1 << 20
 LABEL_ROWS = 200_000
 SHRINK, SHRINK_TOXIC = 30.0, 5.0
-TEMPERATURE = 0.05
 GOOD_COST = 20.0  # of rejecting a good document, against keeping a bad one
 _CHUNK = 1 << 14
 _GOOD, _JUNK, _TOXIC = 1, 2, 3
@@ -128,7 +133,7 @@ def evidence(target: np.ndarray, other: np.ndarray, shrink: float) -> np.ndarray
 
 
 def score_documents(docs: DataFrame, models: dict[str, np.ndarray], ids: np.ndarray, kinds: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, ratio, worst, kind) of each document."""
+    """(doc_id, text_hash, log_ratio, n_grams, worst, kind) of each document; log_ratio is the sum over its n-grams."""
     tables = (evidence(models["good"], models["raw"], SHRINK), evidence(models["good_bare"], models["toxic_bare"], SHRINK_TOXIC))
     held = docs.sparkSession.sparkContext.broadcast((tables, ids, kinds))
 
@@ -138,25 +143,25 @@ def score_documents(docs: DataFrame, models: dict[str, np.ndarray], ids: np.ndar
             for part in slices(batch, "text"):
                 n = part.num_rows
                 bucket, doc, bare, bare_doc = _features(part.column("text"))
-                ratio = np.bincount(doc, weights=both[bucket], minlength=n) / np.maximum(1, np.bincount(doc, minlength=n))
+                ratio = np.bincount(doc, weights=both[bucket], minlength=n)
                 worst = np.zeros(n)
                 np.minimum.at(worst, bare_doc, bare_table[bare])
                 kind = _classes(ids, kinds, part.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ratio), pa.array(worst), pa.array(kind.astype(np.int32))], ["doc_id", "text_hash", "ratio", "worst", "kind"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ratio), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(worst), pa.array(kind.astype(np.int32))], ["doc_id", "text_hash", "log_ratio", "n_grams", "worst", "kind"])
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, ratio double, worst double, kind int")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, log_ratio double, n_grams long, worst double, kind int")
 
 
-def fit_threshold(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """(threshold, scale): least weighted error on held-out scores, in the middle of the gap; scale is the good spread."""
+def fit_threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """The threshold of least weighted error on held-out scores, in the middle of the gap; -inf without both classes."""
     if not len(good) or not len(bad):
-        return -np.inf, 1.0
+        return -np.inf
     values = np.unique(np.concatenate([good, bad]))
     cut = np.concatenate([[values[0] - 1.0], (values[1:] + values[:-1]) / 2])
     lost = np.searchsorted(np.sort(good), cut) / len(good)
     kept = 1 - np.searchsorted(np.sort(bad), cut) / len(bad)
     at = int(np.argmin(GOOD_COST * lost + kept))
-    return float(cut[at]), float(max(good.std(), 1e-6))
+    return float(cut[at])
 
 
 def _rank() -> Column:
@@ -187,27 +192,41 @@ def kth_rank(keys: DataFrame, k: int, few: int = 10_000):
     return None
 
 
-def resample(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, temperature: float = TEMPERATURE) -> DataFrame:
-    """(doc_id, text_hash, ratio, worst, log_weight, key, kept) of each of ``docs(doc_id, text)``."""
+def screen_toxic(scores: DataFrame, threshold: float) -> DataFrame:
+    """``scores`` with ``toxic``: whether a word speaks for toxic text more strongly than the threshold allows."""
+    return scores.withColumn("toxic", F.col("worst") < F.lit(threshold))
+
+
+def draw(weighted: DataFrame, k: int) -> DataFrame:
+    """``weighted(doc_id, text_hash, key, toxic, ...)`` with ``kept``: the k largest keys of rows that are not toxic."""
+    allowed = ~F.col("toxic")
+    last = kth_rank(weighted.filter(allowed), k)
+    if last is None:
+        return weighted.withColumn("kept", allowed & F.lit(k > 0))
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    tie = (doc > last["doc_id"]) | (doc == last["doc_id"]) & (F.col("text_hash") >= last["text_hash"])
+    return weighted.withColumn("kept", allowed & ((F.col("key") > last["key"]) | (F.col("key") == last["key"]) & tie))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_rows: int = LABEL_ROWS) -> DataFrame:
+    """(doc_id, text_hash, log_ratio, n_grams, worst, toxic, log_weight, key, kept) of each of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids, kinds = label_sample(labels, label_rows)
     scores = written(score_documents(docs, count_models(docs, ids, kinds), ids, kinds), "scores")
-    held_out = scores.filter("kind < 0").select("kind", "ratio", "worst").collect()
-    kind, ratio, worst = (np.array([r[i] for r in held_out]) for i in range(3))
-    margins = []
-    for name, value, bad in (("ratio", ratio, -_JUNK), ("worst", worst, -_TOXIC)):
-        at, scale = fit_threshold(value[kind == -_GOOD], value[kind == bad])
-        margins.append(F.lit(1e9) if at == -np.inf else (F.col(name) - at) / scale)
+    # a labelled doc_id may have many rows: its worst scores count, so the driver gets one row a label at most
+    mean = F.col("log_ratio") / F.greatest("n_grams", F.lit(1))
+    held_out = scores.filter("kind < 0").groupBy("doc_id", "kind").agg(F.min(mean).alias("mean"), F.min("worst").alias("worst")).select("kind", "mean", "worst").collect()
+    kind, means, worst = (np.array([r[i] for r in held_out]) for i in range(3))
+    offset = fit_threshold(means[kind == -_GOOD], means[kind == -_JUNK])
+    offset = 0.0 if offset == -np.inf else offset
+    judged = bool((kind == -_JUNK).any() and (kind == -_GOOD).any())
     uniform = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keys = scores.withColumn("log_weight", F.least(*margins)).withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
-    keys = written(keys.drop("kind"), "keys")
-    k = keys.filter("log_weight >= 0").count()
-    last = kth_rank(keys, k)
-    if last is None:
-        return keys.withColumn("kept", F.lit(False))
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    tie = (doc > last["doc_id"]) | (doc == last["doc_id"]) & (F.col("text_hash") >= last["text_hash"])
-    return keys.withColumn("kept", (F.col("key") > last["key"]) | (F.col("key") == last["key"]) & tie)
+    scores = screen_toxic(scores, fit_threshold(worst[kind == -_GOOD], worst[kind == -_TOXIC]))
+    weighted = scores.withColumn("log_weight", F.col("log_ratio") - F.col("n_grams") * F.lit(offset))
+    weighted = written(weighted.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))).drop("kind"), "keys")
+    if k is None:
+        k = weighted.filter((F.col("log_weight") >= 0) & ~F.col("toxic")).count() if judged else weighted.filter(~F.col("toxic")).count()
+    return draw(weighted, k)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
