@@ -107,13 +107,23 @@ def brute_phrases(rows, k=13):
     return out
 
 
-@pytest.mark.parametrize("hot", [phrases.HOT, 2])
-def test_phrases_equal_brute_force(docs, rows, hot):
-    got = [tuple(r) for r in phrases.remove_repeats(docs, hot=hot).collect()]
+@pytest.mark.parametrize(("hot", "shard_bytes"), [(phrases.HOT, phrases.SHARD_BYTES), (2, 3000)])
+def test_phrases_equal_brute_force(spark, rows, hot, shard_bytes):
+    # negative doc_ids, a text of one word, and its parts in many documents
+    rows = [*rows, (-5, rows[5][1]), (-7, "x " * 90), *((2000 + i, "y " * i + rows[1008 % len(rows)][1] if i % 3 else "x " * (20 + i)) for i in range(40)), (2100, "q r " * 60), (2101, "r q " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in phrases.remove_repeats(docs, hot=hot, shard_bytes=shard_bytes).collect()]
     want = brute_phrases(rows)
     assert sorted(got, key=key) == sorted(want, key=key) and sum(r[2] for r in want) > 300
 
 
+def test_positions_come_from_the_automaton(docs):
+    assert sum(r["n_removed"] for r in phrases.remove_repeats(docs).collect()) > 300
+    found = phrases._Automaton({b"a b c": 7, b"b c d": 3, b"b c": 9})
+    assert sorted(found.find(b"x a b c d b c".split())) == [(1, 3, 7), (2, 2, 9), (2, 3, 3), (5, 2, 9)]
+    assert list(phrases._Automaton({}).find([b"a"])) == []
+
+
 def test_phrase_text(spark):
     words = [f"w{i}" for i in range(20)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, "  a  " + "\t".join(words[2:18]) + " b")], "doc_id long, text string")
@@ -126,9 +136,10 @@ def test_no_phrases(no_docs):
 
 def test_packed_anchors():
     h = np.sort(np.random.default_rng(0).integers(0, 1 << 48, 50).astype(np.uint64))
-    for doc in (np.arange(50), np.where(np.arange(50) % 3, np.arange(50), -1), np.arange(50) << 40):
-        a, b = phrases._unpack(phrases._pack(h, doc.astype(np.int64)))
-        assert (a == h).all() and (b == doc).all()
+    for doc in (np.arange(50), np.arange(50) - 25, np.arange(50) << 40, -np.arange(50) << 40):
+        for known in (np.zeros(50, bool), np.arange(50) % 3 == 0, np.ones(50, bool)):
+            a, b, k = phrases._unpack(phrases._pack(h, doc.astype(np.int64), known))
+            assert (a == h).all() and (k == known).all() and (b[~known] == doc[~known]).all()
 
 
 # --- simhash ---

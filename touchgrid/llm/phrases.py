@@ -11,23 +11,29 @@ it also starts in a document with a smaller doc_id.
    task, not one a document.
 2. Segments.  Documents get their recurring anchors; runs of windows with one
    such anchor become segments, and equal segments combine before the exchange.
-3. Confirmation.  Segments with one anchor meet.  Windows that two documents
-   hold, word for word, are compiled to an Aho-Corasick automaton over word
-   numbers, a shard at a time, and all segments stream through it, which gives
-   every occurrence with the first document of its words.  An anchor with more
-   than ``HOT`` occurrences is dealt anew by whole windows.
-4. Occurrences in later documents are joined to these and removed.
+3. Confirmation.  Segments with one anchor meet and their windows are compared
+   word for word.  Runs of windows that recur, with one first document, are the
+   passages.  The windows of an anchor with more than ``HOT`` segments are
+   counted by an aggregation instead, which combines before the exchange.
+4. Automata.  Documents fall into shards of about ``SHARD_BYTES`` of text.  Each
+   shard gets the passages of its documents, once each, compiles them to an
+   Aho-Corasick automaton over word numbers, and every document streams whole
+   through the automaton of its shard.  What it finds, and nothing else, says
+   where passages occur; those that began in a smaller doc_id go.
 
 Nulls: a null text has no words.  A null doc_id is neither smaller nor larger
 than any: its words stay and remove none.  Rows equal in doc_id do not remove
 each other's words, each gives a row.  Documents shorter than a window keep all
-words.  An empty table gives no row.
+words.  A text of any length is read whole; it is a shard's slice of its own.
+An empty table gives no row.  Only doc_id and text are read: other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -38,16 +44,17 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .flat import NOT_SPACE, SLICE_BYTES, flat, grams, slices, sliding_min, spaced, words
-from .shared import map_written, release
+from .shared import discard, input_bytes, map_written, release, written
 
 WINDOW = 13
 GRAM = 5
 HOT = 20_000
 _UNIT = 1 << 19  # anchors that a task combines at once
-_SHARD_WORDS = 50_000  # of segments that one automaton is compiled from and run over
+SHARD_BYTES = 2 << 20  # of text that streams through one automaton
+_BUCKET_BYTES = 32 << 20  # of text whose anchors meet at once
+_GROUP_WORDS = 50_000  # of segments whose windows are compared at once
 _KNOWN = np.uint32(0xFFFFFFFF)
 _FEW_ROWS = 1 << 15
-_NO_STARTS = np.zeros(0, np.int32)
 
 
 def _anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -64,20 +71,23 @@ def _whole(first: np.ndarray, window: int) -> np.ndarray:
 # --- 1. candidates ---------------------------------------------------------------
 
 
-def _pack(h: np.ndarray, doc: np.ndarray) -> bytes:
-    """Sorted 48-bit anchors and their documents (-1: known to recur), about ten bytes an entry."""
-    real = doc[doc >= 0]
+def _pack(h: np.ndarray, doc: np.ndarray, known: np.ndarray) -> bytes:
+    """Sorted 48-bit anchors, their documents and whether they are known to recur, about ten bytes an entry."""
+    real = doc[~known]
     base = int(real.min()) if len(real) else 0
     narrow = not len(real) or int(real.max()) - base < int(_KNOWN)
-    ids = np.where(doc < 0, _KNOWN, doc - base).astype("<u4") if narrow else doc.astype("<i8")
-    return struct.pack("<IqB", len(h), base, narrow) + (h >> np.uint64(32)).astype("<u2").tobytes() + h.astype("<u4").tobytes() + ids.tobytes()
+    ids = np.where(known, _KNOWN, np.where(known, 0, doc) - (0 if known.all() else base)).astype("<u4").tobytes() if narrow else doc.astype("<i8").tobytes() + known.tobytes()
+    return struct.pack("<IqB", len(h), base, narrow) + (h >> np.uint64(32)).astype("<u2").tobytes() + h.astype("<u4").tobytes() + ids
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, base, narrow = struct.unpack_from("<IqB", data)
     h = np.frombuffer(data, "<u2", n, 13).astype(np.uint64) << np.uint64(32) | np.frombuffer(data, "<u4", n, 13 + 2 * n).astype(np.uint64)
-    raw = np.frombuffer(data, "<u4" if narrow else "<i8", n, 13 + 6 * n)
-    return h, np.where(raw == _KNOWN, -1, raw.astype(np.int64) + base) if narrow else raw
+    at = 13 + 6 * n
+    if not narrow:
+        return h, np.frombuffer(data, "<i8", n, at), np.frombuffer(data, bool, n, at + 8 * n)
+    raw = np.frombuffer(data, "<u4", n, at)
+    return h, raw.astype(np.int64) + base, raw == _KNOWN
 
 
 _PART = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("data", pa.binary())])
@@ -94,10 +104,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_PART)], schema=_PART)
 
 
-def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, data): anchors of a document that other documents have as well; several rows a document."""
+def recurring_anchors(docs: DataFrame, size: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc, data): anchors of a document that other documents have as well; several rows a document.  ``size``: bytes of the texts."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * n_parts
+    buckets = max(4 * n_parts, size // _BUCKET_BYTES)
 
     def combine(held: list[tuple[np.ndarray, np.ndarray]]):
         h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -111,12 +121,13 @@ def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         known = [(-1 - d % n_parts, d, data) for d, data in _by_document(h[many], doc[many])]
         for at in range(0, len(known), 4096):
             yield _batch(known[at : at + 4096])
-        one_h, one_doc = h[start], np.where(size > 1, -1, doc[start])
+        one_h, one_doc, sure = h[start], doc[start], size > 1
         bucket = (one_h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, None, _pack(one_h[order[cut[b] : cut[b + 1]]], one_doc[order[cut[b] : cut[b + 1]]])) for b in range(buckets) if cut[b + 1] > cut[b]]
-        yield _batch(rows)
+        inside = [(b, order[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        for at in range(0, len(inside), 4096):
+            yield _batch([(b, None, _pack(one_h[x], one_doc[x], sure[x])) for b, x in inside[at : at + 4096]])
 
     def collect(batches):
         held, n = [], 0
@@ -147,12 +158,12 @@ def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         def recurring():
             if not held:
                 return []
-            h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, doc, known = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h, kind="stable")
-            h, doc = h[order], doc[order]
+            h, doc, known = h[order], doc[order], known[order]
             start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             size = np.diff(np.append(start, len(h)))
-            found = np.repeat(size > 1, size) & (doc >= 0)
+            found = np.repeat(size > 1, size) & ~known
             return _by_document(h[found], doc[found])
 
         for batch in batches:
@@ -182,7 +193,7 @@ def recurring_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
 
 def segments(docs: DataFrame, found: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, text_hash, at, k1, k2, anchor, text): runs of windows with one recurring anchor; ``at``: the run's first word.
+    """(doc, text_hash, k1, k2, anchor, text): runs of windows with one recurring anchor.
 
     Documents and their anchors take one exchange and are sorted together, so a
     document's anchors come just before it and nothing is gathered in the JVM.
@@ -234,151 +245,208 @@ def segments(docs: DataFrame, found: DataFrame, window: int = WINDOW, gram: int
         texts = [data[a:b] for a, b in zip(at[start].tolist(), to[end].tolist(), strict=True)]
         keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), np.int64).reshape(-1, 2)
         of = doc[start].astype(np.int64)
-        inside = (start - w.first[of]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), hashes.take(pa.array(of)), pa.array(inside), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(low[start].astype(np.int64)), pa.array(texts, pa.binary())], ["doc", "text_hash", "at", "k1", "k2", "anchor", "text"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), hashes.take(pa.array(of)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(low[start].astype(np.int64)), pa.array(texts, pa.binary())], ["doc", "text_hash", "k1", "k2", "anchor", "text"])
 
-    return map_written(joined, cut, "doc long, text_hash long, at int, k1 long, k2 long, anchor long, text binary", "segments")
+    return map_written(joined, cut, "doc long, text_hash long, k1 long, k2 long, anchor long, text binary", "segments")
 
 
 # --- 3. confirmation -----------------------------------------------------------------
 
 
-def _run_automaton(rows: list[tuple], window: int):
-    """(k1, k2, offsets, first documents) of the recurring windows of each segment of a shard.
+def _distinct_windows(parts: list, window: int) -> bool:
+    return len(set(parts)) == len(parts) or len({tuple(parts[i : i + window]) for i in range(len(parts) - window + 1)}) == len(parts) - window + 1
 
-    Equal windows have equal anchors, so what only one distinct segment of an
-    anchor holds is settled by that segment's own documents; windows of several
-    segments are the patterns.
+
+def _passages(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(k1, k2, first, passage) of segments (anchor, k1, k2, first, last, text) sorted by anchor, whole anchors.
+
+    A passage is a run of recurring windows with one first document; where
+    windows of a run repeat (a text of one word, say) each is a passage of its
+    own, so that few passages can end at one word.
     """
-    number: dict[bytes, int] = {}
-    held, span = [], {}
     for _, group in groupby(rows, key=itemgetter(0)):
         group = list(group)
-        for row in group:
-            text = row[6]
-            if len(group) == 1:
-                if row[4] < row[5]:
-                    n = text.count(b" ") + 2 - window
-                    yield row[1], row[2], list(range(row[3], row[3] + n)), [row[4]] * n
-                continue
-            seq = tuple([number.setdefault(x, len(number)) for x in text.split(b" ")])
-            held.append((row, seq))
-            first, last = row[4], row[5]
-            for i in range(len(seq) - window + 1):
-                key = seq[i : i + window]
-                if (have := span.get(key)) is None:
-                    span[key] = (first, last, 1, row)
-                elif have[3] is not row:
-                    span[key] = (min(first, have[0]), max(last, have[1]), 2, row)
-    patterns = [(key, x[0]) for key, x in span.items() if x[2] > 1 and x[0] < x[1]]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, first in patterns:
-        automaton.add_word(key, first)
-    if patterns:
-        automaton.make_automaton()
-    for (_, k1, k2, base, first, last, _), seq in held:
-        found = {end - window + 1: x for end, x in automaton.iter(seq) if x < last} if patterns else {}
-        if first < last:
-            for i in range(len(seq) - window + 1):
-                found.setdefault(i, first)
-        if found:
-            yield k1, k2, [base + i for i in found], list(found.values())
+        if len(group) == 1:  # what only this segment holds recurs as its documents do
+            _, k1, k2, first, last, text = group[0]
+            if first < last:
+                yield from _runs(k1, k2, text.split(b" "), [first] * (text.count(b" ") + 2 - window), window)
+            continue
+        number: dict[bytes, int] = {}
+        span: dict[tuple, tuple[int, int]] = {}
+        held = []
+        for _, k1, k2, first, last, text in group:
+            parts = text.split(b" ")
+            seq = [number.setdefault(x, len(number)) for x in parts]
+            keys = [tuple(seq[i : i + window]) for i in range(len(seq) - window + 1)]
+            for key in keys:
+                have = span.get(key)
+                span[key] = (first, last) if have is None else (min(first, have[0]), max(last, have[1]))
+            held.append((k1, k2, parts, keys))
+        for k1, k2, parts, keys in held:
+            spans = [span[key] for key in keys]
+            yield from _runs(k1, k2, parts, [f if f < l else None for f, l in spans], window)
+
+
+def _runs(k1: int, k2: int, parts: list[bytes], firsts: list[int | None], window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    at = 0
+    for first, run in groupby(firsts):
+        n = sum(1 for _ in run)
+        if first is not None:
+            words_ = parts[at : at + n + window - 1]
+            if _distinct_windows(words_, window):
+                yield k1, k2, first, b" ".join(words_)
+            else:
+                for one in dict.fromkeys(tuple(words_[i : i + window]) for i in range(n)):
+                    yield k1, k2, first, b" ".join(one)
+        at += n
+
+
+_PASSAGE = "k1 long, k2 long, first long, passage binary"
+
+
+def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.int64()] * 3, pa.binary()))], ["k1", "k2", "first", "passage"])
 
 
 def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(k1, k2, offsets, firsts): the windows of each distinct segment that recur, and the first document of each."""
+    """(k1, k2, first, passage): the recurring passages of each distinct segment and their first documents."""
     distinct = cut.groupBy("k1", "k2", "anchor", "text").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     crowded = cut.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("crowded"))
     marked = distinct.join(crowded, "anchor", "left").select("anchor", "k1", "k2", "first", "last", "text", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["anchor", "k1", "k2", "base", "first", "last", "text"]
 
-    def deal(batches):
-        for batch in batches:
-            out = []
-            for anchor, k1, k2, first, last, text, crowd in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if not crowd:
-                    out.append((anchor, k1, k2, 0, first, last, text))
-                    continue
-                parts = text.split(b" ")
-                for i in range(len(parts) - window + 1):
-                    one = b" ".join(parts[i : i + window])
-                    out.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), k1, k2, i, first, last, one))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
-
-    def shards(batches):
+    def compare(batches):
         held, n, anchor = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if n >= _SHARD_WORDS and row[0] != anchor:
-                    yield _verdicts(held)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if n >= _GROUP_WORDS and row[0] != anchor:
+                    yield _passage_batch(list(_passages(held, window)))
                     held, n = [], 0
                 anchor = row[0]
                 held.append(row)
                 n += row[-1].count(b" ") + 1
-        yield _verdicts(held)
+        yield _passage_batch(list(_passages(held, window)))
+
+    def spread(batches):
+        for batch in batches:
+            out = []
+            for k1, k2, first, last, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "first", "last", "text")), strict=True):
+                parts = text.split(b" ")
+                out += [(k1, k2, first, last, b" ".join(x)) for x in dict.fromkeys(tuple(parts[i : i + window]) for i in range(len(parts) - window + 1))]
+                if len(out) >= 20_000:
+                    yield _window_batch(out)
+                    out = []
+            yield _window_batch(out)
+
+    def _window_batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.int64()] * 4, pa.binary()))], ["k1", "k2", "first", "last", "passage"])
+
+    plain = marked.filter("not crowded").drop("crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, _PASSAGE)
+    windows = marked.filter("crowded").mapInArrow(spread, "k1 long, k2 long, first long, last long, passage binary")
+    spans = windows.groupBy("passage").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first < last")
+    many = windows.select("k1", "k2", "passage").join(spans.select("passage", "first"), "passage").select("k1", "k2", "first", "passage")
+
+    def same(batches):
+        yield from batches
+
+    return map_written(plain.unionByName(many), same, _PASSAGE, "passages")
+
+
+# --- 4. automata -----------------------------------------------------------------------
+
 
-    def _verdicts(held):
-        rows = [(k1, k2, np.array(o, "<i4").tobytes(), np.array(f, "<i8").tobytes()) for k1, k2, o, f in _run_automaton(held, window)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["k1", "k2", "offsets", "firsts"])
+class _Automaton:
+    """Passages of a shard over word numbers; ``find`` gives (start, length, first document) of every occurrence in a text."""
 
-    dealt = marked.mapInArrow(deal, "anchor long, k1 long, k2 long, base int, first long, last long, text binary")
-    return map_written(dealt.repartition("anchor").sortWithinPartitions("anchor"), shards, "k1 long, k2 long, offsets binary, firsts binary", "repeats")
+    def __init__(self, patterns: dict[bytes, int]):
+        self.number: dict[bytes, int] = {}
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if patterns else None
+        for passage, first in patterns.items():
+            seq = tuple([self.number.setdefault(x, len(self.number) + 1) for x in passage.split(b" ")])
+            self.trie.add_word(seq, (len(seq), first))
+        if patterns:
+            self.trie.make_automaton()
 
+    def find(self, parts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        if self.trie is not None and parts:
+            get = self.number.get
+            for end, (length, first) in self.trie.iter(tuple([get(x, 0) for x in parts])):
+                yield end - length + 1, length, first
 
-# --- 4. removal ------------------------------------------------------------------------
 
+def _patterns(cut: DataFrame, passages: DataFrame, shards: int) -> DataFrame:
+    """(shard, first, passage): what the documents of a shard may hold from a smaller doc_id."""
+    wanted = cut.groupBy(_shard("doc", "text_hash", shards), "k1", "k2").agg(F.max("doc").alias("last"))
+    return wanted.join(passages, ["k1", "k2"]).filter("first < last").select("shard", "first", "passage")
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
+
+def _shard(doc: str, text_hash: str, shards: int):
+    return F.pmod(F.xxhash64(doc, text_hash), F.lit(shards)).alias("shard")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each of ``docs(doc_id, text)``; with the kept text if asked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = segments(docs, recurring_anchors(docs, window, gram), window, gram)
-    verdicts = confirmed(cut, window, hot)
-    marks = cut.select("doc", "text_hash", "at", "k1", "k2").join(verdicts, ["k1", "k2"])
+    size = input_bytes(docs)
+    shards = max(1, size // shard_bytes)
+    cut = segments(docs, recurring_anchors(docs, size, window, gram), window, gram)
+    passages = confirmed(cut, window, hot)
+    patterns = written(_patterns(cut, passages, shards), "patterns")
+    discard(cut, passages)
     none = lambda t: F.lit(None).cast(t)
-    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.lit(1).alias("kind"), "text", none("int").alias("at"), none("binary").alias("offsets"), none("binary").alias("firsts"))
-    marks = marks.select("doc", "text_hash", F.lit(0).alias("kind"), none("string").alias("text"), "at", "offsets", "firsts")
-    joined = texts.unionByName(marks).repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "kind")
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = keyed.select(_shard("doc_id", "text_hash", shards), F.lit(1).alias("kind"), "doc_id", "text", none("long").alias("first"), none("binary").alias("passage"))
+    joined = texts.unionByName(patterns.select("shard", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), "first", "passage"))
     kinds = [("doc_id", "long", pa.int64()), ("n_words", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("kept_sha256", "string", pa.string())] + [("kept", "string", pa.string())] * with_text
 
     def run(batches):
-        of, starts = None, []
+        of, automaton, found = None, None, {}
         held, size = [], 0
         for batch in batches:
-            for doc, h, kind, text, at, offsets, firsts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (doc, h) != of:
-                    of, starts = (doc, h), []
+            for shard, kind, doc, text, first, passage in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if shard != of:
+                    if held:
+                        yield _kept(held, automaton)
+                        held, size = [], 0
+                    of, automaton, found = shard, None, {}
                 if kind == 0:
-                    starts.append(at + np.frombuffer(offsets, "<i4")[np.frombuffer(firsts, "<i8") < doc])
+                    found[passage] = first
                     continue
-                held.append((doc, text or "", np.concatenate(starts) if starts else _NO_STARTS))
+                if automaton is None:
+                    automaton, found = _Automaton(found), {}
+                held.append((doc, text or ""))
                 size += len(text or "")
                 if size >= SLICE_BYTES or len(held) >= _FEW_ROWS:
-                    yield _kept(held)
+                    yield _kept(held, automaton)
                     held, size = [], 0
         if held:
-            yield _kept(held)
+            yield _kept(held, automaton)
+        release()
 
-    def _kept(held):
-        ids, texts, starts = zip(*held, strict=True)
+    def _kept(held, automaton):
+        ids, texts = zip(*held, strict=True)
         buf, off = flat(pa.array(texts, pa.string()))
         w = words(buf, off, NOT_SPACE)
-        at = np.concatenate([s + f for s, f in zip(starts, w.first[:-1].tolist(), strict=True)]).astype(np.int64)
-        edge = np.zeros(len(w.hash) + 1, np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
+        data, begin, end = spaced(buf, w)
+        parts = data.split(b" ") if data else []
+        edge = np.zeros(len(parts) + 1, np.int64)
+        bounds = list(zip(ids, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True))
+        for doc, a, b in bounds:
+            if doc is not None and b - a >= window:
+                for at, n, first in automaton.find(parts[a:b]):
+                    if first < doc:
+                        edge[a + at] += 1
+                        edge[a + at + n] -= 1
         gone = np.cumsum(edge[:-1]) > 0
         total = np.concatenate(([0], np.cumsum(gone)))
-        data, begin, end = spaced(buf, w)
         rows = []
-        for doc, a, b in zip(ids, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        for doc, a, b in bounds:
             removed = int(total[b] - total[a])
             if removed:
-                keep = a + np.flatnonzero(~gone[a:b])
-                kept = b" ".join([data[x:y] for x, y in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)])
+                kept = b" ".join([parts[i] for i in (a + np.flatnonzero(~gone[a:b])).tolist()])
             else:
                 kept = data[int(begin[a]) : int(end[b - 1])] if b > a else b""
             rows.append((doc, b - a, removed, hashlib.sha256(kept).hexdigest()) + (kept.decode(),) * with_text)
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(kinds)], [k[0] for k in kinds])
 
-    return joined.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in kinds))
+    dealt = joined.repartition("shard").sortWithinPartitions("shard", "kind")
+    return dealt.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in kinds))

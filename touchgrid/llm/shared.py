@@ -1,7 +1,8 @@
 """Folder that the driver and all executors share, and tables written there.
 
-``spark.checkpoint.dir`` names the folder.  Only where it is unset (tests, a
-laptop) is a local folder made and set for the session.
+``spark.checkpoint.dir`` names the folder.  Only where it is unset and the
+session is local (tests, a laptop) is a local folder made and set; a cluster
+without the setting is an error, as its machines would each write to their own.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _KEY = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # the folder of each local session without the setting
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,14 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="touchgrid-")
-        try:
-            spark.conf.set(_KEY, found)
-        except Exception as e:  # a static setting in some versions
-            if "CANNOT_MODIFY" not in str(e):
-                raise
-            spark.sparkContext._conf.set(_KEY, found)
-        spark.sparkContext.setCheckpointDir(found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{_KEY} is unset: tables between stages need a folder that the driver and all executors share")
+        found = _LOCAL.get(context.applicationId)
+        if found is None:
+            found = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="touchgrid-")
+            context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -94,7 +95,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(spark, name)
     with _cleaned(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` or ``map_written`` that nothing reads any more."""
+    for df in tables:
+        fs, root = _fs(df.stored_in)
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            fs.delete_dir(root)
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what the number of partitions and buckets goes by."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def release() -> None:
@@ -142,7 +158,9 @@ def map_written(df: DataFrame, make: Callable, schema: str, name: str) -> DataFr
 
     with _cleaned(spark):
         paths = [r[0] for r in df.mapInArrow(run, "path string").collect()]
-    return spark.read.schema(types).parquet(*paths) if paths else spark.createDataFrame([], types)
+    out = spark.read.schema(types).parquet(*paths) if paths else spark.createDataFrame([], types)
+    out.stored_in = folder
+    return out
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
