@@ -301,54 +301,60 @@ def _runs(k1: int, k2: int, parts: list[bytes], firsts: list[int | None], window
         at += n
 
 
-_PASSAGE = "k1 long, k2 long, first long, passage binary"
+_PASSAGE = "k1 long, k2 long, first long, last long, passage binary"
 
 
 def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.int64()] * 3, pa.binary()))], ["k1", "k2", "first", "passage"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.int64()] * 4, pa.binary()))], ["k1", "k2", "first", "last", "passage"])
 
 
-def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(k1, k2, first, passage): the recurring passages of each distinct segment and their first documents."""
+def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """((k1, k2, first, passage): the recurring passages of each distinct segment and their first documents; the table behind).
+
+    Segments are sorted by anchor.  Those of an anchor are compared once all are
+    there; if they are more than ``hot`` none is held: their windows go on as
+    rows (with a last document), which an aggregation counts.
+    """
     distinct = cut.groupBy("k1", "k2", "anchor", "text").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    crowded = cut.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("crowded"))
-    marked = distinct.join(crowded, "anchor", "left").select("anchor", "k1", "k2", "first", "last", "text", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+
+    def windows(row):
+        _, k1, k2, first, last, text = row
+        parts = text.split(b" ")
+        return [(k1, k2, first, last, b" ".join(x)) for x in dict.fromkeys(tuple(parts[i : i + window]) for i in range(len(parts) - window + 1))]
 
     def compare(batches):
-        held, n, anchor = [], 0, None
+        held, n, out = [], 0, []
+        anchor, start, over = None, 0, False  # the anchor that is being read, where its rows begin, whether they are too many
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if n >= _GROUP_WORDS and row[0] != anchor:
-                    yield _passage_batch(list(_passages(held, window)))
-                    held, n = [], 0
-                anchor = row[0]
-                held.append(row)
-                n += row[-1].count(b" ") + 1
-        yield _passage_batch(list(_passages(held, window)))
-
-    def spread(batches):
-        for batch in batches:
-            out = []
-            for k1, k2, first, last, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "first", "last", "text")), strict=True):
-                parts = text.split(b" ")
-                out += [(k1, k2, first, last, b" ".join(x)) for x in dict.fromkeys(tuple(parts[i : i + window]) for i in range(len(parts) - window + 1))]
+                if row[0] != anchor:
+                    if n >= _GROUP_WORDS:
+                        out += [(k1, k2, first, None, x) for k1, k2, first, x in _passages(held, window)]
+                        held, n = [], 0
+                    anchor, start, over = row[0], len(held), False
+                if over:
+                    out += windows(row)
+                else:
+                    held.append(row)
+                    n += row[-1].count(b" ") + 1
+                    if len(held) - start > hot:
+                        over = True
+                        for x in held[start:]:
+                            out += windows(x)
+                        del held[start:]
+                        n = sum(x[-1].count(b" ") + 1 for x in held)
                 if len(out) >= 20_000:
-                    yield _window_batch(out)
+                    yield _passage_batch(out)
                     out = []
-            yield _window_batch(out)
-
-    def _window_batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.int64()] * 4, pa.binary()))], ["k1", "k2", "first", "last", "passage"])
-
-    plain = marked.filter("not crowded").drop("crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, _PASSAGE)
-    windows = marked.filter("crowded").mapInArrow(spread, "k1 long, k2 long, first long, last long, passage binary")
-    spans = windows.groupBy("passage").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first < last")
-    many = windows.select("k1", "k2", "passage").join(spans.select("passage", "first"), "passage").select("k1", "k2", "first", "passage")
-
-    def same(batches):
-        yield from batches
+        out += [(k1, k2, first, None, x) for k1, k2, first, x in _passages(held, window)]
+        yield _passage_batch(out)
 
-    return map_written(plain.unionByName(many), same, _PASSAGE, "passages")
+    dealt = distinct.select("anchor", "k1", "k2", "first", "last", "text").repartition("anchor").sortWithinPartitions("anchor")
+    table = map_written(dealt, compare, _PASSAGE, "passages")
+    many = table.filter("last is not null")
+    spans = many.groupBy("passage").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first < last").select("passage", "first")
+    many = many.select("k1", "k2", "passage").join(spans, "passage").select("k1", "k2", "first", "passage")
+    return table.filter("last is null").drop("last").unionByName(many), table
 
 
 # --- 4. automata -----------------------------------------------------------------------
@@ -389,9 +395,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     size = input_bytes(docs)
     shards = max(1, size // shard_bytes)
     cut = segments(docs, recurring_anchors(docs, size, window, gram), window, gram)
-    passages = confirmed(cut, window, hot)
+    passages, table = confirmed(cut, window, hot)
     patterns = written(_patterns(cut, passages, shards), "patterns")
-    discard(cut, passages)
+    discard(cut, table)
     none = lambda t: F.lit(None).cast(t)
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = keyed.select(_shard("doc_id", "text_hash", shards), F.lit(1).alias("kind"), "doc_id", "text", none("long").alias("first"), none("binary").alias("passage"))
