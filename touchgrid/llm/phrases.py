@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .flat import NOT_SPACE, SLICE_BYTES, flat, grams, slices, sliding_min, spaced, words
-from .shared import discard, input_bytes, map_written, release, written
+from .shared import discard, input_bytes, map_written, release, without_collector, written
 
 WINDOW = 13
 GRAM = 5
@@ -202,6 +202,7 @@ def segments(docs: DataFrame, found: DataFrame, window: int = WINDOW, gram: int
     lists = found.select("doc", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("text_hash"), F.lit(None).cast("string").alias("text"), "data")
     joined = texts.unionByName(lists).repartition("doc").sortWithinPartitions("doc", "kind")
 
+    @without_collector
     def cut(batches):
         doc, data = None, []
         held, size = [], 0
@@ -322,6 +323,7 @@ def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> tuple[Dat
         parts = text.split(b" ")
         return [(k1, k2, first, last, b" ".join(x)) for x in dict.fromkeys(tuple(parts[i : i + window]) for i in range(len(parts) - window + 1))]
 
+    @without_collector
     def compare(batches):
         held, n, out = [], 0, []
         anchor, start, over = None, 0, False  # the anchor that is being read, where its rows begin, whether they are too many
@@ -365,18 +367,22 @@ class _Automaton:
 
     def __init__(self, patterns: dict[bytes, int]):
         self.number: dict[bytes, int] = {}
-        self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if patterns else None
-        for passage, first in patterns.items():
-            seq = tuple([self.number.setdefault(x, len(self.number) + 1) for x in passage.split(b" ")])
-            self.trie.add_word(seq, (len(seq), first))
+        self.length: list[int] = []
+        self.first = list(patterns.values())
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE) if patterns else None
+        number = self.number
+        for i, passage in enumerate(patterns):
+            seq = tuple([number.setdefault(x, len(number) + 1) for x in passage.split(b" ")])
+            self.length.append(len(seq))
+            self.trie.add_word(seq, i)
         if patterns:
             self.trie.make_automaton()
 
-    def find(self, parts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        if self.trie is not None and parts:
-            get = self.number.get
-            for end, (length, first) in self.trie.iter(tuple([get(x, 0) for x in parts])):
-                yield end - length + 1, length, first
+    def find(self, parts: list[bytes]) -> list[tuple[int, int, int]]:
+        if self.trie is None or not parts:
+            return []
+        get, length, first = self.number.get, self.length, self.first
+        return [(end - length[i] + 1, length[i], first[i]) for end, i in self.trie.iter(tuple([get(x, 0) for x in parts]))]
 
 
 def _patterns(cut: DataFrame, passages: DataFrame, shards: int) -> DataFrame:
@@ -404,6 +410,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     joined = texts.unionByName(patterns.select("shard", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), "first", "passage"))
     kinds = [("doc_id", "long", pa.int64()), ("n_words", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("kept_sha256", "string", pa.string())] + [("kept", "string", pa.string())] * with_text
 
+    @without_collector
     def run(batches):
         of, automaton, found = None, None, {}
         held, size = [], 0

@@ -8,6 +8,7 @@ without the setting is an error, as its machines would each write to their own.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -120,6 +121,21 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def without_collector(make: Callable) -> Callable:
+    """``make`` with the cycle collector off: it would walk millions of words, none of which is in a cycle."""
+
+    def run(batches):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from make(batches)
+        finally:
+            if on:
+                gc.enable()
+
+    return run
+
+
 def map_written(df: DataFrame, make: Callable, schema: str, name: str) -> DataFrame:
     """``df.mapInArrow(make, schema)`` as a table in the shared folder, written where it is made.
 
