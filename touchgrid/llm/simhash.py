@@ -16,7 +16,9 @@ alternating large-star and small-star steps on tables in the shared folder.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a
 null doc_id stays null and never names a component while another id is there.
-Repeated rows each give a row.  An empty table gives no row.
+A bit that exactly half of the hashes set is 0.  Repeated rows each give a row.
+Texts of any length are read whole, their bits counted in parts.  An empty table
+gives no row.  Other columns, whatever their names, stay with their rows.
 """
 
 from __future__ import annotations
@@ -255,9 +257,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUP
     return table.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, with all its columns: the smallest doc_id (of rows equal in it, the least text hash)."""
-    found = written(near_duplicates(docs.select("doc_id", "text")), "components")
+    found = written(near_duplicates(docs.select("doc_id", "text"), shingle), "components")
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"), alone.alias("_fp")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n"))
     kept = written(kept, "kept")
