@@ -1,9 +1,15 @@
-"""Corpus pipeline: quality classifier, line dedup, near-dedup by word shingles, benchmark decontamination, BPE.
+"""Corpus pipeline: quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  ``run`` writes the result of each
 stage to the shared folder and reads it again, so a lost executor costs at most
 a stage.
+
+All stages: a null text counts as an empty one and passes where it breaks no
+rule; null doc_ids stay null; texts of any length are read whole; columns
+beside doc_id and text stay with their rows whatever their names; an empty
+table gives an empty table.  Repeated rows are judged alike, and near-dedup
+leaves one of them.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchgrid.llm import bpe, decontaminate, lines, near_copies, resample
+from touchgrid.llm import bpe, decontaminate, lines, near_copies, resample, simhash
 from touchgrid.llm.shared import small_batches, written
 
 
@@ -20,27 +26,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling draws."""
+    """Documents that the importance resampling draws, after its screen for toxic text.  Ties in the key go by doc_id, then text."""
     return resample.keep_good(small_batches(docs), _table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier one."""
+    """Documents without lines that match an earlier one; n_chars follows, and what loses all its lines goes.  Lines at one place tie and stay."""
     return lines.without_later_lines(small_batches(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, Jaccard 0.8."""
-    return near_copies.keep_one(small_batches(docs))
+    """One document of each group of near copies, by five-word shingles: the smallest doc_id, of equal ones the least text hash.
+
+    SimHash groups come first.  Two bits of a fingerprint find near-identical
+    texts only, so an exact join at Jaccard 0.8 takes the other near copies.
+    """
+    one = written(simhash.keep_one(small_batches(docs), near_copies.SHINGLE), "one-per-fingerprint")
+    return near_copies.keep_one(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with a benchmark item."""
+    """Documents that share no window with a benchmark item, word for word."""
     return decontaminate.keep_clean(small_batches(docs), _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each document."""
+    """doc_id, token count and digests of each document; repeated rows each give one."""
     return bpe.encode_decode(small_batches(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
