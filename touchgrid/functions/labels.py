@@ -78,6 +78,11 @@ def camera_text(pan, zoom_state, zoom, dx, is_cut=None, cuts=None, relinked=None
     )
 
 
+def speed_badge(speed) -> Column:
+    """The speed beside a player, from 2.5 km/h on."""
+    return F.when(_c(speed) >= 2.5, F.format_string(" %.1fkm/h", _c(speed))).otherwise("")
+
+
 def safe_filename(name) -> Column:
     """Only letters, digits, dot, dash and underscore stay."""
     return F.regexp_replace(_c(name), r"[^A-Za-z0-9._-]", "_")

@@ -99,10 +99,12 @@ def recalibration(interval: int, first: int = 0, frame="frame_idx", is_cut=None)
     return keyframe(interval, frame, is_cut) | (F.col(frame) == first)
 
 
-def sampled_frames(frames: DataFrame, total: int, most: int, step: int = 1) -> DataFrame:
-    """An even sample of at most ``most`` frames; the condition prunes a table partitioned by frame."""
-    step = max(1, total // most) if total > most else step
-    return frames.filter((F.col("frame_idx") % step == 0) & (F.col("frame_idx") < step * most))
+def sampled_frames(frames: DataFrame, most: int) -> DataFrame:
+    """An even sample of at most ``most`` frames of each match, whatever its length."""
+    length = frames.groupBy("match_id").agg((F.max("frame_idx") + 1).alias("length"))
+    step = F.greatest(F.lit(1), F.floor(F.col("length") / most))
+    df = frames.join(length.select("match_id", step.alias("step")), "match_id")
+    return df.filter((F.col("frame_idx") % F.col("step") == 0) & (F.col("frame_idx") < F.col("step") * most)).drop("step")
 
 
 def first_frames(frames: DataFrame, n: int) -> DataFrame:

@@ -47,8 +47,10 @@ def homography_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def kinematics_metrics(speeds: DataFrame, most: float = 38.0) -> DataFrame:
+    """Share of valid speeds, and mean, top and variance of those alone (0 without any)."""
     s = F.col("speed_kmh")
-    return speeds.groupBy("match_id").agg((F.count_if(s <= most) / F.count("*") * 100.0).alias("valid_pct"), F.avg(s).alias("mean_kmh"), F.max(s).alias("max_kmh"), F.var_pop(s).alias("variance"))
+    valid = F.when(s <= most, s)
+    return speeds.groupBy("match_id").agg((F.count(valid) / F.count("*") * 100.0).alias("valid_pct"), *(F.coalesce(f(valid), F.lit(0.0)).alias(n) for f, n in ((F.avg, "mean_kmh"), (F.max, "max_kmh"), (F.var_pop, "variance"))))
 
 
 def composite_score(map50, mota, valid_pct):

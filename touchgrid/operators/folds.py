@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -39,8 +38,12 @@ def missing(x) -> bool:
 # --- smoothed speed: rounding feeds back ----------------------------------------
 
 
+def smoothed(state: float, kmh: float, alpha: float = 0.75) -> float:
+    return round(alpha * state + (1.0 - alpha) * kmh, 1)
+
+
 def smooth_speed(state: float, row: dict, alpha: float = 0.75) -> tuple[float, dict]:
-    now = round(alpha * state + (1.0 - alpha) * row["speed_kmh"], 1)
+    now = smoothed(state, row["speed_kmh"], alpha)
     return now, {"frame_idx": row["frame_idx"], "smoothed_kmh": now}
 
 
@@ -122,8 +125,9 @@ class Kalman:
         return 0.0 if self.x is None else float(math.hypot(self.x[2], self.x[3]))
 
 
-def ball_start() -> dict:
-    return {"pixel": Kalman(), "metric": Kalman(), "last": None, "lost": 0, "seen": None}
+def ball_start(fps: float = 25.0) -> dict:
+    """Pixels move with more noise than metres: the two filters have their own."""
+    return {"pixel": Kalman(1.0 / fps), "metric": Kalman(1.0 / fps, process=3.0, noise=0.4), "last": None, "lost": 0, "seen": None}
 
 
 def ball_step(state: dict, row: dict, fps: float = 25.0, most_kmh: float = 140.0, gap: int = 6, jump_px: float = 380.0) -> tuple[dict, dict]:
@@ -238,12 +242,13 @@ def coast_frame(state: dict, frame: int, rows: list[dict], most: int = 4, forget
     return state, out
 
 
-def frames_of(pdf: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
-    """Frames of a match in order, those without boxes between the first and the last included."""
-    by = {f: g.to_dict("records") for f, g in pdf.sort_values(["frame_idx", "det_idx"], kind="stable").groupby("frame_idx", sort=True)}
-    if by:
-        for f in range(min(by), max(by) + 1):
-            yield f, by.get(f, [])
-
+def frames_of(pdf: pd.DataFrame, forget: int = 45) -> Iterator[tuple[int, list[dict]]]:
+    """Frames of a match in order; of a run of frames without boxes the first ``forget`` + 1, after which no track is left."""
+    last = None
+    for f, g in pdf.sort_values(["frame_idx", "det_idx"], kind="stable").groupby("frame_idx", sort=True):
+        if last is not None:
+            for empty in range(last + 1, min(f, last + forget + 2)):
+                yield empty, []
+        yield f, g.to_dict("records")
+        last = f
 
-smooth_speed_75 = partial(smooth_speed, alpha=0.75)

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from . import folds
+from .detections import BALL, sane
+from .kinematics import box_velocity
 
 CONFLICT = 99.0
 
 
 def gallery(observations: DataFrame, keep: float = 0.85) -> DataFrame:
-    """Appearance of each track: a normalised moving average of unit vectors; latest team, role and place stay."""
+    """Appearance of each track: a normalised moving average of unit vectors; the latest place, and the latest known team and role (0 or more), stay."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx", kind="stable")
@@ -23,10 +25,19 @@ def gallery(observations: DataFrame, keep: float = 0.85) -> DataFrame:
             v = e if v is None else keep * v + (1 - keep) * e
             n = np.linalg.norm(v)
             v = v / n if n > 0 else v
-        known = lambda c: pdf[c].dropna().iloc[-1] if pdf[c].notna().any() else None
-        return pd.DataFrame([{"match_id": pdf["match_id"].iloc[0], "track_id": pdf["track_id"].iloc[0], "emb": v.tolist(), "team_id": known("team_id"), "x_m": known("x_m"), "y_m": known("y_m"), "last_seen": pdf["frame_idx"].iloc[-1], "n": len(pdf)}])
 
-    return observations.groupBy("match_id", "track_id").applyInPandas(run, "match_id long, track_id long, emb array<double>, team_id long, x_m double, y_m double, last_seen long, n long")
+        def known(c, least=None):
+            found = pdf[c].dropna()
+            found = found if least is None else found[found >= least]
+            return None if found.empty else found.iloc[-1]
+
+        return pd.DataFrame([{"match_id": pdf["match_id"].iloc[0], "track_id": pdf["track_id"].iloc[0], "emb": v.tolist(), "team_id": known("team_id", 0), "role_id": known("role_id", 0), "x_m": known("x_m"), "y_m": known("y_m"), "last_seen": pdf["frame_idx"].iloc[-1], "n": len(pdf)}])
+
+    return _with_role(observations).groupBy("match_id", "track_id").applyInPandas(run, "match_id long, track_id long, emb array<double>, team_id long, role_id long, x_m double, y_m double, last_seen long, n long")
+
+
+def _with_role(df: DataFrame) -> DataFrame:
+    return df if "role_id" in df.columns else df.withColumn("role_id", F.lit(None).cast("long"))
 
 
 def active(tracks: DataFrame, now: int, age: int = 300) -> DataFrame:
@@ -34,13 +45,14 @@ def active(tracks: DataFrame, now: int, age: int = 300) -> DataFrame:
 
 
 def pair_costs(candidates: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Cost of each candidate and track of a match: 1 - cosine and a distance prior; a team conflict costs ``CONFLICT``.
+    """Cost of each candidate and track of a match: 1 - cosine and a distance prior; known teams or roles that differ cost ``CONFLICT``.
 
     Both sides of a cut are a few dozen rows; the equi key is the match.
     """
-    t = tracks.select("match_id", "track_id", F.col("emb").alias("t_emb"), F.col("team_id").alias("t_team"), F.col("x_m").alias("t_x"), F.col("y_m").alias("t_y"))
-    pairs = candidates.join(t, "match_id")
-    conflict = F.coalesce(F.col("team_id") != F.col("t_team"), F.lit(False))
+    t = _with_role(tracks).select("match_id", "track_id", F.col("emb").alias("t_emb"), F.col("team_id").alias("t_team"), F.col("role_id").alias("t_role"), F.col("x_m").alias("t_x"), F.col("y_m").alias("t_y"))
+    pairs = _with_role(candidates).join(t, "match_id")
+    differ = lambda a, b: F.coalesce((F.col(a) >= 0) & (F.col(b) >= 0) & (F.col(a) != F.col(b)), F.lit(False))
+    conflict = differ("team_id", "t_team") | differ("role_id", "t_role")
     away = G.distance("x_m", "y_m", "t_x", "t_y")
     prior = F.when(away.isNull(), 0.0).otherwise(0.20 * F.least(F.lit(1.0), away / 40.0))
     return pairs.select("match_id", "det_idx", "track_id", F.when(conflict, CONFLICT).otherwise(1.0 - G.cosine("emb", "t_emb") + prior).alias("cost"))
@@ -113,13 +125,11 @@ def coasted(dets: DataFrame) -> DataFrame:
 
 
 def propagated_boxes(dets: DataFrame) -> DataFrame:
-    """Boxes on a skipped frame: moved by nine tenths of their velocity, a little less sure."""
-    from .kinematics import box_velocity
-
+    """Boxes on a skipped frame: moved by nine tenths of their velocity, a little less sure; what leaves all bounds is gone."""
     df = box_velocity(dets)
     dx, dy = (0.9 * F.coalesce(c, F.lit(0.0)) for c in ("vx", "vy"))
     moved = df.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy, "conf": F.col("conf") * 0.98, "frame_idx": F.col("frame_idx") + 1})
-    return moved.drop("vx", "vy")
+    return sane(moved.drop("vx", "vy"), "x1", "y1", "x2", "y2")
 
 
 class Tracker:
@@ -192,3 +202,134 @@ def associated(dets: DataFrame, cut_frames: DataFrame | None = None) -> DataFram
 
     cols = ["match_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2", "conf", "cut"]
     return df.select(*cols).groupBy("match_id").applyInPandas(run, "match_id long, frame_idx long, det_idx long, track_id long")
+
+
+class MatchTracker:
+    """One step a frame of the whole tracking: cuts, camera motion, association, re-identification, coasting.
+
+    A cut forgets boxes and velocities; boxes of the cut frame are held against
+    the gallery, and a track that is recognised keeps its old number from then
+    on.  Tracks that are missing coast for ``coast`` frames and are forgotten
+    after ``forget``; gallery entries expire after ``age`` frames.  The state
+    is this object: batch and stream run the same ``step``.
+    """
+
+    def __init__(self, most: float = 0.42, keep: float = 0.85, coast: int = 4, forget: int = 45, age: int = 300):
+        self.most, self.keep, self.coast, self.forget, self.age = most, keep, coast, forget, age
+        self.tracker = Tracker()
+        self.alias: dict[int, int] = {}
+        self.gallery: dict[int, dict] = {}
+        self.last: dict[int, dict] = {}
+        self.reassigned = 0
+
+    def _warp(self, affine) -> None:
+        a, b, c, d, e, f = (float(x) for x in affine)
+        for t, s in list(self.last.items()):
+            xs, ys = s["box"][[0, 2, 2, 0]], s["box"][[1, 1, 3, 3]]
+            u, v = a * xs + b * ys + c, d * xs + e * ys + f
+            if not (np.isfinite(u).all() and np.isfinite(v).all()) or max(np.abs(u).max(), np.abs(v).max()) > 10_000:
+                del self.last[t]
+                continue
+            s["box"] = np.array([u.min(), v.min(), u.max(), v.max()])
+            if t in self.tracker.tracks:
+                self.tracker.tracks[t]["box"] = s["box"]
+
+    def _recognise(self, frame: int, rows: list[dict], ids: list[int]) -> None:
+        known = [t for t, g in self.gallery.items() if frame - g["seen"] <= self.age]
+        which = [i for i, t in enumerate(ids) if t >= 0 and rows[i].get("emb") is not None]
+        if not known or not which:
+            return
+        cost = np.full((len(which), len(known)), CONFLICT)
+        for a, i in enumerate(which):
+            r, e = rows[i], unit(rows[i]["emb"])
+            for b, t in enumerate(known):
+                g = self.gallery[t]
+                if any(not folds.missing(r.get(c)) and r[c] >= 0 and g[c] is not None and r[c] != g[c] for c in ("team_id", "role_id")):
+                    continue
+                cost[a, b] = 1.0 - float(np.clip(e @ g["emb"], -1.0, 1.0))
+                if g["at"] is not None and not folds.missing(r.get("x_m")):
+                    cost[a, b] += 0.20 * min(1.0, float(np.hypot(r["x_m"] - g["at"][0], r["y_m"] - g["at"][1])) / 40.0)
+        for a, b in assignment(cost):
+            if cost[a, b] <= self.most:
+                self.alias[ids[which[a]]] = known[b]
+                self.reassigned += 1
+
+    def _remember(self, frame: int, r: dict, t: int) -> None:
+        if r.get("emb") is None:
+            return
+        e, g = unit(r["emb"]), self.gallery.get(t)
+        known = lambda c: None if folds.missing(r.get(c)) or r[c] < 0 else int(r[c])
+        at = None if folds.missing(r.get("x_m")) else (r["x_m"], r["y_m"])
+        if g is None:
+            self.gallery[t] = {"emb": e, "team_id": known("team_id"), "role_id": known("role_id"), "at": at, "seen": frame}
+            return
+        g["emb"], g["seen"] = unit(self.keep * g["emb"] + (1 - self.keep) * e), frame
+        g["at"] = at or g["at"]
+        for c in ("team_id", "role_id"):
+            g[c] = g[c] if known(c) is None else known(c)
+
+    def step(self, frame: int, rows: list[dict], is_cut: bool = False, affine=None) -> list[dict]:
+        """Boxes of a frame with their tracks, coasted boxes after them, the ball (track -1) last."""
+        people, balls = [r for r in rows if r["class_id"] != BALL], [r for r in rows if r["class_id"] == BALL]
+        if is_cut:
+            self.tracker.tracks.clear()
+            self.last.clear()
+        elif affine is not None:
+            self._warp(affine)
+        boxes = np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in people], float).reshape(-1, 4)
+        ids = self.tracker.frame(boxes, np.array([r["conf"] for r in people], float))
+        if is_cut:
+            self._recognise(frame, people, ids)
+        out, seen = [], set()
+        box = lambda b: dict(zip(("x1", "y1", "x2", "y2"), map(float, b), strict=True))
+        for r, t, b in zip(people, ids, boxes, strict=True):
+            if t < 0:
+                continue
+            old, now = self.last.get(t), (b[:2] + b[2:]) / 2
+            v = now - (old["box"][:2] + old["box"][2:]) / 2 if old else np.zeros(2)
+            self.last[t] = {"box": b, "v": v, "lost": 0}
+            seen.add(t)
+            name = self.alias.get(t, t)
+            self._remember(frame, r, name)
+            out.append({"frame_idx": frame, "track_id": name, "class_id": int(r["class_id"]), **box(b), "conf": float(r["conf"]), "coasted": False})
+        for t in [t for t in self.last if t not in seen]:
+            s = self.last[t]
+            s["lost"] += 1
+            if s["lost"] > self.forget:
+                del self.last[t]
+            elif s["lost"] <= self.coast and not is_cut:
+                shift = s["v"] * 0.85 ** s["lost"]
+                s["box"] = s["box"] + np.concatenate([shift, shift])
+                out.append({"frame_idx": frame, "track_id": self.alias.get(t, t), "class_id": 0, **box(s["box"]), "conf": 0.5, "coasted": True})
+        self.gallery = {t: g for t, g in self.gallery.items() if frame - g["seen"] <= self.age}
+        live = self.last.keys() | self.tracker.tracks.keys()
+        self.alias = {t: n for t, n in self.alias.items() if t in live}
+        out += [{"frame_idx": frame, "track_id": -1, "class_id": BALL, **box([r["x1"], r["y1"], r["x2"], r["y2"]]), "conf": float(r["conf"]), "coasted": False} for r in balls]
+        return out
+
+
+def unit(e) -> np.ndarray:
+    v = np.asarray(e, float)
+    n = np.linalg.norm(v)
+    return v / n if n > 1e-6 else v
+
+
+def tracked(dets: DataFrame, cut_frames: DataFrame | None = None) -> DataFrame:
+    """``MatchTracker`` over the frames of each match.
+
+    ``dets`` (match_id, frame_idx, det_idx, class_id, x1, y1, x2, y2, conf) may
+    carry emb, team_id, role_id, x_m, y_m for re-identification at cuts.
+    """
+    cut = F.lit(False) if cut_frames is None else F.coalesce("cut", F.lit(False))
+    df = dets if cut_frames is None else dets.join(cut_frames.select("match_id", "frame_idx", F.lit(True).alias("cut")).distinct(), ["match_id", "frame_idx"], "left")
+    extra = [c for c in ("emb", "team_id", "role_id", "x_m", "y_m") if c in dets.columns]
+    names = ["match_id", "frame_idx", "track_id", "class_id", "x1", "y1", "x2", "y2", "conf", "coasted"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracker, out = MatchTracker(), []
+        for frame, rows in folds.frames_of(pdf):
+            out += tracker.step(frame, rows, any(r["cut"] for r in rows))
+        return pd.DataFrame(out, columns=names[1:]).assign(match_id=pdf["match_id"].iloc[0])[names]
+
+    df = df.select("match_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2", "conf", *extra, cut.alias("cut"))
+    return df.groupBy("match_id").applyInPandas(run, "match_id long, frame_idx long, track_id long, class_id long, x1 double, y1 double, x2 double, y2 double, conf double, coasted boolean")

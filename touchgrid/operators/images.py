@@ -115,9 +115,9 @@ def edges(px: np.ndarray, threshold: float = 100.0) -> np.ndarray:
 
 
 def edge_change(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of edge pixels that only one frame has."""
-    both = (a | b).sum()
-    return float((a ^ b).sum() / both) if both else 0.0
+    """Edge pixels that only one frame has, by the edge pixels of both frames added up."""
+    total = int(a.sum()) + int(b.sum())
+    return float((a ^ b).sum() / total) if total else 0.0
 
 
 def lab(px: np.ndarray) -> np.ndarray:

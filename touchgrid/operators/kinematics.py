@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G, models as M
 from .detections import kinematic_points
+from .folds import smoothed
 
 KEYS = ["match_id", "track_id"]
 
@@ -82,10 +83,10 @@ def player_metrics(positions: DataFrame, fps: float = 25.0, window: int = 18, le
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx", kind="stable")
         kmh = 3.6 * regression_speed(pdf["frame_idx"].to_numpy(float) / fps, pdf["x_m"].to_numpy(float), pdf["y_m"].to_numpy(float), window, least)
-        kmh = np.where(kmh < least_kmh, 0.0, np.minimum(kmh, most_kmh))
+        kmh = np.round(np.where(kmh < least_kmh, 0.0, np.minimum(kmh, most_kmh)), 9)  # noise of the last bits must not decide a rounding below
         smooth, now = np.empty(len(kmh)), 0.0
         for i, v in enumerate(kmh.tolist()):
-            now = round(alpha * now + (1.0 - alpha) * v, 1)
+            now = smoothed(now, v, alpha)
             smooth[i] = now
         return pd.DataFrame({"match_id": pdf["match_id"], "track_id": pdf["track_id"], "frame_idx": pdf["frame_idx"], "speed_kmh": kmh, "smoothed_kmh": smooth, "top_kmh": np.maximum.accumulate(kmh)})
 
@@ -121,6 +122,16 @@ def drawn_trail_steps(points: DataFrame, x: str, y: str, length: int = 10, least
     return df.withColumn("n_drawn", F.when((F.size(t) > 1) & (net >= least_net), drawn).otherwise(0)).drop("trail")
 
 
+def comet(points: DataFrame, x: str, y: str, keep: int = 25, shown: int = 14, jump: float = 200.0) -> DataFrame:
+    """Per point: how many of the last ``shown`` points of the ball's trail there are, and how many of their steps are drawn (no jumps, no absurd places)."""
+    w = W.partitionBy("match_id").orderBy("frame_idx").rowsBetween(1 - min(keep, shown), 0)
+    df = points.withColumn("trail", F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(w))
+    t = F.col("trail")
+    sane_at = lambda p: (F.abs(p["x"]) <= 10_000) & (F.abs(p["y"]) <= 10_000)
+    pairs = F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: sane_at(a) & sane_at(b) & (F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])) <= jump))
+    return df.withColumns({"n_trail": F.size(t), "n_drawn": F.size(F.filter(pairs, lambda ok: ok))}).drop("trail")
+
+
 def box_velocity(dets: DataFrame) -> DataFrame:
     """Shift of the box centre since the track's last box."""
     w = _track()

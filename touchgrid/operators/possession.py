@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
@@ -75,7 +77,7 @@ def carrier_boxes(poss: DataFrame, dets: DataFrame) -> DataFrame:
     return dets.join(held, [*FRAME, "track_id"])
 
 
-def ball_states(detections: DataFrame) -> DataFrame:
+def ball_states(detections: DataFrame, fps: float = 25.0) -> DataFrame:
     """Kalman-filtered ball of each frame of ``detections`` (frame_idx, cx, cy, mx, my, w, h, conf; null: not seen)."""
     schema = "match_id long, frame_idx long, cx double, cy double, x_m double, y_m double, speed_kmh double, w double, h double, interpolated boolean, conf double"
-    return folds.fold(detections, ["match_id"], ["frame_idx"], folds.ball_step, folds.ball_start, schema)
+    return folds.fold(detections, ["match_id"], ["frame_idx"], partial(folds.ball_step, fps=fps), partial(folds.ball_start, fps), schema)

@@ -40,11 +40,19 @@ def role_counts(roles: DataFrame) -> DataFrame:
     return roles.groupBy(*FRAME).agg(n(0, 3).alias("team_a"), n(1, 4).alias("team_b"), n(2).alias("referees"), n(3).alias("keepers_a"), n(4).alias("keepers_b"), n(5).alias("coaches"))
 
 
-def kit_clusters(kits: DataFrame, k: int = 2, seed: int = 42) -> DataFrame:
-    """K-means over mean jersey colours (r, g, b); a track gets its most frequent cluster."""
+def kit_clusters(kits: DataFrame, k: int = 2, seed: int = 42, starts: int = 10) -> DataFrame:
+    """K-means over mean jersey colours (r, g, b), the best of ``starts`` runs; a track gets its most frequent cluster.
+
+    Clusters are numbered by their centres (r, then g, then b), so numbers do
+    not hang on the run.  ``votes``: how many of the track's n kits said so.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    points = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(kits)
-    found = KMeans(k=k, seed=seed).fit(points).transform(points)
-    return found.groupBy("match_id", "track_id").agg(F.mode("prediction", True).alias("cluster"), F.count("*").alias("n"))
+    points = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(kits).persist()
+    model = min((KMeans(k=k, seed=seed + i).fit(points) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+    number = F.array(*(F.lit(order.index(i)) for i in range(len(order))))
+    found = model.transform(points).groupBy("match_id", "track_id", number[F.col("prediction")].alias("cluster")).agg(F.count("*").alias("votes"))
+    points.unpersist()
+    return found.groupBy("match_id", "track_id").agg(F.max_by(F.struct("cluster", "votes"), F.struct("votes", -F.col("cluster"))).alias("top"), F.sum("votes").alias("n")).select("match_id", "track_id", "top.cluster", "top.votes", "n")

@@ -46,6 +46,12 @@ def processed_rows(positions: DataFrame, boxes: DataFrame, metrics: DataFrame, s
     )
 
 
+def flat(summaries: DataFrame) -> DataFrame:
+    """The structs of ``match_summary`` as columns named part_field: the row of a dashboard."""
+    parts = [c for c in summaries.columns if c != "match_id"]
+    return summaries.select("match_id", *(F.col(f"{p}.{f}").alias(f"{p}_{f}") for p in parts for f in summaries.schema[p].dataType.names))
+
+
 def match_summary(**parts: DataFrame) -> DataFrame:
     """One row per match with a struct for each part (nulls where a part has no row)."""
     out = None

@@ -110,7 +110,31 @@ def keyframes(motion):
 
 @query("motion")
 def sampled_frames(motion):
-    return D.sampled_frames(motion, 3000, 100).select("match_id", "frame_idx")
+    return D.sampled_frames(motion, 100).select("match_id", "frame_idx")
+
+
+@query("box")
+def mask_boxes(box):
+    """Boxes whose foot pixel is in a raster that the feet of every third box span."""
+    feet = D.with_feet(box.filter("det_idx % 3 = 0"))
+    mask = feet.select("match_id", "frame_idx", F.col("foot_x").cast("int").alias("px"), F.col("foot_y").cast("int").alias("py"))
+    return D.on_mask(box, mask).select("match_id", "frame_idx", "det_idx", "class_id")
+
+
+@query("ball")
+def ball_comet(ball):
+    return kinematics.comet(ball.withColumns({"cx": F.col("x_m") * 10, "cy": F.col("y_m") * 10}), "cx", "cy").select("match_id", "frame_idx", "n_trail", "n_drawn")
+
+
+@query("smooth")
+def speed_badges(smooth):
+    return kinematics.player_metrics(smooth).select("match_id", "track_id", "frame_idx", L.speed_badge("smoothed_kmh").alias("badge"))
+
+
+@query("poss")
+def possession_texts(poss):
+    df = possession.account(poss.withColumn("contested", F.col("frame_idx") % 5 == 0))
+    return df.select("match_id", "frame_idx", L.possession_text("a_pct", 100.0 - F.col("a_pct")).alias("shares"), L.carrier_text("holder_id", "contested").alias("carrier"))
 
 
 @query("motion")
@@ -205,12 +229,18 @@ def space_control(pos):
 
 @query("pos")
 def side_centroids(pos):
-    return space.with_side(pos).filter("side is not null").groupBy("match_id", "frame_idx", "side").agg(r(F.avg("x_m"), 3, "cx"), r(F.avg("y_m"), 3, "cy"), F.count("*").alias("n"))
+    return space.centroids(pos)
 
 
 @query("pos")
 def side_hulls(pos):
-    return space.hulls(pos).select("match_id", "frame_idx", "side", "area_m2", F.coalesce(F.size("hull"), F.lit(0)).alias("n_vertices"))
+    corner = lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))
+    return space.hulls(pos).select("match_id", "frame_idx", "side", "area_m2", F.coalesce(F.size("hull"), F.lit(0)).alias("n_vertices"), F.array_join(F.transform("hull", corner), ",").alias("hull"))
+
+
+@query("pos")
+def frame_summaries(pos):
+    return space.frame_summary(pos)
 
 
 @query("pos")
@@ -276,7 +306,7 @@ def carrier_places(ball, pos):
 
 @query("pos")
 def kit_clusters(pos):
-    return roles.kit_clusters(pos.select("match_id", "track_id", F.col("hue").cast("double").alias("r"), F.col("sat").cast("double").alias("g"), F.col("val").cast("double").alias("b"))).select("match_id", "track_id", "n")
+    return roles.kit_clusters(pos.select("match_id", "track_id", F.col("hue").cast("double").alias("r"), F.col("sat").cast("double").alias("g"), F.col("val").cast("double").alias("b")))
 
 
 @query("ball")
@@ -304,13 +334,24 @@ def match_events_fold(poss):
 
 @query("poss")
 def event_summary(poss):
-    return events.summary(events.detect(poss)).drop("pass_text_a", "pass_text_b")
+    return events.summary(events.detect(poss))
 
 
 @query("poss")
 def event_texts(poss):
-    df = events.with_text(events.detect(poss)).filter(F.col("event_type").isin("INTERCEPTION", "TACKLE"))
-    return df.select("match_id", "event_id", "clock", "description")
+    return events.with_text(events.detect(poss)).select("match_id", "event_id", "clock", "description")
+
+
+@query("poss", "crowd")
+def event_shots(poss, crowd):
+    """xG of the shots among the events of a match."""
+    return threat.shots(threat.shots_of_events(events.detect(poss)), crowd).select("match_id", "shot_id", "shooter_id", "team_id", "defenders", r("dist_m", 4, "dist_m"), r("angle_deg", 4, "angle_deg"), r("xg", 5, "xg"))
+
+
+@query("poss")
+def event_passes(poss):
+    """Threat of the passes among the events of a match."""
+    return threat.valued_passes(threat.passes_of_events(events.detect(poss))).select("match_id", "action_id", "passer_id", "receiver_id", r("delta_xt", 6, "delta_xt"), "progressive", r("length_m", 4, "length_m"))
 
 
 @query("poss")
@@ -320,7 +361,7 @@ def active_events(poss):
 
 @query("poss")
 def event_timeline(poss):
-    return events.timeline(events.detect(poss)).select("match_id", F.explode("events").alias("e")).select("match_id", "e.event_id", "e.event_type")
+    return events.timeline(events.detect(poss)).select("match_id", F.explode("events").alias("e")).select("match_id", "e.event_id", "e.event_type", "e.frame_idx")
 
 
 # --- threat ---
@@ -433,6 +474,24 @@ def pitch_boundaries(motion):
     return camera.smoothed_boundaries(motion.select("match_id", "frame_idx", F.when(seen, 100 + F.col("dx")).alias("top_y"), F.when(seen, 800 + F.col("dy")).alias("bottom_y"))).select("match_id", "frame_idx", r("top", 4, "top"), r("bottom", 4, "bottom"))
 
 
+@query("motion")
+def moved_homographies(motion):
+    """A homography every 25 frames, moved on by the camera's shift between."""
+    calibrated = F.when(F.col("frame_idx") % 25 == 0, F.array(*map(F.lit, _H)))
+    one, none = F.lit(1.0), F.lit(0.0)
+    df = motion.select("match_id", "frame_idx", calibrated.alias("h"), F.array(one, none, F.col("dx").cast("double"), none, one, F.col("dy").cast("double")).alias("affine"))
+    return camera.running_homography(df).select("match_id", "frame_idx", *(F.round(F.col("h")[i], 6).alias(f"h{i}") for i in range(9)))
+
+
+@query("motion")
+def camera_moves(motion):
+    """Shift, scale and turn of the frame's similarity."""
+    turn = F.col("dx") / 100.0
+    a = [F.col("zoom") * F.cos(turn), -F.col("zoom") * F.sin(turn), F.col("dx"), F.col("zoom") * F.sin(turn), F.col("zoom") * F.cos(turn), F.col("dy")]
+    dx, dy, scale, degrees = G.decompose_affine(a)
+    return motion.select("match_id", "frame_idx", r(dx, 4, "dx"), r(dy, 4, "dy"), r(scale, 6, "scale"), r(degrees, 6, "degrees"))
+
+
 @query("motion")
 def camera_texts(motion):
     return camera.labelled(motion).select("match_id", "frame_idx", L.camera_text("pan", "zoom_state", "zoom", "dx").alias("text"))
@@ -443,9 +502,11 @@ def camera_texts(motion):
 
 @query("emb")
 def reid_costs(emb):
-    cand = emb.filter("candidate").select(F.lit(0).alias("match_id"), F.col("vec_id").alias("det_idx"), "emb", "team_id", F.lit(None).cast("double").alias("x_m"), F.lit(None).cast("double").alias("y_m"))
-    tracks = emb.filter("not candidate").select(F.lit(0).alias("match_id"), F.col("vec_id").alias("track_id"), "emb", "team_id", F.lit(None).cast("double").alias("x_m"), F.lit(None).cast("double").alias("y_m"))
-    return identity.pair_costs(cand, tracks).select("det_idx", "track_id", r("cost", 4, "cost"))
+    base = emb.withColumns({"match_id": F.floor(F.col("vec_id") / 50), "role_id": F.col("vec_id") % 7 - 1})
+    none = F.lit(None).cast("double")
+    cand = base.filter("candidate").select("match_id", F.col("vec_id").alias("det_idx"), "emb", "team_id", "role_id", none.alias("x_m"), none.alias("y_m"))
+    tracks = base.filter("not candidate").select("match_id", F.col("vec_id").alias("track_id"), "emb", "team_id", "role_id", none.alias("x_m"), none.alias("y_m"))
+    return identity.pair_costs(cand, tracks).select("match_id", "det_idx", "track_id", r("cost", 4, "cost"))
 
 
 @query("emb")
@@ -463,10 +524,30 @@ def reid_matches(emb):
     return identity.matched(identity.pair_costs(cand, tracks), most=0.9).select("match_id", "det_idx", "track_id", r("score", 5, "score"))
 
 
+def _one_box(box):
+    """One box a track and frame."""
+    return box.filter("track_id >= 0").groupBy("match_id", "frame_idx", "track_id").agg(F.min("det_idx").alias("det_idx"), *(f(c).cast("double").alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))), F.max("conf").cast("double").alias("conf"))
+
+
+@query("smooth")
+def coasted_tracks(smooth):
+    """Tracks that are not seen on two of seven frames."""
+    x, y = F.col("x_m") * 10, F.col("y_m") * 10
+    seen = smooth.filter("frame_idx % 7 not in (3, 4)").select("match_id", "frame_idx", F.col("track_id").alias("det_idx"), "track_id", (x - 8).alias("x1"), (y - 20).alias("y1"), (x + 8).alias("x2"), (y + 20).alias("y2"), F.lit(0.9).alias("conf"))
+    return identity.coasted(seen).select("match_id", "frame_idx", "track_id", r("x1", 3, "x1"), r("y1", 3, "y1"), "coasted")
+
+
 @query("box")
-def coasted_tracks(box):
-    one = box.filter("track_id >= 0").groupBy("match_id", F.floor(F.col("frame_idx") / 40).alias("frame_idx"), "track_id").agg(F.min("det_idx").alias("det_idx"), *(F.min(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), F.max("conf").alias("conf"))
-    return identity.coasted(one).select("match_id", "frame_idx", "track_id", r("x1", 3, "x1"), r("y1", 3, "y1"), "coasted")
+def skipped_frame_boxes(box):
+    """Boxes as they are carried to the frame after each, without a detector."""
+    return identity.propagated_boxes(_one_box(box)).select("match_id", "frame_idx", "track_id", r("x1", 3, "x1"), r("y2", 3, "y2"), r("conf", 5, "conf"))
+
+
+@query("box", "motion")
+def tracked_boxes(box, motion):
+    """Cuts, association, coasting and the ball in one pass over the frames of each match."""
+    cuts = camera.cuts(motion).filter("is_cut")
+    return identity.tracked(box, cuts).select("match_id", "frame_idx", "track_id", "class_id", r("x1", 3, "x1"), r("y1", 3, "y1"), "coasted")
 
 
 @query("box")
@@ -509,7 +590,7 @@ def evaluation_report(box, truth, smooth, ball):
 @query("frames")
 def quality_report(frames):
     out = evaluation.quality_report(frames)
-    return out.select("match_id", "n", *(r(c, 4, c) for c in ("brightness", "brightness_std", "blur", "blurry_pct", "grass_pct", "turf_h", "turf_s", "turf_v")), F.size("advice").alias("n_advice"))
+    return out.select("match_id", "n", *(r(c, 4, c) for c in ("brightness", "brightness_std", "blur", "blurry_pct", "grass_pct", "turf_h", "turf_s", "turf_v")), F.array_join("advice", "; ").alias("advice"))
 
 
 @query("box")
@@ -520,7 +601,15 @@ def run_stats(box):
 @query("pos", "smooth")
 def telemetry_packets(pos, smooth):
     packets = summary.telemetry(pos, kinematics.player_metrics(smooth))
-    return summary.latest(packets).select("match_id", "frame_idx", F.size("players").alias("n_players"))
+    return summary.latest(packets).select("match_id", "frame_idx", F.explode("players").alias("p")).select("match_id", "frame_idx", "p.*")
+
+
+@query("box", "frames")
+def match_summaries(box, frames):
+    """The dashboard row of each match."""
+    quality = evaluation.quality_report(frames).select("match_id", "n", r("brightness", 4, "brightness"), r("blur", 4, "blur"))
+    stats = summary.run_stats(box).select("match_id", "frames", r("avg_players", 5, "avg_players"), r("ball_rate", 5, "ball_rate"), "n_tracks")
+    return summary.flat(summary.match_summary(run=stats, quality=quality))
 
 
 @query("pos", "smooth")

@@ -29,6 +29,12 @@ _SLOPE = """
     k as (select *, case when len(pts) < 4 or den < 1e-6 then 0 when len(ins) >= 4 and den2 > 1e-6
                          then sqrt(power(list_sum(list_transform(ins, lambda q: q.t * (q.x - mx2))) / den2, 2) + power(list_sum(list_transform(ins, lambda q: q.t * (q.y - my2))) / den2, 2))
                          else sqrt(vx * vx + vy * vy) end * 3.6 as raw from g)"""
+_SMOOTHED = f"""{_SLOPE},
+    sp as (select match_id, track_id, frame_idx, row_number() over (partition by match_id, track_id order by frame_idx) as seq, round(case when raw < 2 then 0 else least(raw, 38) end, 9) as speed from k),
+    sm as (select match_id, track_id, seq, frame_idx, speed, cast(printf('%.1f', 0.25e0 * speed) as double) as now from sp where seq = 1
+           union all select sp.match_id, sp.track_id, sp.seq, sp.frame_idx, sp.speed, cast(printf('%.1f', 0.75e0 * sm.now + 0.25e0 * sp.speed) as double) from sm join sp on sp.match_id = sm.match_id and sp.track_id = sm.track_id and sp.seq = sm.seq + 1)"""
+_SEEN_BOX = "ob as (select match_id, frame_idx, track_id, x_m * 10 - 8 as x1, y_m * 10 - 20 as y1, x_m * 10 + 8 as x2, y_m * 10 + 20 as y2 from v_smooth where frame_idx % 7 not in (3, 4))"
+_ONE_BOX = "ob as (select match_id, frame_idx, track_id, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, max(conf) as conf from v_box where track_id >= 0 group by all)"
 _ROLE = "case {c} when -1 then 'Ball' when 0 then 'Team A' when 1 then 'Team B' when 2 then 'Referee' when 3 then 'Team A GK' when 4 then 'Team B GK' else 'Coach' end"
 _SIDE = "case when role_id in (0, 3) then 0 when role_id in (1, 4) then 1 end"
 _CANVAS = "cast(trunc({pad} + least(greatest(x_m, 0), 105) * (({w} - 2 * {pad}) / 105.0)) as int) as {n}_x, cast(trunc({pad} + {head} + (68 - least(greatest(y_m, 0), 68)) * (({h} - 2 * {pad} - {head}) / 68.0)) as int) as {n}_y"
@@ -57,7 +63,7 @@ _EVENTS = f"""
     ev as (select match_id, row_number() over (partition by match_id order by frame_idx) as event_id, event_type, frame_idx, frame_idx / 25.0 as timestamp_s,
                   case when event_type in ('SHOT', 'PASS') then pt else holder_team end as team_id, case when event_type in ('SHOT', 'PASS') then ph else holder_id end as primary_id,
                   case when event_type in ('SHOT', 'PASS') then holder_id else ph end as secondary_id, case when event_type = 'TACKLE' then speed else peak end as speed_kmh,
-                  case when event_type = 'TACKLE' then 0 else d end as distance_m from k where event_type is not null)"""
+                  case when event_type = 'TACKLE' then 0 else d end as distance_m, px as start_x, py as start_y, ball_x as end_x, ball_y as end_y from k where event_type is not null)"""
 _MATCH_EVENTS = f"with {_EVENTS} select match_id, event_id, event_type, frame_idx, team_id, primary_id, secondary_id, round(timestamp_s, 2) as timestamp_s, round(speed_kmh, 3) as speed_kmh, round(distance_m, 3) as distance_m from ev"
 _GRID = """
     rc as (select r as "row", c as col, 0.28 * exp(-sqrt((15 - c) * (15 - c) + 1.8 * (5.5 - r) * (5.5 - r)) / 4.8) + 0.006 * power(c / 15.0, 1.5) + 0.003 as b from range(12) t(r), range(16) u(c)),
@@ -77,7 +83,7 @@ _NODES = f"""
     pl as (select match_id, team_id, track_id as player_id, avg(x_m) as px, avg(y_m) as py from v_pos where {{place}} and team_id in (0, 1) group by all),
     nd as (select match_id, team_id, player_id, coalesce(px, 52.5) as x_m, coalesce(py, 34.0) as y_m, coalesce(made, 0) as made, coalesce(received, 0) as received, coalesce(xt_created, 0) as xt_created from mg full outer join pl using (match_id, team_id, player_id)),
     nodes as (select *, made + received as involvements, {_NODE_ROLE} as role from nd)"""
-_NODES_ONLY, _NODES_PLACED = _NODES.replace("{place}", "false"), _NODES.replace("{place}", "track_id >= 0 and track_id < 11")
+_NODES_ONLY, _NODES_PLACED = _NODES.replace("{place}", "false"), _NODES.replace("{place}", "track_id >= 0")
 _LINKS = "links as (select match_id, team_id, passer_id, receiver_id, count(*) as n, avg(length_m) as avg_length_m, avg(speed_kmh) as avg_kmh, sum(delta_xt) as delta_xt from valued group by all)"
 _SHOTS = f"""
     sd as (select *, case when team_id = 0 then 105 else 0 end as gx from v_shot),
@@ -143,7 +149,14 @@ SQL = {
         union all select match_id, 'keeper', count(*) from v_pos where class_id = 0 and x_m between -2 and 107 and y_m between -2 and 70 group by all
         union all select match_id, 'sane', count(*) from v_smooth where abs(x_m) <= 100 and abs(y_m) <= 100 group by all""",
     "keyframes": "select match_id, count(*) as n, count(*) filter (frame_idx % 25 = 0 or frame_idx = 0 or hist_distance > 0.9) as recalibrated from v_motion where frame_idx % 5 = 0 or hist_distance > 0.9 group by all",
-    "sampled_frames": "select match_id, frame_idx from v_motion where frame_idx % 30 = 0 and frame_idx < 3000",
+    "sampled_frames": "with t as (select match_id, greatest(1, (max(frame_idx) + 1) // 100) as step from v_motion group by all) select match_id, frame_idx from v_motion join t using (match_id) where frame_idx % step = 0 and frame_idx < step * 100",
+    "mask_boxes": "with f as (select *, cast(trunc((x1 + x2) / 2) as int) as px, cast(trunc(y2) as int) as py from v_box), m as (select distinct match_id, frame_idx, px, py from f where det_idx % 3 = 0) select match_id, frame_idx, det_idx, class_id from f where class_id = 32 or exists (select 1 from m where m.match_id = f.match_id and m.frame_idx = f.frame_idx and m.px = f.px and m.py = f.py)",
+    "ball_comet": "with s as (select match_id, frame_idx, row_number() over (partition by match_id order by frame_idx) as i, sqrt(power(x_m * 10 - lag(x_m * 10) over (partition by match_id order by frame_idx), 2) + power(y_m * 10 - lag(y_m * 10) over (partition by match_id order by frame_idx), 2)) <= 200 as near from v_ball) select match_id, frame_idx, least(i, 14) as n_trail, cast(coalesce(sum(case when near then 1 else 0 end) over (partition by match_id order by frame_idx rows between 12 preceding and current row), 0) as bigint) as n_drawn from s",
+    "speed_badges": f"with recursive {_SMOOTHED} select match_id, track_id, frame_idx, case when now >= 2.5 then ' ' || printf('%.1f', now) || 'km/h' else '' end as badge from sm",
+    "smoothed_speed": f"with recursive {_SMOOTHED} select match_id, track_id, frame_idx, now as smoothed_kmh, {_ACTIVITY.format(s='now')} as activity from sm",
+    "squad_summary": f"""with recursive {_SMOOTHED}, last as (select match_id, track_id, max(speed) as top, arg_max(now, frame_idx) as now from sm group by all), dist as (with {_STEPS} select match_id, track_id, sum(counted_m) as distance_m from s group by all)
+        select match_id, round(max(top), 1) as max_speed_kmh, round(sum(distance_m) / 1000.0, 3) as total_distance_km, round(coalesce(avg(now) filter (now > 0), 0), 1) as avg_speed_kmh, count(*) as n_tracks from last join dist using (match_id, track_id) group by all""",
+    "possession_texts": "with c as (select *, frame_idx % 5 = 0 as contested from v_poss), s as (select match_id, frame_idx, holder_id, contested, sum(case when not contested and holder_team = 0 then 1 else 0 end) over w as a, sum(case when not contested and holder_team = 1 then 1 else 0 end) over w as b from c window w as (partition by match_id order by frame_idx)), p as (select *, case when a + b > 0 then round(a / (a + b) * 100.0, 1) else 50 end as pct from s) select match_id, frame_idx, 'POSS: A ' || printf('%.0f', round(pct)) || '% | B ' || printf('%.0f', round(100.0 - pct)) || '%' as shares, case when holder_id is not null then 'CARRIER: #' || holder_id when contested then 'BALL: 50-50 DUEL' else 'BALL: FREE' end as carrier from p",
     "frame_prefix": "select match_id, count(*) as n, round(sum(dx), 3) as dx from v_motion where frame_idx < 150 group by all",
     "persons_by_order": "with b as (select *, row_number() over (partition by match_id, frame_idx order by det_idx) as k from v_box where class_id = 0), c as (select *, row_number() over (partition by match_id, frame_idx order by x_m * 100 + y_m / 100) as k from v_crowd) select b.match_id, b.frame_idx, b.det_idx, c.x_m, c.y_m from b left join c using (match_id, frame_idx, k)",
     "merged_boxes": "with u as (select 0 as part, * from v_box where track_id % 2 = 0 union all select 1, * from v_box where track_id % 2 = 1 union all select 2, * replace (-1 as track_id) from v_box where class_id = 32) select match_id, frame_idx, row_number() over (partition by match_id, frame_idx order by part, det_idx) - 1 as det_idx, track_id, class_id, x1 from u",
@@ -159,7 +172,7 @@ SQL = {
     "role_counts": "select match_id, frame_idx, count(*) filter (role_id in (0, 3)) as team_a, count(*) filter (role_id in (1, 4)) as team_b, count(*) filter (role_id = 2) as referees, count(*) filter (role_id = 3) as keepers_a, count(*) filter (role_id = 4) as keepers_b, count(*) filter (role_id = 5) as coaches from v_pos group by all",
     "space_control": f"with {_CONTROL} select * from control",
     "mean_space_control": f"with {_CONTROL} select match_id, round(avg(a_pct), 1) as a_pct, round(avg(b_pct), 1) as b_pct from control group by all",
-    "side_centroids": f"with s as (select *, {_SIDE} as side from v_pos) select match_id, frame_idx, side, round(avg(x_m), 3) as cx, round(avg(y_m), 3) as cy, count(*) as n from s where side is not null group by all",
+    "side_centroids": f"with s as (select *, {_SIDE} as side from v_pos) select match_id, frame_idx, side, round(avg(x_m), 1) as cx, round(avg(y_m), 1) as cy, count(*) as n from s where side is not null group by all",
     "heat_counts": f"select match_id, track_id, {_HEAT_X} as px, {_HEAT_Y} as py, count(*) as n from v_smooth where track_id >= 0 and x_m between -2 and 107 and y_m between -2 and 70 group by all",
     "busiest_tracks": "with c as (select match_id, track_id, count(*) as n from v_smooth where track_id >= 0 and x_m between -2 and 107 and y_m between -2 and 70 group by all), r as (select *, row_number() over (partition by match_id order by n desc, track_id) as rank from c) select * from r where rank <= 4",
     "nearest_two": f"with {_NEAR} select match_id, frame_idx, rank, det_idx, round(dist_m, 4) as dist_m from ranked where rank <= 2",
@@ -169,10 +182,13 @@ SQL = {
     "match_events": _MATCH_EVENTS,
     "match_events_fold": _MATCH_EVENTS,
     "event_summary": f"""with {_EVENTS}, c as (select match_id, {", ".join(f"count(*) filter (event_type = '{k}' and team_id = {t}) as {n}_{'ab'[t]}" for k, n in (("PASS", "passes"), ("INTERCEPTION", "interceptions"), ("SHOT", "shots"), ("TACKLE", "tackles")) for t in (0, 1))}, count(*) filter (event_type in ('INTERCEPTION', 'TACKLE')) as turnovers, count(*) as n_events from ev group by all)
-        select *, passes_a + interceptions_b as attempts_a, case when passes_a + interceptions_b > 0 then round(passes_a / (passes_a + interceptions_b) * 100.0, 1) else 100 end as accuracy_a, passes_b + interceptions_a as attempts_b, case when passes_b + interceptions_a > 0 then round(passes_b / (passes_b + interceptions_a) * 100.0, 1) else 100 end as accuracy_b from c""",
-    "event_texts": f"with {_EVENTS}, t as (select *, case team_id when 0 then 'Team A' when 1 then 'Team B' else 'Neutral' end as who from ev where event_type in ('INTERCEPTION', 'TACKLE')) select match_id, event_id, printf('%02d:%02d', cast(floor(floor(timestamp_s) / 60) as int), cast(floor(timestamp_s) as int) % 60) as clock, case when event_type = 'TACKLE' then who || ' Tackle: #' || primary_id || ' won duel against #' || secondary_id else who || ' Interception: #' || primary_id || ' intercepted #' || secondary_id end as description from t",
+        , d as (select *, passes_a + interceptions_b as attempts_a, case when passes_a + interceptions_b > 0 then round(passes_a / (passes_a + interceptions_b) * 100.0, 1) else 100 end as accuracy_a, passes_b + interceptions_a as attempts_b, case when passes_b + interceptions_a > 0 then round(passes_b / (passes_b + interceptions_a) * 100.0, 1) else 100 end as accuracy_b from c)
+        select *, passes_a || '/' || attempts_a || ' (' || printf('%.1f', accuracy_a) || '%)' as pass_text_a, passes_b || '/' || attempts_b || ' (' || printf('%.1f', accuracy_b) || '%)' as pass_text_b from d""",
+    "event_texts": f"with {_EVENTS}, t as (select *, case team_id when 0 then 'Team A' when 1 then 'Team B' else 'Neutral' end as who from ev) select match_id, event_id, printf('%02d:%02d', cast(floor(floor(timestamp_s) / 60) as int), cast(floor(timestamp_s) as int) % 60) as clock, case event_type when 'TACKLE' then who || ' Tackle: #' || primary_id || ' won duel against #' || secondary_id when 'INTERCEPTION' then who || ' Interception: #' || primary_id || ' intercepted #' || secondary_id when 'SHOT' then who || ' Shot: #' || primary_id || ' (' || printf('%.1f', round(speed_kmh, 1)) || ' km/h)' else who || ' Pass: #' || primary_id || ' -> #' || secondary_id || ' (' || printf('%.1f', round(distance_m, 1)) || 'm)' end as description from t",
+    "event_shots": f"with {_EVENTS}, evs as (select match_id, event_id as shot_id, frame_idx, primary_id as shooter_id, team_id, start_x as x_m, start_y as y_m, speed_kmh from ev where event_type = 'SHOT'), {_SHOTS.replace('v_shot', 'evs')} select match_id, shot_id, shooter_id, team_id, defenders, round(dist_m, 4) as dist_m, round(angle_deg, 4) as angle_deg, round(xg, 5) as xg from sh",
+    "event_passes": f"with {_EVENTS}, evp as (select match_id, event_id as action_id, frame_idx, primary_id as passer_id, secondary_id as receiver_id, team_id, start_x as sx, start_y as sy, end_x as ex, end_y as ey, speed_kmh from ev where event_type = 'PASS'), {_VALUED.replace('v_pass', 'evp')} select match_id, action_id, passer_id, receiver_id, round(delta_xt, 6) as delta_xt, progressive, round(length_m, 4) as length_m from valued",
     "active_events": f"with {_EVENTS} select p.match_id, p.frame_idx, case when p.frame_idx < ev.frame_idx + 40 then ev.event_id end as event_id, case when p.frame_idx < ev.frame_idx + 40 then ev.event_type end as event_type from v_poss p asof left join ev on p.match_id = ev.match_id and p.frame_idx >= ev.frame_idx",
-    "event_timeline": f"with {_EVENTS}, r as (select *, row_number() over (partition by match_id order by event_id desc) as k from ev) select match_id, event_id, event_type from r where k <= 5",
+    "event_timeline": f"with {_EVENTS}, r as (select *, row_number() over (partition by match_id order by event_id desc) as k from ev) select match_id, event_id, event_type, frame_idx from r where k <= 5",
     "shot_xg": f"with {_SHOTS} select match_id, shot_id, team_id, defenders, round(dist_m, 4) as dist_m, round(angle_deg, 4) as angle_deg, round(xg, 5) as xg from sh",
     "pass_values": f"with {_VALUED} select match_id, action_id, team_id, round(xt_start, 6) as xt_start, round(xt_end, 6) as xt_end, round(delta_xt, 6) as delta_xt, progressive, round(length_m, 4) as length_m from valued",
     "threat_grid": f'with {_GRID} select "row", col, round(xt, 6) as xt from grid',
@@ -199,13 +215,33 @@ SQL = {
         select match_id, frame_idx, is_cut, n as cut_count from r""",
     "last_calibration": "select m.match_id, m.frame_idx, f.dx, f.frame_idx as calibrated_at from v_motion m asof left join (select * from v_motion where frame_idx % 25 = 3) f on m.match_id = f.match_id and m.frame_idx >= f.frame_idx",
     "histogram_distance": "with b as (select match_id, frame_idx, bin, (1 + (frame_idx * 7 + bin * 3) % 11) * 1e0 as p from v_motion, range(8) t(bin)), q as (select *, p / sum(p) over (partition by match_id, frame_idx) as q from b), d as (select a.match_id, a.frame_idx, sum(sqrt(a.q * c.q)) as bc from q a join q c on a.match_id = c.match_id and a.bin = c.bin and a.frame_idx = c.frame_idx + 1 group by all) select match_id, frame_idx, round(sqrt(greatest(0, 1 - bc)), 6) as hist_distance from d",
-    "reid_costs": "select c.vec_id as det_idx, t.vec_id as track_id, round(case when c.team_id <> t.team_id then 99 else 1 - list_cosine_similarity(c.emb::double[], t.emb::double[]) end, 4) as cost from v_emb c, v_emb t where c.candidate and not t.candidate",
+    "reid_costs": "select c.vec_id // 50 as match_id, c.vec_id as det_idx, t.vec_id as track_id, round(case when c.team_id <> t.team_id or (c.vec_id % 7 > 0 and t.vec_id % 7 > 0 and c.vec_id % 7 <> t.vec_id % 7) then 99 else 1 - list_cosine_similarity(c.emb::double[], t.emb::double[]) end, 4) as cost from v_emb c join v_emb t on c.vec_id // 50 = t.vec_id // 50 where c.candidate and not t.candidate",
+    "reid_gallery": """with l as (select vec_id % 40 as track_id, list(emb::double[] order by vec_id) as es, count(*) as n, max(vec_id) as last_seen from v_emb group by all),
+        u as (select track_id, n, last_seen, list_transform(es, lambda x: list_transform(x, lambda q: q / sqrt(list_sum(list_transform(x, lambda p: p * p))))) as us, es from l),
+        g as (select *, list_reduce(es, lambda a, b: list_transform([list_transform(list_zip(list_transform(a, lambda q: q / sqrt(list_sum(list_transform(a, lambda p: p * p)))), b), lambda z: 0.85e0 * z[1] + 0.15e0 * z[2])], lambda x: list_transform(x, lambda q: q / sqrt(list_sum(list_transform(x, lambda p: p * p)))))[1]) as v from u)
+        select track_id, n, last_seen, round(case when n = 1 then us[1][1] else v[1] end, 5) as e0 from g where 700 - last_seen <= 300""",
+    "camera_texts": f"with l as (select *, {_PAN} as pan, {_ZOOM} as z from v_motion) select match_id, frame_idx, case when pan <> 'STATIC' then 'CAM: ' || pan || ' (' || case when dx > 0 then '+' else '' end || printf('%.0f', round(dx)) || 'px)' when z <> 'STEADY' then 'CAM: ' || z || ' (' || cast(round(cast(zoom as decimal(18, 6)), 2) as decimal(18, 2)) || 'x)' else 'CAM: STABLE (' || cast(round(cast(zoom as decimal(18, 6)), 2) as decimal(18, 2)) || 'x)' end as text from l",
+    "camera_moves": "select match_id, frame_idx, round(dx, 4) as dx, round(dy, 4) as dy, round(zoom, 6) as scale, round(degrees(dx / 100.0), 6) as degrees from v_motion",
+    "moved_homographies": """with s as (select *, max(case when frame_idx % 25 = 0 then frame_idx end) over (partition by match_id order by frame_idx) as since from v_motion),
+        d as (select match_id, frame_idx, coalesce(sum(case when frame_idx > since then dx end) over w, 0) as x, coalesce(sum(case when frame_idx > since then dy end) over w, 0) as y from s where since is not null window w as (partition by match_id, since order by frame_idx)),
+        n as (select *, 1 - 0.0001e0 * x - 0.0002e0 * y as k from d)
+        select match_id, frame_idx, round(0.05e0 / k, 6) as h0, round(0.01e0 / k, 6) as h1, round((-3 - 0.05e0 * x - 0.01e0 * y) / k, 6) as h2, round(0.002e0 / k, 6) as h3, round(0.06e0 / k, 6) as h4, round((-5 - 0.002e0 * x - 0.06e0 * y) / k, 6) as h5, round(0.0001e0 / k, 6) as h6, round(0.0002e0 / k, 6) as h7, 1.0 as h8 from n""",
+    "coasted_tracks": f"""with recursive {_SEEN_BOX}, o as (select *, row_number() over (partition by match_id, track_id order by frame_idx) as i, lead(frame_idx) over (partition by match_id, track_id order by frame_idx) as nf, max(frame_idx) over (partition by match_id) as ef from ob),
+        st as (select match_id, track_id, i, frame_idx, nf, ef, x1, y1, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, 0e0 as vx, 0e0 as vy from o where i = 1
+            union all select o.match_id, o.track_id, o.i, o.frame_idx, o.nf, o.ef, o.x1, o.y1, (o.x1 + o.x2) / 2, (o.y1 + o.y2) / 2,
+                case when o.frame_idx - st.frame_idx - 1 > 45 then 0 else (o.x1 + o.x2) / 2 - (st.cx + st.vx * list_sum(list_transform(range(0, least(4, o.frame_idx - st.frame_idx - 1) + 1), lambda j: case when j = 0 then 0 else power(0.85e0, j) end))) end,
+                case when o.frame_idx - st.frame_idx - 1 > 45 then 0 else (o.y1 + o.y2) / 2 - (st.cy + st.vy * list_sum(list_transform(range(0, least(4, o.frame_idx - st.frame_idx - 1) + 1), lambda j: case when j = 0 then 0 else power(0.85e0, j) end))) end
+            from st join o on o.match_id = st.match_id and o.track_id = st.track_id and o.i = st.i + 1),
+        co as (select *, unnest(range(1, least(4, coalesce(nf, ef + 1) - frame_idx - 1) + 1)) as j from st)
+        select match_id, frame_idx, track_id, round(x1, 3) as x1, round(y1, 3) as y1, false as coasted from st
+        union all select match_id, frame_idx + j, track_id, round(x1 + vx * list_sum(list_transform(range(1, j + 1), lambda n: power(0.85e0, n))), 3), round(y1 + vy * list_sum(list_transform(range(1, j + 1), lambda n: power(0.85e0, n))), 3), true from co""",
+    "skipped_frame_boxes": f"with {_ONE_BOX}, m as (select *, coalesce(0.9e0 * ((x1 + x2) / 2 - lag((x1 + x2) / 2) over w), 0) as dx, coalesce(0.9e0 * ((y1 + y2) / 2 - lag((y1 + y2) / 2) over w), 0) as dy from ob window w as (partition by match_id, track_id order by frame_idx)) select match_id, frame_idx + 1 as frame_idx, track_id, round(x1 + dx, 3) as x1, round(y2 + dy, 3) as y2, round(conf * 0.98e0, 5) as conf from m where greatest(abs(x1 + dx), abs(x2 + dx), abs(y1 + dy), abs(y2 + dy)) <= 10000",
     "detection_metrics": f"with {_DETECT} select match_id, n_pred, tp, fp, fn, round(precision, 5) as precision, round(recall, 5) as recall, round(f1, 5) as f1, round(map50, 5) as map50, round(map50_95, 5) as map50_95 from det",
     "tracking_metrics": f"with {_TRACKS} select * from tracking",
     "homography_metrics": "with d as (select match_id, sqrt(power((det_idx - 10) / 100.0, 2) + power((det_idx % 3) / 50.0, 2)) as d from v_pos) select match_id, round(sqrt(avg(d * d)), 6) as rmse_m, round(avg(d), 6) as mae_m, round(max(d), 6) as max_m, count(*) as n from d group by all",
-    "kinematics_metrics": "select match_id, round(count(*) filter (ball_kmh <= 38) / count(*) * 100.0, 4) as valid_pct, round(avg(ball_kmh), 4) as mean_kmh, round(max(ball_kmh), 4) as max_kmh, round(var_pop(ball_kmh), 4) as variance from v_ball group by all",
+    "kinematics_metrics": "select match_id, round(count(*) filter (ball_kmh <= 38) / count(*) * 100.0, 4) as valid_pct, round(coalesce(avg(ball_kmh) filter (ball_kmh <= 38), 0), 4) as mean_kmh, round(coalesce(max(ball_kmh) filter (ball_kmh <= 38), 0), 4) as max_kmh, round(coalesce(var_pop(ball_kmh) filter (ball_kmh <= 38), 0), 4) as variance from v_ball group by all",
     "evaluation_report": f"with {_DETECT}, {_TRACKS}, k as (select match_id, count(*) filter (ball_kmh <= 38) / count(*) * 100.0 as valid_pct from v_ball group by all) select match_id, round(map50, 5) as map50, mota, round(valid_pct, 4) as valid_pct, round(least(98.5, 30 * map50 + 30 * coalesce(mota, 0) + 0.2 * coalesce(valid_pct, 0) + 20), 3) as score from det left join tracking using (match_id) left join k using (match_id)",
-    "quality_report": "select match_id, count(*) as n, round(avg(brightness), 4) as brightness, round(stddev_pop(brightness), 4) as brightness_std, round(avg(blur), 4) as blur, round(count(*) filter (blur < 100) / count(*) * 100.0, 4) as blurry_pct, round(avg(grass_pct), 4) as grass_pct, round(avg(turf_h), 4) as turf_h, round(avg(turf_s), 4) as turf_s, round(avg(turf_v), 4) as turf_v, 1 + case when avg(brightness) < 80 or avg(brightness) > 180 then 1 else 0 end + case when count(*) filter (blur < 100) / count(*) * 100.0 > 15 then 1 else 0 end as n_advice from v_frames group by all",
+    "quality_report": "select match_id, count(*) as n, round(avg(brightness), 4) as brightness, round(stddev_pop(brightness), 4) as brightness_std, round(avg(blur), 4) as blur, round(count(*) filter (blur < 100) / count(*) * 100.0, 4) as blurry_pct, round(avg(grass_pct), 4) as grass_pct, round(avg(turf_h), 4) as turf_h, round(avg(turf_s), 4) as turf_s, round(avg(turf_v), 4) as turf_v, concat_ws('; ', case when avg(brightness) < 80 then 'low illumination: equalize or correct gamma' when avg(brightness) > 180 then 'bright exposure: normalize the histogram' end, case when count(*) filter (blur < 100) / count(*) * 100.0 > 15 then 'motion blur in ' || printf('%.1f', round(count(*) filter (blur < 100) / count(*) * 100.0, 1)) || '% of frames: coast tracks' end, case when avg(grass_pct) > 50 then 'turf covers ' || printf('%.1f', round(avg(grass_pct), 1)) || '% of the view: segment by colour' else 'little turf in view: camera may be close' end) as advice from v_frames group by all",
     "run_stats": "with f as (select match_id, frame_idx, count(*) filter (class_id <> 32) as p, max(case when class_id = 32 then 1 else 0 end) as b from v_box group by all), a as (select match_id, count(*) as frames, avg(p) as ap, avg(b) as br from f group by all), t as (select match_id, count(distinct track_id) as n_tracks from v_box where track_id >= 0 group by all) select match_id, frames, round(ap, 5) as avg_players, round(br, 5) as ball_rate, coalesce(n_tracks, 0) as n_tracks from a left join t using (match_id)",
     "position_rollup": f"with s as (select *, {_SIDE} as side from v_pos) select match_id, side, track_id, count(*) as n, round(avg(x_m), 4) as x_m from s group by rollup (match_id, side, track_id)",
     "stream_windows": "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as start_s, event_type, count(*) as n, round(sum(value), 3) as total from events group by all",
@@ -220,8 +256,8 @@ SQL = {
         r as (select match_id, k, frame_idx, t as top, b as bottom from c where k = 1
               union all select c.match_id, c.k, c.frame_idx, case when c.t is null then r.top when r.top is null then c.t else 0.8e0 * r.top + 0.2e0 * c.t end, case when c.b is null then r.bottom when r.bottom is null then c.b else 0.8e0 * r.bottom + 0.2e0 * c.b end from r join c on c.match_id = r.match_id and c.k = r.k + 1)
         select match_id, frame_idx, round(top, 4) as top, round(bottom, 4) as bottom from r""",
-    "telemetry_packets": "with f as (select match_id, frame_idx, count(*) as n from v_pos group by all) select match_id, max(frame_idx) as frame_idx, arg_max(n, frame_idx) as n_players from f group by all",
+    "telemetry_packets": f"with recursive {_SMOOTHED}, lf as (select match_id, max(frame_idx) as frame_idx from v_pos group by all) select v.match_id, v.frame_idx, v.det_idx, v.track_id, v.role_id, {_ROLE.format(c='v.role_id')} as role, round(v.x_m, 2) as x_m, round(v.y_m, 2) as y_m, round(coalesce(sm.speed, 0), 1) as speed_kmh, coalesce({_ACTIVITY.format(s='sm.now').replace('else', 'when sm.now is null then null else')}, 'Standing') as activity from v_pos v join lf on lf.match_id = v.match_id and lf.frame_idx = v.frame_idx left join sm on sm.match_id = v.match_id and sm.track_id = v.track_id and sm.frame_idx = v.frame_idx",
+    "match_summaries": "with f as (select match_id, frame_idx, count(*) filter (class_id <> 32) as p, max(case when class_id = 32 then 1 else 0 end) as b from v_box group by all), a as (select match_id, count(*) as frames, avg(p) as ap, avg(b) as br from f group by all), t as (select match_id, count(distinct track_id) as n_tracks from v_box where track_id >= 0 group by all), q as (select match_id, count(*) as n, avg(brightness) as bri, avg(blur) as blu from v_frames group by all) select match_id, frames as run_frames, round(ap, 5) as run_avg_players, round(br, 5) as run_ball_rate, case when frames is not null then coalesce(n_tracks, 0) end as run_n_tracks, n as quality_n, round(bri, 4) as quality_brightness, round(blu, 4) as quality_blur from a left join t using (match_id) full outer join q using (match_id)",
     "placed_links": f"with {_VALUED}, {_LINKS}, {_NODES_PLACED} select l.match_id, l.team_id, l.passer_id, l.receiver_id, l.n, round(a.x_m, 3) as passer_x, round(a.y_m, 3) as passer_y, round(b.x_m, 3) as receiver_x, round(b.y_m, 3) as receiver_y from links l join nodes a on a.match_id = l.match_id and a.team_id = l.team_id and a.player_id = l.passer_id join nodes b on b.match_id = l.match_id and b.team_id = l.team_id and b.player_id = l.receiver_id",
     "carrier_places": f"with recursive {_ASSIGNED} select p.match_id, p.frame_idx, p.track_id, p.det_idx, p.x_m, p.y_m from assigned a join v_pos p on p.match_id = a.match_id and p.frame_idx = a.frame_idx and p.track_id = a.holder_id",
-    "kit_clusters": "select match_id, track_id, count(*) as n from v_pos group by all",
 }
