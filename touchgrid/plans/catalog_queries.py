@@ -632,15 +632,23 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_timestamp("window_start").alias("start_s"), "event_type", "n", "total")
 
 
+_LANDINGS = 4
+
+
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match events of a possession stream, by the same steps as the batch fold."""
     poss = view(spark, sf_dir, "poss")
     at = live.folder(spark, "possession")
     sizes = poss.groupBy(F.col("match_id").alias("of_match")).agg(F.count("*").alias("n_rows"))
     counted = poss.join(sizes, F.col("match_id").eqNullSafe(F.col("of_match"))).drop("of_match")
-    counted.repartitionByRange(8, "frame_idx").write.parquet(at)
-    stream = spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 4).parquet(at)
-    out = live.drained(live.live_events(stream, lag=10**9, total="n_rows"), "events")
+    # one range of frames after the other lands in the folder, one file a trigger: the order in which a match is played
+    low, high = poss.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+    width = 1 if low is None else max(1, -(-(high + 1 - low) // _LANDINGS))
+    for i in range(_LANDINGS):
+        begin = (low or 0) + i * width
+        counted.filter(F.col("frame_idx").between(begin, begin + width - 1)).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    out = live.drained(live.live_events(stream, lag=25, total="n_rows"), "events")
     return out.select(*_EVENT, r("timestamp_s", 2, "timestamp_s"), r("speed_kmh", 3, "speed_kmh"), r("distance_m", 3, "distance_m"))
 
 

@@ -20,24 +20,31 @@ from ..operators import folds
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder: in the cluster's shared one if it names one, else local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="touchgrid-stream-")
+    """A fresh folder in the shared one that ``spark.checkpoint.dir`` names; a local one only for a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: streams need a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="touchgrid-stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str, lag: int = 25, last_frame: int | None = None, total: str | None = None) -> DataFrame:
+def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str, lag: int = 25, last_frame: int | None = None, total: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """Runs ``step`` over the frames of each match in order.
 
-    A row that comes after its frame was passed is dropped, as a watermark
-    would.  ``last_frame`` flushes the buffer once it is seen; ``total`` names a
-    column with the number of rows of the match, and flushes once all are in,
-    in whatever order they come.
+    State holds the rows of the last ``lag`` frames and the step's own state,
+    whatever the length of the match.  A row that comes after its frame was
+    passed is dropped, as a watermark would.  ``last_frame`` flushes the buffer
+    once it is seen; ``total`` names a column with the number of rows of the
+    match, and flushes once all are in, in whatever order they come.  With
+    ``idle_ms`` a match without rows for that long is flushed and its state
+    removed.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"state": start(), "rows": [], "done": -1, "seen": 0}
-        whole = False
+        whole = over = state.hasTimedOut
         for pdf in frames:
             rows = json.loads(pdf.to_json(orient="records"))
             held["seen"] += len(rows)
@@ -46,17 +53,26 @@ def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str
         held["rows"].sort(key=lambda r: r["frame_idx"])
         newest = held["rows"][-1]["frame_idx"] if held["rows"] else held["done"]
         limit = newest if whole or last_frame is not None and newest >= last_frame else newest - lag
-        out = []
-        while held["rows"] and held["rows"][0]["frame_idx"] <= limit:
-            row = held["rows"].pop(0)
+        out, n = [], 0
+        for row in held["rows"]:
+            if row["frame_idx"] > limit:
+                break
+            n += 1
             held["done"] = row["frame_idx"]
             held["state"], made = step(held["state"], row)
             if made is not None:
                 out.append({"match_id": key[0]} | made)
-        state.update((json.dumps(held),))
+        del held["rows"][:n]
+        if over:
+            state.remove()
+        else:
+            state.update((json.dumps(held),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy("match_id").applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy("match_id").applyInPandasWithState(run, schema, "held string", "append", timeout)
 
 
 def live_events(possession: DataFrame, **options) -> DataFrame:
