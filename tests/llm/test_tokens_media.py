@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from touchgrid.llm import bpe, media, token_store as T
-from touchgrid.llm.shared import open_shared
+from touchgrid.llm.shared import MOST_PARTITIONS, input_bytes, open_shared, partitions_for
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
@@ -39,6 +39,26 @@ def test_token_files(spark, docs, rows):
         at += n
 
 
+def test_a_doc_id_that_fills_several_shards_is_dealt_to_them(spark):
+    rows = [(i if i % 3 else None if i % 2 else 7, f"text {i} {i * i}") for i in range(300)]
+    files = T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BYTE)
+    got = sorted(tuple(r) for r in T.read_tokens(files).select("start", "doc_id", "n_tokens", "shard").collect())
+    key = lambda d: -(1 << 63) if d is None else d
+    assert [g[1] for g in got] == sorted((r[0] for r in rows), key=key)
+    assert [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1].tolist()]
+    per = {d: len({g[3] for g in got if g[1] == d}) for d in (None, 7)}
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) >= 8:
+        assert min(per.values()) > 1
+
+
+def test_partitions_grow_with_the_input(spark, docs, tmp_path):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(docs) == least  # no statistics: measured
+    docs.write.parquet(str(tmp_path / "t"))
+    assert partitions_for(spark.read.parquet(str(tmp_path / "t"))) == least
+    assert partitions_for(docs, 1) == min(max(least, input_bytes(docs)), MOST_PARTITIONS)
+
+
 def test_random_access(spark, docs):
     path = T.write_tokens(docs, BYTE).orderBy("shard").first()["path"]
     f = T.TokenFile(path)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .flat import NOT_SPACE, Words, flat, mix, ranges, slices, spaced, span_hashes, words
-from .shared import carried, map_written, restored, written
+from .shared import carried, map_written, partitions_for, restored, written
 from .simhash import components
 
 SIMILARITY = 0.8
@@ -290,7 +290,7 @@ def screen(docs: DataFrame, codes, seeds: Seeds, s: float = SIMILARITY, make=lin
 
     ``make`` gives the sets of a column of texts.
     """
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions_for(docs)
     buckets = 2 * n_parts
 
     def send(entries: list, firsts: list):

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .flat import NOT_SPACE, SLICE_BYTES, flat, grams, slices, sliding_min, spaced, words
-from .shared import discard, input_bytes, map_written, release, without_collector, written
+from .shared import discard, input_bytes, map_written, partitions_for, release, without_collector, written
 
 WINDOW = 13
 GRAM = 5
@@ -106,7 +106,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def recurring_anchors(docs: DataFrame, size: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, data): anchors of a document that other documents have as well; several rows a document.  ``size``: bytes of the texts."""
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions_for(docs)
     buckets = max(4 * n_parts, size // _BUCKET_BYTES)
 
     def combine(held: list[tuple[np.ndarray, np.ndarray]]):

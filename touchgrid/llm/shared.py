@@ -42,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 _GROUP_BYTES = 8 << 20
+PART_BYTES = 64 << 20
+MOST_PARTITIONS = 1 << 16
+_UNKNOWN_BYTES = 1 << 56  # estimates of frames without statistics are at least that high
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -114,6 +117,19 @@ def input_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def partitions_for(docs: DataFrame, size: int = PART_BYTES) -> int:
+    """The session's number of shuffle partitions, or more where the texts hold more parts of ``size`` bytes.
+
+    Goes by the optimiser's estimate, which needs no scan for a table of files;
+    frames that it knows nothing of are measured.
+    """
+    found = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if found >= _UNKNOWN_BYTES:
+        found = input_bytes(docs)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-found // size), MOST_PARTITIONS))
+
+
 def release() -> None:
     """Hands a worker's free memory back: workers live on, and the next stage may need little."""
     pa.default_memory_pool().release_unused()

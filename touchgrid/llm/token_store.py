@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .flat import equal_spans, flat, ranges, slices, span_hashes, table
-from .shared import SharedFile, new_dir, open_shared, written
+from .shared import SharedFile, new_dir, open_shared, partitions_for, written
 
 MAGIC = b"DACT1\n\0\0"
 BLOCK = 1 << 18
 _RANK = 512
+_NO_ID = -(1 << 63)  # where a null doc_id sorts
 _CACHE_ENTRIES = 800_000
 
 # --- codes -----------------------------------------------------------------
@@ -323,22 +324,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
     Returns the manifest, a row per file: shard, path, n_docs, n_tokens, n_bytes;
     files in order of shard hold all documents in order of doc_id.  Only doc_ids
-    are read to find the bounds of the shards, and the exchange carries ids.
+    are read to find the bounds of the shards, and the exchange carries ids.  The
+    number of shards grows with the input.  A doc_id (or null) whose rows fill
+    several shards has as many equal bounds, and a checksum of the ids deals its
+    rows to those.
     """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    bounds = np.array(sorted(set(bounds)), np.int64)
+    n = partitions_for(docs)
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    bounds = docs.agg(F.percentile_approx(known, [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    bounds = np.array(sorted(bounds), np.int64)
 
     def encode(batches):
         enc = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column("doc_id").cast(pa.int64())
-                known = ids.fill_null(-(1 << 63)).to_numpy()
+                known = ids.fill_null(_NO_ID).to_numpy()
                 out = [_narrow(np.append(x, np.uint32(end_id))) for x in enc.encode_column(part.column("text"))]
-                shard = np.searchsorted(bounds, known, side="left").astype(np.int32)
+                shard = np.searchsorted(bounds, known, side="left")
+                many = np.searchsorted(bounds, known, side="right") - shard
+                for i in np.flatnonzero(many > 1).tolist():
+                    shard[i] += zlib.crc32(out[i]) % int(many[i])
+                shard = shard.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(out, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches):
