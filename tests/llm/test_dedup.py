@@ -288,3 +288,19 @@ def test_winnowing_keeps_a_gram_of_every_window():
     g = D.grams(h, 5)
     at = set(D.winnowed(g, 6).tolist())
     assert all(any(i + j in at for j in range(6)) for i in range(len(g) - 5)) and len(at) < 0.45 * len(g)
+
+
+def test_automaton_finds_every_place_and_begins_at_words_only():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 3000):  # of distinct words
+        vocabulary = [f"w{i}".encode() for i in range(n)]
+        text = [vocabulary[i] for i in rng.integers(0, n, 400)]
+        at = {(int(a), int(k)) for a, k in zip(rng.integers(0, 380, 30), rng.integers(1, 20, 30), strict=True)}
+        passages = {b" ".join(text[a : a + k]): a for a, k in sorted(at)}
+        got = phrases._Automaton(passages).find([b"other", *text, b"other"])
+        want = []
+        for p, first in passages.items():
+            seq = p.split(b" ")
+            want += [(i + 1, len(seq), first) for i in range(len(text) - len(seq) + 1) if text[i : i + len(seq)] == seq]
+        assert sorted(got) == sorted(want)
+    assert phrases._Automaton({}).find([b"a"]) == []

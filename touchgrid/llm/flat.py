@@ -90,8 +90,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray, seed: int = 0) -> Words:
-    """The words of each document.  Documents never share a word."""
+def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray, seed: int | None = 0) -> Words:
+    """The words of each document, without hashes if ``seed`` is None.  Documents never share a word."""
     mark = inside[buf]
     cuts = off[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(buf))]
@@ -102,7 +102,7 @@ def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray, seed: int = 0) -
     end[:-1] &= ~mark[1:]
     end[cuts - 1] = mark[cuts - 1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return Words(start, end, span_hashes(buf, start, end, seed), np.searchsorted(start, off))
+    return Words(start, end, None if seed is None else span_hashes(buf, start, end, seed), np.searchsorted(start, off))
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -34,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, product
 from operator import itemgetter
 
 import ahocorasick
@@ -55,6 +55,9 @@ _BUCKET_BYTES = 32 << 20  # of text whose anchors meet at once
 _GROUP_WORDS = 50_000  # of segments whose windows are compared at once
 _KNOWN = np.uint32(0xFFFFFFFF)
 _FEW_ROWS = 1 << 15
+_DIGITS = 2  # letters a word in the automaton
+_OTHER = "\0" * _DIGITS  # a word that no passage of the shard has
+_NEVER = "\U0010ffff"  # in no text: the letters of 10^11 words come before it
 
 
 def _anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -363,26 +366,36 @@ def confirmed(cut: DataFrame, window: int = WINDOW, hot: int = HOT) -> tuple[Dat
 
 
 class _Automaton:
-    """Passages of a shard over word numbers; ``find`` gives (start, length, first document) of every occurrence in a text."""
+    """Passages of a shard over word numbers; ``find`` gives (start, length, first document) of every occurrence in a text.
+
+    A number is written in ``_DIGITS`` digits, each place with letters of its
+    own, so a passage can begin at a word only.  The automaton searches the
+    children of a node one by one: a digit has few values, a word has many.
+    """
 
     def __init__(self, patterns: dict[bytes, int]):
-        self.number: dict[bytes, int] = {}
-        self.length: list[int] = []
         self.first = list(patterns.values())
-        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE) if patterns else None
-        number = self.number
-        for i, passage in enumerate(patterns):
-            seq = tuple([number.setdefault(x, len(number) + 1) for x in passage.split(b" ")])
-            self.length.append(len(seq))
-            self.trie.add_word(seq, i)
+        self.length = [x.count(b" ") + 1 for x in patterns]
+        known = dict.fromkeys(b" ".join(patterns).split(b" ")) if patterns else {}
+        base = 1
+        while base**_DIGITS < len(known):
+            base += 1
+        places = [[chr(1 + p * base + d) for d in range(base)] for p in range(_DIGITS)]
+        self.code = dict(zip(known, map("".join, product(*places)), strict=False))
+        self.trie = None
         if patterns:
+            self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            self.trie.add_word(_OTHER[0] + _NEVER, 0)  # the letter of other words is the root's first child
+            code = self.code.__getitem__
+            for i, passage in enumerate(patterns):
+                self.trie.add_word("".join(map(code, passage.split(b" "))), i)
             self.trie.make_automaton()
 
     def find(self, parts: list[bytes]) -> list[tuple[int, int, int]]:
         if self.trie is None or not parts:
             return []
-        get, length, first = self.number.get, self.length, self.first
-        return [(end - length[i] + 1, length[i], first[i]) for end, i in self.trie.iter(tuple([get(x, 0) for x in parts]))]
+        get, length, first = self.code.get, self.length, self.first
+        return [(end // _DIGITS - length[i] + 1, length[i], first[i]) for end, i in self.trie.iter("".join([get(x, _OTHER) for x in parts]))]
 
 
 def _patterns(cut: DataFrame, passages: DataFrame, shards: int) -> DataFrame:
@@ -438,7 +451,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     def _kept(held, automaton):
         ids, texts = zip(*held, strict=True)
         buf, off = flat(pa.array(texts, pa.string()))
-        w = words(buf, off, NOT_SPACE)
+        w = words(buf, off, NOT_SPACE, None)
         data, begin, end = spaced(buf, w)
         parts = data.split(b" ") if data else []
         edge = np.zeros(len(parts) + 1, np.int64)
