@@ -635,21 +635,37 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANDINGS = 4
 
 
-def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match events of a possession stream, by the same steps as the batch fold."""
-    poss = view(spark, sf_dir, "poss")
-    at = live.folder(spark, "possession")
-    sizes = poss.groupBy(F.col("match_id").alias("of_match")).agg(F.count("*").alias("n_rows"))
-    counted = poss.join(sizes, F.col("match_id").eqNullSafe(F.col("of_match"))).drop("of_match")
-    # one range of frames after the other lands in the folder, one file a trigger: the order in which a match is played
-    low, high = poss.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+def _landed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A stream of ``rows``: one range of frames after the other lands in a folder, one file a trigger, as a match is played."""
+    at = live.folder(spark, name)
+    sizes = rows.groupBy(F.col("match_id").alias("of_match")).agg(F.count("*").alias("n_rows"))
+    counted = rows.join(sizes, F.col("match_id").eqNullSafe(F.col("of_match"))).drop("of_match")
+    low, high = rows.agg(F.min("frame_idx"), F.max("frame_idx")).first()
     width = 1 if low is None else max(1, -(-(high + 1 - low) // _LANDINGS))
     for i in range(_LANDINGS):
         begin = (low or 0) + i * width
         counted.filter(F.col("frame_idx").between(begin, begin + width - 1)).coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match events of a possession stream, by the same steps as the batch fold."""
+    stream = _landed(spark, view(spark, sf_dir, "poss"), "possession")
     out = live.drained(live.live_events(stream, lag=25, total="n_rows"), "events")
     return out.select(*_EVENT, r("timestamp_s", 2, "timestamp_s"), r("speed_kmh", 3, "speed_kmh"), r("distance_m", 3, "distance_m"))
 
 
-QUERIES |= {f.__name__: f for f in (stream_windows, stream_events)}
+def stream_possession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holders of a candidate stream, by the same steps as the batch fold."""
+    cands = possession.candidates(view(spark, sf_dir, "ball"), view(spark, sf_dir, "pos"))
+    out = live.drained(live.live_possession(_landed(spark, cands, "candidates"), lag=25, total="n_rows"), "holders")
+    return out.drop("batch")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user over the event table, read as a stream."""
+    out = live.event_sessions(spark, f"{sf_dir}/events.parquet", gap="2 hours")
+    return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+
+
+QUERIES |= {f.__name__: f for f in (stream_windows, stream_events, stream_possession, stream_sessions)}

@@ -246,6 +246,10 @@ SQL = {
     "position_rollup": f"with s as (select *, {_SIDE} as side from v_pos) select match_id, side, track_id, count(*) as n, round(avg(x_m), 4) as x_m from s group by rollup (match_id, side, track_id)",
     "stream_windows": "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as start_s, event_type, count(*) as n, round(sum(value), 3) as total from events group by all",
     "stream_events": _MATCH_EVENTS,
+    "stream_possession": f"with recursive {_ASSIGNED} select * from assigned",
+    "stream_sessions": """with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) > interval 2 hours, true) as opens from events where ts is not null),
+        s as (select user_id, ts, sum(case when opens then 1 else 0 end) over (partition by user_id order by ts) as k from e)
+        select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts) + interval 2 hours) as end_us, count(*) as n from s group by user_id, k""",
     "possession_assigned": f"with recursive {_ASSIGNED} select * from assigned",
     "possession_summary": f"""with recursive {_ASSIGNED},
         s as (select match_id, count(*) filter (not contested and holder_team = 0) as a, count(*) filter (not contested and holder_team = 1) as b, count(*) filter (contested) as c, count(*) as n, max(turnovers) as turnovers from assigned group by all),

@@ -122,3 +122,15 @@ def event_windows(spark: SparkSession, path: str, width: str = "1 hour") -> Data
     out = drained(windows(stream, width=width, late="0 seconds"), "event-windows", "update")
     newest = out.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
     return newest.select(F.col("window.start").alias("window_start"), "event_type", "v.n", F.round("v.total", 3).alias("total"))
+
+
+def event_sessions(spark: SparkSession, path: str, gap: str = "2 minutes") -> DataFrame:
+    """Sessions over an event table read as a stream: user_id, session_start, session_end (last row and gap), n.
+
+    Complete mode: each micro-batch writes all sessions so far, none is held back by the watermark, and the newest batch counts.
+    """
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a file or a folder
+    out = drained(sessions(stream, gap=gap, late="0 seconds"), "event-sessions", "complete")
+    newest = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return newest.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
