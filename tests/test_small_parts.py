@@ -72,13 +72,13 @@ def test_torso_colour_leaves_head_and_legs_out(spark):
     assert (got["hue"], got["sat"], got["val"]) == (0.0, 255.0, 200.0)
 
 
-@pytest.mark.parametrize("name", ["stream_possession", "stream_sessions"])
+@pytest.mark.parametrize("name", ["stream_possession", "stream_sessions", "stream_roles", "stream_trails"])
 def test_streams_equal_their_sql(spark, sf, name):
     import duckdb
 
     import __spark_entry__ as entry
 
-    got = entry.queries()[name](spark, sf)
+    got = entry.queries()[name](spark, sf)  # roles have the SQL of the batch query
     names = sorted(got.columns)
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem", "customer", "nation", "supplier", "part", "region"):

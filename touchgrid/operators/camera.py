@@ -63,11 +63,8 @@ def last_known(frames: DataFrame, facts: DataFrame, columns: list[str]) -> DataF
     return out.select("match_id", "frame_idx", *(F.col(f"v.{c}").alias(c) for c in columns))
 
 
-def fit_homography(src, dst) -> tuple[np.ndarray, float, bool]:
-    """(H, mean reprojection error, valid) by normalised direct linear transform; the identity and 999 if none fits."""
-    src, dst = np.asarray(src, float), np.asarray(dst, float)
-    if len(src) < 4:
-        raise ValueError("a homography needs four point pairs")
+def _homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
+    """Least squares by normalised direct linear transform; nothing if the points do not fix one."""
 
     def scaled(p):
         c = p.mean(0)
@@ -78,11 +75,37 @@ def fit_homography(src, dst) -> tuple[np.ndarray, float, bool]:
     (a, ta), (b, tb) = scaled(src), scaled(dst)
     rows = [r for (x, y), (u, v) in zip(a, b, strict=True) for r in ([-x, -y, -1, 0, 0, 0, u * x, u * y, u], [0, 0, 0, -x, -y, -1, v * x, v * y, v])]
     h = np.linalg.inv(tb) @ np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3) @ ta
-    if abs(h[2, 2]) < 1e-12 or np.linalg.cond(h) > 1e12:
-        return np.eye(3), 999.0, False
-    h = h / h[2, 2]
+    return None if abs(h[2, 2]) < 1e-12 or np.linalg.cond(h) > 1e12 else h / h[2, 2]
+
+
+def _errors(h: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     p = np.c_[src, np.ones(len(src))] @ h.T
-    return h, float(np.linalg.norm(p[:, :2] / p[:, 2:] - dst, axis=1).mean()), True
+    with np.errstate(divide="ignore", invalid="ignore"):
+        e = np.linalg.norm(p[:, :2] / p[:, 2:] - dst, axis=1)
+    return np.where(np.isfinite(e), e, np.inf)
+
+
+def fit_homography(src, dst, threshold: float = 5.0, rounds: int = 300) -> tuple[np.ndarray, float, bool]:
+    """(H, mean reprojection error of all points, valid); the identity and 999 if none fits.
+
+    If some pair is off by more than ``threshold``, maps of four random pairs
+    (fixed seed) are tried, and the pairs within it under the best are fitted.
+    """
+    src, dst = np.asarray(src, float), np.asarray(dst, float)
+    if len(src) < 4:
+        raise ValueError("a homography needs four point pairs")
+    h = _homography(src, dst)
+    if len(src) > 4 and (h is None or _errors(h, src, dst).max() > threshold):
+        rng, most = np.random.default_rng(0), 3
+        for _ in range(rounds):
+            four = rng.choice(len(src), 4, replace=False)
+            tried = _homography(src[four], dst[four])
+            near = _errors(tried, src, dst) <= threshold if tried is not None else np.zeros(len(src), bool)
+            if near.sum() > most and (fitted := _homography(src[near], dst[near])) is not None:
+                most, h = int(near.sum()), fitted
+    if h is None:
+        return np.eye(3), 999.0, False
+    return h, float(_errors(h, src, dst).mean()), True
 
 
 def broadcast_homography(top: float = 245.0, bottom: float = 745.0, x: float = 960.0, y: float = 500.0, rx: float = 280.0, ry: float = 130.0) -> np.ndarray:

@@ -35,6 +35,27 @@ def missing(x) -> bool:
     return x is None or x != x
 
 
+# --- the last rows of each track, where a stream has no row frames ------------------
+
+
+def counted(window: int, value: str, make: Callable) -> Callable:
+    """A step that keeps the last ``window`` values of each track (nulls left out) and gives what ``make`` makes of them and the row."""
+
+    def step(state: dict, row: dict) -> tuple[dict, dict]:
+        track = str(row["track_id"])
+        held = state.get(track, [])
+        if not missing(row[value]):
+            held = [*held, row[value]][-window:]
+        return state | {track: held}, {"frame_idx": row["frame_idx"], "track_id": row["track_id"]} | make(held, row)
+
+    return step
+
+
+def majority(votes: list):
+    """The most frequent vote; of equals the one seen first."""
+    return max(dict.fromkeys(votes), key=votes.count) if votes else None
+
+
 # --- smoothed speed: rounding feeds back ----------------------------------------
 
 

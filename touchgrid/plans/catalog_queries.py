@@ -662,10 +662,23 @@ def stream_possession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("batch")
 
 
+def stream_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voted roles of a stream of positions: a window of votes a track in state."""
+    raw = view(spark, sf_dir, "pos").select("match_id", "frame_idx", "det_idx", "track_id", F.col("role_id").alias("raw_role"))
+    return live.drained(live.live_roles(_landed(spark, raw, "votes"), lag=25, total="n_rows"), "roles").drop("batch")
+
+
+def stream_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trails of a stream of positions: a window of points a track in state."""
+    points = view(spark, sf_dir, "pos").select("match_id", "frame_idx", "det_idx", "track_id", "x_m", "y_m")
+    out = live.drained(live.live_trails(_landed(spark, points, "points"), "x_m", "y_m", lag=25, total="n_rows"), "trails")
+    return out.select("match_id", "frame_idx", "track_id", "n_trail", F.round("net", 4).alias("net"))
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user over the event table, read as a stream."""
     out = live.event_sessions(spark, f"{sf_dir}/events.parquet", gap="2 hours")
     return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 
-QUERIES |= {f.__name__: f for f in (stream_windows, stream_events, stream_possession, stream_sessions)}
+QUERIES |= {f.__name__: f for f in (stream_windows, stream_events, stream_possession, stream_roles, stream_trails, stream_sessions)}

@@ -247,6 +247,9 @@ SQL = {
     "stream_windows": "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as start_s, event_type, count(*) as n, round(sum(value), 3) as total from events group by all",
     "stream_events": _MATCH_EVENTS,
     "stream_possession": f"with recursive {_ASSIGNED} select * from assigned",
+    "stream_trails": """with t as (select match_id, frame_idx, track_id, x_m, y_m, count(*) over w as n_trail, first_value(x_m) over w as x0, first_value(y_m) over w as y0 from v_pos
+        window w as (partition by match_id, track_id order by frame_idx, det_idx rows between 19 preceding and current row))
+        select match_id, frame_idx, track_id, cast(n_trail as integer) as n_trail, round(sqrt((x_m - x0) * (x_m - x0) + (y_m - y0) * (y_m - y0)), 4) as net from t""",
     "stream_sessions": """with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) > interval 2 hours, true) as opens from events where ts is not null),
         s as (select user_id, ts, sum(case when opens then 1 else 0 end) over (partition by user_id order by ts) as k from e)
         select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts) + interval 2 hours) as end_us, count(*) as n from s group by user_id, k""",
@@ -265,3 +268,4 @@ SQL = {
     "placed_links": f"with {_VALUED}, {_LINKS}, {_NODES_PLACED} select l.match_id, l.team_id, l.passer_id, l.receiver_id, l.n, round(a.x_m, 3) as passer_x, round(a.y_m, 3) as passer_y, round(b.x_m, 3) as receiver_x, round(b.y_m, 3) as receiver_y from links l join nodes a on a.match_id = l.match_id and a.team_id = l.team_id and a.player_id = l.passer_id join nodes b on b.match_id = l.match_id and b.team_id = l.team_id and b.player_id = l.receiver_id",
     "carrier_places": f"with recursive {_ASSIGNED} select p.match_id, p.frame_idx, p.track_id, p.det_idx, p.x_m, p.y_m from assigned a join v_pos p on p.match_id = a.match_id and p.frame_idx = a.frame_idx and p.track_id = a.holder_id",
 }
+SQL["stream_roles"] = SQL["voted_roles"]  # a stream of the same rows

@@ -50,7 +50,7 @@ def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str
             held["seen"] += len(rows)
             whole = whole or total is not None and bool(rows) and held["seen"] >= rows[0][total]
             held["rows"] += [r for r in rows if r["frame_idx"] > held["done"]]
-        held["rows"].sort(key=lambda r: r["frame_idx"])
+        held["rows"].sort(key=lambda r: (r["frame_idx"], r.get("det_idx") or 0))
         newest = held["rows"][-1]["frame_idx"] if held["rows"] else held["done"]
         limit = newest if whole or last_frame is not None and newest >= last_frame else newest - lag
         out, n = [], 0
@@ -85,6 +85,23 @@ def live_possession(candidates: DataFrame, **options) -> DataFrame:
     return ordered_fold(candidates, folds.possession_step, folds.possession_start, "match_id long, frame_idx long, holder_id long, holder_team long, contested boolean, turnovers long", **options)
 
 
+def live_roles(raw: DataFrame, window: int = 15, **options) -> DataFrame:
+    """Roles by majority of the last ``window`` votes (raw_role) of each track of a stream; untracked rows keep theirs."""
+    step = folds.counted(window, "raw_role", lambda votes, row: {"role_id": row["raw_role"] if row["track_id"] < 0 else folds.majority(votes)})
+    return ordered_fold(raw, step, dict, "match_id long, frame_idx long, track_id long, role_id int", **options)
+
+
+def live_trails(points: DataFrame, x: str, y: str, length: int = 20, **options) -> DataFrame:
+    """Size of the trail (the last ``length`` points) of each track of a stream, and its net shift."""
+    place = points.withColumn("_at", F.array(F.col(x).cast("double"), F.col(y).cast("double")))
+
+    def make(trail, row):
+        (x0, y0), (x1, y1) = trail[0], trail[-1]
+        return {"n_trail": len(trail), "net": ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5}
+
+    return ordered_fold(place, folds.counted(length, "_at", make), dict, "match_id long, frame_idx long, track_id long, n_trail int, net double", **options)
+
+
 def windows(stream: DataFrame, time: str = "ts", width: str = "5 minutes", late: str = "10 minutes", by: str = "event_type", slide: str | None = None) -> DataFrame:
     """Counts and sums per window and kind, with a watermark for late rows."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
