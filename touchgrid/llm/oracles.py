@@ -86,4 +86,41 @@ w as (select rid, count(*) filter (kind > 2) as n, {_JOINED} as x from (select *
 select doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex, sha256(coalesce(b.x, '')) as base_sha256, coalesce(w.x, '') as spans, coalesce(w.n, 0) as n_linked
 from d left join b using (rid) left join w using (rid)"""
 
-SQL = {"op5_secret_scan": SECRETS, "op1_line_dedup": LINES, "op8_repeated_phrases": PHRASES, "op10_decontaminate": DECONTAMINATE}
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of an expression, bit by bit: a byte comes in, and at each of eight marks the register moves on."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint"
+    steps = f"flatten(list_transform(range(octet_length(encode({text}))), lambda i: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295)"
+
+
+TRIE = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select conv_id, conv_id - conv_id % 20 as base, {_crc32("conv_id::varchar")} % 4 as h, list({{'role': role, 'text': text}} order by turn nulls first, sha256(length(role)::varchar || ':' || role || text)) as turns from t group by conv_id),
+r as (select o.conv_id, list_concat(coalesce(b.turns[1 : o.h], []), o.turns[o.h + 1 :]) as turns from o left join o b on b.conv_id = o.base),
+p as (select conv_id, len(turns) as size, unnest(range(len(turns) + 1)) as depth, turns from r),
+k as (select conv_id, size, depth, md5(turns[1 : depth]::varchar) || depth as node, case when depth > 0 then md5(turns[1 : depth - 1]::varchar) || (depth - 1) end as parent, case when depth > 0 then len({_SPACED.format(x="turns[depth].text")}) else 0 end as words from p),
+n as (select node, any_value(depth) as depth, any_value(parent) as parent, any_value(words) as words, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (size = depth), '')) as ends_sha256 from k group by node),
+c as (select parent as node, count(*) as n_children from n where parent is not null group by parent),
+s as (select a.node, sum((n.n_convs - 1) * n.words) as saved, count(*) filter (c.node is null) as leaves from n left join c using (node) join k a on a.conv_id = n.conv_id and a.depth <= n.depth group by a.node)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, s.leaves as n_leaves, cast(s.saved as bigint) as saved_tokens, n.ends_sha256
+from n join s using (node) left join c using (node) left join n up on up.node = n.parent"""
+
+_LETTERS = r"regexp_extract_all({x}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')"
+
+VARIANTS = rf"""
+with runs as (select coalesce(doc_id::varchar, '') as doc, translate(unnest({_LETTERS.format(x="coalesce(text, '')")}), '{_UPPER}', '{_UPPER.lower()}') as run from documents),
+once as (select doc, run, count(*) as n from runs where length(run) >= 5 group by doc, run),
+h as (select run, n, {_crc32("doc || ':' || run")} as h from once),
+w as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from h),
+v as (select word, cast(sum(n) as bigint) as n from w where length(word) >= 5 group by word having sum(n) >= 3),
+open as (select word, n, i, substr(word, 1, i) || '*' || substr(word, i + 2) as k from (select word, n, unnest(range(length(word))) as i from v)),
+cut as (select distinct word, n, substr(word, 1, i) || substr(word, i + 2) as k from open),
+pairs as (select a.word, b.word as other, b.n as other_n from open a join open b on a.k = b.k and a.word <> b.word
+  union all select cut.word, v.word, v.n from cut join v on v.word = cut.k union all select v.word, cut.word, cut.n from cut join v on v.word = cut.k),
+near as (select word, count(*) as n_near, max(other_n) as best_n, arg_min(other, (-other_n, other)) as best from pairs group by word),
+f as (select v.word, v.n, coalesce(near.n_near, 0) as n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n from v left join near using (word)),
+chain as (with recursive c as (select word, word as root, form from f union all select c.word, f.word, f.form from c join f on f.word = c.form) select word, root from c where form is null)
+select f.word, f.form, chain.root, f.n, f.n_near, f.form_n from f join chain using (word)"""
+
+SQL = {"op5_secret_scan": SECRETS, "op1_line_dedup": LINES, "op8_repeated_phrases": PHRASES, "op10_decontaminate": DECONTAMINATE, "op12_prefix_trie": TRIE, "op13_spelling_variants": VARIANTS}

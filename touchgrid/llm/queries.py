@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, lines, media, oracles, phrases, resample, secrets, simhash, token_store
+from . import bpe, decontaminate, html_text, lines, media, oracles, phrases, pieces, prefix_trie, resample, secrets, simhash, spelling, token_store
 from .shared import small_batches
 
 
@@ -62,8 +62,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(docs.select("doc_id", "text"), items.select("item_id", "text"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = prefix_trie.turn_arrays(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), family=20)
+    shared = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(arrays, shared, longest=3))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.document_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), spoil=97, least_length=5)
+    return spelling.group_variants(spelling.vocabulary(counts, least_length=5, least_count=3))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan, op6_html_text, op7_quality_resampling, op8_repeated_phrases, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_media_columns, op4_bpe, op5_secret_scan, op6_html_text, op7_quality_resampling, op8_repeated_phrases, op9_simhash, op10_decontaminate, op11_sentence_pieces, op12_prefix_trie, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
