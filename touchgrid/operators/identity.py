@@ -110,20 +110,6 @@ def unmatched(candidates: DataFrame, pairs: DataFrame, key: str = "det_idx") ->
     return candidates.join(pairs, ["match_id", key], "left_anti")
 
 
-def coasted(dets: DataFrame) -> DataFrame:
-    """Tracked boxes of each match with coasting over short losses."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = folds.coast_start(), []
-        for frame, rows in folds.frames_of(pdf):
-            state, made = folds.coast_frame(state, frame, rows)
-            out += [{"match_id": pdf["match_id"].iloc[0]} | r for r in made]
-        return pd.DataFrame(out, columns=["match_id", "frame_idx", "track_id", "x1", "y1", "x2", "y2", "conf", "coasted"])
-
-    cols = ["match_id", "frame_idx", "det_idx", "track_id", "x1", "y1", "x2", "y2", "conf"]
-    return dets.select(*cols).groupBy("match_id").applyInPandas(run, "match_id long, frame_idx long, track_id long, x1 double, y1 double, x2 double, y2 double, conf double, coasted boolean")
-
-
 def propagated_boxes(dets: DataFrame) -> DataFrame:
     """Boxes on a skipped frame: moved by nine tenths of their velocity, a little less sure; what leaves all bounds is gone."""
     df = box_velocity(dets)
@@ -222,6 +208,18 @@ class MatchTracker:
         self.last: dict[int, dict] = {}
         self.reassigned = 0
 
+    def dump(self) -> dict:
+        """The state as plain values."""
+        plain = lambda d: {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in d.items()}
+        parts = {"tracks": self.tracker.tracks, "gallery": self.gallery, "last": self.last}
+        return {n: [[int(t), plain(x)] for t, x in p.items()] for n, p in parts.items()} | {"alias": [[int(t), int(n)] for t, n in self.alias.items()], "next": self.tracker.next, "reassigned": self.reassigned}
+
+    def load(self, state: dict) -> None:
+        """Takes up a state of ``dump``."""
+        arrays = lambda d: {k: np.array(v, float) if k in ("box", "v", "emb") else v for k, v in d.items()}
+        self.tracker.tracks, self.gallery, self.last = ({t: arrays(x) for t, x in state[n]} for n in ("tracks", "gallery", "last"))
+        self.alias, self.tracker.next, self.reassigned = {t: n for t, n in state["alias"]}, state["next"], state["reassigned"]
+
     def _warp(self, affine) -> None:
         a, b, c, d, e, f = (float(x) for x in affine)
         for t, s in list(self.last.items()):

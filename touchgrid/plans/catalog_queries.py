@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, labels as L, models as M
-from ..operators import camera, detections as D, evaluation, events, identity, kinematics, possession, roles, space, summary, threat
-from ..streaming import live
+from ..operators import camera, detections as D, evaluation, events, frame_folds, identity, kinematics, possession, roles, space, summary, threat
+from ..streaming import frames as S, live
 from .views import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,12 +529,15 @@ def _one_box(box):
     return box.filter("track_id >= 0").groupBy("match_id", "frame_idx", "track_id").agg(F.min("det_idx").alias("det_idx"), *(f(c).cast("double").alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))), F.max("conf").cast("double").alias("conf"))
 
 
+def _boxes_of(smooth):
+    x, y = F.col("x_m") * 10, F.col("y_m") * 10
+    return smooth.select("match_id", "frame_idx", F.col("track_id").alias("det_idx"), "track_id", (x - 8).alias("x1"), (y - 20).alias("y1"), (x + 8).alias("x2"), (y + 20).alias("y2"), F.lit(0.9).alias("conf"))
+
+
 @query("smooth")
 def coasted_tracks(smooth):
     """Tracks that are not seen on two of seven frames."""
-    x, y = F.col("x_m") * 10, F.col("y_m") * 10
-    seen = smooth.filter("frame_idx % 7 not in (3, 4)").select("match_id", "frame_idx", F.col("track_id").alias("det_idx"), "track_id", (x - 8).alias("x1"), (y - 20).alias("y1"), (x + 8).alias("x2"), (y + 20).alias("y2"), F.lit(0.9).alias("conf"))
-    return identity.coasted(seen).select("match_id", "frame_idx", "track_id", r("x1", 3, "x1"), r("y1", 3, "y1"), "coasted")
+    return frame_folds.coasted(_boxes_of(smooth.filter("frame_idx % 7 not in (3, 4)"))).select("match_id", "frame_idx", "track_id", r("x1", 3, "x1"), r("y1", 3, "y1"), "coasted")
 
 
 @query("box")
@@ -543,6 +546,52 @@ def skipped_frame_boxes(box):
     return identity.propagated_boxes(_one_box(box)).select("match_id", "frame_idx", "track_id", r("x1", 3, "x1"), r("y2", 3, "y2"), r("conf", 5, "conf"))
 
 
+def _affine(motion):
+    """The camera's map from frame to frame: shift, zoom and a little shear."""
+    shear = (F.col("frame_idx") % 5 - 2) / 1000.0
+    parts = F.col("zoom"), shear, (3 * F.col("dx") + 1) / 21, -shear, F.col("zoom"), (3 * F.col("dy") + 1) / 21
+    return motion.select("match_id", "frame_idx", F.array(*(p.cast("double") for p in parts)).alias("affine"))
+
+
+@query("smooth", "motion")
+def carried_boxes(smooth, motion):
+    """Boxes on every frame, of a detector that runs on every third; tracks are lost now and then."""
+    keyframes = _boxes_of(smooth).filter("(frame_idx + track_id) % 8 <> 0")
+    return _carried(frame_folds.carried(keyframes, _affine(motion)))
+
+
+def _carried(df):
+    return df.select("match_id", "frame_idx", "track_id", *(r(c, 3, c) for c in ("x1", "y1", "x2", "y2")), r("conf", 5, "conf"), "kind")
+
+
+def _scenes(pos, motion, emb):
+    """Boxes of persons with an appearance each, cuts as control rows, and the camera's map; a person keeps its appearance through a cut, at another place."""
+    parts = emb.select((F.col("vec_id") % 20).alias("track_id"), F.posexplode(F.col("emb").cast("array<double>")).alias("at", "e")).groupBy("track_id", "at").agg(F.avg("e").alias("e"))
+    looks = parts.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.round("e", 9).alias("e")))), lambda x: x["e"]).alias("emb"))  # 20 rows
+    cut = F.col("frame_idx") % 40 == 20
+    scene = F.floor((F.col("frame_idx") + 20) / 40)
+    x, y = 60 * F.col("track_id") + 2 * ((F.col("frame_idx") + 20) % 40) + 500 * (scene % 2), 300 + 10 * F.col("track_id") + 100 * (scene % 3)
+    seen = pos.where("(frame_idx + det_idx) % 9 <> 0").join(looks, "track_id")
+    ball = F.when(F.col("det_idx") == 0, 32).otherwise(0)
+    number = lambda c: c.cast("double")
+    boxes = seen.select("match_id", "frame_idx", "det_idx", ball.alias("class_id"), number(x).alias("x1"), number(y).alias("y1"), number(x + 24).alias("x2"), number(y + 60).alias("y2"), F.lit(0.9).alias("conf"), "emb")
+    control = pos.where(cut).select("match_id", "frame_idx", F.lit(True).alias("cut")).distinct()
+    one, none = F.lit(1.0), F.lit(0.0)
+    pans = motion.select("match_id", "frame_idx", F.array(one, none, F.col("dx") / 10, none, one, F.col("dy") / 10).alias("affine"))
+    maps = pans.join(pos.select("match_id", "frame_idx").distinct(), ["match_id", "frame_idx"])
+    return boxes.unionByName(control, True).unionByName(maps, True)
+
+
+def _tracked(df):
+    return df.select("match_id", "frame_idx", "track_id", "class_id", r("x1", 3, "x1"), r("y1", 3, "y1"), "coasted", r("walked_px", 3, "walked_px"), "holder_id", "reassigned")
+
+
+@query("pos", "motion", "emb")
+def scene_tracks(pos, motion, emb):
+    """Tracks, holders and distances through cuts: persons are recognised by appearance and keep their numbers."""
+    return _tracked(frame_folds.tracked_with_cuts(_scenes(pos, motion, emb), px_per_m=40.0))
+
+
 @query("box", "motion")
 def tracked_boxes(box, motion):
     """Cuts, association, coasting and the ball in one pass over the frames of each match."""
@@ -633,19 +682,28 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LANDINGS = 4
+_LANDING_ROWS = 1_000_000  # at most, in one file
+
+
+def _land(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A stream of ``rows``: one range of frames after the other lands in a folder, one file a trigger, as a match is played.
+
+    The rows are made once and dealt into a folder a range, so each landing reads its own rows only.
+    """
+    low, high, n = rows.agg(F.min("frame_idx"), F.max("frame_idx"), F.count("*")).first()
+    landings = max(_LANDINGS, -(-n // _LANDING_ROWS))
+    width = 1 if low is None else max(1, -(-(high + 1 - low) // landings))
+    at, dealt = live.folder(spark, name), live.folder(spark, f"{name}-ranges")
+    rows.withColumn("landing", F.floor((F.col("frame_idx") - (low or 0)) / width)).write.partitionBy("landing").parquet(dealt)
+    for i in range(landings if n else 0):
+        spark.read.parquet(dealt).where(F.col("landing") == i).select(*rows.columns).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
 def _landed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """A stream of ``rows``: one range of frames after the other lands in a folder, one file a trigger, as a match is played."""
-    at = live.folder(spark, name)
+    """``_land`` of rows that know how many their match has."""
     sizes = rows.groupBy(F.col("match_id").alias("of_match")).agg(F.count("*").alias("n_rows"))
-    counted = rows.join(sizes, F.col("match_id").eqNullSafe(F.col("of_match"))).drop("of_match")
-    low, high = rows.agg(F.min("frame_idx"), F.max("frame_idx")).first()
-    width = 1 if low is None else max(1, -(-(high + 1 - low) // _LANDINGS))
-    for i in range(_LANDINGS):
-        begin = (low or 0) + i * width
-        counted.filter(F.col("frame_idx").between(begin, begin + width - 1)).coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return _land(spark, rows.join(sizes, F.col("match_id").eqNullSafe(F.col("of_match"))).drop("of_match"), name)
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -675,10 +733,61 @@ def stream_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", "frame_idx", "track_id", "n_trail", F.round("net", 4).alias("net"))
 
 
+_LAG = 3  # frames that rows may be late
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", S.frame_time())
+
+
+def _played(spark: SparkSession, rows: DataFrame, name: str, over: int = 0) -> DataFrame:
+    """``_land`` with event time and a watermark.
+
+    A row of no match ends it, so that the watermark passes the last frame (and
+    ``over``); each row knows the last frame of its match.
+    """
+    ends = rows.groupBy(F.col("match_id").alias("of_match")).agg(F.max("frame_idx").alias("last_frame"))
+    known = rows.join(ends, F.col("match_id").eqNullSafe(F.col("of_match"))).drop("of_match")
+    flush = known.agg((F.greatest(F.max("frame_idx"), F.lit(over)) + 2 * _LAG).alias("frame_idx")).where("frame_idx is not null").withColumns({c: F.lit(-1).cast("long") for c in ("match_id", "last_frame", "track_id") if c in known.columns})
+    return _land(spark, _timed(known.unionByName(flush, True)), name).withWatermark("ts", f"{_LAG * S.FRAME_MS} milliseconds")
+
+
+def stream_coasted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coasted tracks of a stream of boxes: a state a track, with timers for what is lost."""
+    seen = _boxes_of(view(spark, sf_dir, "smooth").filter("frame_idx % 7 not in (3, 4)"))
+    out = live.drained(S.live_coasted(_played(spark, seen, "boxes")), "coasted")
+    return out.select("match_id", "frame_idx", "track_id", r("x1", 3, "x1"), r("y1", 3, "y1"), "coasted")
+
+
+def stream_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appearances of tracks as they stand after a stream of sights; what was not seen for 300 frames is gone."""
+    emb = view(spark, sf_dir, "emb")
+    sights = emb.select(F.lit(0).cast("long").alias("match_id"), (F.col("vec_id") % 40).cast("long").alias("track_id"), F.col("vec_id").cast("long").alias("frame_idx"), F.col("emb").cast("array<double>").alias("emb"), F.col("team_id").cast("long").alias("team_id"))
+    out = live.drained(S.live_gallery(_played(spark, sights, "sights")), "gallery")
+    newest = out.groupBy("match_id", "track_id").agg(F.max_by(F.struct("live", "n", "last_seen", "emb"), F.struct("frame_idx", "n")).alias("g"))
+    return newest.where("g.live").select("track_id", "g.n", "g.last_seen", F.round(F.col("g.emb")[0], 5).alias("e0"))
+
+
+def stream_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on every frame from two streams: the detector's on every third, the camera's on all."""
+    keyframes = _boxes_of(view(spark, sf_dir, "smooth")).filter("(frame_idx + track_id) % 8 <> 0 and frame_idx % 3 = 0")
+    motion = _affine(view(spark, sf_dir, "motion"))
+    over = motion.agg(F.max("frame_idx")).first()[0] or 0  # the detector's stream lasts as long as the camera's
+    found, moved = _played(spark, keyframes, "keyframes", over), _played(spark, motion, "motion")
+    out = live.drained(S.live_carried(found, moved), "carried")
+    return _carried(out)
+
+
+def stream_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking of a stream with cuts as control rows among the boxes."""
+    rows = _scenes(*(view(spark, sf_dir, n) for n in ("pos", "motion", "emb")))
+    return _tracked(live.drained(S.live_tracked(_played(spark, rows, "scenes"), px_per_m=40.0), "scenes"))
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user over the event table, read as a stream."""
     out = live.event_sessions(spark, f"{sf_dir}/events.parquet", gap="2 hours")
     return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 
-QUERIES |= {f.__name__: f for f in (stream_windows, stream_events, stream_possession, stream_roles, stream_trails, stream_sessions)}
+QUERIES |= {f.__name__: f for f in (stream_windows, stream_events, stream_possession, stream_roles, stream_trails, stream_sessions, stream_coasted, stream_gallery, stream_carried, stream_scenes)}

@@ -269,3 +269,20 @@ SQL = {
     "carrier_places": f"with recursive {_ASSIGNED} select p.match_id, p.frame_idx, p.track_id, p.det_idx, p.x_m, p.y_m from assigned a join v_pos p on p.match_id = a.match_id and p.frame_idx = a.frame_idx and p.track_id = a.holder_id",
 }
 SQL["stream_roles"] = SQL["voted_roles"]  # a stream of the same rows
+SQL["stream_coasted"] = SQL["coasted_tracks"]
+SQL["stream_gallery"] = SQL["reid_gallery"].replace(" where 700 - last_seen <= 300", " where (select max(vec_id) from v_emb) - last_seen <= 300")
+
+# Frame by frame: the box is moved by the camera (the box round its moved corners), then replaced, coasted or carried.
+_AT = "{f}({a} * x1 + {b} * y1, {a} * x2 + {b} * y1, {a} * x2 + {b} * y2, {a} * x1 + {b} * y2) + {c}"
+_WARP = ", ".join(f"{_AT.format(f=f, a=a, b=b, c=c)} as {n}" for n, f, a, b, c in (("wx1", "least", "a", "b", "c"), ("wy1", "least", "-b", "a", "f"), ("wx2", "greatest", "a", "b", "c"), ("wy2", "greatest", "-b", "a", "f")))
+_STEP = "case when k.x1 is not null then k.{c} when w.key then w.w{c} + w.v{d} * power(0.85e0, w.lost + 1) else w.w{c} + 0.9e0 * w.v{d} end as {c}"
+SQL["carried_boxes"] = SQL["stream_carried"] = f"""with recursive k as (select match_id, track_id, frame_idx, x_m * 10 - 8 as x1, y_m * 10 - 20 as y1, x_m * 10 + 8 as x2, y_m * 10 + 20 as y2 from v_smooth where (frame_idx + track_id) % 8 <> 0 and frame_idx % 3 = 0),
+    mo as (select match_id, frame_idx, zoom * 1e0 as a, (frame_idx % 5 - 2) / 1000e0 as b, (3 * dx + 1) / 21 as c, (3 * dy + 1) / 21 as f from v_motion),
+    o as (select k.*, row_number() over (partition by match_id, track_id order by frame_idx) as i, max(frame_idx) over (partition by match_id, track_id) as last_found from k),
+    st as (select match_id, track_id, frame_idx, last_found, x1, y1, x2, y2, 0e0 as vx, 0e0 as vy, 0 as lost, 'found' as kind from o where i = 1
+      union all select n.* replace (case when kind = 'carried' and greatest(abs(x1), abs(y1), abs(x2), abs(y2)) > 10000 then 99 else lost end as lost) from (select w.match_id, w.track_id, w.frame_idx, w.last_found, {", ".join(_STEP.format(c=c, d=c[0]) for c in ("x1", "y1", "x2", "y2"))},
+        case when k.x1 is null then w.vx when w.lost > 45 then 0 else (k.x1 + k.x2 - w.wx1 - w.wx2) / 2 end as vx, case when k.x1 is null then w.vy when w.lost > 45 then 0 else (k.y1 + k.y2 - w.wy1 - w.wy2) / 2 end as vy,
+        case when k.x1 is not null then 0 else w.lost + w.key::int end as lost, case when k.x1 is not null then 'found' when w.key then 'coasted' else 'carried' end as kind
+      from (select u.* replace (case when greatest(abs(wx1), abs(wy1), abs(wx2), abs(wy2)) <= 10000 then lost else 99 end as lost) from (select st.match_id, st.track_id, mo.frame_idx, last_found, vx, vy, lost, mo.frame_idx % 3 = 0 as key, {_WARP} from st join mo on mo.match_id = st.match_id and mo.frame_idx = st.frame_idx + 1 where lost <= 4 or st.frame_idx < last_found) u) w
+      left join k on k.match_id = w.match_id and k.track_id = w.track_id and k.frame_idx = w.frame_idx) n)
+    select match_id, frame_idx, track_id, round(x1, 3) as x1, round(y1, 3) as y1, round(x2, 3) as x2, round(y2, 3) as y2, case kind when 'found' then 0.9e0 when 'coasted' then 0.5e0 else round(0.9e0 * 0.98e0, 5) end as conf, kind from st where lost <= 4"""
