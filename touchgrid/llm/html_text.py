@@ -1,14 +1,19 @@
 """Main text of web pages by composite text density.
 
 The page becomes a DOM (void tags, implied ends of paragraphs, list items and
-cells, raw text of scripts).  Elements that are no text of an article by their
-tag or role - scripts, styles, forms, menus, asides, page headers and footers -
-leave first, and so do boxes (never paragraphs, headings, list items, quotes)
-whose names consist of such words, like "site-menu", "comments" or
-"cookie-notice".  A box with such a word among others, like "related-work",
-leaves outside of articles; within one its density decides: it leaves only if
-most of its characters are links.  For every other node, with C characters,
-T tags, LC link characters and LT link tags below it,
+cells, raw text of scripts).  Scripts, styles and form controls leave, and do
+not part the sentence round them.  Menus, asides, forms, page headers and
+footers leave by their tag, role or hidden state, and boxes (never paragraphs,
+headings, list items, quotes) by names that consist of such words, like
+"site-menu", "comments" or "cookie-notice"; but nothing that holds the largest
+article or main element leaves, nor, on a page without one, what holds most of
+the page's text.  A box with such a word among others, like "related-work",
+leaves outside of articles.  Within an article a named box stays if it is a part
+of it (it has the title, or is a section, or goes by an id, with heading and
+paragraphs, few links and no form controls), except for reader comments; one
+with such a word among others leaves only if most of its characters are links.
+For every other node, with C characters, T tags, LC link characters and LT link
+tags below it,
 
     density = C/T * ln(C/LC * T/LT) / ln(1 + ln(C/(C-LC) * LC + LCb/Cb * C + e))
 
@@ -45,11 +50,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style template iframe textarea title select noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math noscript object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 _FOREIGN = frozenset(("math", "svg"))
-_DROP_TAGS = frozenset("head nav footer aside form script style template iframe textarea title select button input menu dialog noframes".split())
+_GONE_TAGS = frozenset("head script style template iframe textarea title select button input noframes".split())
+_DROP_TAGS = frozenset("nav footer aside form menu dialog".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _PROSE = frozenset("html body article main p h1 h2 h3 h4 h5 h6 hgroup li dt dd td th tr tbody thead tfoot blockquote pre figure figcaption".split()) | _INLINE
 _DROP_WORDS = re.compile(r"ads?|adverts?|advertisements?|advertising|adbox|adsense|banners?|promos?|promotions?|sponsor(?:s|ed)?|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|masthead|comments?|commentlist|disqus|respond|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widgets?|toolbar|pagination|pager|skip|hidden|header")
 _FILLERS = re.compile(r"site|page|post|main|top|bottom|left|right|global|primary|secondary|box|block|list|area|section|wrap|wrapper|container|inner|outer|items?|bar|links?|icons?|buttons?|form|panel|group|posts|articles|stories|js|wp|[0-9]+")
+_OF_ARTICLE = frozenset("page post entry article story content".split())  # beside "header"
+_OF_READERS = frozenset("comment comments commentlist disqus respond".split())
+_NEVER_MAIN = frozenset("nav footer aside menu".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CONTROLS = frozenset("button input select textarea".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
 
@@ -63,37 +74,45 @@ _NEVER, _WEAK, _STRONG = 0, 1, 2
 
 
 class _Node:
-    __slots__ = ("article", "best", "chars", "density", "drop", "end", "foreign", "i", "kids", "link_chars", "link_tags", "named", "parent", "parts", "sum", "tag", "tags")
+    __slots__ = ("article", "below", "best", "by_id", "chars", "density", "drop", "end", "foreign", "i", "kids", "link_chars", "link_tags", "named", "off", "parent", "parts", "readers", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: _Node | None, i: int):
-        self.tag, self.parent, self.i, self.drop, self.named = tag, parent, i, tag in _DROP_TAGS, _NEVER
+        self.tag, self.parent, self.i, self.drop, self.off, self.named = tag, parent, i, tag in _GONE_TAGS, tag in _DROP_TAGS, _NEVER
+        self.by_id = False  # its id alone is such a name
+        self.readers = parent is not None and parent.readers  # in what readers wrote
         self.foreign = tag in _FOREIGN or parent is not None and parent.foreign
         self.parts: list = []  # text and nodes in order
         self.kids: list[_Node] = []
 
     @property
     def inline(self) -> bool:
-        return self.foreign or self.tag in _INLINE
+        return self.foreign or self.tag in _INLINE or self.tag in _GONE_TAGS
 
 
-def _named_off(tag: str, attrs: str) -> tuple[bool, int]:
-    """(drops, how strongly its names say so) of an element with these attributes."""
-    off, named = False, _NEVER
+def _take_names(n: _Node, attrs: str) -> None:
+    """Reads the role, the state and the names of an element off its attributes."""
+    at = set()
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "role":
-            off |= value.lower() in _DROP_ROLES
+            n.off |= value.lower() in _DROP_ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            off = True
+            n.off = True
         elif key == "style":
-            off |= bool(_UNSEEN.search(value))
-        elif tag not in _PROSE:
+            n.off |= bool(_UNSEEN.search(value))
+        elif n.tag not in _PROSE or n.tag == "article":
             for name in value.split():
                 parts = [x.lower() for x in _NAME.findall(name)]
-                said = [x for x in parts if _DROP_WORDS.fullmatch(x)]
+                said = [x for x in parts if _DROP_WORDS.fullmatch(x) and not (x == "header" and _OF_ARTICLE.intersection(parts))]
                 if said:
-                    named = max(named, _STRONG if all(x in said or _FILLERS.fullmatch(x) for x in parts) else _WEAK)
-    return off and tag not in ("html", "body"), named
+                    sure = all(x in said or _FILLERS.fullmatch(x) for x in parts)
+                    n.readers |= sure and bool(_OF_READERS.intersection(said))
+                    if n.tag != "article":
+                        n.named = max(n.named, _STRONG if sure else _WEAK)
+                        at.add(key)
+    n.by_id = at == {"id"}
+    if n.tag in ("html", "body"):
+        n.off = False
 
 
 class _Open:
@@ -154,10 +173,10 @@ def parse(page: str) -> list[_Node]:
             continue
         if tag in ("html", "body") and (tag == "html" or has_body):
             continue
-        if tag not in _INLINE and not node.foreign:
+        if tag not in _INLINE and tag not in _GONE_TAGS and not node.foreign:
             if opened.stack[opened.blocks[-1]].tag == "p":
                 opened.cut(opened.blocks[-1])
-            if tag == "body" or opened.stack[-1].tag == "head" and tag not in ("meta", "link", "base") and tag not in _RAW:
+            if tag == "body" or opened.stack[-1].tag == "head" and tag not in ("meta", "link", "base"):
                 has_body |= tag == "body"
                 opened.cut(1)
         if tag in _CLOSES:
@@ -172,8 +191,7 @@ def parse(page: str) -> list[_Node]:
         node = opened.stack[-1]
         new = _Node(tag, node, len(nodes))
         if m[3]:
-            off, new.named = _named_off(tag, m[3])
-            new.drop |= off
+            _take_names(new, m[3])
         node.parts.append(new)
         nodes.append(new)
         if tag in _RAW:
@@ -215,20 +233,63 @@ def _grown(nodes: list[_Node]) -> list[_Node]:
     return out
 
 
+def _kept_whole(nodes: list[_Node]) -> set[int]:
+    """Nodes that hold the article: above the largest article and main element, or else on the way to where most of the text is."""
+    holds: set[int] = set()
+    for tag in ("article", "main"):
+        found = max((n for n in nodes if n.tag == tag and not n.readers), key=lambda n: n.chars, default=None)
+        while found is not None and found.i not in holds:
+            holds.add(found.i)
+            found = found.parent
+    if holds:
+        return holds
+    at, half = nodes[0], nodes[0].chars / 2
+    while at is not None:
+        holds.add(at.i)
+        at = next((k for k in at.kids if k.chars > half and not k.readers and k.tag not in _NEVER_MAIN), None)
+    return holds
+
+
+_TITLE, _HEADING, _PARAGRAPH, _CONTROL = 1, 2, 4, 8
+
+
+def _look_below(nodes: list[_Node]) -> None:
+    """Which of a title, headings, paragraphs and form controls each node holds."""
+    for n in nodes:
+        n.below = 0
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.below |= n.below | _TITLE * (n.tag == "h1") | _HEADING * (n.tag in _HEADINGS) | _PARAGRAPH * (n.tag == "p") | _CONTROL * (n.tag in _CONTROLS)
+
+
+def _is_part(n: _Node) -> bool:
+    """Whether a named box in an article is a part of it."""
+    if n.readers or n.link_chars > n.chars / 2:
+        return False
+    section = (n.tag == "section" or n.by_id) and n.below & _HEADING and n.below & _PARAGRAPH and not n.below & _CONTROL
+    return bool(n.below & _TITLE or section)
+
+
 def _prune(nodes: list[_Node]) -> list[_Node]:
     """The nodes that may be content: by tag, role and name, and by density where names are not sure."""
-    holds = set()  # what has an article below is no box beside it
+    _look_below(nodes)
+    nodes = _grown(nodes)
+    _measure(nodes)
+    holds = _kept_whole(nodes)
     for n in nodes:
-        n.article = n if n.tag in ("article", "main") else n.parent.article if n.parent else None
-        if n.article is n:
-            at = n.parent
-            while at is not None and at.i not in holds:
-                holds.add(at.i)
-                at = at.parent
+        n.article = n if n.tag in ("article", "main") and not n.readers else n.parent.article if n.parent else None
+    settled = 0  # boxes within one that was asked already go with it
     for n in nodes:
-        if n.i not in holds:
-            n.drop |= n.tag == "header" and n.article is None
-            n.drop |= n.named == _STRONG and not (n.tag == "header" and n.article) or n.named == _WEAK and n.article is None
+        if n.i in holds or n.i < settled:
+            continue
+        n.drop = n.off or n.tag == "header" and n.article is None or n.readers and n.named == _STRONG or n.readers and n.tag == "article"
+        if n.named and not n.drop:
+            if n.article is None:
+                n.drop = True
+            elif n.named == _STRONG and n.tag != "header":
+                n.drop = not _is_part(n)
+        if n.drop:
+            settled = n.end
     nodes = _grown(nodes)
     _measure(nodes)
     for n in nodes:
