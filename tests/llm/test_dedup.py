@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from touchgrid.llm import decontaminate as D, lines, phrases, simhash
@@ -276,6 +277,28 @@ def test_clean_documents_stay_whole(spark, rows, items, block):
     assert out.columns == df.columns and sorted(r["at"] for r in out.collect()) == [i for i, bad in enumerate(clean) if not bad]
 
 
+def test_a_window_of_many_items_fills_no_block(spark):
+    shared = "ten words that stand in all of the many items"
+    rows = [(i, f"{shared} own{i} end{i % 7}") for i in range(4000)]
+    bench = D.Benchmark(spark.createDataFrame(rows, "item_id long, text string").repartition(5), 1000)
+    sizes = [bench.block(i).count() for i in range(bench.blocks)]
+    parts = bench.windows.select(F.spark_partition_id()).distinct().count()
+    assert sum(sizes) == 1 + 2 * 4000 and max(sizes) <= 1000 + parts
+    docs = [(1, f"a {shared} b"), (1, f"a {shared} b"), (2, f"{shared} own5 end5"), (None, "nothing"), (3, f"{shared} own6 end5")]
+    for block in (1000, D.BLOCK_WINDOWS):
+        got = D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"), block).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, len(r["items"])) for r in got) == [(0, 1, 0, 0), (1, 12, 10, 4000), (1, 12, 10, 4000), (2, 12, 12, 4000), (3, 12, 11, 4000)]
+
+
+def test_contamination_of_a_text_over_a_slice_beside_clashing_columns(spark):
+    item = "these are the ten words of the one benchmark item"
+    text = "filler words " * 60_000 + item + " more" * 100_000
+    df = spark.createDataFrame([(1, text, "x", 2, 3), (1, "clean", "x", 2, 3)], "doc_id int, text string, items string, n_hit int, number long")
+    its = spark.createDataFrame([(7, item, "y")], "item_id int, text string, number string")
+    assert sorted((r.n_words, r.n_hit, r["items"]) for r in D.find_contamination(df, its).collect()) == [(1, 0, []), (220_010, 10, ["7"])]
+    assert [tuple(r) for r in D.keep_clean(df, its).collect()] == [(1, "clean", "x", 2, 3)]
+
+
 def test_nothing_to_compare(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination_report(docs, none).filter("contaminated").count() == 0

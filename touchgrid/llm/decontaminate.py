@@ -9,14 +9,19 @@ word for word.
 An item of fewer words than a window is one window of its own length, looked up
 at every position.
 
-The item side goes to the executors in blocks of at most ``BLOCK_WINDOWS``
-windows (its size is counted first); a larger benchmark takes several passes
-over the documents, whose partial hits are merged per document.
+The distinct windows are numbered and counted, and go to the executors in blocks
+of about ``BLOCK_WINDOWS`` dealt by number; a larger benchmark takes several
+passes over the documents, whose hits are merged per document.  Which items a
+window belongs to is a table of its own, which goes nowhere whole: each distinct
+set of hit windows meets it once, in a join, so neither a window of many items
+nor a passage of many documents makes a large block or a list a document.
 
 Nulls: a null text has no words; a null item_id counts as an item named ''; a
 null doc_id stays null.  Items without words have no windows.  Repeated
-documents each give a row; repeated items count once per item_id.  Empty tables
-give no rows, or no hits.  Texts of any length are read whole.
+documents each give a row; repeated items count once per item_id; there are no
+ties.  Empty tables give no rows, or no hits.  Texts of any length are read
+whole.  Columns beside doc_id, text and item_id are left out whatever their
+names (``keep_clean`` hands those of the documents on).
 """
 
 from __future__ import annotations
@@ -67,7 +72,7 @@ def gram_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(n, window, print, item, text): a row per distinct window of an item, with its fingerprint (0 for short items) and words."""
+    """(n, window, print, item, text): a row per window of an item, with its fingerprint (0 for short items) and words."""
 
     def run(batches):
         for batch in batches:
@@ -91,36 +96,44 @@ def item_windows(items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), join(window), join(prints), pa.array(item, pa.string()), pa.array(texts, pa.binary())], ["n", "window", "print", "item", "text"])
 
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    return named.mapInArrow(run, "n int, window long, print long, item string, text binary").distinct()
+    return named.mapInArrow(run, "n int, window long, print long, item string, text binary")
+
+
+class Benchmark:
+    """The windows of a benchmark: ``windows`` (number, n, window, print, text) without repeats, ``members`` (number, item), and the number of blocks."""
+
+    def __init__(self, items: DataFrame, block_windows: int = BLOCK_WINDOWS):
+        rows = written(item_windows(items.select("item_id", "text")), "item-windows")
+        key = ["n", "text"]
+        self.windows = written(rows.groupBy(*key).agg(F.min("window").alias("window"), F.min("print").alias("print")).withColumn("number", F.monotonically_increasing_id()), "windows")
+        self.members = rows.select(*key, "item").distinct().join(self.windows.select(*key, "number"), key).select("number", "item")
+        self.blocks = max(1, -(-self.windows.count() // block_windows))
+
+    def block(self, i: int) -> DataFrame:
+        """Every ``blocks``-th window: numbers run on within the parts of the table, so blocks differ by a row a part at most."""
+        return self.windows if self.blocks == 1 else self.windows.filter(F.pmod("number", F.lit(self.blocks)) == i)
 
 
 class _Index:
-    """Windows of one block, sorted by hash, with their words and items, and the fingerprints that lead to them."""
+    """Windows of one block, sorted by hash, with their words and numbers, and the fingerprints that lead to them."""
 
     def __init__(self, rows: pa.Table):
         column = lambda c: rows.column(c).combine_chunks()
-        items, texts = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (column(c).dictionary_encode() for c in ("item", "text")))
-        self.names = items.dictionary.to_pylist()
-        item, text = (x.indices.to_numpy().astype(np.int64) for x in (items, texts))
-        self.buf, off = flat(texts.dictionary)
-        length = column("n").to_numpy()
+        self.buf, off = flat(column("text"))
+        length, number = column("n").to_numpy(), column("number").to_numpy()
         window, prints = (np.ascontiguousarray(column(c).to_numpy()).view(np.uint64) for c in ("window", "print"))
         self.windows: dict[int, tuple] = {}
         for n in np.unique(length).tolist():
-            mine = length == n
-            order = np.lexsort((item[mine], text[mine], window[mine]))
-            of, words_, value = item[mine][order], text[mine][order], window[mine][order]
-            new = np.concatenate(([True], words_[1:] != words_[:-1]))  # equal words have equal hashes, so they are neighbours
-            first = np.flatnonzero(new)
-            at = words_[first]
-            self.windows[n] = (value[first], first, np.diff(np.append(first, len(value))), of, off[at], off[at + 1] - off[at])
+            mine = np.flatnonzero(length == n)
+            mine = mine[np.argsort(window[mine], kind="stable")]
+            self.windows[n] = (window[mine], number[mine], off[mine], off[mine + 1] - off[mine])
         self.prints = np.unique(prints[length == WINDOW])
 
     def hits(self, buf: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, number of the window) of the windows in a flat run of documents, their words compared."""
+        """(start, length, number) of the windows in a flat run of documents, their words compared."""
         last = np.repeat(w.first[1:], np.diff(w.first))  # the end of the document of each word
         found = []
-        for n, (keys, _, _, _, at, size) in self.windows.items():
+        for n, (keys, number, at, size) in self.windows.items():
             if n == WINDOW:
                 gram = grams(w.hash, GRAM)
                 place = winnowed(gram, WINDOW - GRAM + 1)
@@ -142,18 +155,9 @@ class _Index:
                 ok = length == size[row]
                 ok[ok] = equal_spans(data, begin[ok], length[ok], self.buf, at[row[ok]])
                 start, row = start[ok], row[ok]
-            found.append((start, np.full(len(start), n), row))
+            found.append((start, np.full(len(start), n), number[row]))
         return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
-    def items(self, length: np.ndarray, row: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
-        """Distinct (document, item number) of hits."""
-        out = []
-        for n, (_, first, count, of, _, _) in self.windows.items():
-            mine = length == n
-            r = row[mine]
-            out.append(np.stack([np.repeat(doc[mine], count[r]), of[ranges(first[r], count[r])]], 1))
-        return np.unique(np.concatenate(out), axis=0).tolist() if out else []
-
 
 def _in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(keys):
@@ -161,10 +165,10 @@ def _in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-def _scan(docs: DataFrame, windows: DataFrame, merge: bool, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One pass over the documents against one block of windows; ``extra`` columns pass through."""
+def _scan(docs: DataFrame, windows: DataFrame, extra: tuple[str, ...] = (), places: bool = False) -> DataFrame:
+    """One pass over ``docs(doc_id, text, ...)`` against one block: n_words, n_hit, the numbers of the hit windows, the hit words' ``places`` if asked; ``extra`` columns pass through."""
     held = docs.sparkSession.sparkContext.broadcast(_Index(windows.toArrow()))
-    schema = T.StructType.fromDDL("doc_id long, n_words long, n_hit long, items array<string>" + ", text_hash long, at array<int>" * merge)
+    schema = T.StructType.fromDDL("n_words long, n_hit long, numbers array<long>" + ", at array<int>" * places)
     schema = T.StructType([*schema.fields, *(docs.schema[c] for c in extra)])
 
     def run(batches):
@@ -172,67 +176,65 @@ def _scan(docs: DataFrame, windows: DataFrame, merge: bool, extra: tuple[str, ..
         for batch in batches:
             for part in slices(batch, "text"):
                 buf, w = alnum_words(part.column("text"))
-                n_docs = part.num_rows
-                start, length, row = index.hits(buf, w)
+                start, length, number = index.hits(buf, w)
                 doc = np.searchsorted(w.first, start, side="right") - 1
                 edge = np.zeros(len(w.hash) + 1, np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + length, -1)
                 hit = np.cumsum(edge[:-1]) > 0
                 total = np.concatenate(([0], np.cumsum(hit)))
-                names: list[list[str]] = [[] for _ in range(n_docs)]
-                for d, i in index.items(length, row, doc):
-                    names[d].append(index.names[i])
+                pairs = np.unique(np.stack([doc, number], 1), axis=0)
                 n_hit = total[w.first[1:]] - total[w.first[:-1]]
-                out = [part.column("doc_id"), pa.array(np.diff(w.first)), pa.array(n_hit), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
-                cols = ["doc_id", "n_words", "n_hit", "items"]
-                if merge:
+                off = np.searchsorted(pairs[:, 0], np.arange(part.num_rows + 1)).astype(np.int32)
+                out = [pa.array(np.diff(w.first)), pa.array(n_hit), pa.ListArray.from_arrays(off, pa.array(pairs[:, 1]))]
+                if places:
                     at = np.flatnonzero(hit)
-                    inside = np.split((at - np.repeat(w.first[:-1], n_hit)).astype(np.int32), np.cumsum(n_hit)[:-1]) if n_docs else []
-                    out += [part.column("text_hash"), pa.array(list(inside), pa.list_(pa.int32()))]
-                    cols += ["text_hash", "at"]
-                yield pa.RecordBatch.from_arrays(out + [part.column(c) for c in extra], cols + list(extra))
+                    off = np.concatenate(([0], np.cumsum(n_hit))).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(off, pa.array((at - np.repeat(w.first[:-1], n_hit)).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out + [part.column(c) for c in extra], ["n_words", "n_hit", "numbers", *["at"] * places, *extra])
 
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(items: DataFrame, block_windows: int) -> tuple[DataFrame, int]:
-    windows = written(item_windows(items.select("item_id", "text")), "item-windows")
-    return windows, max(1, -(-windows.count() // block_windows))
+def _hits(docs: DataFrame, bench: Benchmark, places: bool) -> DataFrame:
+    """(id, text_hash, n_words, numbers, at) of what is hit in any block; rows that repeat in a block leave one."""
+    key = ["doc_id", "text_hash"]
+    for i in range(bench.blocks):
+        part = _scan(docs, bench.block(i), tuple(key), places).filter("n_hit > 0")
+        part = part.dropDuplicates(key)  # equal texts have equal hits
+        found = part if i == 0 else found.unionByName(part)
+    return found
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted names of the items with a window here) of each of ``docs(doc_id, text)``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    windows, blocks = _blocks(items, block_windows)
-    if blocks == 1:
-        return _scan(docs, windows, False)
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    part = F.pmod(F.xxhash64("window", F.lit(1)), F.lit(blocks))
-    scans = [_scan(keyed, windows.filter(part == i), True) for i in range(blocks)]
-    union = scans[0]
-    for s in scans[1:]:
-        union = union.unionByName(s)
-    # a document's hits of all blocks meet again; repeated rows have equal hits, so they are counted and expanded
-    merged = union.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("times"))
-    return merged.select("doc_id", "n_words", F.size("at").cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    bench = Benchmark(items, block_windows)
+    if bench.blocks == 1:
+        found = _scan(docs, bench.block(0), ("doc_id",))
+    else:
+        merged = _hits(docs, bench, True).groupBy("doc_id", "text_hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.flatten(F.collect_list("numbers"))).alias("numbers"))
+        none = bench.block(0).limit(0)
+        rows = _scan(docs, none, ("doc_id", "text_hash")).select("doc_id", "text_hash", "n_words")
+        merged = merged.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "n_hit", "numbers")
+        found = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("of_hash")), "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("numbers", F.array().cast("array<long>")).alias("numbers"))
+    found = written(found.withColumn("set", F.when(F.size("numbers") > 0, F.sha2(F.array_join("numbers", ","), 256))), "hit-windows")
+    sets = found.where("set is not null").groupBy("set").agg(F.first("numbers").alias("numbers"))
+    names = sets.select("set", F.explode("numbers").alias("number")).join(bench.members, "number").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.join(names, "set", "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The digest columns of ``find_contamination``."""
     found = find_contamination(docs, items, block_windows)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents without a window of an item, with all their columns."""
-    whole = carried(docs)
-    windows, blocks = _blocks(items, block_windows)
-    if blocks == 1:
-        found = _scan(whole, windows, False, ("text", "rest")).filter("n_hit = 0")
+    whole, bench = carried(docs), Benchmark(items, block_windows)
+    if bench.blocks == 1:
+        found = _scan(whole, bench.block(0), ("doc_id", "text", "rest")).filter("n_hit = 0")
         return restored(found, docs)
-    part = F.pmod(F.xxhash64("window", F.lit(1)), F.lit(blocks))
-    out = whole
-    for i in range(blocks):  # what one block hits need not meet the next
-        out = _scan(out, windows.filter(part == i), False, ("text", "rest")).filter("n_hit = 0").select("doc_id", "text", "rest")
-    return restored(out, docs)
+    hit = _hits(whole, bench, False).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).distinct()
+    return restored(whole.join(hit, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("of_hash")), "left_anti"), docs)
