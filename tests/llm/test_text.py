@@ -181,6 +181,48 @@ def test_threshold():
     assert R.fit_threshold(good, np.zeros(0)) == -np.inf
 
 
+def test_screen_threshold():
+    good, toxic = np.linspace(-5, 0, 200), np.array([-9.0, -8.0, -4.99, -4.0, 0.0])
+    cut = R.fit_screen(good, toxic)
+    assert (good < cut).mean() <= R.FALSE_ALARMS and (toxic < cut).sum() == 3
+    assert R.fit_screen(good, np.array([-9.0, -8.0])) < good.min()  # no more than is needed
+    assert R.fit_screen(good, np.zeros(0)) == R.fit_screen(np.zeros(0), toxic) == -np.inf
+    assert R.fit_screen(np.zeros(50), np.zeros(9)) == -np.inf
+
+
+def test_screen_scores_equal_brute_force(spark):
+    """Shares of documents, the two strongest words and the threshold, from the labels up."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    docs, labels = quality_table(spark, 200)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    ids, kinds = R.label_sample(labels)
+    kind_of = dict(zip(ids.tolist(), kinds.tolist(), strict=True))
+    bare = {t: set(R._features(pa.array([t or ""]))[2].tolist()) for _, t in rows}
+    counts, sizes = {R._GOOD: Counter(), R._TOXIC: Counter()}, Counter()
+    for d, t in rows:
+        if kind_of.get(d) in counts:
+            counts[kind_of[d]].update(bare[t])
+            sizes[kind_of[d]] += 1
+    g, x = sizes[R._GOOD], sizes[R._TOXIC]
+
+    def says(w):
+        if not counts[R._TOXIC][w]:
+            return 0.0
+        return min(0.0, math.log((counts[R._GOOD][w] + 0.5) / (g + 1)) - math.log((counts[R._TOXIC][w] + 0.5) / (x + 1)))
+
+    worst = {t: sum(sorted(map(says, bare[t]))[:2]) for t in bare}
+    got = R.resample(docs, labels).collect()
+    for r in got:
+        assert r["worst"] == pytest.approx(worst[dict(rows)[r["doc_id"]]], abs=1e-4)
+    held = {c: np.array([min(worst[t] for d2, t in rows if d2 == d) for d in {d for d, _ in rows if kind_of.get(d) == -c}]) for c in counts}
+    cut = R.fit_screen(held[R._GOOD], held[R._TOXIC])
+    assert {(r["doc_id"], r["toxic"]) for r in got} == {(d, worst[t] < cut) for d, t in rows}
+
+
 def quality_table(spark, n=400):
     import random
 
@@ -217,7 +259,7 @@ def test_counts_cover_all_documents(spark):
     docs, _ = quality_table(spark)
     models = R.count_models(docs, np.zeros(0, np.int64), np.zeros(0, np.int8))
     n = sum(2 * len((r["text"] or "").split()) - 1 for r in docs.collect() if (r["text"] or "").split())
-    assert models["raw"].sum() == n and models["good"].sum() == 0
+    assert models["raw"].sum() == n and models["good"].sum() == 0 and models["sizes"].sum() == 0
 
 
 def test_without_labels_all_stay(spark, docs, no_docs):

@@ -44,7 +44,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    found = resample.resample(docs.select("doc_id", "text"), labels)
+    found = resample.resample(docs.select("doc_id", "text"), labels, k=resample.POSITIVE)
     return found.select("doc_id", "kept", "toxic", "n_grams", F.round("log_ratio", 6).alias("log_ratio"), F.round("worst", 6).alias("worst_log_ratio"), F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"))
 
 

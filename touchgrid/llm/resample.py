@@ -10,14 +10,17 @@ p with ``SHRINK`` counts added to each bucket, at the scale of the smaller
 text, so buckets with little data say little; the offset a gram stands for the
 unknown scale of the two models and is fitted on held-out labels.  Gumbel noise
 of scale one (a hash of doc_id and text) is added, and the ``k`` largest keys
-are drawn; k is a parameter, by default the number of documents with a weight
-over one.  The k-th key is found by histograms, not by a sort.  Rows equal in
-doc_id and text have one key and are drawn together.
+are drawn; k is a number, or ``POSITIVE``: as many as have a weight over one.
+The k-th key is found by histograms, not by a sort.  Rows equal in doc_id and
+text have one key and are drawn together.
 
 Toxic text is no matter of likeness to the target and has a step of its own
-before the draw, ``screen_toxic``: the strongest evidence of one bare word for
-text labelled toxic against target text, over a threshold fitted in the same
-way.  What it rejects takes no part in the draw.
+before the draw, ``screen_toxic``.  A bare word speaks for toxic text by the log
+ratio of its shares of target and toxic documents (not occurrences, with half a
+document added to each; a word in no toxic document says nothing), a document by
+the sum of its two strongest words.  The threshold catches the most held-out
+toxic documents that rejecting at most ``FALSE_ALARMS`` of the held-out good
+ones allows.  What it rejects takes no part in the draw.
 
 Labels: at most about ``LABEL_ROWS`` labelled doc_ids are used, chosen by a hash
 of doc_id; that is the documented bound of the fit.  Raw counts, scores and the
@@ -43,7 +46,9 @@ from .shared import written
 
 BUCKETS = 1 << 20
 LABEL_ROWS = 200_000
-SHRINK, SHRINK_TOXIC = 30.0, 5.0
+SHRINK = 30.0
+FALSE_ALARMS = 0.01  # of held-out good documents, that the screen may reject at most
+POSITIVE = "positive weights"
 GOOD_COST = 20.0  # of rejecting a good document, against keeping a bad one
 _CHUNK = 1 << 14
 _GOOD, _JUNK, _TOXIC = 1, 2, 3
@@ -84,14 +89,14 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def count_models(docs: DataFrame, ids: np.ndarray, kinds: np.ndarray) -> dict[str, np.ndarray]:
-    """Bucket counts: ``raw`` and ``good`` of words and pairs, ``good_bare`` and ``toxic_bare`` of bare words.
+    """Bucket counts: ``raw`` and ``good`` of words and pairs; documents with a bare word, ``good_bare`` and ``toxic_bare``, and ``sizes``, how many good and toxic ones there are.
 
     A task keeps one array per model and sends its parts that are not zero;
-    parts of one number meet and add up.  What reaches the driver is the four
-    arrays, whose size is fixed.
+    parts of one number meet and add up.  What reaches the driver is four
+    arrays and two numbers, whose size is fixed.
     """
     held = docs.sparkSession.sparkContext.broadcast((ids, kinds))
-    names = ("raw", "good", "good_bare", "toxic_bare")
+    names = ("raw", "good", "good_bare", "toxic_bare", "sizes")
 
     def count(batches):
         sums = np.zeros((len(names), BUCKETS), np.int64)
@@ -99,9 +104,13 @@ def count_models(docs: DataFrame, ids: np.ndarray, kinds: np.ndarray) -> dict[st
             for part in slices(batch, "text"):
                 kind = _classes(*held.value, part.column("doc_id"))
                 bucket, doc, bare, bare_doc = _features(part.column("text"))
-                good = kind == _GOOD
-                for i, found in enumerate((bucket, bucket[good[doc]], bare[good[bare_doc]], bare[(kind == _TOXIC)[bare_doc]])):
+                good, toxic = kind == _GOOD, kind == _TOXIC
+                known = (good | toxic)[bare_doc]
+                once = np.unique(bare_doc[known] * BUCKETS + bare[known])  # a document counts once for a word
+                bare_doc, bare = once // BUCKETS, once % BUCKETS
+                for i, found in enumerate((bucket, bucket[good[doc]], bare[good[bare_doc]], bare[toxic[bare_doc]])):
                     sums[i] += np.bincount(found, minlength=BUCKETS)
+                sums[4, :2] += good.sum(), toxic.sum()
         out = [(i * (BUCKETS // _CHUNK) + c, part.tobytes()) for i, row in enumerate(sums) for c, part in enumerate(row.reshape(-1, _CHUNK)) if part.any()]
         yield _blobs(out)
 
@@ -132,9 +141,30 @@ def evidence(target: np.ndarray, other: np.ndarray, shrink: float) -> np.ndarray
     return np.log((target * (least / a) + shrink) / (other * (least / b) + shrink)).astype(np.float32)
 
 
+def toxic_evidence(models: dict[str, np.ndarray]) -> np.ndarray:
+    """ln of the shares of good and toxic documents with a word; 0 for words in no toxic document or for good text."""
+    good, toxic = models["sizes"][:2]
+    if not good or not toxic:
+        return np.zeros(BUCKETS, np.float32)
+    ratio = np.log((models["good_bare"] + 0.5) / (good + 1.0)) - np.log((models["toxic_bare"] + 0.5) / (toxic + 1.0))
+    return np.where(models["toxic_bare"] > 0, np.minimum(ratio, 0.0), 0.0).astype(np.float32)
+
+
+def two_least(doc: np.ndarray, bucket: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the two least values of distinct buckets of each of ``n`` documents; those over zero say nothing."""
+    says = table[bucket] < 0
+    once = np.unique(doc[says] * BUCKETS + bucket[says])
+    doc, value = once // BUCKETS, table[once % BUCKETS]
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    first = np.searchsorted(doc, np.arange(n))
+    nth = np.arange(len(doc)) - first[doc]
+    return np.bincount(doc[nth < 2], weights=value[nth < 2], minlength=n).astype(np.float64)  # of nothing it counts whole numbers
+
+
 def score_documents(docs: DataFrame, models: dict[str, np.ndarray], ids: np.ndarray, kinds: np.ndarray) -> DataFrame:
     """(doc_id, text_hash, log_ratio, n_grams, worst, kind) of each document; log_ratio is the sum over its n-grams."""
-    tables = (evidence(models["good"], models["raw"], SHRINK), evidence(models["good_bare"], models["toxic_bare"], SHRINK_TOXIC))
+    tables = (evidence(models["good"], models["raw"], SHRINK), toxic_evidence(models))
     held = docs.sparkSession.sparkContext.broadcast((tables, ids, kinds))
 
     def run(batches):
@@ -144,8 +174,7 @@ def score_documents(docs: DataFrame, models: dict[str, np.ndarray], ids: np.ndar
                 n = part.num_rows
                 bucket, doc, bare, bare_doc = _features(part.column("text"))
                 ratio = np.bincount(doc, weights=both[bucket], minlength=n)
-                worst = np.zeros(n)
-                np.minimum.at(worst, bare_doc, bare_table[bare])
+                worst = two_least(bare_doc, bare, bare_table, n)
                 kind = _classes(ids, kinds, part.column("doc_id"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ratio), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(worst), pa.array(kind.astype(np.int32))], ["doc_id", "text_hash", "log_ratio", "n_grams", "worst", "kind"])
 
@@ -164,6 +193,20 @@ def fit_threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cut[at])
 
 
+def fit_screen(good: np.ndarray, toxic: np.ndarray, alarms: float = FALSE_ALARMS) -> float:
+    """The threshold under which most toxic held-out scores lie, with at most a share ``alarms`` of the good; of equals the lowest, -inf without both classes."""
+    if not len(good) or not len(toxic):
+        return -np.inf
+    good, toxic = np.sort(good), np.sort(toxic)
+    highest = good[int(alarms * len(good))]  # below it are no more than the share
+    values = np.unique(np.concatenate([good, toxic]))
+    values = values[values <= highest]
+    caught = np.searchsorted(toxic, values)
+    best = values[int(np.argmax(caught))]
+    under = np.concatenate([good[good < best], toxic[toxic < best]])
+    return float((under.max() + best) / 2) if len(under) else -np.inf
+
+
 def _rank() -> Column:
     """What rows are drawn by, ties in the key included."""
     return F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text_hash")
@@ -193,7 +236,7 @@ def kth_rank(keys: DataFrame, k: int, few: int = 10_000):
 
 
 def screen_toxic(scores: DataFrame, threshold: float) -> DataFrame:
-    """``scores`` with ``toxic``: whether a word speaks for toxic text more strongly than the threshold allows."""
+    """``scores`` with ``toxic``: whether its words speak for toxic text more strongly than the threshold allows."""
     return scores.withColumn("toxic", F.col("worst") < F.lit(threshold))
 
 
@@ -208,7 +251,7 @@ def draw(weighted: DataFrame, k: int) -> DataFrame:
     return weighted.withColumn("kept", allowed & ((F.col("key") > last["key"]) | (F.col("key") == last["key"]) & tie))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_rows: int = LABEL_ROWS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | str = POSITIVE, label_rows: int = LABEL_ROWS) -> DataFrame:
     """(doc_id, text_hash, log_ratio, n_grams, worst, toxic, log_weight, key, kept) of each of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids, kinds = label_sample(labels, label_rows)
@@ -221,16 +264,16 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_row
     offset = 0.0 if offset == -np.inf else offset
     judged = bool((kind == -_JUNK).any() and (kind == -_GOOD).any())
     uniform = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scores = screen_toxic(scores, fit_threshold(worst[kind == -_GOOD], worst[kind == -_TOXIC]))
+    scores = screen_toxic(scores, fit_screen(worst[kind == -_GOOD], worst[kind == -_TOXIC]))
     weighted = scores.withColumn("log_weight", F.col("log_ratio") - F.col("n_grams") * F.lit(offset))
     weighted = written(weighted.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))).drop("kind"), "keys")
-    if k is None:
+    if k == POSITIVE:
         k = weighted.filter((F.col("log_weight") >= 0) & ~F.col("toxic")).count() if judged else weighted.filter(~F.col("toxic")).count()
     return draw(weighted, k)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, k: int | str = POSITIVE) -> DataFrame:
     """The documents that are drawn, with all their columns."""
-    drawn = resample(docs, labels).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    drawn = resample(docs, labels, k).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(drawn["_id"]) & (F.xxhash64(docs["text"]) == drawn["_hash"])
     return docs.join(drawn, same, "left_semi")
