@@ -221,7 +221,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, block_windows: int = B
     found = written(found.withColumn("set", F.when(F.size("numbers") > 0, F.sha2(F.array_join("numbers", ","), 256))), "hit-windows")
     sets = found.where("set is not null").groupBy("set").agg(F.first("numbers").alias("numbers"))
     names = sets.select("set", F.explode("numbers").alias("number")).join(bench.members, "number").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return found.join(names, "set", "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    none = found.where("set is null").withColumn("items", F.array().cast("array<string>"))  # not a key that most rows share
+    columns = ["doc_id", "n_words", "n_hit", "items"]
+    return found.where("set is not null").join(names, "set").select(*columns).unionByName(none.select(*columns))
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
