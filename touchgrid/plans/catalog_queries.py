@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, labels as L, models as M
-from ..operators import camera, detections as D, evaluation, events, frame_folds, identity, kinematics, possession, roles, space, summary, threat
+from ..operators import camera, detections as D, evaluation, events, frame_folds, identity, inference, kinematics, possession, roles, space, summary, threat
+from ..sources import frame_source as sources
 from ..streaming import frames as S, live
 from .views import view
 
@@ -791,3 +792,37 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (stream_windows, stream_events, stream_possession, stream_roles, stream_trails, stream_sessions, stream_coasted, stream_gallery, stream_carried, stream_scenes)}
+
+
+# --- frames ---
+
+
+def _filmed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with segments of frames drawn from all positions."""
+    at = live.folder(spark, "film")
+    sources.write_frames(inference.drawn(view(spark, sf_dir, "pos")), at, per_segment=50).agg(F.sum("n")).collect()
+    return at
+
+
+def _pixels(frames: DataFrame) -> DataFrame:
+    return frames.select("match_id", "frame_idx", F.octet_length("image").alias("n_bytes"), (F.length(F.hex("image")) - F.length(F.replace(F.hex("image"), F.lit("FF"), F.lit("F")))).alias("n_bright"))
+
+
+def film_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of the film, read in ranges: its bytes and its bright cells."""
+    return _pixels(sources.frames(spark, _filmed(spark, sf_dir), framesPerPartition=25))
+
+
+def stream_film(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same film as a stream of segments."""
+    stream = sources.frame_stream(spark, _filmed(spark, sf_dir), framesPerPartition=25)
+    return live.drained(_pixels(stream), "film-frames").drop("batch")
+
+
+def film_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that a model finds on the film, 16 frames a call."""
+    out = inference.detected(sources.frames(spark, _filmed(spark, sf_dir)), inference.spots, 16)
+    return out.select("match_id", "frame_idx", "x1", "y1", "x2", "y2", "conf", "class_id")
+
+
+QUERIES |= {f.__name__: f for f in (film_frames, stream_film, film_detections)}

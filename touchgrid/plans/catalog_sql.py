@@ -286,3 +286,7 @@ SQL["carried_boxes"] = SQL["stream_carried"] = f"""with recursive k as (select m
       from (select u.* replace (case when greatest(abs(wx1), abs(wy1), abs(wx2), abs(wy2)) <= 10000 then lost else 99 end as lost) from (select st.match_id, st.track_id, mo.frame_idx, last_found, vx, vy, lost, mo.frame_idx % 3 = 0 as key, {_WARP} from st join mo on mo.match_id = st.match_id and mo.frame_idx = st.frame_idx + 1 where lost <= 4 or st.frame_idx < last_found) u) w
       left join k on k.match_id = w.match_id and k.track_id = w.track_id and k.frame_idx = w.frame_idx) n)
     select match_id, frame_idx, track_id, round(x1, 3) as x1, round(y1, 3) as y1, round(x2, 3) as x2, round(y2, 3) as y2, case kind when 'found' then 0.9e0 when 'coasted' then 0.5e0 else round(0.9e0 * 0.98e0, 5) end as conf, kind from st where lost <= 4"""
+
+_CELLS = "select distinct match_id, frame_idx, floor(x_m) as cx, floor(y_m) as cy from v_pos where x_m >= 0 and x_m < 105 and y_m >= 0 and y_m < 68"
+SQL["film_frames"] = SQL["stream_film"] = f"select match_id, frame_idx, 105 * 68 as n_bytes, count(cx) as n_bright from (select distinct match_id, frame_idx from v_pos) f left join ({_CELLS}) c using (match_id, frame_idx) group by all"
+SQL["film_detections"] = f"select match_id, frame_idx, cx * 1e0 as x1, cy * 1e0 as y1, cx + 1e0 as x2, cy + 1e0 as y2, 1e0 as conf, 0 as class_id from ({_CELLS}) c"
