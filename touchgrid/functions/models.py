@@ -43,11 +43,16 @@ def expected_goals(dist, angle, defenders, speed) -> Column:
 def threat_surface(spark: SparkSession) -> DataFrame:
     """(row, col, xt): the expected-threat grid of 12 x 16 zones; a fixed small dimension."""
     grid = spark.range(XT_ROWS * XT_COLS).select((F.col("id") / XT_COLS).cast("int").alias("row"), (F.col("id") % XT_COLS).cast("int").alias("col"))
-    r, c = F.col("row").cast("double"), F.col("col").cast("double")
+    return grid.select("row", "col", zone_threat("row", "col").alias("xt"))
+
+
+def zone_threat(row, col) -> Column:
+    """Expected threat of a zone: more near the goal, most in the box."""
+    r, c = _c(row).cast("double"), _c(col).cast("double")
     base = 0.28 * F.exp(-F.sqrt((15.0 - c) * (15.0 - c) + 1.8 * (5.5 - r) * (5.5 - r)) / 4.8) + 0.006 * F.pow(c / 15.0, F.lit(1.5)) + 0.003
     base = base * F.when(r.between(3, 8) & c.between(11, 14), 1.35).otherwise(1.0)
     base = base * F.when(r.between(4, 7) & c.between(13, 15), 1.45).otherwise(1.0)
-    return grid.select("row", "col", clip(base, 0.003, 0.35).alias("xt"))
+    return clip(base, 0.003, 0.35)
 
 
 def threat_zone(x, y, direction) -> tuple[Column, Column]:

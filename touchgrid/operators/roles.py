@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import models as M
@@ -40,19 +42,50 @@ def role_counts(roles: DataFrame) -> DataFrame:
     return roles.groupBy(*FRAME).agg(n(0, 3).alias("team_a"), n(1, 4).alias("team_b"), n(2).alias("referees"), n(3).alias("keepers_a"), n(4).alias("keepers_b"), n(5).alias("coaches"))
 
 
+def centres_of(points: np.ndarray, weights: np.ndarray, k: int, seed: int, starts: int, rounds: int = 100) -> np.ndarray:
+    """Centres of the best of ``starts`` runs of K-means (far-apart random starts), sorted by r, g, b."""
+    best, least = None, np.inf
+    for start in range(starts):
+        rng = np.random.default_rng([seed, start])
+        centres = points[rng.choice(len(points), p=weights / weights.sum())][None]
+        while len(centres) < min(k, len(points)):
+            away = ((points[:, None] - centres) ** 2).sum(2).min(1) * weights
+            if not away.sum():
+                break
+            centres = np.vstack([centres, points[rng.choice(len(points), p=away / away.sum())]])
+        for _ in range(rounds):
+            own = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+            mass = np.bincount(own, weights, len(centres))
+            sums = np.stack([np.bincount(own, weights * points[:, i], len(centres)) for i in range(points.shape[1])], 1)
+            new = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centres)
+            if np.array_equal(new, centres):
+                break
+            centres = new
+        cost = float((((points[:, None] - centres) ** 2).sum(2).min(1) * weights).sum())
+        if cost < least - 1e-9:
+            best, least = centres, cost
+    return best[np.lexsort(best.T[::-1])]
+
+
 def kit_clusters(kits: DataFrame, k: int = 2, seed: int = 42, starts: int = 10) -> DataFrame:
-    """K-means over mean jersey colours (r, g, b), the best of ``starts`` runs; a track gets its most frequent cluster.
+    """K-means over the jersey colours (r, g, b) of each match by itself, the best of ``starts`` runs; a track gets its most frequent cluster.
 
-    Clusters are numbered by their centres (r, then g, then b), so numbers do
-    not hang on the run.  ``votes``: how many of the track's n kits said so.
+    Colours are teams within a match only.  What is clustered are the distinct
+    colours of a match with their numbers, counted first, so a group is as large
+    as a match has colours and not as it has frames.  Clusters are numbered by
+    their centres (r, then g, then b), so numbers do not hang on the run.
+    ``votes``: how many of the track's n kits said so.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    points = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(kits).persist()
-    model = min((KMeans(k=k, seed=seed + i).fit(points) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
-    number = F.array(*(F.lit(order.index(i)) for i in range(len(order))))
-    found = model.transform(points).groupBy("match_id", "track_id", number[F.col("prediction")].alias("cluster")).agg(F.count("*").alias("votes"))
-    points.unpersist()
+    colours = ["r", "g", "b"]
+    known = kits.where("r is not null and g is not null and b is not null")
+    counted = known.groupBy("match_id", *colours).agg(F.count("*").alias("w"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(colours)
+        points = pdf[colours].to_numpy(float)
+        centres = centres_of(points, pdf["w"].to_numpy(float), k, seed, starts)
+        return pdf[["match_id", *colours]].assign(cluster=((points[:, None] - centres) ** 2).sum(2).argmin(1))
+
+    of = counted.groupBy("match_id").applyInPandas(run, "match_id long, r double, g double, b double, cluster int")
+    found = known.join(of, ["match_id", *colours]).groupBy("match_id", "track_id", "cluster").agg(F.count("*").alias("votes"))
     return found.groupBy("match_id", "track_id").agg(F.max_by(F.struct("cluster", "votes"), F.struct("votes", -F.col("cluster"))).alias("top"), F.sum("votes").alias("n")).select("match_id", "track_id", "top.cluster", "top.votes", "n")

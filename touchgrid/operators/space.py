@@ -113,6 +113,45 @@ def hulls(positions: DataFrame) -> DataFrame:
     return per.mapInPandas(run, "match_id long, frame_idx long, side int, area_m2 double, hull array<struct<x:double,y:double>>")
 
 
+def territories(positions: DataFrame, key: str = "track_id", held: int = 4096) -> DataFrame:
+    """(match_id, key, area_m2, n_vertices, n): the hull of all places of each key in a match, and their number.
+
+    A task keeps at most ``held`` open points a key and shrinks them to their
+    hull; the hulls of the tasks meet in a hull of hulls.  What moves are
+    vertices, whatever the number of frames.
+    """
+    types = f"match_id long, {key} long, xs array<double>, ys array<double>, n long"
+
+    def shrink(points: list) -> list:
+        return [hull(np.concatenate(points))]
+
+    def part(batches):
+        groups: dict[tuple, list] = {}
+        for pdf in batches:
+            for k, g in pdf.groupby(["match_id", key], sort=False):
+                state = groups.setdefault(k, [[], 0, 0])
+                state[0].append(g[["x_m", "y_m"]].to_numpy(float))
+                state[1], state[2] = state[1] + len(g), state[2] + len(g)
+                if state[1] > held:
+                    state[0] = shrink(state[0])
+                    state[1] = len(state[0][0])
+        rows = [(*k, shrink(points)[0].T, n) for k, (points, _, n) in groups.items()]
+        yield pd.DataFrame([(m, t, x.tolist(), y.tolist(), n) for m, t, (x, y), n in rows], columns=["match_id", key, "xs", "ys", "n"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        points: list = []
+        for x, y in zip(pdf["xs"], pdf["ys"], strict=True):
+            points.append(np.stack([np.asarray(x, float), np.asarray(y, float)], 1))
+            if len(points) >= 64:
+                points = shrink(points)
+        last = shrink(points)[0]
+        return pd.DataFrame([(pdf["match_id"].iloc[0], pdf[key].iloc[0], area(last), len(last) if area(last) > 0 else 0, int(pdf["n"].sum()))], columns=["match_id", key, "area_m2", "n_vertices", "n"])
+
+    known = positions.where(f"x_m is not null and y_m is not null and match_id is not null and {key} is not null")
+    parts = known.select("match_id", F.col(key).cast("long").alias(key), F.col("x_m").cast("double").alias("x_m"), F.col("y_m").cast("double").alias("y_m")).mapInPandas(part, types)
+    return parts.groupBy("match_id", key).applyInPandas(whole, f"match_id long, {key} long, area_m2 double, n_vertices long, n long")
+
+
 def frame_summary(positions: DataFrame) -> DataFrame:
     """Control, centroids and hull areas of each frame in one row."""
     per = hulls(positions).join(centroids(positions), [*FRAME, "side"], "left")

@@ -64,3 +64,34 @@ def match_summary(**parts: DataFrame) -> DataFrame:
 def rollup(positions: DataFrame) -> DataFrame:
     """Extension: points by match, side and track with all subtotals."""
     return positions.withColumn("side", M.team_side("role_id")).rollup("match_id", "side", "track_id").agg(F.count("*").alias("n"), F.avg("x_m").alias("x_m"))
+
+
+def pitch_locked(pitch: DataFrame, least: float = 0.20) -> DataFrame:
+    """Per match the frames on which enough of the pitch was seen to hold on to."""
+    return pitch.groupBy("match_id").agg(F.countDistinct(F.when(F.col("area_ratio") >= least, F.col("frame_idx"))).alias("pitch_locked_frames"))
+
+
+def by_team(df: DataFrame, columns: list[str], teams: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """A row per match and team as one per match: column_a, column_b."""
+    pick = lambda c, t: F.max(F.when(F.col("team_id") == t, F.col(c))).alias(f"{c}_{'ab'[t]}")
+    return df.where(F.col("team_id").isin(*teams)).groupBy("match_id").agg(*(pick(c, t) for c in columns for t in teams))
+
+
+def cut_list(cuts: DataFrame) -> DataFrame:
+    """Per match the number of cuts and their frames in order."""
+    frames = F.array_sort(F.collect_list(F.when(F.col("is_cut"), F.col("frame_idx"))))
+    return cuts.groupBy("match_id").agg(F.count_if("is_cut").alias("cuts"), frames.alias("cut_frames"))
+
+
+def match_report(parts: dict[str, DataFrame]) -> DataFrame:
+    """The report of each match: a column part_field for every field of every part; a match that some part lacks has nulls there."""
+    return flat(match_summary(**parts))
+
+
+def packet(positions: DataFrame, metrics: DataFrame, events: DataFrame, last: int = 5) -> DataFrame:
+    """What a live client asks for: the newest frame of each match with its players, and the match's last events, oldest first (an empty list without any)."""
+    from .events import timeline
+
+    recent = timeline(events, last).withColumnRenamed("events", "recent_events")
+    none = F.array().cast(recent.schema["recent_events"].dataType)
+    return latest(telemetry(positions, metrics)).join(recent, "match_id", "left").withColumn("recent_events", F.coalesce("recent_events", none))

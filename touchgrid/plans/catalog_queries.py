@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import geometry as G, labels as L, models as M
+from ..functions import geometry as G, labels as L, models as M, session
 from ..operators import camera, detections as D, evaluation, events, frame_folds, identity, inference, kinematics, possession, roles, space, summary, threat
 from ..sources import frame_source as sources
-from ..streaming import frames as S, live
+from ..streaming import frames as S, jobs, live
 from .views import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -662,6 +662,36 @@ def match_summaries(box, frames):
     return summary.flat(summary.match_summary(run=stats, quality=quality))
 
 
+@query("box", "pitch", "frames", "ball", "pos", "smooth", "poss", "shot", "crowd", "pass", "motion")
+def match_report(box, pitch, frames, ball, pos, smooth, poss, shot, crowd, p, motion):
+    """Run, quality, possession, control, physical, events, threat, networks and camera of each match in one row."""
+    metrics = kinematics.player_metrics(smooth)
+    valued, nodes = _placed(p, pos)
+    totals = threat.totals(threat.shots(shot, crowd), valued).withColumns({"xg": r("xg", 3), "xt": r("xt", 3)})
+    nets = threat.network_summary(nodes, threat.links(valued), valued).withColumns({"density": r("density", 5), "avg_length_m": r("avg_length_m", 3)})
+    stats = summary.run_stats(box).withColumns({"avg_players": r("avg_players", 5), "ball_rate": r("ball_rate", 5)}).join(summary.pitch_locked(pitch), "match_id", "full_outer")
+    parts = {
+        "run": stats,
+        "quality": evaluation.quality_report(frames).select("match_id", "n", r("brightness", 4, "brightness"), r("blur", 4, "blur")),
+        "possession": possession.summary(possession.assign(possession.candidates(ball, pos))),
+        "control": space.mean_control(space.control(pos)),
+        "physical": kinematics.squad_summary(metrics, kinematics.distances(smooth)),
+        "events": events.summary(events.detect(poss)),
+        "threat": summary.by_team(totals, ["shots", "xg", "passes", "xt", "progressive"]),
+        "network": summary.by_team(nets, ["n_nodes", "n_links", "density", "avg_length_m", "leader", "top_passer", "top_receiver"]),
+        "camera": summary.cut_list(camera.cuts(motion)).withColumn("cut_frames", F.array_join("cut_frames", ",")),
+    }
+    return summary.match_report(parts)
+
+
+@query("pos", "smooth", "poss")
+def live_packets(pos, smooth, poss):
+    """The newest frame of each match beside its last five events."""
+    out = summary.packet(pos, kinematics.player_metrics(smooth), events.detect(poss))
+    text = F.transform("recent_events", lambda e: F.concat_ws("@", e["event_type"], e["frame_idx"].cast("string")))
+    return out.select("match_id", "frame_idx", F.size("players").alias("n_players"), F.round(F.aggregate("players", F.lit(0.0), lambda s, x: s + x["speed_kmh"]), 1).alias("speeds"), F.array_join(text, " ").alias("recent"))
+
+
 @query("pos", "smooth")
 def processed_table(pos, smooth):
     boxes = pos.select("match_id", "frame_idx", "det_idx", "class_id", *(F.col("y2").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
@@ -794,6 +824,49 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (stream_windows, stream_events, stream_possession, stream_roles, stream_trails, stream_sessions, stream_coasted, stream_gallery, stream_carried, stream_scenes)}
 
 
+# --- roll-ups and SQL text ---
+
+
+@query("pos")
+def territories(pos):
+    """Area that each track covers in a match, as a hull of hulls."""
+    return space.territories(pos).select("match_id", "track_id", r("area_m2", 3, "area_m2"), "n")
+
+
+def stream_track_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tracks of each match from sketches of windows of a stream, rolled up."""
+    points = view(spark, sf_dir, "smooth").select("match_id", "frame_idx", "track_id")
+    windows = live.drained(live.sketched(_played(spark, points, "tracks"), "track_id", "1 second"), "sketches")
+    return live.merged_counts(windows.where("match_id >= 0")).select("match_id", F.col("n_distinct").alias("n_tracks"))
+
+
+def sql_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models and geometry in SQL text, over all shots."""
+    session.register(spark)
+    return spark.sql("""
+        select match_id, shot_id, round(xg(x_m, y_m, 105, 2, speed_kmh), 6) as xg, round(xt(x_m, y_m, 1), 6) as xt, activity(speed_kmh) as activity,
+               round(iou(x_m, y_m, x_m + 2, y_m + 2, x_m + 1, y_m + 1, x_m + 3, y_m + 3), 6) as iou, round(project(x_m, y_m, array(2, 0, 1, 0, 2, 3, 0, 0.001, 1)).x, 5) as px
+        from {shot}""", shot=view(spark, sf_dir, "shot"))
+
+
+def sql_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of side A in SQL text, over all frames."""
+    session.register(spark)
+    view(spark, sf_dir, "pos").select("match_id", "frame_idx", "x_m", "y_m", "role_id").createOrReplaceTempView("touchgrid_pos")
+    return spark.sql("select match_id, frame_idx, count_if(owner = 0) as a_cells from voronoi_cells(table(touchgrid_pos) partition by (match_id, frame_idx)) group by match_id, frame_idx")
+
+
+QUERIES |= {f.__name__: f for f in (stream_track_counts, sql_shots, sql_voronoi)}
+
+
+@query("frames")
+def stage_latencies(frames):
+    """Moving averages of the milliseconds of two stages over the batches of each match."""
+    stages = F.explode(F.map_from_arrays(F.array(F.lit("ingest"), F.lit("analytics")), F.array(F.col("brightness").cast("double"), F.col("blur").cast("double")))).alias("stage", "ms")
+    progress = frames.select(F.col("match_id").cast("string").alias("id"), F.col("frame_idx").alias("batch_id"), stages)
+    return jobs.latencies(progress).select("id", "batch_id", "stage", r("smoothed", 5, "smoothed"))
+
+
 # --- frames ---
 
 

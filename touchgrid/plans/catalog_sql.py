@@ -290,3 +290,51 @@ SQL["carried_boxes"] = SQL["stream_carried"] = f"""with recursive k as (select m
 _CELLS = "select distinct match_id, frame_idx, floor(x_m) as cx, floor(y_m) as cy from v_pos where x_m >= 0 and x_m < 105 and y_m >= 0 and y_m < 68"
 SQL["film_frames"] = SQL["stream_film"] = f"select match_id, frame_idx, 105 * 68 as n_bytes, count(cx) as n_bright from (select distinct match_id, frame_idx from v_pos) f left join ({_CELLS}) c using (match_id, frame_idx) group by all"
 SQL["film_detections"] = f"select match_id, frame_idx, cx * 1e0 as x1, cy * 1e0 as y1, cx + 1e0 as x2, cy + 1e0 as y2, 1e0 as conf, 0 as class_id from ({_CELLS}) c"
+
+SQL["stream_track_counts"] = "select match_id, count(distinct track_id) as n_tracks from v_smooth group by all"
+SQL["sql_voronoi"] = f"with {_CONTROL} select match_id, frame_idx, n as a_cells from cc where na > 0 and nb > 0"
+# Hull edges: of two neighbours on a line with all points on one side; the sum of their cross products is twice the area.
+SQL["territories"] = """with p as (select distinct match_id, track_id, x_m as x, y_m as y from v_pos),
+    n as (select match_id, track_id, count(*) as n from v_pos group by all),
+    e as (select a.match_id, a.track_id, a.x as ax, a.y as ay, b.x as qx, b.y as qy, min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) as side,
+        count(*) filter (abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) < 1e-9 and (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) < -1e-12) as between_them
+      from p a join p b on a.match_id = b.match_id and a.track_id = b.track_id and (a.x <> b.x or a.y <> b.y) join p c on c.match_id = a.match_id and c.track_id = a.track_id group by all),
+    h as (select match_id, track_id, sum(ax * qy - ay * qx) / 2 as area from e where side >= -1e-9 and between_them = 0 group by all)
+    select n.match_id, n.track_id, round(coalesce(area, 0), 3) as area_m2, n.n from n left join h using (match_id, track_id)"""
+SQL["sql_shots"] = f"""with {_GRID},
+    g as (select *, greatest(0.5, sqrt((105 - x_m) * (105 - x_m) + (34 - y_m) * (34 - y_m))) as d, sqrt((105 - x_m) * (105 - x_m) + (30.34 - y_m) * (30.34 - y_m)) as pa, sqrt((105 - x_m) * (105 - x_m) + (37.66 - y_m) * (37.66 - y_m)) as pb,
+        least(15, cast(floor(least(104.9, greatest(0, x_m)) / (105 / 16.0)) as int)) as zc, least(11, cast(floor(least(67.9, greatest(0, y_m)) / (68 / 12.0)) as int)) as zr from v_shot),
+    t as (select *, degrees(acos(least(1, greatest(-1, ((105 - x_m) * (105 - x_m) + (30.34 - y_m) * (37.66 - y_m)) / greatest(1e-9, pa * pb))))) as ang from g)
+    select match_id, shot_id, round(least(0.96, greatest(0.01, 1 / (1 + exp(-(0.85 - 0.115 * d + 0.042 * ang - 0.56 + 0.012 * (least(120, greatest(20, speed_kmh)) - 60) / 10))))), 6) as xg, round(grid.xt, 6) as xt,
+      case when speed_kmh < 2 then 'Standing' when speed_kmh < 7.2 then 'Walking' when speed_kmh < 14.4 then 'Jogging' when speed_kmh < 19.8 then 'Running' else 'Sprinting' end as activity,
+      round(1 / 7.0, 6) as iou, round((2 * x_m + 1) / (0.001 * y_m + 1), 5) as px from t join grid on grid."row" = t.zr and grid.col = t.zc"""
+
+
+def _report() -> str:
+    """The parts of the report, each by the SQL of its own query, side by side."""
+    of = lambda name, columns: f"(select match_id, {columns} from ({SQL[name]}) q)"
+    same = lambda part, names: ", ".join(f"{n} as {part}_{n}" for n in names.split())
+    teams = lambda name, part, names: f"(select match_id, {', '.join(f'max(case when team_id = {t} then {n} end) as {part}_{n}_{chr(97 + t)}' for n in names.split() for t in (0, 1))} from ({SQL[name]}) q where team_id in (0, 1) group by match_id)"
+    kinds = "passes_a passes_b interceptions_a interceptions_b shots_a shots_b tackles_a tackles_b turnovers n_events attempts_a accuracy_a attempts_b accuracy_b pass_text_a pass_text_b"
+    parts = [
+        f"(select coalesce(a.match_id, b.match_id) as match_id, {same('run', 'frames avg_players ball_rate n_tracks pitch_locked_frames')} from ({SQL['run_stats']}) a full join (select match_id, count(distinct case when area_ratio >= 0.20 then frame_idx end) as pitch_locked_frames from v_pitch group by all) b using (match_id))",
+        "(select match_id, count(*) as quality_n, round(avg(brightness), 4) as quality_brightness, round(avg(blur), 4) as quality_blur from v_frames group by all)",
+        of("possession_summary", same("possession", "a_pct b_pct contested_pct turnovers top_carrier top_frames")),
+        of("mean_space_control", same("control", "a_pct b_pct")),
+        of("squad_summary", same("physical", "max_speed_kmh total_distance_km avg_speed_kmh n_tracks")),
+        of("event_summary", same("events", kinds)),
+        teams("threat_totals", "threat", "shots xg passes xt progressive"),
+        teams("network_summaries", "network", "n_nodes n_links density avg_length_m leader top_passer top_receiver"),
+        f"(select match_id, count(*) filter (is_cut) as camera_cuts, coalesce(string_agg(frame_idx::varchar, ',' order by frame_idx) filter (is_cut), '') as camera_cut_frames from ({SQL['camera_cuts']}) q group by all)",
+    ]
+    return "select * from " + " full join ".join(f"{p} p{i}" + (" using (match_id)" if i else "") for i, p in enumerate(parts))
+
+
+SQL["match_report"] = _report()
+SQL["live_packets"] = f"""select match_id, f.frame_idx, n_players, speeds, coalesce(recent, '') as recent
+    from (select match_id, frame_idx, count(*) as n_players, round(sum(speed_kmh), 1) as speeds from ({SQL["telemetry_packets"]}) q group by all) f
+    left join (select match_id, string_agg(event_type || '@' || frame_idx, ' ' order by event_id) as recent from ({SQL["event_timeline"]}) q group by all) e using (match_id)"""
+SQL["stage_latencies"] = """with recursive p as (select match_id::varchar as id, frame_idx, unnest(['ingest', 'analytics']) as stage, unnest([brightness * 1e0, blur * 1e0]) as ms from v_frames),
+    o as (select *, row_number() over (partition by id, stage order by frame_idx) as k from p),
+    m as (select id, stage, frame_idx, k, 0.1e0 * ms as s from o where k = 1 union all select o.id, o.stage, o.frame_idx, o.k, 0.9e0 * m.s + 0.1e0 * o.ms from m join o on o.id = m.id and o.stage = m.stage and o.k = m.k + 1)
+    select id, frame_idx as batch_id, stage, round(s, 5) as smoothed from m"""

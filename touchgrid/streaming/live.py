@@ -109,6 +109,19 @@ def windows(stream: DataFrame, time: str = "ts", width: str = "5 minutes", late:
     return timed.groupBy(span, by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def sketched(stream: DataFrame, value: str, width: str = "1 minute", by: str = "match_id", time: str = "ts", bits: int = 12) -> DataFrame:
+    """A sketch of the distinct values of each window and key: (window, by, sketch).  Needs event time and a watermark.
+
+    Sketches of any windows merge, in any order (``merged_counts``).
+    """
+    return stream.groupBy(F.window(time, width), by).agg(F.hll_sketch_agg(value, F.lit(bits)).alias("sketch"))
+
+
+def merged_counts(sketches: DataFrame, by: str = "match_id") -> DataFrame:
+    """(by, n_windows, n_distinct) of sketches: the relative standard error is 0.83 / 2^(bits / 2), 1.3 % for 12 bits."""
+    return sketches.groupBy(by).agg(F.count("*").alias("n_windows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
 def sessions(stream: DataFrame, time: str = "ts", gap: str = "2 minutes", late: str = "10 minutes", by: str = "user_id") -> DataFrame:
     """Phases of play: rows of a key that follow each other within ``gap``."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
