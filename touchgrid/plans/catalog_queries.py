@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, labels as L, models as M, session
-from ..operators import camera, detections as D, evaluation, events, frame_folds, identity, inference, kinematics, possession, roles, space, summary, threat
+from ..operators import camera, detections as D, evaluation, events, frame_folds, identity, inference, kinematics, native_folds, possession, roles, space, summary, threat
 from ..sources import frame_source as sources
 from ..streaming import frames as S, jobs, live
 from .views import view
@@ -867,6 +867,26 @@ def stage_latencies(frames):
     return jobs.latencies(progress).select("id", "batch_id", "stage", r("smoothed", 5, "smoothed"))
 
 
+# --- folds without Python ---
+
+
+@query("ball", "pos")
+def native_possession(ball, pos):
+    return native_folds.possession(possession.candidates(ball, pos))
+
+
+@query("motion")
+def native_cuts(motion):
+    return native_folds.cuts(camera.cut_scores(motion))
+
+
+@query("motion")
+def native_boundaries(motion):
+    seen = F.col("frame_idx") % 4 != 0
+    rows = motion.select("match_id", "frame_idx", F.when(seen, 100 + F.col("dx")).alias("top_y"), F.when(seen, 800 + F.col("dy")).alias("bottom_y"))
+    return native_folds.boundaries(rows).select("match_id", "frame_idx", r("top", 4, "top"), r("bottom", 4, "bottom"))
+
+
 # --- frames ---
 
 

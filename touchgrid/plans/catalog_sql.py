@@ -338,3 +338,4 @@ SQL["stage_latencies"] = """with recursive p as (select match_id::varchar as id,
     o as (select *, row_number() over (partition by id, stage order by frame_idx) as k from p),
     m as (select id, stage, frame_idx, k, 0.1e0 * ms as s from o where k = 1 union all select o.id, o.stage, o.frame_idx, o.k, 0.9e0 * m.s + 0.1e0 * o.ms from m join o on o.id = m.id and o.stage = m.stage and o.k = m.k + 1)
     select id, frame_idx as batch_id, stage, round(s, 5) as smoothed from m"""
+SQL |= {"native_possession": SQL["possession_assigned"], "native_cuts": SQL["camera_cuts"], "native_boundaries": SQL["pitch_boundaries"]}
