@@ -26,6 +26,7 @@ from .simhash import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
+_FEW_GROUPS = 1_000_000
 _BLOCK = 2048
 _KEYS = 1 << 21  # shingles that are compared, or held, at once
 _LAST = (1 << 63) - 1  # for a null doc_id
@@ -123,8 +124,9 @@ def _linked(key, n, group, side, across, s: float) -> np.ndarray:
 
 def links(sets: DataFrame, groups: DataFrame, s: float = SIMILARITY, block: int = _BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all matches among ``sets``; a group of more than ``block`` is dealt to pairs of blocks."""
-    many = groups.groupBy("root").count().filter(F.col("count") > block).select("root", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = sets.join(F.broadcast(many), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    many = written(groups.groupBy("root").count().filter(F.col("count") > block).select("root", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large-groups")
+    few = many.count() <= _FEW_GROUPS  # a broadcast of 12 MB at most, else a join
+    rows = sets.join(F.broadcast(many) if few else many, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "s1", "data")
 
