@@ -157,10 +157,14 @@ def event_windows(spark: SparkSession, path: str, width: str = "1 hour") -> Data
 def event_sessions(spark: SparkSession, path: str, gap: str = "2 minutes") -> DataFrame:
     """Sessions over an event table read as a stream: user_id, session_start, session_end (last row and gap), n.
 
-    Complete mode: each micro-batch writes all sessions so far, none is held back by the watermark, and the newest batch counts.
+    Append mode: a session comes once, when the watermark has passed its end,
+    and leaves the state.  A last row far behind the others, whose own session
+    never ends, lets the watermark pass them all.
     """
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a file or a folder
-    out = drained(sessions(stream, gap=gap, late="0 seconds"), "event-sessions", "complete")
-    newest = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    return newest.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+    table = spark.read.parquet(path).select("user_id", "ts")
+    at = folder(spark, "last-row")
+    table.agg((F.max("ts") + F.expr(f"2 * interval {gap}")).alias("ts")).select(F.lit(None).cast(table.schema["user_id"].dataType).alias("user_id"), "ts").write.parquet(at)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a file or a folder
+    whole = stream.select("user_id", "ts").unionByName(spark.readStream.schema(table.schema).parquet(at))
+    out = drained(sessions(whole, gap=gap, late="0 seconds"), "event-sessions")
+    return out.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
