@@ -1,4 +1,7 @@
 import random
+import re
+import zlib
+from collections import Counter
 
 import corpus_pipeline as C
 import pytest
@@ -23,8 +26,21 @@ def test_stages(spark, sf):
 
 def test_every_query_runs_on_whole_tables(spark, sf):
     pages, docs = spark.read.parquet(f"{sf}/pages.parquet").count(), spark.read.parquet(f"{sf}/documents.parquet").count()
+    words = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for w in re.findall("[A-Za-zÀ-ÿ]+", r.text or ""):
+            w = "".join(c.lower() if c.isascii() else c for c in w)
+            h = zlib.crc32(f"{r.doc_id}:{w}".encode())
+            words[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
     for name, q in queries.queries().items():
-        assert q(spark, sf).count() == (pages if name.startswith("op6_") else docs), name
+        found = q(spark, sf)
+        if name.startswith("op12_"):  # a row a node: the root holds all conversations, the ends of all nodes are all of them
+            convs = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
+            assert [r.n_convs for r in found.where("depth = 0").collect()] == [convs]
+        elif name.startswith("op13_"):  # a row a word
+            assert {r.word: r.n for r in found.collect()} == {w: n for w, n in words.items() if len(w) >= 5 and n >= 3}
+        else:
+            assert found.count() == (pages if name.startswith("op6_") else docs), name
 
 
 CLASHES = {"rest": "'r'", "text_hash": "7L", "doc": "doc_id", "line": "1", "kept": "true", "component_id": "3L", "items": "array(1)", "_id": "doc_id", "n_hit": "0"}
