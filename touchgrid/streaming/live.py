@@ -122,6 +122,14 @@ def merged_counts(sketches: DataFrame, by: str = "match_id") -> DataFrame:
     return sketches.groupBy(by).agg(F.count("*").alias("n_windows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
 
 
+def sighted(stream: DataFrame, value: str, width: str = "1 minute", by: str = "match_id", time: str = "ts") -> DataFrame:
+    """The distinct values of each window and key, with their rows: (window, by, value, n).  Needs event time and a watermark.
+
+    For exact counts over any windows: a window's values leave the state with it.
+    """
+    return stream.groupBy(F.window(time, width), by, value).agg(F.count("*").alias("n"))
+
+
 def sessions(stream: DataFrame, time: str = "ts", gap: str = "2 minutes", late: str = "10 minutes", by: str = "user_id") -> DataFrame:
     """Phases of play: rows of a key that follow each other within ``gap``."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
