@@ -7,11 +7,13 @@ then go through the same step functions as the batch folds, in frame order.
 
 from __future__ import annotations
 
+import heapq
 import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -29,6 +31,27 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SLICE = 10_000  # rows that are Python objects at a time
+
+
+def _order(row: dict) -> tuple:
+    return row["frame_idx"], row.get("det_idx") or 0
+
+
+def _in_order(parts: list[pd.DataFrame]) -> Iterator[dict]:
+    """Rows of ``parts`` by frame and ``det_idx`` as plain values, exact to the last bit, with None for what is missing; a slice at a time."""
+    if not any(len(p) for p in parts):
+        return
+    pdf = pd.concat([p for p in parts if len(p)], ignore_index=True)
+    by = pdf[["frame_idx"]].assign(det_idx=pdf["det_idx"].fillna(0) if "det_idx" in pdf else 0)
+    pdf = pdf.loc[by.sort_values(["frame_idx", "det_idx"], kind="stable").index]
+    for at in range(0, len(pdf), _SLICE):
+        part = pdf.iloc[at : at + _SLICE]
+        columns = [[v.tolist() if isinstance(v, np.ndarray) else None if folds.missing(v) else v for v in part[c].tolist()] for c in part]
+        for values in zip(*columns, strict=True):
+            yield dict(zip(part.columns, values, strict=True))
+
+
 def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str, lag: int = 25, last_frame: int | None = None, total: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """Runs ``step`` over the frames of each match in order.
 
@@ -45,24 +68,26 @@ def ordered_fold(stream: DataFrame, step: Callable, start: Callable, schema: str
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"state": start(), "rows": [], "done": -1, "seen": 0}
         whole = over = state.hasTimedOut
+        new = []
         for pdf in frames:
-            rows = json.loads(pdf.to_json(orient="records"))
-            held["seen"] += len(rows)
-            whole = whole or total is not None and bool(rows) and held["seen"] >= rows[0][total]
-            held["rows"] += [r for r in rows if r["frame_idx"] > held["done"]]
-        held["rows"].sort(key=lambda r: (r["frame_idx"], r.get("det_idx") or 0))
-        newest = held["rows"][-1]["frame_idx"] if held["rows"] else held["done"]
+            held["seen"] += len(pdf)
+            whole = whole or total is not None and len(pdf) > 0 and held["seen"] >= pdf[total].iloc[0]
+            new.append(pdf[pdf["frame_idx"] > held["done"]])
+        old = held["rows"]
+        newest = max([int(pdf["frame_idx"].max()) for pdf in new if len(pdf)] + [r["frame_idx"] for r in old[-1:]], default=held["done"])
         limit = newest if whole or last_frame is not None and newest >= last_frame else newest - lag
-        out, n = [], 0
-        for row in held["rows"]:
+        held["rows"], out = [], []
+        for row in heapq.merge(old, _in_order(new), key=_order):
             if row["frame_idx"] > limit:
-                break
-            n += 1
+                held["rows"].append(row)
+                continue
             held["done"] = row["frame_idx"]
             held["state"], made = step(held["state"], row)
             if made is not None:
                 out.append({"match_id": key[0]} | made)
-        del held["rows"][:n]
+            if len(out) >= _SLICE:
+                yield pd.DataFrame(out, columns=names)
+                out = []
         if over:
             state.remove()
         else:
