@@ -40,3 +40,22 @@ def test_track_counts_of_a_stream_are_exact(spark, tmp_path):
     spark.range(9000).select(F.col("id").alias("user_id"), F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
     got = {r.match_id: r.n_tracks for r in QUERIES["stream_track_counts"](spark, str(tmp_path)).collect()}
     assert got == {0: 3000, 1: 3000, 2: 3000}
+
+
+def test_a_fold_holds_one_batch_of_a_match(spark):
+    """The rows of a key come as batches, so the largest thing that a task holds does not grow with the key."""
+    from touchgrid.operators import camera
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.range(2500).select(F.lit(1).cast("long").alias("match_id"), F.col("id").alias("frame_idx"), (F.col("id") % 10 / 10).alias("hist_distance"), F.lit(0.5).alias("edge_diff"), F.lit(1.0).alias("flow_inlier")).repartition(5)
+        out = camera.cuts(df)
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+        last, want = None, 0
+        for f in range(2500):
+            if f % 10 / 10 >= 0.5 and (last is None or f - last >= 15):
+                last, want = f, want + 1
+        rows = out.orderBy("frame_idx").collect()
+        assert [r.frame_idx for r in rows] == list(range(2500)) and rows[-1].cut_count == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

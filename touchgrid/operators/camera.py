@@ -38,7 +38,7 @@ def cut_scores(distances: DataFrame) -> DataFrame:
 
 def cuts(distances: DataFrame) -> DataFrame:
     """Debounced cuts of frames (hist_distance, edge_diff, flow_inlier)."""
-    return folds.fold(cut_scores(distances), ["match_id"], ["frame_idx"], folds.cut_step, lambda: {"last": None, "n": 0}, "match_id long, frame_idx long, is_cut boolean, cut_count long")
+    return folds.fold(cut_scores(distances).select("match_id", "frame_idx", "score", "hist_distance", "edge_diff"), ["match_id"], ["frame_idx"], folds.cut_step, lambda: {"last": None, "n": 0}, "match_id long, frame_idx long, is_cut boolean, cut_count long")
 
 
 def smoothed_boundaries(pitch: DataFrame, keep: float = 0.8) -> DataFrame:

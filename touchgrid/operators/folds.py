@@ -12,23 +12,59 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+SLICE = 10_000  # made rows that a task holds
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, start: Callable, schema: str) -> DataFrame:
-    """Fold the rows of each key in order; ``step`` gets dicts and returns a dict per row (or None)."""
+    """Fold the rows of each key in order; ``step`` gets dicts and returns a dict per row (or None).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, out = start(), []
-        for row in pdf.to_dict("records"):
+    Spark sorts, and spills as it must; a task has the rows of one Arrow batch
+    and one state in Python, however long a key is.
+    """
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, out = None, None, []
+        for key, row in sorted_rows(batches, keys):
+            if key != now:
+                now, state = key, start()
             state, made = step(state, row)
             if made is not None:
-                out.append({k: row[k] for k in keys} | made)
-        return pd.DataFrame(out, columns=names)
+                out.append(dict(zip(keys, key, strict=True)) | made)
+            if len(out) >= SLICE:
+                yield pa.RecordBatch.from_pylist(out, kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return ordered(df, keys, [F.asc_nulls_last(c) for c in order]).mapInArrow(run, schema)
+
+
+def ordered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The rows of a key in one task, in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def values(column: pa.Array) -> list:
+    """A column as Python values with None for what is missing; arrays of numbers as numpy views."""
+    if pa.types.is_list(column.type) and column.type.value_type == pa.float64() and not column.values.null_count:
+        data, at = column.values.to_numpy(), column.offsets.to_numpy()
+        return [None if empty else data[a:b] for a, b, empty in zip(at[:-1], at[1:], column.is_null().to_numpy(False), strict=True)]
+    return column.to_pylist()
+
 
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def sorted_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """(key, row) of sorted batches."""
+    for batch in batches:
+        names, columns = batch.schema.names, [values(c) for c in batch.columns]
+        at = [names.index(k) for k in keys]
+        for row in zip(*columns, strict=True):
+            yield tuple(row[i] for i in at), dict(zip(names, row, strict=True))
 
 
 def missing(x) -> bool:

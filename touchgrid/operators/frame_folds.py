@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators import folds, identity
 from ..operators.detections import BALL
@@ -67,18 +70,37 @@ def row_order(row: dict) -> tuple:
 
 def folded(df: DataFrame, fold, keys: Sequence[str], fields: str, schema: str) -> DataFrame:
     """Batch: the rows (``fields``: frame_idx first, then det_idx and so on) of each key in order of frames, up to ``last_frame`` where they have one, else the key's last."""
-    kinds = T.StructType.fromDDL(fields)
-    out = T.StructType.fromDDL(schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((dict(zip(kinds.names, r, strict=True)) for r in records(pdf, kinds)), key=row_order)
-        ends = [r["last_frame"] for r in rows if r.get("last_frame") is not None]
-        until = ends[0] if ends else rows[-1]["frame_idx"]
-        _, made, _ = advance(fold, None, rows, math.inf, until)
-        key = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([key | m for m in made], columns=out.names)
-
-    return row_columns(df, keys, fields).groupBy(*keys).applyInPandas(run, out)
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    keys = list(keys)
+
+    def match(rows: Iterator[tuple[tuple, dict]]) -> Iterator[list[dict]]:
+        """What one key makes, as its frames are whole; rows of one frame are held."""
+        state, until, frame, held = None, None, None, []
+        for _, row in rows:
+            if until is None and row.get("last_frame") is not None:
+                until = row["last_frame"]
+            if held and row["frame_idx"] != frame:
+                state, made, _ = advance(fold, state, held, frame, math.inf if until is None else until)
+                held = []
+                yield made
+            frame = row["frame_idx"]
+            held.append(row)
+        yield advance(fold, state, held, math.inf, frame if until is None else until)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, rows in groupby(folds.sorted_rows(batches, keys), lambda r: r[0]):
+            for made in match(rows):
+                out += [dict(zip(keys, key, strict=True)) | m for m in made]
+                if len(out) >= folds.SLICE:
+                    yield pa.RecordBatch.from_pylist(out, kinds)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    rows = row_columns(df, keys, fields)
+    by = ["frame_idx", *(F.coalesce(c, F.lit(-1)) for c in ("det_idx",) if c in rows.columns)]
+    return folds.ordered(rows, keys, by).mapInArrow(run, schema)
 
 
 def _moved(box: np.ndarray, shift) -> np.ndarray:
