@@ -11,6 +11,9 @@ the scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
 from . import geometry as G, models as M
@@ -35,19 +38,21 @@ def _functions() -> dict[str, tuple[str, str, Column]]:
 
 
 class VoronoiCells:
-    """Owner (0 or 1) of each cell of the pitch, of the rows (x_m, y_m, role_id) of one partition; nothing unless both sides are there."""
+    """Owner (0 or 1) of each cell of the pitch, of the rows (x_m, y_m, role_id) of one partition, as one Arrow table; nothing unless both sides are there."""
 
     def __init__(self):
         self.points = {0: [], 1: []}
         self.key = None
 
-    def eval(self, row):
-        self.key = row["match_id"], row["frame_idx"]
-        side = {0: 0, 3: 0, 1: 1, 4: 1}.get(row["role_id"])
-        if side is not None and row["x_m"] is not None and row["y_m"] is not None:
-            self.points[side].append((row["x_m"], row["y_m"]))
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        self.key = rows.column("match_id")[0].as_py(), rows.column("frame_idx")[0].as_py()
+        for role, x, y in zip(*(rows.column(c).to_pylist() for c in ("role_id", "x_m", "y_m")), strict=True):
+            side = {0: 0, 3: 0, 1: 1, 4: 1}.get(role)
+            if side is not None and x is not None and y is not None:
+                self.points[side].append((float(x), float(y)))
+        return iter(())
 
-    def terminate(self):
+    def terminate(self) -> Iterator[pa.Table]:
         import numpy as np
 
         from ..operators import space
@@ -55,9 +60,10 @@ class VoronoiCells:
         if not all(self.points.values()):
             return
         a, b = (np.array(self.points[s], float).T for s in (0, 1))
-        mine = space.nearest_side(*a, *b)
-        for x, y, own in zip(space._GX.astype(int).tolist(), space._GY.astype(int).tolist(), mine.tolist(), strict=True):
-            yield *self.key, x, y, 0 if own else 1
+        owner = np.where(space.nearest_side(*a, *b), 0, 1)
+        n = len(owner)
+        match, frame = (pa.repeat(pa.scalar(k, pa.int64()), n) for k in self.key)
+        yield pa.table({"match_id": match, "frame_idx": frame, **{c: pa.array(v.astype(np.int32)) for c, v in (("gx", space._GX), ("gy", space._GY), ("owner", owner))}})
 
 
 def register(spark: SparkSession) -> None:
@@ -65,5 +71,5 @@ def register(spark: SparkSession) -> None:
     for name, (parameters, kind, column) in _functions().items():
         plan = spark.createDataFrame([], parameters).select(column.alias("v"))._jdf.queryExecution().analyzed()
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {plan.expressions().head().child().sql()}")
-    cells = F.udtf(VoronoiCells, returnType="match_id long, frame_idx long, gx int, gy int, owner int")
+    cells = F.arrow_udtf(VoronoiCells, returnType="match_id long, frame_idx long, gx int, gy int, owner int")
     spark.udtf.register("voronoi_cells", cells)
