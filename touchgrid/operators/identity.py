@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from . import folds
+from . import folds, spliced
 from .detections import BALL, sane
 from .kinematics import box_velocity
 
@@ -169,27 +170,42 @@ class Tracker:
         return out
 
 
-def associated(dets: DataFrame, cut_frames: DataFrame | None = None) -> DataFrame:
-    """Track ids of person boxes (the ball keeps -1); cuts forget all tracks."""
+def associated(dets: DataFrame, cut_frames: DataFrame | None = None, stretch: int = 30_000, warm: int = 3_000) -> DataFrame:
+    """Track ids of person boxes (the ball keeps -1); cuts forget all tracks.  Stretches of a match run side by side (``spliced``)."""
     df = dets if cut_frames is None else dets.join(cut_frames.select("match_id", "frame_idx", F.lit(True).alias("cut")), ["match_id", "frame_idx"], "left")
     if cut_frames is None:
         df = df.withColumn("cut", F.lit(False))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "det_idx"], kind="stable")
-        tracker, ids = Tracker(), np.full(len(pdf), -1)
-        frame, people = pdf["frame_idx"].to_numpy(), (pdf["class_id"] != 32).to_numpy()
-        boxes, conf, cut = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), pdf["cut"].fillna(False).to_numpy(bool)
-        at = np.flatnonzero(np.concatenate(([True], frame[1:] != frame[:-1]))) if len(pdf) else []
-        for lo, hi in zip(at, [*at[1:], len(pdf)], strict=True):
-            if cut[lo:hi].any():
-                tracker.tracks.clear()
-            mine = lo + np.flatnonzero(people[lo:hi])
-            ids[mine] = tracker.frame(boxes[mine], conf[mine])
-        return pdf[["match_id", "frame_idx", "det_idx"]].assign(track_id=ids)
-
     cols = ["match_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2", "conf", "cut"]
-    return df.select(*cols).groupBy("match_id").applyInPandas(run, "match_id long, frame_idx long, det_idx long, track_id long")
+    return spliced.tracks(df.select(*cols), _Association, ["det_idx"], "match_id long, frame_idx long, det_idx long, track_id long", stretch, warm)
+
+
+class _Association:
+    """``Tracker`` over the frames that have boxes."""
+
+    def __init__(self):
+        self.tracker = Tracker()
+
+    def step(self, frame: int, rows: list[dict]) -> list[dict]:
+        if any(r["cut"] for r in rows):
+            self.tracker.tracks.clear()
+        people = [r for r in rows if r["class_id"] != BALL]
+        found = iter(self.tracker.frame(np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in people], float).reshape(-1, 4), [float(r["conf"]) for r in people]))
+        return [{"frame_idx": frame, "det_idx": r["det_idx"], "track_id": -1 if r["class_id"] == BALL else next(found)} for r in rows]
+
+    def until(self, frame: int) -> list[dict]:
+        return []
+
+    def mark(self) -> tuple[bytes, list[int], int]:
+        return marked(self.tracker, {})
+
+
+def marked(tracker: Tracker, last: dict) -> tuple[bytes, list[int], int]:
+    """(state with tracks by their place among the live ones, their numbers, the next number)."""
+    alive = sorted(tracker.tracks.keys() | last.keys())
+    at = {t: i for i, t in enumerate(alive)}
+    plain = lambda d: [(at[t], s["box"].tolist(), s["v"].tolist(), s["lost"]) for t, s in d.items()]
+    return json.dumps([plain(tracker.tracks), plain(last)]).encode(), alive, tracker.next
 
 
 class MatchTracker:
@@ -319,8 +335,8 @@ def unit(e) -> np.ndarray:
     return v / n if n > 1e-6 else v
 
 
-def tracked(dets: DataFrame, cut_frames: DataFrame | None = None) -> DataFrame:
-    """``MatchTracker`` over the frames of each match.
+def tracked(dets: DataFrame, cut_frames: DataFrame | None = None, stretch: int = 20_000, warm: int = 1_000) -> DataFrame:
+    """``MatchTracker`` over the frames of each match; without appearances stretches of a match run side by side (``spliced``).
 
     ``dets`` (match_id, frame_idx, det_idx, class_id, x1, y1, x2, y2, conf) may
     carry emb, team_id, role_id, x_m, y_m for re-identification at cuts.
@@ -328,13 +344,29 @@ def tracked(dets: DataFrame, cut_frames: DataFrame | None = None) -> DataFrame:
     cut = F.lit(False) if cut_frames is None else F.coalesce("cut", F.lit(False))
     df = dets if cut_frames is None else dets.join(cut_frames.select("match_id", "frame_idx", F.lit(True).alias("cut")).distinct(), ["match_id", "frame_idx"], "left")
     extra = [c for c in ("emb", "team_id", "role_id", "x_m", "y_m") if c in dets.columns]
-    names = ["match_id", "frame_idx", "track_id", "class_id", "x1", "y1", "x2", "y2", "conf", "coasted"]
+    df = df.select("match_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2", "conf", *extra, cut.alias("cut"))
+    schema = "match_id long, frame_idx long, track_id long, class_id long, x1 double, y1 double, x2 double, y2 double, conf double, coasted boolean"
+    if extra:  # a gallery outlives its tracks
+        return spliced.one_pass(df, _Tracked, ["det_idx"], schema)
+    return spliced.tracks(df, _Tracked, ["det_idx"], schema, stretch, warm)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = MatchTracker(), []
-        for frame, rows in folds.frames_of(pdf):
-            out += tracker.step(frame, rows, any(r["cut"] for r in rows))
-        return pd.DataFrame(out, columns=names[1:]).assign(match_id=pdf["match_id"].iloc[0])[names]
 
-    df = df.select("match_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2", "conf", *extra, cut.alias("cut"))
-    return df.groupBy("match_id").applyInPandas(run, "match_id long, frame_idx long, track_id long, class_id long, x1 double, y1 double, x2 double, y2 double, conf double, coasted boolean")
+class _Tracked:
+    """``MatchTracker`` over all frames; of a run of frames without boxes the first ``forget`` + 1, after which no track is left."""
+
+    def __init__(self):
+        self.tracker, self.at = MatchTracker(), None
+
+    def step(self, frame: int, rows: list[dict]) -> list[dict]:
+        self.at, self.rest = frame, frame + self.tracker.forget + 1
+        return self.tracker.step(frame, rows, any(r["cut"] for r in rows))
+
+    def until(self, frame: int) -> list[dict]:
+        out = []
+        while self.at is not None and self.at < min(frame - 1, self.rest):
+            self.at += 1
+            out += self.tracker.step(self.at, [])
+        return out
+
+    def mark(self) -> tuple[bytes, list[int], int]:
+        return marked(self.tracker.tracker, self.tracker.last)
