@@ -37,3 +37,14 @@ def test_cuts_and_boundaries_equal_the_state_machine(spark, stretch):
 def test_nothing_to_fold(spark):
     df = spark.createDataFrame([], "match_id long, frame_idx long, score double, hist_distance double, edge_diff double")
     assert N.cuts(df).count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 16, 50])
+def test_parts_of_a_match_start_from_the_state_before_them(spark, part):
+    rng = random.Random(part)
+    rows = [(m, f, rng.random(), rng.random(), rng.random(), rng.choice([None, rng.uniform(50, 60)]), rng.choice([None, *[rng.uniform(700, 710)] * 9])) for m in (1, 2) for f in range(300) if not 100 < f < 180]
+    df = spark.createDataFrame(rows, "match_id long, frame_idx long, hist_distance double, edge_diff double, flow_inlier double, top_y double, bottom_y double").repartition(3)
+    cols = ["match_id", "frame_idx", "is_cut", "cut_count"]
+    assert plain(N.cuts(camera.cut_scores(df), part=part), *cols) == plain(camera.cuts(df), *cols)
+    cols = ["match_id", "frame_idx", *(F.round(c, 9).alias(c) for c in ("top", "bottom"))]
+    assert plain(N.boundaries(df, part=part), *cols) == plain(N.boundaries(df), *cols)
