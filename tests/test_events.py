@@ -171,3 +171,19 @@ def test_kalman():
     assert k.predict()[0] > 100
     x, y = k.update(103, 201)
     assert abs(x - 103) < 2 and abs(y - 201) < 2
+
+
+def test_stretches_of_a_match_find_the_events_of_the_whole(spark):
+    """A task has the rows of some frames, wherever holders and loose balls fall; before, it had a match's."""
+    rng = random.Random(8)
+    rows = []
+    for m in (1, 2):
+        for f in range(400):
+            who = None if 120 < f < 190 or rng.random() < 0.5 else rng.randrange(8)
+            rows.append((m, f, who, None if who is None else who % 2, rng.uniform(0, 105), rng.uniform(0, 68), rng.uniform(0, 60)))
+    df = spark.createDataFrame(rows, "match_id long, frame_idx long, holder_id long, holder_team long, ball_x double, ball_y double, ball_kmh double").repartition(5)
+    want = sorted(map(str, E.detect_fold(df).select("match_id", "event_id", "event_type", "frame_idx", "primary_id", "speed_kmh").collect()))
+    for part in (1, 7, 64, 1000):
+        got = E.detect(df, part=part)
+        assert sorted(map(str, got.select("match_id", "event_id", "event_type", "frame_idx", "primary_id", "speed_kmh").collect())) == want
+    assert len(want) > 50

@@ -13,14 +13,41 @@ from ..functions import geometry as G, labels as L, models as M
 from . import folds
 
 RELEASE_KMH, LEAST_M, DUEL_FRAMES = 12.0, 3.0, 6
+PART = 65_536  # frames
 
 
-def detect(poss: DataFrame, fps: float = 25.0) -> DataFrame:
+def _stretches(poss: DataFrame, part: int) -> DataFrame:
+    """Rows with their ``stretch``: from a part's first held row to the next part's, which both have.
+
+    A held row is all that later events ask of the rows before it, so stretches are on their own.
+    """
+    match = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    rows = poss.withColumn("part", F.floor(F.col("frame_idx") / part))
+    parts = rows.groupBy(F.col("match_id").alias("of_match"), F.col("part").alias("of_part")).agg(F.min(F.when(F.col("holder_id").isNotNull(), F.col("frame_idx"))).alias("first_held"))
+    earlier = W.partitionBy("of_match").orderBy("of_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.last(F.when(F.col("first_held").isNotNull(), F.col("of_part")), ignorenulls=True).over(earlier), F.lit(-1)))  # a row a part
+    known = rows.join(parts, match("match_id", "of_match") & match("part", "of_part"))
+    at = F.when(F.col("frame_idx") > F.col("first_held"), F.array("part")).when(F.col("frame_idx") == F.col("first_held"), F.array("before", "part")).otherwise(F.array("before"))
+    return known.withColumn("stretch", F.explode(at)).drop("of_match", "of_part", "part", "first_held", "before")
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """Events with ``event_id``: a stretch counts its own, and the stretches before are added."""
+    counts = events.groupBy(F.col("match_id").alias("of_match"), F.col("stretch").alias("of_stretch")).agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("of_match").orderBy("of_stretch").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("of_match", "of_stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
+    own = F.row_number().over(W.partitionBy("match_id", "stretch").orderBy("frame_idx"))
+    out = events.withColumn("own", own).join(counts, F.col("match_id").eqNullSafe(F.col("of_match")) & (F.col("stretch") == F.col("of_stretch")))
+    return out.withColumn("event_id", (F.col("own") + F.col("n")).cast("long")).drop("own", "n", "stretch", "of_match", "of_stretch")
+
+
+def detect(poss: DataFrame, fps: float = 25.0, part: int = PART) -> DataFrame:
     """Events of possession rows (match_id, frame_idx, holder_id, holder_team, ball_x, ball_y, ball_kmh).
 
-    Every window has the same partition and order, so the match is exchanged and sorted once.
+    Every window has the same partition and order, so a stretch of a match is exchanged and sorted once.
     """
-    w = W.partitionBy("match_id").orderBy("frame_idx")
+    poss = _stretches(poss, part)
+    w = W.partitionBy("match_id", "stretch").orderBy("frame_idx")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     held = F.col("holder_id").isNotNull()
     speed = F.least(F.lit(130.0), F.greatest(F.lit(0.0), F.coalesce("ball_kmh", F.lit(0.0))))
@@ -28,7 +55,7 @@ def detect(poss: DataFrame, fps: float = 25.0) -> DataFrame:
     last_row = F.last(F.when(held, F.struct("holder_id", "holder_team", "ball_x", "ball_y", "frame_idx")), ignorenulls=True).over(before)
     df = df.withColumn("prev", last_row)
     loose = ~held & F.col("ball_x").isNotNull() & (F.col("speed") >= RELEASE_KMH) & (F.col("grp") >= 1)
-    group = W.partitionBy("match_id", "grp").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
+    group = W.partitionBy("match_id", "stretch", "grp").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumn("released", F.min(F.when(loose, F.col("frame_idx"))).over(group))
     df = df.withColumn("peak", F.max(F.when(F.col("frame_idx") >= F.col("released"), F.col("speed"))).over(group))
     acq = df.filter(held & F.col("prev").isNotNull())
@@ -46,14 +73,14 @@ def detect(poss: DataFrame, fps: float = 25.0) -> DataFrame:
     passer = F.col("event_type").isin("SHOT", "PASS")
     tackle = F.col("event_type") == "TACKLE"
     out = acq.select(
-        "match_id", "event_type", F.col("frame_idx").cast("long").alias("frame_idx"), (F.col("frame_idx") / max(1.0, fps)).alias("timestamp_s"),
+        "match_id", "stretch", "event_type", F.col("frame_idx").cast("long").alias("frame_idx"), (F.col("frame_idx") / max(1.0, fps)).alias("timestamp_s"),
         F.when(passer, p["holder_team"]).otherwise(F.col("holder_team")).cast("long").alias("team_id"),
         F.when(passer, p["holder_id"]).otherwise(F.col("holder_id")).cast("long").alias("primary_id"),
         F.when(passer, F.col("holder_id")).otherwise(p["holder_id"]).cast("long").alias("secondary_id"),
         F.when(tackle, F.col("speed")).otherwise(F.col("peak")).alias("speed_kmh"), F.when(tackle, 0.0).otherwise(dist).alias("distance_m"),
         p["ball_x"].alias("start_x"), p["ball_y"].alias("start_y"), F.col("ball_x").alias("end_x"), F.col("ball_y").alias("end_y"),
     )
-    return out.withColumn("event_id", F.row_number().over(w).cast("long"))
+    return _numbered(out)
 
 
 def detect_fold(poss: DataFrame) -> DataFrame:
