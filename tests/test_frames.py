@@ -209,3 +209,26 @@ def test_carried_batch_by_track_equals_a_match_at_once(spark):
     assert got.where(F.col("frame_idx") % 3 != 0).count() > 100
 
 
+def test_long_losses_and_holes_in_the_camera_rows_equal_a_match_at_once(spark, monkeypatch):
+    monkeypatch.setattr(FF, "BLOCK", 16)
+    rng = random.Random(5)
+    seen = {t: set() for t in range(4)}
+    for t in seen:
+        f = 0
+        while f < 1500:
+            seen[t].add(f)
+            f += 3 * rng.choice([1, 1, 2, 4, 5, 6, 44, 45, 46, 47, 48, 60])
+    rows = []
+    for f in range(1500):
+        if rng.random() < 0.15 or 600 <= f < 640:
+            continue  # no camera row; a keyframe may be among them
+        here = [t for t in seen if f in seen[t]]
+        affine = [1.0, rng.uniform(-0.01, 0.01), rng.uniform(-3, 3), rng.uniform(-0.01, 0.01), 1.0, rng.uniform(-3, 3)] if rng.random() < 0.9 else None
+        rows += [{"frame_idx": f, "det_idx": None, "track_id": t, **box(100.0 * t + f % 90), "affine": affine} for t in here] or [{"frame_idx": f, "det_idx": None, "track_id": None, "x1": None, "affine": affine}]
+    kf = [(1, t, f, *box(100.0 * t + f % 90).values()) for t in seen for f in sorted(seen[t])] + [(1, None, 0, 1.0, 1.0, 2.0, 2.0, 0.9)]
+    motion = {r["frame_idx"]: r["affine"] for r in rows}
+    got = FF.carried(spark.createDataFrame(kf, "match_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double, conf double"), spark.createDataFrame([(1, f, a) for f, a in motion.items()], "match_id long, frame_idx long, affine array<double>")).collect()
+    key = lambda r: tuple(r[c] for c in ("frame_idx", "track_id", "x1", "y1", "x2", "y2", "conf", "kind"))
+    assert sorted(map(key, got)) == sorted(map(key, run(FF.Carry(3), rows)))
+
+
