@@ -143,3 +143,18 @@ def test_drawn_frames_show_each_person_on_the_pitch(spark):
     rows = [(1, 0, 3.9, 2.1), (1, 0, 104.99, 67.5), (1, 0, 105.0, 3.0), (1, 0, -1.0, 3.0), (1, 0, 3.1, 2.9), (2, 0, None, None)]
     got = {r.match_id: np.frombuffer(r.image, np.uint8).reshape(r.height, r.width) for r in inference.drawn(spark.createDataFrame(rows, "match_id long, frame_idx long, x_m double, y_m double")).collect()}
     assert sorted(zip(*(v.tolist() for v in np.nonzero(got[1])), strict=True)) == [(2, 3), (67, 104)] and not got[2].any()
+
+
+def test_many_segments_share_tasks(spark, tmp_path, monkeypatch):
+    rows, df = film(spark, frames=range(250))
+    at = str(tmp_path / "film")
+    S.write_frames(df, at, per_segment=1).collect()
+    assert len(S.segments(at)) == 500
+    assert S.frames(spark, at).rdd.getNumPartitions() <= 200
+    assert key(S.frames(spark, at).collect()) == key(rows)
+    assert key(S.frames(spark, at).where("frame_idx >= 5 and match_id = 2").collect()) == key([r for r in rows if r[0] == 2 and r[1] >= 5])
+    stream = S.FrameStreamReader({"path": at})
+    parts = stream.partitions({"after": ""}, stream.latestOffset())
+    assert len(parts) == 200 and sum(b.num_rows for p in parts for b in stream.read(p)) == len(rows)
+    monkeypatch.setattr(S, "TASK_BYTES", 20)  # an image has 12 bytes
+    assert len(S.FrameReader({"path": at}).partitions()) == 300

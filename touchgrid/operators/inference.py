@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -31,26 +30,19 @@ def detected(frames: DataFrame, load: Callable, batch_size: int = 16, most: int
     def make():
         model = load()
 
-        def predict(images: np.ndarray) -> dict:
-            found = [np.asarray(b, np.float32).reshape(-1, 6)[:most] for b in model(images.reshape(-1, height, width).astype(np.uint8))]
-            flat = np.zeros((len(found), most * 6), np.float32)
-            for i, b in enumerate(found):
-                flat[i, : b.size] = b.ravel()
-            return {"boxes": flat, "n": np.array([len(b) for b in found], np.int32)}
+        def predict(images: np.ndarray) -> list[dict]:
+            pixels = np.frombuffer(bytearray().join(images), np.uint8).reshape(-1, height, width)
+            found = [np.asarray(b, np.float32).reshape(-1, 6)[:most] for b in model(pixels)]
+            return [{"boxes": b.ravel(), "n": len(b)} for b in found]
 
         return predict
 
-    infer = predict_batch_udf(make, return_type=_BOXES, batch_size=batch_size, input_tensor_shapes=[[height * width]])
-    fit = frames.where(F.octet_length("image") == height * width).select("match_id", "frame_idx", pixels("image").alias("pixels"))
-    rows = fit.select("match_id", "frame_idx", infer("pixels").alias("f")).select("match_id", "frame_idx", "f.boxes", F.explode(F.sequence(F.lit(0), F.col("f.n") - 1)).alias("det_idx")).where("det_idx >= 0 and size(boxes) > 6 * det_idx")
-    value = lambda i: F.get("boxes", F.col("det_idx") * 6 + i).cast("double")
-    return rows.select("match_id", "frame_idx", F.col("det_idx").cast("long").alias("det_idx"), *(value(i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2", "conf"))), value(5).cast("int").alias("class_id"))
-
-
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def pixels(image: pd.Series) -> pd.Series:
-    """The bytes of an image as numbers, which is what a batch of tensors is made of."""
-    return image.map(lambda b: np.frombuffer(b, np.uint8).astype(np.float32))
+    infer = predict_batch_udf(make, return_type=_BOXES, batch_size=batch_size)
+    fit = frames.where(F.octet_length("image") == height * width)
+    value = lambda i, k: F.get("f.boxes", i * 6 + k).cast("double")
+    box = lambda i: F.struct(i.cast("long").alias("det_idx"), *(value(i, k).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2", "conf"))), value(i, 5).cast("int").alias("class_id"))
+    boxes = F.when(F.col("f.n") > 0, F.transform(F.sequence(F.lit(0), F.col("f.n") - 1), box))
+    return fit.select("match_id", "frame_idx", infer("image").alias("f")).select("match_id", "frame_idx", F.inline(boxes))
 
 
 def drawn(positions: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:

@@ -2,9 +2,11 @@
 
 A segment holds consecutive frames of one match: a header with their number and
 size, an index (frame, offset, length), then the images.  Planning reads names,
-headers and indexes only; a read task gets one range of one segment and fetches
-the bytes between its first and last frame.  Filters on frame_idx and match_id
-reach the planner, which leaves out segments and ranges by name and index.
+headers and indexes only; a read task gets ranges of segments and fetches, one
+after the other, the bytes between first and last frame of each.  A task gets one
+range where there are few; of many, neighbours share a task, as starting one
+costs more than a range.  Filters on frame_idx and match_id reach the planner,
+which leaves out segments and ranges by name and index.
 
     spark.dataSource.register(Frames)
     spark.read.format("frames").option("path", folder).load()
@@ -32,6 +34,7 @@ _HEAD_SIZE, _ENTRY_SIZE = struct.calcsize(_HEAD), 24
 _MARK = b"FRM1"
 SCHEMA = "match_id long, frame_idx long, width int, height int, image binary"
 _ARROW = pa.schema([("match_id", pa.int64()), ("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("image", pa.binary())])
+TASKS, TASK_BYTES = 200, 128 << 20  # a scan has a task a range up to the one; beyond, as many tasks as that or as one for each so many bytes
 _PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -96,11 +99,36 @@ class Range(InputPartition):
     name: str
     start: int
     stop: int
+    n_bytes: int = 0
 
     def __post_init__(self):
         super().__init__((self.name, self.start))
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads in turn."""
+
+    ranges: list[Range]
+
+    def __post_init__(self):
+        super().__init__((self.ranges[0].name, self.ranges[0].start))
+
+
+def dealt(ranges: list[Range]) -> list[InputPartition]:
+    """Ranges as partitions: neighbours share one where there are more than ``TASKS``."""
+    tasks = max(TASKS, -(-sum(r.n_bytes for r in ranges) // TASK_BYTES))
+    if len(ranges) <= tasks:
+        return ranges
+    ends = [len(ranges) * i // tasks for i in range(tasks + 1)]
+    return [Ranges(ranges[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def read_partition(part: InputPartition) -> Iterator[pa.RecordBatch]:
+    for one in part.ranges if isinstance(part, Ranges) else [part]:
+        yield from read_range(one)
+
+
 def read_range(part: Range) -> Iterator[pa.RecordBatch]:
     """The frames of a range, by one read of the bytes that they span."""
     match, width, height, index = segment_index(part.folder, part.name)
@@ -158,11 +186,13 @@ class _Bounds:
         return np.flatnonzero(ok)
 
 
-def _ranges(folder: str, name: str, rows: np.ndarray, per_range: int) -> list[Range]:
+def _ranges(folder: str, name: str, index: np.ndarray, rows: np.ndarray, per_range: int) -> list[Range]:
     """Runs of consecutive rows, of ``per_range`` at most."""
     out = []
     for run in np.split(rows, np.flatnonzero(np.diff(rows) > 1) + 1) if len(rows) else []:
-        out += [Range(folder, name, int(a), int(min(a + per_range, run[-1] + 1))) for a in range(int(run[0]), int(run[-1]) + 1, per_range)]
+        for a in range(int(run[0]), int(run[-1]) + 1, per_range):
+            b = int(min(a + per_range, run[-1] + 1))
+            out.append(Range(folder, name, a, b, int(index[a:b, 2].sum())))
     return out
 
 
@@ -175,19 +205,19 @@ class FrameReader(DataSourceReader):
             if not self.bounds.take(f):
                 yield f
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[InputPartition]:
         out = []
         for name in segments(self.folder):
             first, match = name.split("-")[:2]
             if int(first) > self.bounds.high or self.bounds.matches is not None and int(match) not in self.bounds.matches:
                 continue  # by its name
             match, _, _, index = segment_index(self.folder, name)
-            out += _ranges(self.folder, name, self.bounds.rows(match, index[:, 0]), self.per_range)
-        return out
+            out += _ranges(self.folder, name, index, self.bounds.rows(match, index[:, 0]), self.per_range)
+        return dealt(out)
 
     def read(self, partition):
-        if isinstance(partition, Range):
-            yield from read_range(partition)
+        if isinstance(partition, (Range, Ranges)):
+            yield from read_partition(partition)
 
 
 class FrameStreamReader(DataSourceStreamReader):
@@ -202,23 +232,23 @@ class FrameStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         return {"after": max(segments(self.folder), default="")}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out = []
         for name in segments(self.folder):
             if start["after"] < name <= end["after"]:
-                n = len(segment_index(self.folder, name)[3])
-                out += _ranges(self.folder, name, np.arange(n), self.per_range)
-        return out
+                index = segment_index(self.folder, name)[3]
+                out += _ranges(self.folder, name, index, np.arange(len(index)), self.per_range)
+        return dealt(out)
 
     def read(self, partition):
-        yield from read_range(partition)
+        yield from read_partition(partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class Frames(DataSource):
-    """``frames``: options path, framesPerPartition."""
+    """``frames``: options path, framesPerPartition (frames of a range, which is read at once)."""
 
     @classmethod
     def name(cls) -> str:
