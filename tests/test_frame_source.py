@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from touchgrid.operators import inference
@@ -158,3 +159,16 @@ def test_many_segments_share_tasks(spark, tmp_path, monkeypatch):
     assert len(parts) == 200 and sum(b.num_rows for p in parts for b in stream.read(p)) == len(rows)
     monkeypatch.setattr(S, "TASK_BYTES", 20)  # an image has 12 bytes
     assert len(S.FrameReader({"path": at}).partitions()) == 300
+
+
+def test_a_batch_of_many_frames_is_drawn_in_small_ones():
+    n = 10_000
+    batch = pa.RecordBatch.from_pydict({"match_id": pa.array([1] * n), "frame_idx": pa.array(range(n)), "cells": pa.array([[f % 7140] for f in range(n)], pa.list_(pa.int32()))})
+    seen = 0
+    for made in inference.images(iter([batch, batch.slice(0, 0)]), 105, 68):
+        assert made.nbytes < 2 << 20  # 71 MB in all
+        for r in (made.slice(0, 1).to_pylist()[0], made.slice(made.num_rows - 1).to_pylist()[0]):
+            assert r["image"].index(b"\xff") == r["frame_idx"] % 7140 and r["image"].count(b"\xff") == 1
+        assert made["frame_idx"].to_pylist() == list(range(seen, seen + made.num_rows))
+        seen += made.num_rows
+    assert seen == n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
 WIDTH, HEIGHT = 105, 68
+DRAWN_BYTES = 1 << 20  # images that a task draws at once; a batch of rows has thousands of frames
 _BOXES = T.StructType([T.StructField("boxes", T.ArrayType(T.FloatType())), T.StructField("n", T.IntegerType())])
 
 
@@ -51,17 +52,22 @@ def drawn(positions: DataFrame, width: int = WIDTH, height: int = HEIGHT) -> Dat
     inside = F.col("x_m").between(0, width - 1e-9) & F.col("y_m").between(0, height - 1e-9)
     per = positions.groupBy("match_id", "frame_idx").agg(F.collect_set(F.when(inside, cell)).alias("cells"))
 
-    def run(batches):
-        for b in batches:
-            images = []
-            for cells in b.column("cells").to_pylist():
+    run = lambda batches: images(batches, width, height)
+    return per.select(F.col("match_id").cast("long"), F.col("frame_idx").cast("long"), "cells").mapInArrow(run, "match_id long, frame_idx long, width int, height int, image binary")
+
+
+def images(batches: Iterator[pa.RecordBatch], width: int, height: int) -> Iterator[pa.RecordBatch]:
+    """Images of frames (match_id, frame_idx, cells), ``DRAWN_BYTES`` of them at once."""
+    at_once = max(1, DRAWN_BYTES // (width * height))
+    for batch in batches:
+        for i in range(0, batch.num_rows, at_once):
+            some, made = batch.slice(i, at_once), []
+            for cells in some.column("cells").to_pylist():
                 image = np.zeros(width * height, np.uint8)
                 image[cells] = 255
-                images.append(image.tobytes())
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("match_id"), b.column("frame_idx"), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array(images, pa.binary())], ["match_id", "frame_idx", "width", "height", "image"])
-
-    return per.select(F.col("match_id").cast("long"), F.col("frame_idx").cast("long"), "cells").mapInArrow(run, "match_id long, frame_idx long, width int, height int, image binary")
+                made.append(image.tobytes())
+            n = some.num_rows
+            yield pa.RecordBatch.from_arrays([some.column("match_id"), some.column("frame_idx"), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array(made, pa.binary())], ["match_id", "frame_idx", "width", "height", "image"])
 
 
 def spots():
