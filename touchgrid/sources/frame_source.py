@@ -34,7 +34,7 @@ _HEAD_SIZE, _ENTRY_SIZE = struct.calcsize(_HEAD), 24
 _MARK = b"FRM1"
 SCHEMA = "match_id long, frame_idx long, width int, height int, image binary"
 _ARROW = pa.schema([("match_id", pa.int64()), ("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("image", pa.binary())])
-TASKS, TASK_BYTES = 200, 128 << 20  # a scan has a task a range up to the one; beyond, as many tasks as that or as one for each so many bytes
+TASKS, TASK_BYTES = 200, 16 << 20  # a scan has a task a range up to the one; beyond, as many tasks as that or as one for each so many bytes, if more
 _PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
