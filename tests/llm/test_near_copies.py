@@ -79,3 +79,21 @@ def test_large_groups_meet_in_blocks(spark):
 
 def test_no_documents(spark, no_docs):
     assert N.keep_one(no_docs).count() == 0
+
+
+def test_few_unlike_pairs_are_compared_whole(monkeypatch):
+    """Of long unlike sets in one group parity bits tell none apart; their sketches do."""
+    rng = np.random.default_rng(5)
+    n = np.full(41, 900)
+    key = rng.permutation(n.sum()).astype(np.uint64)
+    key[40 * 900 : 40 * 900 + 890] = key[:890]  # the last set matches the first
+    whole, match = [], N._matching
+    monkeypatch.setattr(N, "_matching", lambda key, first, n, i, j, s: whole.append(len(i)) or match(key, first, n, i, j, s))
+    group = np.zeros(41, np.int64)
+    low = N._linked(key, n, group, group, group.astype(bool), 0.8)
+    assert low.tolist() == [*range(40), 0] and sum(whole) <= 5
+
+
+def test_counters_follow_the_input():
+    assert N.counters_for(0) == N.counters_for(1 << 20) == N.COUNTERS
+    assert N.counters_for(800 << 20) == 1 << 25 == N.counters_for(1 << 40)

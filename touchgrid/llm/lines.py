@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ from .simhash import components
 SIMILARITY = 0.8
 COUNTERS = 1 << 22
 _CHUNK = 1 << 16
+_PACK = "lz4_raw"  # a task has few words of a large table
 _UNIT = 1 << 20  # entries that a task combines at once
 _LINES = 1 << 14  # lines that are sorted at once
 _BLOCK = 2048
@@ -82,18 +83,19 @@ def rarity(docs: DataFrame, seeds: Seeds, counters: int = COUNTERS, hashes=_word
     """A code per hashed word (or what else ``hashes`` gives of a column): its count up to 127, then the logarithm; fixed size."""
 
     def count(batches):
-        table = np.zeros(counters, np.int64)
+        table = np.zeros(counters, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
-                table += np.bincount((hashes(part.column("text"), seeds) % np.uint64(counters)).astype(np.int64), minlength=counters)
-        parts = np.minimum(table, 0xFFFF).astype("<u2").reshape(-1, _CHUNK)
-        yield _blobs([(i, p.tobytes()) for i, p in enumerate(parts) if p.any()])
+                np.add.at(table, (hashes(part.column("text"), seeds) % np.uint64(counters)).astype(np.int64), 1)
+        rows = ((i, np.minimum(p, 0xFFFF).astype("<u2")) for i, p in enumerate(table.reshape(-1, _CHUNK)) if p.any())
+        while some := [(i, pa.compress(p.tobytes(), _PACK, asbytes=True)) for i, p in islice(rows, 64)]:
+            yield _blobs(some)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(data, "<u2").astype(np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(pa.decompress(data, 2 * _CHUNK, _PACK, asbytes=True), "<u2").astype(np.uint32)
         out = []
         for i, x in sums.items():
             code = np.where(x < 128, x, np.minimum(255, 128 + 6 * np.log2(np.maximum(x, 128) / 128)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .flat import LOWER, NOT_SPACE, flat, grams, mix, ranges, span_hashes, words
 from .lines import _CLASS, _EDGE, COUNTERS, Seeds, _filters, _maps, fetch_sets, least_overlap, new_seeds, ordered_sets, rarity, screen
-from .shared import written
+from .shared import input_bytes, written
 from .simhash import components
 
 SHINGLE = 5
@@ -29,6 +29,9 @@ SIMILARITY = 0.8
 _FEW_GROUPS = 1_000_000
 _BLOCK = 2048
 _KEYS = 1 << 21  # shingles that are compared, or held, at once
+_BUCKETS = 256
+_MOST_COUNTERS = 1 << 25
+_COUNTED_BYTES = 32  # of text, a counter of the rarity table
 _LAST = (1 << 63) - 1  # for a null doc_id
 
 
@@ -91,6 +94,21 @@ def _matching(key, first, n, i, j, s: float) -> tuple[np.ndarray, np.ndarray]:
     return i[ok], j[ok]
 
 
+def _sketches(key, n) -> np.ndarray:
+    """How many shingles of each set fall in each bucket: the counts of two sets differ, in sum, by no more than the sets."""
+    of = np.repeat(np.arange(len(n)) * _BUCKETS, n) + (mix(key) % np.uint64(_BUCKETS)).astype(np.int64)
+    return np.minimum(np.bincount(of, minlength=len(n) * _BUCKETS), 255).astype(np.int16).reshape(-1, _BUCKETS)
+
+
+def _alike(sketch, n, i, j, s: float) -> np.ndarray:
+    """Which of the pairs (i, j) may match by their sketches; unlike sets of up to some thousand shingles do not, where parity bits only tell hundreds."""
+    ok = np.empty(len(i), bool)
+    for lo in range(0, len(i), 2048):
+        a, b = i[lo : lo + 2048], j[lo : lo + 2048]
+        ok[lo : lo + 2048] = np.abs(sketch[a] - sketch[b]).sum(1) <= n[a] + n[b] - 2 * least_overlap(n[a], n[b], s)
+    return ok
+
+
 def _merge(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """``low`` (the least member that each is connected to) with more links."""
     i, j = low[i], low[j]
@@ -109,6 +127,7 @@ def _linked(key, n, group, side, across, s: float) -> np.ndarray:
     first = np.cumsum(n) - n
     maps = _maps(mix(key), first)
     passes = _filters(n, np.zeros(len(n), np.int64), np.ascontiguousarray(maps[:, 0]), np.ascontiguousarray(maps[:, 1]), s)
+    sketch = _sketches(key, n)
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.append(start, len(group)))
     left = np.repeat(size, size) - (np.arange(len(n)) - np.repeat(start, size))
@@ -118,6 +137,7 @@ def _linked(key, n, group, side, across, s: float) -> np.ndarray:
         may = i[(low[i] != low[i + d]) & (~across[i] | (side[i] != side[i + d]))]
         if len(may):
             hit = passes(may, may + d)
+            hit = hit[_alike(sketch, n, hit, hit + d, s)]
             low = _merge(low, *_matching(key, first, n, hit, hit + d, s))
     return low
 
@@ -167,9 +187,14 @@ def links(sets: DataFrame, groups: DataFrame, s: float = SIMILARITY, block: int
     return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def kept(docs: DataFrame, s: float = SIMILARITY, counters: int = COUNTERS) -> DataFrame:
+def counters_for(size: int) -> int:
+    """Counters of the rarity table for ``size`` bytes of text: a table that is full tells common shingles from rare ones no more, and groups grow."""
+    return min(max(COUNTERS, 1 << max(0, size // _COUNTED_BYTES - 1).bit_length()), _MOST_COUNTERS)
+
+
+def kept(docs: DataFrame, s: float = SIMILARITY, counters: int | None = None) -> DataFrame:
     """(doc, text_hash) of the one document that each component of ``docs(doc_id, text, text_hash)`` keeps."""
-    seeds = new_seeds()
+    seeds, counters = new_seeds(), counters or counters_for(input_bytes(docs))
     codes = docs.sparkSession.sparkContext.broadcast(rarity(docs, seeds, counters, lambda column, seeds: shingles(column, seeds)[0]))
     rows = screen(docs, codes, seeds, s, document_sets)
     classes = rows.filter(F.col("kind") == _CLASS).select("s1", "s2", "doc", "text_hash", "line")
