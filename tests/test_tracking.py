@@ -1,5 +1,7 @@
 """The composed tracker, re-identification, and answers that hang on fixed numbers."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -125,3 +127,34 @@ def test_comet(spark):
     df = spark.createDataFrame([(0, i, 10.0 * i if i != 7 else 900.0, 0.0) for i in range(20)], "match_id long, frame_idx long, x double, y double")
     got = {r["frame_idx"]: (r["n_trail"], r["n_drawn"]) for r in kinematics.comet(df, "x", "y").collect()}
     assert got[0] == (1, 0) and got[6] == (7, 6) and got[8] == (9, 6) and got[19] == (14, 11)
+
+
+def crowd(seed, n=60, most=9):
+    """Frames of boxes that often overlap, some of them no box at all."""
+    rng = random.Random(seed)
+    frames = []
+    for f in range(n):
+        at = [(rng.uniform(0, 120), rng.uniform(0, 80)) for _ in range(rng.randrange(most))]
+        rows = [{"class_id": 0, "x1": x, "y1": y, "x2": x + rng.choice([40.0, 40.0, -5.0]), "y2": y + 60, "conf": rng.choice([0.9, 0.6, 0.3, None])} for x, y in at]
+        if rows and f % 11 == 5:
+            rows[0]["x1"] = None
+        frames.append((f, rows, f % 25 == 24, (1.0, 0.01, rng.uniform(-2, 2), -0.01, 1.0, 0.5)))
+    return frames
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_floats_and_arrays_give_the_same_tracks(seed, monkeypatch):
+    def run():
+        t = identity.MatchTracker()
+        return [repr(t.step(*frame)) for frame in crowd(seed)], identity.marked(t.tracker, t.last)
+
+    plain = run()
+    monkeypatch.setattr(identity, "_MANY", -1)
+    assert plain == run()
+
+
+def test_few_boxes_need_no_arrays(monkeypatch):
+    monkeypatch.setattr(identity.Tracker, "_iou", staticmethod(lambda a, b: pytest.fail("an array for a few boxes")))
+    t = identity.Tracker()
+    assert t.frame([(0.0, 0.0, 9.0, 9.0), (50.0, 0.0, 59.0, 9.0)], [0.9, 0.9]) == [1, 2]
+    assert t.frame([(51.0, 0.0, 60.0, 9.0), (1.0, 0.0, 10.0, 9.0)], [0.9, 0.9]) == [2, 1]

@@ -104,20 +104,7 @@ def folded(df: DataFrame, fold, keys: Sequence[str], fields: str, schema: str) -
     return folds.ordered(rows, keys, by).mapInArrow(run, schema)
 
 
-def warped(box: tuple, affine) -> tuple | None:
-    """The box round the moved corners of a box (x1, y1, x2, y2), in plain floats, which for one box are faster than arrays; None where it is out of all bounds."""
-    (x1, y1, x2, y2), (a, b, c, d, e, f) = box, affine
-    ax, bx, ay, by = a * x1, a * x2, b * y1, b * y2
-    dx, ex, ey, fy = d * x1, d * x2, e * y1, e * y2
-    # sums of the least and of the greatest terms are the least and the greatest of the corners, to the last bit
-    low = (ax if ax < bx else bx) + (ay if ay < by else by) + c, (dx if dx < ex else ex) + (ey if ey < fy else fy) + f
-    high = (bx if ax < bx else ax) + (by if ay < by else ay) + c, (ex if dx < ex else dx) + (fy if ey < fy else ey) + f
-    return _sane((*low, *high))
-
-
-def _sane(box: tuple, most: float = 10_000.0) -> tuple | None:
-    x1, y1, x2, y2 = box
-    return box if -most <= x1 <= most and -most <= y1 <= most and -most <= x2 <= most and -most <= y2 <= most else None
+warped, _sane = identity.warped, identity.bounded
 
 
 class Coast:

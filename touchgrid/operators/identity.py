@@ -15,6 +15,7 @@ from .detections import BALL, sane
 from .kinematics import box_velocity
 
 CONFLICT = 99.0
+_MANY = 4096  # pairs of tracks and boxes up to which plain floats are faster than arrays
 
 
 def gallery(observations: DataFrame, keep: float = 0.85) -> DataFrame:
@@ -137,39 +138,109 @@ class Tracker:
         union = area(a)[:, None] + area(b)[None] - inter
         return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
-    def _meet(self, ids: list[int], boxes: np.ndarray, which: list[int], least: float) -> list[tuple[int, int]]:
+    def _meet(self, ids: list[int], boxes: list[tuple], which: list[int], least: float) -> list[tuple[int, int]]:
         if not ids or not which:
             return []
-        v = np.array([self.tracks[t]["v"] for t in ids])
-        ahead = np.array([self.tracks[t]["box"] for t in ids]) + np.concatenate([v, v], 1)
-        got = self._iou(ahead, boxes[which])
-        rows, cols = np.flatnonzero(got.max(1) >= least), np.flatnonzero(got.max(0) >= least)  # the rest has no partner
-        return [(ids[rows[i]], which[cols[j]]) for i, j in assignment(1.0 - got[np.ix_(rows, cols)]) if got[rows[i], cols[j]] >= least]
+        if len(ids) * len(which) > _MANY or not all(map(_plain, boxes)) or not all(_plain(self.tracks[t]["box"]) for t in ids):
+            v = np.array([self.tracks[t]["v"] for t in ids])
+            ahead = np.array([self.tracks[t]["box"] for t in ids]) + np.concatenate([v, v], 1)
+            got = self._iou(ahead, np.array(boxes)[which])
+            rows, cols = np.flatnonzero(got.max(1) >= least), np.flatnonzero(got.max(0) >= least)  # the rest has no partner
+            return [(ids[rows[i]], which[cols[j]]) for i, j in assignment(1.0 - got[np.ix_(rows, cols)]) if got[rows[i], cols[j]] >= least]
+        over = self._overlaps(ids, [boxes[i] for i in which])
+        hits = [p for p, g in over.items() if g >= least]
+        if not hits:
+            return []
+        rows, cols = sorted({a for a, _ in hits}), sorted({b for _, b in hits})
+        side = 0 if len(rows) <= len(cols) else 1
+        best: dict[int, tuple] = {}  # the cheapest partner of each member of the smaller side; it is a hit, as each has one
+        for p in sorted(hits):
+            cost = 1.0 - over[p]
+            if p[side] not in best or cost < best[p[side]][0]:
+                best[p[side]] = cost, p
+        pairs = sorted(p for _, p in best.values())
+        if len({p[1 - side] for p in pairs}) < len(pairs):
+            cost = np.array([[1.0 - over.get((a, b), 0.0) for b in cols] for a in rows])
+            pairs = [(rows[i], cols[j]) for i, j in assignment(cost)]
+        return [(ids[a], which[b]) for a, b in pairs if over.get((a, b), 0.0) >= least]
+
+    def _overlaps(self, ids: list[int], boxes: list[tuple]) -> dict[tuple[int, int], float]:
+        """IoU of the predicted boxes of tracks with boxes, for the pairs that overlap; ``_iou`` in plain floats, which for some dozens are faster than arrays."""
+        out = {}
+        for a, t in enumerate(ids):
+            s = self.tracks[t]
+            x1, y1, x2, y2 = s["box"]
+            vx, vy = s["v"]
+            x1, y1, x2, y2 = x1 + vx, y1 + vy, x2 + vx, y2 + vy
+            for b, (bx1, by1, bx2, by2) in enumerate(boxes):
+                if bx1 < x2 and x1 < bx2 and by1 < y2 and y1 < by2:
+                    w, h = (x2 if x2 < bx2 else bx2) - (x1 if x1 > bx1 else bx1), (y2 if y2 < by2 else by2) - (y1 if y1 > by1 else by1)
+                    if w > 0 and h > 0:
+                        inter = w * h
+                        union = (x2 - x1) * (y2 - y1) + (bx2 - bx1) * (by2 - by1) - inter
+                        if union > 0:
+                            out[a, b] = inter / union
+        return out
 
-    def frame(self, boxes: np.ndarray, conf: np.ndarray) -> list[int]:
+    def frame(self, boxes: list[tuple], conf: list[float]) -> list[int]:
         """Track ids of the boxes of the next frame (-1: too unsure to start a track)."""
         out = [-1] * len(boxes)
-        sure, unsure = [i for i, c in enumerate(conf) if c >= self.high], [i for i, c in enumerate(conf) if self.low <= c < self.high]
-        pairs = self._meet(list(self.tracks), boxes, sure, self.iou)
-        met = {p[0] for p in pairs}
-        pairs += self._meet([t for t in self.tracks if t not in met], boxes, unsure, self.second)
-        met = {p[0] for p in pairs}
-        for t, i in pairs:
-            out[i], old = t, self.tracks[t]["box"]
-            centre = lambda b: (b[:2] + b[2:]) / 2
-            self.tracks[t] = {"box": boxes[i], "v": centre(boxes[i]) - centre(old), "lost": 0}
-        for t in [t for t in self.tracks if t not in met]:
-            self.tracks[t]["lost"] += 1
-            if self.tracks[t]["lost"] > self.forget:
-                del self.tracks[t]
-        for i in sure:
-            if out[i] < 0:
-                out[i] = self.next
-                self.tracks[self.next] = {"box": boxes[i], "v": np.zeros(2), "lost": 0}
-                self.next += 1
+        met = set()
+        if len(boxes):
+            boxes = [tuple(map(float, b)) for b in boxes]
+            sure, unsure = [i for i, c in enumerate(conf) if c >= self.high], [i for i, c in enumerate(conf) if self.low <= c < self.high]
+            pairs = self._meet(list(self.tracks), boxes, sure, self.iou)
+            met = {p[0] for p in pairs}
+            if unsure:
+                pairs += self._meet([t for t in self.tracks if t not in met], boxes, unsure, self.second)
+                met = {p[0] for p in pairs}
+            for t, i in pairs:
+                (x, y), (ox, oy) = centre(boxes[i]), centre(self.tracks[t]["box"])
+                out[i] = t
+                self.tracks[t] = {"box": boxes[i], "v": (x - ox, y - oy), "lost": 0}
+        gone = []
+        for t, s in self.tracks.items():
+            if t not in met:
+                s["lost"] += 1
+                if s["lost"] > self.forget:
+                    gone.append(t)
+        for t in gone:
+            del self.tracks[t]
+        if len(boxes):
+            for i in sure:
+                if out[i] < 0:
+                    out[i] = self.next
+                    self.tracks[self.next] = {"box": boxes[i], "v": (0.0, 0.0), "lost": 0}
+                    self.next += 1
         return out
 
 
+def centre(b: tuple) -> tuple[float, float]:
+    return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
+
+
+def _plain(b: tuple) -> bool:
+    """Whether a box has numbers only that no sum or product of two takes out of bounds."""
+    x1, y1, x2, y2 = b
+    return -1e100 < x1 < 1e100 and -1e100 < y1 < 1e100 and -1e100 < x2 < 1e100 and -1e100 < y2 < 1e100
+
+
+def warped(box: tuple, affine) -> tuple | None:
+    """The box round the moved corners of a box (x1, y1, x2, y2), in plain floats, which for one box are faster than arrays; None where it is out of all bounds."""
+    (x1, y1, x2, y2), (a, b, c, d, e, f) = box, affine
+    ax, bx, ay, by = a * x1, a * x2, b * y1, b * y2
+    dx, ex, ey, fy = d * x1, d * x2, e * y1, e * y2
+    # sums of the least and of the greatest terms are the least and the greatest of the corners, to the last bit
+    low = (ax if ax < bx else bx) + (ay if ay < by else by) + c, (dx if dx < ex else ex) + (ey if ey < fy else fy) + f
+    high = (bx if ax < bx else ax) + (by if ay < by else ay) + c, (ex if dx < ex else dx) + (fy if ey < fy else ey) + f
+    return bounded((*low, *high))
+
+
+def bounded(box: tuple, most: float = 10_000.0) -> tuple | None:
+    x1, y1, x2, y2 = box
+    return box if -most <= x1 <= most and -most <= y1 <= most and -most <= x2 <= most and -most <= y2 <= most else None
+
+
 def associated(dets: DataFrame, cut_frames: DataFrame | None = None, stretch: int = 30_000, warm: int = 3_000) -> DataFrame:
     """Track ids of person boxes (the ball keeps -1); cuts forget all tracks.  Stretches of a match run side by side (``spliced``)."""
     df = dets if cut_frames is None else dets.join(cut_frames.select("match_id", "frame_idx", F.lit(True).alias("cut")), ["match_id", "frame_idx"], "left")
@@ -190,7 +261,7 @@ class _Association:
         if any(r["cut"] for r in rows):
             self.tracker.tracks.clear()
         people = [r for r in rows if r["class_id"] != BALL]
-        found = iter(self.tracker.frame(np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in people], float).reshape(-1, 4), [float(r["conf"]) for r in people]))
+        found = iter(self.tracker.frame([_box(r) for r in people], [_conf(r) for r in people]))
         return [{"frame_idx": frame, "det_idx": r["det_idx"], "track_id": -1 if r["class_id"] == BALL else next(found)} for r in rows]
 
     def until(self, frame: int) -> list[dict]:
@@ -204,7 +275,7 @@ def marked(tracker: Tracker, last: dict) -> tuple[bytes, list[int], int]:
     """(state with tracks by their place among the live ones, their numbers, the next number)."""
     alive = sorted(tracker.tracks.keys() | last.keys())
     at = {t: i for i, t in enumerate(alive)}
-    plain = lambda d: [(at[t], s["box"].tolist(), s["v"].tolist(), s["lost"]) for t, s in d.items()]
+    plain = lambda d: [(at[t], s["box"], s["v"], s["lost"]) for t, s in d.items()]
     return json.dumps([plain(tracker.tracks), plain(last)]).encode(), alive, tracker.next
 
 
@@ -234,26 +305,20 @@ class MatchTracker:
 
     def load(self, state: dict) -> None:
         """Takes up a state of ``dump``."""
-        arrays = lambda d: {k: np.array(v, float) if k in ("box", "v", "emb") else v for k, v in d.items()}
+        arrays = lambda d: {k: np.array(v, float) if k == "emb" else tuple(v) if k in ("box", "v") else v for k, v in d.items()}
         self.tracker.tracks, self.gallery, self.last = ({t: arrays(x) for t, x in state[n]} for n in ("tracks", "gallery", "last"))
         self.alias, self.tracker.next, self.reassigned = {t: n for t, n in state["alias"]}, state["next"], state["reassigned"]
 
     def _warp(self, affine) -> None:
-        a, b, c, d, e, f = (float(x) for x in affine)
-        if not self.last:
-            return
-        boxes = np.array([s["box"] for s in self.last.values()])
-        xs, ys = boxes[:, [0, 2, 2, 0]], boxes[:, [1, 1, 3, 3]]
-        u, v = a * xs + b * ys + c, d * xs + e * ys + f
-        sane = np.isfinite(u).all(1) & np.isfinite(v).all(1) & (np.maximum(np.abs(u).max(1), np.abs(v).max(1)) <= 10_000)
-        moved = np.stack([u.min(1), v.min(1), u.max(1), v.max(1)], 1)
-        for i, (t, s) in enumerate(list(self.last.items())):
-            if not sane[i]:
+        affine = tuple(map(float, affine))
+        for t, s in list(self.last.items()):
+            box = warped(s["box"], affine)
+            if box is None:
                 del self.last[t]
                 continue
-            s["box"] = moved[i]
+            s["box"] = box
             if t in self.tracker.tracks:
-                self.tracker.tracks[t]["box"] = s["box"]
+                self.tracker.tracks[t]["box"] = box
 
     def _recognise(self, frame: int, rows: list[dict], ids: list[int]) -> None:
         known = [t for t, g in self.gallery.items() if frame - g["seen"] <= self.age]
@@ -263,13 +328,16 @@ class MatchTracker:
         cost = np.full((len(which), len(known)), CONFLICT)
         for a, i in enumerate(which):
             r, e = rows[i], unit(rows[i]["emb"])
+            kinds = [(c, r[c]) for c in ("team_id", "role_id") if not folds.missing(r.get(c)) and r[c] >= 0]
+            placed = not folds.missing(r.get("x_m"))
             for b, t in enumerate(known):
                 g = self.gallery[t]
-                if any(not folds.missing(r.get(c)) and r[c] >= 0 and g[c] is not None and r[c] != g[c] for c in ("team_id", "role_id")):
+                if kinds and any(g[c] is not None and k != g[c] for c, k in kinds):
                     continue
-                cost[a, b] = 1.0 - float(np.clip(e @ g["emb"], -1.0, 1.0))
-                if g["at"] is not None and not folds.missing(r.get("x_m")):
-                    cost[a, b] += 0.20 * min(1.0, float(np.hypot(r["x_m"] - g["at"][0], r["y_m"] - g["at"][1])) / 40.0)
+                now = 1.0 - min(max(float(e @ g["emb"]), -1.0), 1.0)
+                if placed and g["at"] is not None:
+                    now += 0.20 * min(1.0, float(np.hypot(r["x_m"] - g["at"][0], r["y_m"] - g["at"][1])) / 40.0)
+                cost[a, b] = now
         for a, b in assignment(cost):
             if cost[a, b] <= self.most:
                 self.alias[ids[which[a]]] = known[b]
@@ -297,38 +365,58 @@ class MatchTracker:
             self.last.clear()
         elif affine is not None:
             self._warp(affine)
-        boxes = np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in people], float).reshape(-1, 4)
-        ids = self.tracker.frame(boxes, np.array([r["conf"] for r in people], float))
+        boxes = [_box(r) for r in people]
+        ids = self.tracker.frame(boxes, [_conf(r) for r in people])
         if is_cut:
             self._recognise(frame, people, ids)
-        out, seen = [], set()
-        box = lambda b: dict(zip(("x1", "y1", "x2", "y2"), map(float, b), strict=True))
+        out, last, alias = [], self.last, self.alias
+        seen = set()
         for r, t, b in zip(people, ids, boxes, strict=True):
             if t < 0:
                 continue
-            old, now = self.last.get(t), (b[:2] + b[2:]) / 2
-            v = now - (old["box"][:2] + old["box"][2:]) / 2 if old else np.zeros(2)
-            self.last[t] = {"box": b, "v": v, "lost": 0}
+            old, v = last.get(t), (0.0, 0.0)
+            if old:
+                (x, y), (ox, oy) = centre(b), centre(old["box"])
+                v = x - ox, y - oy
+            last[t] = {"box": b, "v": v, "lost": 0}
             seen.add(t)
-            name = self.alias.get(t, t)
+            name = alias.get(t, t)
             self._remember(frame, r, name)
-            out.append({"frame_idx": frame, "track_id": name, "class_id": int(r["class_id"]), **box(b), "conf": float(r["conf"]), "coasted": False})
-        for t in [t for t in self.last if t not in seen]:
-            s = self.last[t]
-            s["lost"] += 1
-            if s["lost"] > self.forget:
-                del self.last[t]
-            elif s["lost"] <= self.coast and not is_cut:
-                shift = s["v"] * 0.85 ** s["lost"]
-                s["box"] = s["box"] + np.concatenate([shift, shift])
-                out.append({"frame_idx": frame, "track_id": self.alias.get(t, t), "class_id": 0, **box(s["box"]), "conf": 0.5, "coasted": True})
-        self.gallery = {t: g for t, g in self.gallery.items() if frame - g["seen"] <= self.age}
-        live = self.last.keys() | self.tracker.tracks.keys()
-        self.alias = {t: n for t, n in self.alias.items() if t in live}
-        out += [{"frame_idx": frame, "track_id": -1, "class_id": BALL, **box([r["x1"], r["y1"], r["x2"], r["y2"]]), "conf": float(r["conf"]), "coasted": False} for r in balls]
+            out.append({"frame_idx": frame, "track_id": name, "class_id": int(r["class_id"]), "x1": b[0], "y1": b[1], "x2": b[2], "y2": b[3], "conf": float(r["conf"]), "coasted": False})
+        gone = []
+        for t, s in last.items():
+            if t in seen:
+                continue
+            s["lost"] = lost = s["lost"] + 1
+            if lost > self.forget:
+                gone.append(t)
+            elif lost <= self.coast and not is_cut:
+                k, (vx, vy), (x1, y1, x2, y2) = 0.85**lost, s["v"], s["box"]
+                vx, vy = vx * k, vy * k
+                s["box"] = x1, y1, x2, y2 = x1 + vx, y1 + vy, x2 + vx, y2 + vy
+                out.append({"frame_idx": frame, "track_id": alias.get(t, t), "class_id": 0, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "conf": 0.5, "coasted": True})
+        for t in gone:
+            del last[t]
+        if self.gallery:
+            self.gallery = {t: g for t, g in self.gallery.items() if frame - g["seen"] <= self.age}
+        if alias:
+            self.alias = {t: n for t, n in alias.items() if t in last or t in self.tracker.tracks}
+        for r in balls:
+            x1, y1, x2, y2 = _box(r)
+            out.append({"frame_idx": frame, "track_id": -1, "class_id": BALL, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "conf": float(r["conf"]), "coasted": False})
         return out
 
 
+def _box(r: dict) -> tuple[float, float, float, float]:
+    """A row's box; what is missing is no number."""
+    box = r["x1"], r["y1"], r["x2"], r["y2"]
+    return tuple(math.nan if x is None else float(x) for x in box) if None in box else tuple(map(float, box))
+
+
+def _conf(r: dict) -> float:
+    return math.nan if r["conf"] is None else float(r["conf"])
+
+
 def unit(e) -> np.ndarray:
     v = np.asarray(e, float)
     n = math.sqrt(v.dot(v))

@@ -41,21 +41,33 @@ def tracks(df: DataFrame, make: Callable, order: list[str], schema: str, stretch
     both = F.when(F.col("frame_idx") - own * stretch >= stretch - warm, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = known.withColumn("_part", F.explode(both)).where(F.col("_part") * stretch <= F.col("_last"))
 
+    note = [f.name for f in kinds if f.name not in (*names, "match_id", "_part")]
+
+    def rows_of(part: _Part, out: list[dict]) -> pa.RecordBatch:
+        """Boxes of one stretch, column by column."""
+        fixed = {"match_id": part.match, "_part": part.part}
+        columns = [pa.array([fixed[f.name]] * len(out) if f.name in fixed else [m[f.name] for m in out], f.type) if f.name not in note else pa.nulls(len(out), f.type) for f in kinds]
+        return pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    def closed(part: _Part, out: list[dict]) -> Iterator[pa.RecordBatch]:
+        rest, last = part.close()
+        if out or rest:
+            yield rows_of(part, out + rest)
+        yield pa.RecordBatch.from_pylist([last], kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, one, out = None, None, []
         for key, frame, rows in _frames(batches):
             if key != now:
                 if one is not None:
-                    out += one.close()
-                now, one = key, _Part(make(), *key, stretch, rows[0]["_last"])
+                    yield from closed(one, out)
+                now, one, out = key, _Part(make(), *key, stretch, rows[0]["_last"]), []
             out += one.take(frame, rows)
-            while len(out) >= folds.SLICE:
-                yield pa.RecordBatch.from_pylist(out[: folds.SLICE], kinds)
-                out = out[folds.SLICE :]
+            if len(out) >= folds.SLICE:
+                yield rows_of(one, out)
+                out = []
         if one is not None:
-            out += one.close()
-        if out:
-            yield pa.RecordBatch.from_pylist(out, kinds)
+            yield from closed(one, out)
 
     made = folds.ordered(dealt, ["match_id", "_part"], ["frame_idx", *order]).mapInArrow(run, T.StructType.fromDDL(f"{schema}, _part long, {_NOTE}")).persist(StorageLevel.DISK_ONLY)
     notes = made.where("_exit_next is not null").select("match_id", "_part", *(c.split(" ")[0] for c in _NOTE.split(", ")))
@@ -85,17 +97,15 @@ class _Part:
         if self.entry is None and frame >= self.begin:
             self._enter()
         made = self.tracker.until(frame) + self.tracker.step(frame, rows)
-        return self._own(made) if self.entry is not None else []
-
-    def _own(self, made: list[dict]) -> list[dict]:
-        return [m | {"match_id": self.match, "_part": self.part} for m in made]
+        return made if self.entry is not None else []
 
-    def close(self) -> list[dict]:
+    def close(self) -> tuple[list[dict], dict]:
+        """(the last boxes, what joins the stretch to its neighbours)."""
         if self.entry is None:
             self._enter()
-        out = self._own(self.tracker.until(self.end))
+        out = self.tracker.until(self.end)
         (entry, alive, first), (end, left, following) = self.entry, self.tracker.mark()
-        return [*out, {"match_id": self.match, "_part": self.part, "_entry": entry, "_exit": end, "_entry_live": alive, "_exit_live": left, "_entry_next": first, "_exit_next": following}]
+        return out, {"match_id": self.match, "_part": self.part, "_entry": entry, "_exit": end, "_entry_live": alive, "_exit_live": left, "_entry_next": first, "_exit_next": following}
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list[dict]]]:
