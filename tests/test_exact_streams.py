@@ -1,6 +1,11 @@
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from touchgrid.operators import possession, space
+from touchgrid.plans import catalog_queries
 from touchgrid.plans.catalog_queries import QUERIES
 from touchgrid.streaming import frames as S, live
 
@@ -59,3 +64,24 @@ def test_a_fold_holds_one_batch_of_a_match(spark):
         assert [r.frame_idx for r in rows] == list(range(2500)) and rows[-1].cut_count == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_appearances_do_not_land(spark, sf, monkeypatch):
+    def played(spark, rows, name):
+        raise LookupError(*rows.columns)
+
+    monkeypatch.setattr(catalog_queries, "_played", played)
+    with pytest.raises(LookupError) as seen:
+        QUERIES["stream_scenes"](spark, sf)
+    assert "person" in seen.value.args and "emb" not in seen.value.args
+
+
+def test_waiting_columns_pass_without_python_numbers(spark, monkeypatch):
+    fold = S.FrameProcessor(S.FF.Carry(), ["match_id"])
+    fold.arrow = to_arrow_schema(fold.kinds)
+    monkeypatch.setattr(S.FF, "plain", lambda *a: pytest.fail("a column as Python numbers"))
+    made = {f.name: f for f in fold.kinds}
+    assert fold._column(pd.Series([1.0, None]), made["x1"]).to_pylist() == [1.0, None]
+    assert fold._column(pd.Series([7.0, None]), made["track_id"]).to_pylist() == [7, None]
+    assert fold._column(pd.Series([None, None], dtype=object), made["conf"]).to_pylist() == [None, None]
+    assert fold._column(pd.Series([np.array([1.0, 0.5]), None]), made["affine"]).to_pylist() == [[1.0, 0.5], None]
